@@ -6,9 +6,10 @@ the whole text, and neighbours are compared in full: rows of equal text lie side
 by side, the one to keep first. Spark's sort spills to disk; nothing is gathered.
 
 A text that more than a thousandth of all rows share (so at most a thousand
-texts are) never enters the sort: each task reduces it to one row, the rows of
-all tasks to one keeper, and that small table is broadcast. One text held by a
-third of all rows is thus no burden for any task.
+texts are) is not compared row by row: each task reduces it to one row by its
+SHA-256, the rows of all tasks to one keeper, and that small table is broadcast.
+Its rows are dealt by id instead, so one text held by a third of all rows is no
+burden for any task.
 
 Built from DataFrame functions only. A null text counts as empty; all empty texts
 are equal. Repeated rows are members of their group like any others. A null
@@ -28,7 +29,7 @@ _SHARE = 1000
 
 def normalised(text: Column) -> Column:
     """The text without any character of ``[\\x20\\x09-\\x0D]``; null is empty."""
-    return F.translate(F.coalesce(text, F.lit("")), " \t\n\x0b\x0c\r", "")
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]", "")
 
 
 def _order(length: Column, doc_id: Column) -> Column:
@@ -44,27 +45,22 @@ def exact_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id")
     """
     made = ["keep_id", "group_size", "kept", "text_sha256"]
     own = df.drop(*made)
-    keyed = own.withColumns({"__norm": normalised(F.col(text))}).withColumns({"__hash": F.xxhash64("__norm"), "__best": _order(F.char_length(F.coalesce(F.col(text), F.lit(""))), F.col(doc_id))})
-
-    least = max(16, own.count() // _SHARE)
-    counts = keyed.groupBy("__hash").agg(F.count("*").alias("rows")).where(F.col("rows") > least)
-    common = F.broadcast(saved(counts.select("__hash"), "common"))  # at most _SHARE rows: each has over a thousandth of all
-    many = keyed.join(common, "__hash", "left_semi")
-    groups = many.groupBy("__hash", "__norm").agg(F.min("__best").alias("__first"), F.count("*").alias("group_size"))
-    keepers = saved(groups.select(F.sha2("__norm", 256).alias("text_sha256"), "__first", "group_size"), "keepers")
-    shared = many.withColumn("text_sha256", F.sha2("__norm", 256)).join(F.broadcast(keepers), "text_sha256")
-
-    rare = keyed.join(common, "__hash", "left_anti").drop("__norm").withColumn("__prefix", F.substring(normalised(F.col(text)), 1, _PREFIX))
-    ranged = rare.repartitionByRange("__prefix", "__hash").withColumn("__norm", normalised(F.col(text)))
+    keyed = own.withColumn("__norm", normalised(F.col(text)))
+    keys = {"__hash": F.xxhash64("__norm"), "__prefix": F.substring("__norm", 1, _PREFIX), "text_sha256": F.sha2("__norm", 256), "__best": _order(F.char_length(F.coalesce(F.col(text), F.lit(""))), F.col(doc_id))}
+    staged = saved(keyed.withColumns(keys).drop("__norm"), "staged")  # keys are made once; counts read them alone
+
+    least = max(16, staged.count() // _SHARE)
+    counts = staged.groupBy("text_sha256").agg(F.count("*").alias("group_size"), F.min("__best").alias("__first")).where(F.col("group_size") > least)
+    keepers = saved(counts.select("text_sha256", F.col("group_size").alias("__rows"), F.col("__first").alias("__keeper")), "keepers")
+    marked = staged.join(F.broadcast(keepers), "text_sha256", "left")  # at most _SHARE rows: each stands for over a thousandth of all
+    is_common = F.col("__rows").isNotNull()
+
+    # Rows of common texts are dealt by their ids: nothing is left to compare but rows that repeat the keeper's own id and length.
+    spread = marked.withColumns({"__hash": F.when(is_common, F.xxhash64(doc_id)).otherwise(F.col("__hash")), "__prefix": F.when(is_common, F.lit("")).otherwise(F.col("__prefix"))})
+    ranged = spread.repartitionByRange("__prefix", "__hash").withColumn("__norm", normalised(F.col(text)))
     equal = Window.partitionBy("__prefix", "__hash", "__norm")
     by_rank = equal.orderBy("__best")
-    single = ranged.withColumns({"__first": F.first("__best").over(by_rank), "__nth": F.row_number().over(by_rank), "group_size": F.count("*").over(equal)})
-    single = single.withColumn("text_sha256", F.sha2("__norm", 256))
-
-    both = [F.col(f"`{c}`") for c in own.columns]
-    first = (F.col("__first.doc_id").alias("keep_id"), "group_size")
-    out = single.select(*both, *first, (F.col("__nth") == 1).alias("kept"), "text_sha256")
-    is_first = F.col("__best") == F.col("__first")
-    one = F.row_number().over(Window.partitionBy("text_sha256").orderBy(F.col(text)))  # only rows that repeat the keeper's id and length
-    led = shared.where(is_first).withColumn("__nth", one).select(*both, *first, (F.col("__nth") == 1).alias("kept"), "text_sha256")
-    return out.unionByName(led).unionByName(shared.where(~is_first).select(*both, *first, F.lit(False).alias("kept"), "text_sha256"))
+    found = ranged.withColumns({"__first": F.first("__best").over(by_rank), "__nth": F.row_number().over(by_rank), "group_size": F.count("*").over(equal)})
+    first = F.coalesce("__keeper", "__first")
+    stays = (F.col("__nth") == 1) & (~is_common | (F.col("__best") == F.col("__keeper")))
+    return found.select(*(F.col(f"`{c}`") for c in own.columns), first["doc_id"].alias("keep_id"), F.coalesce("__rows", "group_size").alias("group_size"), stays.alias("kept"), "text_sha256")
