@@ -5,17 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, near_dedup, packing, quality, token_files
+from . import bpe, chat, exact_dedup, html_extract, near_dedup, packing, quality, token_counts, token_files, urls
 from .common import scratch_path, table
 
-BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+BYTE_BPE, WORD_BPE, PIECES = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
+#: A conversation whose texts look like control strings.
+_TRICKY = "\\### Assistant: </turn> ok"
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE, separator=0, capacity=2048)
 
@@ -25,6 +32,16 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame([(-7, 0, "user", _TRICKY), (-7, 1, "assistant", _TRICKY)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.chat_windows(turns.unionByName(tricky)))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.unigram_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -39,17 +56,78 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = urls.url_verdicts(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return found.select("page_id", "host", "path", "rule", "verdict", F.size("strict_terms").alias("n_strict"), F.size("soft_terms").alias("n_soft"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op3_best_fit_packing, op4_exact_dedup, op7_minhash_near_dedup, op8_token_files, op9_quality_rules)}
+    numbered = (
+        op1_bpe_round_trip,
+        op2_html_main_text,
+        op3_best_fit_packing,
+        op4_exact_dedup,
+        op5_chat_windows,
+        op6_token_counts,
+        op7_minhash_near_dedup,
+        op8_token_files,
+        op9_quality_rules,
+        op10_url_filter,
+    )
+    return {f.__name__: f for f in numbered}
 
 
 _NORM = "translate(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')"
 
 
+def _hits(terms: tuple[str, ...]) -> str:
+    return " + ".join(f"regexp_matches(u, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')::INT" for t in terms)
+
+
+def _rule_cases(what: str) -> str:
+    cases = sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
+    return "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h + p if what == 'rule' else v}'" for v, h, p in cases) + " END"
+
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+_QUALITY = rf"""
+    WITH d AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+    windows AS (SELECT doc_id, unnest(range(1, len(ws) - 6)) AS i, ws FROM d WHERE len(ws) >= 8),
+    named AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS w FROM windows),
+    twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS n FROM named) WHERE n > 1),
+    covered AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS pos FROM twice) GROUP BY doc_id),
+    raw AS MATERIALIZED (SELECT doc_id, host, unnest(string_split(t, chr(10))) AS line FROM d),
+    full_lines AS MATERIALIZED (SELECT doc_id, host, line, regexp_extract_all(lower(line), '{_WORD}') AS ws FROM raw WHERE regexp_matches(line, '{_WORD}')),
+    dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM full_lines GROUP BY doc_id),
+    base AS MATERIALIZED (
+        SELECT d.doc_id, host, len(ws)::BIGINT AS n_words, list_sum(list_transform(ws, x -> length(x))) AS wc,
+            length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dups.n, 0) AS n_dup, coalesce(covered.n, 0) AS n_rep
+        FROM d LEFT JOIN dups USING (doc_id) LEFT JOIN covered USING (doc_id)),
+    lines AS MATERIALIZED (SELECT doc_id, host, array_to_string(ws, ' ') AS line, sum(len(ws)) AS words FROM full_lines GROUP BY ALL),
+    hosts AS (SELECT host, greatest(50, floor(count(*) * 0.001)) AS lim FROM d GROUP BY host),
+    common AS (SELECT host, line FROM lines JOIN hosts USING (host) GROUP BY host, line, lim HAVING count(*) > lim),
+    shared AS MATERIALIZED (SELECT lines.* FROM lines SEMI JOIN common USING (host, line)),
+    own AS (SELECT doc_id FROM shared JOIN base USING (doc_id) GROUP BY doc_id, n_words HAVING (n_words - sum(words)) * 10 >= n_words * 2),
+    decisive AS (SELECT s.host, s.line FROM shared s JOIN hosts USING (host) SEMI JOIN own ON s.doc_id = own.doc_id GROUP BY s.host, s.line, lim HAVING count(*) > lim),
+    depleted AS (SELECT doc_id FROM (SELECT shared.* FROM shared SEMI JOIN decisive USING (host, line)) JOIN base USING (doc_id) GROUP BY doc_id, n_words HAVING (n_words - sum(words)) * 10 < n_words)
+    SELECT doc_id, n_words, coalesce(wc, 0)::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup::BIGINT AS n_dup_lines, n_rep::BIGINT AS n_repeat_words,
+        n_words < 20 OR 100 * n_rep > 30 * n_words AS base_failed,
+        NOT (n_words < 20 OR 100 * n_rep > 30 * n_words) AND doc_id NOT IN (SELECT doc_id FROM depleted) AS kept
+    FROM base"""
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_exact_dedup": f"""
             WITH n AS (SELECT doc_id, {_NORM} AS norm, length(coalesce(text, '')) AS n FROM documents),
             g AS (SELECT doc_id, norm, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM n)
             SELECT doc_id, keep_id, group_size::BIGINT AS group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g""",
+        "op9_quality_rules": _QUALITY,
+        "op10_url_filter": f"""
+            WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{urls.UPPER}', '{urls.LOWER}') AS host,
+                regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, translate(coalesce(url, ''), '{urls.UPPER}', '{urls.LOWER}') AS u FROM pages),
+            h AS (SELECT *, ({_hits(urls.STRICT)})::INT AS n_strict, ({_hits(urls.SOFT)})::INT AS n_soft FROM p)
+            SELECT page_id, host, path, {_rule_cases("rule")} AS rule,
+                coalesce({_rule_cases("verdict")}, CASE WHEN n_strict > 0 OR n_soft >= 2 THEN 'block' ELSE 'allow' END) AS verdict, n_strict, n_soft
+            FROM h""",
     }
