@@ -101,7 +101,7 @@ _QUALITY = rf"""
     full_lines AS MATERIALIZED (SELECT doc_id, host, line, regexp_extract_all(lower(line), '{_WORD}') AS ws FROM raw WHERE regexp_matches(line, '{_WORD}')),
     dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM full_lines GROUP BY doc_id),
     base AS MATERIALIZED (
-        SELECT d.doc_id, host, len(ws)::BIGINT AS n_words, list_sum(list_transform(ws, x -> length(x))) AS wc,
+        SELECT d.doc_id, host, len(ws)::BIGINT AS n_words, list_sum(list_transform(ws, lambda x: length(x))) AS wc,
             length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dups.n, 0) AS n_dup, coalesce(covered.n, 0) AS n_rep
         FROM d LEFT JOIN dups USING (doc_id) LEFT JOIN covered USING (doc_id)),
     lines AS MATERIALIZED (SELECT doc_id, host, array_to_string(ws, ' ') AS line, sum(len(ws)) AS words FROM full_lines GROUP BY ALL),
