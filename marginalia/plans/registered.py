@@ -1,4 +1,4 @@
 """All queries of the library; importing this registers them."""
 
-from . import stat_queries  # noqa: F401
+from . import model_queries, stat_queries  # noqa: F401
 from .catalog import QUERIES, SQL  # noqa: F401
