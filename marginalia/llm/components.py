@@ -25,10 +25,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
+def _pairs(links: DataFrame) -> DataFrame:
+    return links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
+
+
+def partial_labels(links: DataFrame) -> DataFrame:
+    """Saved (a, b): for each node of ``links(a, b)`` but the smallest of its component, a smaller node of the same component; one round of stars, without an end condition."""
+    return saved(_star(_star(_pairs(links), True), False).groupBy("a").agg(F.min("b").alias("b")), "labels")
+
+
 def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(a, b): each node of ``links(a, b)`` except the smallest of its component, and that smallest node. Saved."""
     spark = links.sparkSession
-    edges = saved(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    edges = saved(_pairs(links), "links")
     mark = None
     for _ in range(rounds):
         after = saved(_star(_star(edges, True), False), "stars")

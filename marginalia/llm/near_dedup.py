@@ -6,15 +6,19 @@ their sets' Jaccard similarity is at least ``percent`` %.
 1. Sets and signatures are made where the texts lie; a signature is the minima
    of BANDS x ROWS universal hashes. Documents of equal sets form a class, of
    which only the one with the smallest id goes on.
-2. A band's hash is a bucket. In each bucket every class is compared with one
-   centre, not with all others: first by signature, then on the full sets.
-   Links found so far make components (large-star, small-star).
-3. A star can miss a link between two classes that both differ from the centre.
-   So stars are repeated around other centres in buckets that still hold several
-   components, and at last all pairs across components of such buckets are
-   compared: bucket members are dealt to blocks of bounded size and every block
-   pair is one group, so no task holds a bucket. Pairs within a component need no
-   comparison, as they can't change the result. Nothing is capped.
+2. A band's hash is a bucket. Every class is compared with the centre that it meets
+   in most buckets (not with all members): first by signature, then on the full
+   sets. Links found so far give labels by one round of stars. A second turn, around
+   other centres, looks at the buckets that still hold several labels.
+3. A star can miss a link between two classes that both differ from the centre. So
+   at last all pairs across labels in buckets of several labels are compared:
+   bucket members are dealt to blocks of bounded size and every block pair is one
+   group, so no task holds a bucket. Signatures mark the members that may have a
+   partner, each pair in the first bucket that it shares; then the marked members'
+   texts meet in blocks, pairs are compared in full, and a block returns a
+   spanning forest of its links. Nothing is capped, and nothing grows with the
+   square of a group but the comparisons inside blocks of unlinked classes.
+4. All links make components (large-star, small-star).
 
 With 26 bands of 5 rows a link at the limit of 85 % (80 %) shares no bucket in
 2 of 10 million (3 of 100 thousand) cases; nearer pairs still less often. A pair's
@@ -31,16 +35,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import binaries, by_batches, raw_texts, saved, word_hashes
-from .components import connected_components
+from .components import connected_components, partial_labels
 
 BANDS, ROWS = 26, 5
 SLACK = 0.2
 BLOCK = 1024
-CENTRES = 3
+TURNS = 2
 
 
 def _universal(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,14 +104,15 @@ def set_features(df: DataFrame, width: int, text: str = "text", doc_id: str = "d
 
 
 def _buckets(signs: DataFrame) -> DataFrame:
-    """Saved (bucket, node, size) of each class and band whose bucket holds others."""
+    """Saved (bucket, band, node, size) of each class and band whose bucket holds others."""
 
     @by_batches
     def explode(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys = _band_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(batch.num_rows, -1))
-        return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["bucket", "node"])
+        bands = np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)
+        return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(bands), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["bucket", "band", "node"])
 
-    rows = signs.select("node", "signature").mapInArrow(explode, "bucket long, node long")
+    rows = signs.select("node", "signature").mapInArrow(explode, "bucket long, band int, node long")
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     return saved(rows.join(sizes.hint("shuffle_merge"), "bucket"), "buckets")
 
@@ -150,66 +155,115 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
 
 
-def _mixed(buckets: DataFrame, components: DataFrame) -> DataFrame:
-    """Saved (bucket, node, size, label) of buckets of three or more that still hold several components. The star of a bucket of two has compared all of it."""
-    labels = components.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    named = buckets.where("size > 2").select("bucket", "node", "size").join(labels.hint("shuffle_merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Saved (bucket, band, node, size, label) of buckets that still hold several labels."""
+    of_node = labels.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    named = buckets.drop("label").join(of_node.hint("shuffle_merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
     return saved(named.join(several.hint("shuffle_merge"), "bucket", "left_semi"), "mixed")
 
 
 def _stars(buckets: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each member of a bucket of several labels and the bucket's centre of this turn, where their labels differ."""
+    """(a, b): each class and the centre of another label that it meets in most buckets; a bucket's centre is its first member in this turn's order."""
     rank = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
     member = F.struct(rank.alias("rank"), F.col("node").alias("node"), F.col("label").alias("label"))
-    centres = buckets.groupBy("bucket").agg(F.min(member).alias("centre"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    centres = buckets.groupBy("bucket").agg(F.min(member).alias("centre"))
     met = buckets.join(centres.hint("shuffle_merge"), "bucket").where("label <> centre.label")
-    return met.select(F.greatest("node", "centre.node").alias("a"), F.least("node", "centre.node").alias("b")).distinct()
+    times = met.groupBy("node", F.col("centre.node").alias("centre")).agg(F.count("*").alias("n"))
+    best = times.groupBy("node").agg(F.max(F.struct("n", (-F.col("centre")).alias("low"))).alias("best"))
+    return best.select("node", (-F.col("best.low")).alias("centre")).select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
 
 
-def _across(buckets: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all pairs across labels in buckets of three or more whose signatures allow a link, found block by block."""
-    least = percent / 100 - SLACK
-    by_label = buckets.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    largest = by_label.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top")).select("bucket", F.col("top.label").alias("main"))
-    held = buckets.join(largest.hint("shuffle_merge"), "bucket").join(signs.select("node", "signature").hint("shuffle_merge"), "node")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    held = held.select("bucket", "node", "label", "signature", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), (F.col("label") != F.col("main")).alias("minor"))
+def _in_blocks(held: DataFrame, size: Column, minor: Column, columns: list[str]) -> DataFrame:
+    """(bucket, base, probe, probing, columns): every member as a base against the blocks of minor members, and every minor member as a probe against all blocks of its bucket. Two minor members meet once."""
+    blocks = F.ceil(size / BLOCK).cast("int")
+    held = held.select("bucket", *columns, blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), minor.alias("minor"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    probes = held.where("minor").select("bucket", F.explode(every).alias("base"), F.col("block").alias("probe"), "node", "label", "signature", F.lit(True).alias("probing"))
     needed = held.where("minor").select("bucket", F.col("block").alias("probe")).distinct()
-    bases = held.join(needed.hint("shuffle_merge"), "bucket").select("bucket", F.col("block").alias("base"), "probe", "node", "label", "signature", F.lit(False).alias("probing"))
+    once = ~F.col("minor") | (F.col("block") >= F.col("probe"))
+    bases = held.join(needed.hint("shuffle_merge"), "bucket").where(once).select("bucket", F.col("block").alias("base"), "probe", F.lit(False).alias("probing"), *columns)
+    probes = held.where("minor").select("bucket", F.explode(every).alias("base"), F.col("block").alias("probe"), F.lit(True).alias("probing"), *columns)
+    return bases.unionByName(probes)
+
+
+def _with_main(buckets: DataFrame) -> DataFrame:
+    """Members with ``main``, the label that most of their bucket has, and ``size``."""
+    by_label = buckets.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    largest = by_label.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("size")).select("bucket", F.col("top.label").alias("main"), "size")
+    return buckets.drop("size", "main").join(largest.hint("shuffle_merge"), "bucket")
+
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+def _marked(buckets: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """Saved (bucket, band, node, label) of members that may be linked across labels, each pair looked at in the first bucket that it shares."""
+    least = percent / 100 - SLACK
+    held = _with_main(buckets).join(signs.select("node", "signature").hint("shuffle_merge"), "node")
+    blocked = _in_blocks(held, F.col("size"), F.col("label") != F.col("main"), ["band", "node", "label", "signature"])
+
+    def mark(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        probe, base = (rows[rows["probing"] == x] for x in (True, False))
+        ones, twos = (np.frombuffer(b"".join(x["signature"]), np.uint32).reshape(len(x), BANDS, ROWS) for x in (probe, base))
+        labels, hit_base, hit_probe = base["label"].to_numpy(), np.zeros(len(base), bool), np.zeros(len(probe), bool)
+        for i, (label, band) in enumerate(zip(probe["label"], probe["band"], strict=True)):
+            equal = twos == ones[i]
+            hit = (equal.mean(axis=(1, 2)) >= least) & (labels != label)
+            if hit.any():
+                hit[hit] = ~equal[hit][:, :band].all(axis=2).any(axis=1)
+                hit_probe[i] = hit.any()
+                hit_base |= hit
+        return pd.concat([probe[hit_probe], base[hit_base]])[["bucket", "band", "node", "label"]].drop_duplicates()
+
+    return saved(blocked.groupBy("bucket", "base", "probe").applyInPandas(mark, "bucket long, band int, node long, label long").distinct(), "marked")
+
+
+def _linked_in_blocks(marked: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): links across labels among marked members, in full; of each block pair, enough to connect what its links connect."""
+    texts = saved(docs.join(marked.select("node").distinct().hint("shuffle_merge"), "node"), "marked-texts")
+    held = _with_main(marked).join(texts.hint("shuffle_merge"), "node")
+    blocked = _in_blocks(held, F.col("size"), F.col("label") != F.col("main"), ["node", "label", "text"])
+
+    def link(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         probe, base = (rows[rows["probing"] == x] for x in (True, False))
-        signs_ = [np.frombuffer(b"".join(x["signature"]), np.uint32).reshape(len(x), BANDS * ROWS) for x in (probe, base)]
+        ones, twos = ([shingle_set((x or "").encode(), width) for x in part["text"]] for part in (probe, base))
         nodes, labels = base["node"].to_numpy(), base["label"].to_numpy()
+        sizes = np.array([len(x) for x in twos])
+        owner = np.repeat(np.arange(len(twos)), sizes)
+        order = np.argsort(np.concatenate(twos), kind="stable")
+        every, owner = np.concatenate(twos)[order], owner[order]
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                x = up
+            return x
+
         found = []
-        for node, label, sign in zip(probe["node"], probe["label"], signs_[0], strict=True):
-            hit = nodes[_near(signs_[1], sign, least) & (labels != label)]
-            found.append(pd.DataFrame({"a": np.maximum(hit, node), "b": np.minimum(hit, node)}))
-        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        for node, label, one in zip(probe["node"], probe["label"], ones, strict=True):
+            first, last = np.searchsorted(every, one), np.searchsorted(every, one, "right")
+            held_by = np.concatenate([np.arange(0), *(owner[i:j] for i, j in zip(first, last, strict=True) if j > i)]).astype(np.int64)
+            shared = np.bincount(held_by, minlength=len(twos))
+            for i in np.flatnonzero((100 * shared >= percent * (len(one) + sizes - shared)) & (labels != label)):
+                if (x := top(label)) != (y := top(labels[i])):
+                    root[max(x, y)] = min(x, y)
+                    found.append((max(node, nodes[i]), min(node, nodes[i])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return bases.unionByName(probes).groupBy("bucket", "base", "probe").applyInPandas(compare, "a long, b long").distinct()
+    return blocked.groupBy("bucket", "base", "probe").applyInPandas(link, "a long, b long").distinct()
 
 
 def near_components(features: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(node, component) of each class in a component of several; ``docs(node, text)`` has the texts."""
     classes = features.where("same IS NOT NULL AND doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
     signs = saved(classes.drop("same"), "classes")
-    buckets = _buckets(signs).withColumn("label", F.col("node"))
-    components = None
-    for turn in range(CENTRES + 1):
-        if turn:
-            buckets = _mixed(buckets, components)
-            if buckets.isEmpty():
-                break
-        pairs = _by_signature(_stars(buckets, turn), signs, percent) if turn < CENTRES else _across(buckets, signs, percent)
-        found = saved(_verified(pairs, docs, width, percent), "verified")
-        if components is None:
-            components = connected_components(found)
-        elif not found.isEmpty():
-            components = connected_components(components.unionByName(found))
+    buckets = _buckets(signs)
+    mixed, links = buckets.withColumn("label", F.col("node")), None
+    for turn in range(TURNS):
+        found = saved(_verified(_by_signature(_stars(mixed, turn), signs, percent), docs, width, percent), "verified")
+        links = found if links is None else links.unionByName(found)
+        mixed = _mixed(buckets, partial_labels(links))
+    marked = _marked(mixed, signs, percent)
+    if not marked.isEmpty():
+        links = links.unionByName(saved(_linked_in_blocks(marked, docs, width, percent), "verified"))
+    components = connected_components(links)
     return components.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
