@@ -15,8 +15,8 @@ ids. Long texts with equal content are encoded once and joined by digest.
 from __future__ import annotations
 
 import functools
-import hashlib
 import itertools
+import json
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,8 @@ class RunEncoder:
         self.strings, self.suffix, self.ends = enc.strings, enc.suffix, enc.library.model
         self.inner = self.ends
         if self.suffix:
-            model = enc.spec["model"]
+            with open(enc.path, encoding="utf-8") as file:
+                model = json.load(file)["model"]
             merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
             self.inner = models.BPE(vocab=model["vocab"], merges=merges)
 
@@ -130,25 +131,30 @@ def _encode_long(long: DataFrame, tokenizer: str, piece: int) -> DataFrame:
     return done.groupBy("digest").applyInPandas(join, "digest string, ids binary")
 
 
-def bpe_encode(df: DataFrame, tokenizer: str, text: str = "text", out: str = "ids", long_run: int = LONG_RUN, piece: int = PIECE) -> DataFrame:
+def bpe_encode(df: DataFrame, tokenizer: str, text: str = "text", out: str = "ids", decoded: str | None = None, long_run: int = LONG_RUN, piece: int = PIECE) -> DataFrame:
     """``df`` with the ids of each text as packed little-endian unsigned 32-bit integers in column ``out``.
 
     The ids are the library's with ``add_special_tokens=False``. A run of at most
     ``long_run`` characters is encoded in one go; longer ones in pieces of ``piece`` letters.
+    With ``decoded``, the ids are decoded again into that column by the same worker.
     """
-    named = df.drop(out)
+    named = df.drop(out, *([decoded] if decoded else []))
     plain = named.where(~_has_long_run(F.col(text), long_run))
-    schema = f"{_ddl(named)}, `{out}` binary"
+    schema = f"{_ddl(named)}, `{out}` binary" + (f", `{decoded}` string" if decoded else "")
     at = named.columns.index(text)
 
     @by_batches
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         enc = encoder(tokenizer)
-        return pa.RecordBatch.from_arrays([*batch.columns, binaries([enc.encode(x) for x in texts(batch.column(at))])], [*batch.schema.names, out])
+        ids = [enc.encode(x) for x in texts(batch.column(at))]
+        made = [binaries(ids)] + ([pa.array([enc.decode(np.frombuffer(x, "<u4")) for x in ids], pa.string())] if decoded else [])
+        return pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, out, *([decoded] if decoded else [])])
 
     long = named.where(_has_long_run(F.col(text), long_run)).withColumn("__digest", F.sha2(F.col(text), 256))
     ids = _encode_long(long.select(F.col("__digest").alias("digest"), F.col(text).alias("text")), tokenizer, piece)
     long = long.join(ids.select(F.col("digest").alias("__digest"), F.col("ids").alias(out)).hint("shuffle_merge"), "__digest").drop("__digest")
+    if decoded:
+        long = bpe_decode(long, tokenizer, out, decoded)
     return plain.mapInArrow(encode, schema).unionByName(long)
 
 
@@ -172,9 +178,5 @@ def bpe_decode(df: DataFrame, tokenizer: str, ids: str = "ids", out: str = "deco
 
 def bpe_digests(df: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of ``df(doc_id, text)``: every text encoded, its ids decoded again."""
-    both = bpe_decode(bpe_encode(df.select("doc_id", "text"), tokenizer).drop("text"), tokenizer)
+    both = bpe_encode(df.select("doc_id", "text"), tokenizer, decoded="decoded")
     return both.select("doc_id", F.expr("length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
-
-
-def digest(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

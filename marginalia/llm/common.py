@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import re
 import shutil
 import tempfile
@@ -10,6 +11,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -87,19 +89,50 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+#: Bytes of input that a task takes up at once; one row may be more.
+BATCH_BYTES = 4 << 20
+
+
 def by_batches(make) -> object:
-    """A ``mapInArrow`` function from a function of one record batch to columns by name, or None for no rows."""
+    """A ``mapInArrow`` function from a function of one record batch that isn't empty. Large batches are worked off in slices, so a task's memory doesn't follow their size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = make(batch)
-                if out is not None:
-                    yield out
+            rows = max(1, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes))
+            for at in range(0, batch.num_rows, rows):
+                yield make(batch.slice(at, rows))
 
     return run
 
 
+def by_sorted_groups(df: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
+    """The rows (a list of tuples) that ``work`` makes of each group's columns (arrays, in order of ``df``).
+
+    As ``applyInPandas``, for many small groups of bounded size: rows are dealt and
+    sorted by the keys, which must be the first columns, and stream through
+    ``mapInPandas``; one group at a time is held.
+    """
+    n = len(keys)
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
+        for rows in itertools.chain(batches, [None]):
+            if rows is None:
+                columns, edges = held, [0, len(held[0])] if held else [0]
+            else:
+                columns = [rows[c].to_numpy() for c in rows.columns]
+                if held:
+                    columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+                new = np.any([k[1:] != k[:-1] for k in columns[:n]], axis=0)
+                edges = [0, *(np.flatnonzero(new) + 1)]
+                held = [c[edges[-1] :] for c in columns]
+            made = [x for i, j in itertools.pairwise(edges) for x in work(*(c[i:j] for c in columns))]
+            yield pd.DataFrame(made, columns=names)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
 def binaries(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())
 

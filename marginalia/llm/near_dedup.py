@@ -32,13 +32,12 @@ is kept. Rows that repeat an id are compared by their own texts and keep their o
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, by_batches, raw_texts, saved, word_hashes
+from .common import by_batches, by_sorted_groups, raw_texts, saved, word_hashes
 from .components import connected_components, partial_labels
 
 BANDS, ROWS = 26, 5
@@ -199,20 +198,24 @@ def _marked(buckets: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     held = _with_main(buckets).join(signs.select("node", "signature").hint("shuffle_merge"), "node")
     blocked = _in_blocks(held, F.col("size"), F.col("label") != F.col("main"), ["band", "node", "label", "signature"])
 
-    def mark(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        probe, base = (rows[rows["probing"] == x] for x in (True, False))
-        ones, twos = (np.frombuffer(b"".join(x["signature"]), np.uint32).reshape(len(x), BANDS, ROWS) for x in (probe, base))
-        labels, hit_base, hit_probe = base["label"].to_numpy(), np.zeros(len(base), bool), np.zeros(len(probe), bool)
-        for i, (label, band) in enumerate(zip(probe["label"], probe["band"], strict=True)):
-            equal = twos == ones[i]
-            hit = (equal.mean(axis=(1, 2)) >= least) & (labels != label)
+    def mark(bucket, base, probe, probing, band, node, label, sign) -> list[tuple]:  # noqa: ANN001
+        probing = probing.astype(bool)
+        if probing.all() or not probing.any():
+            return []
+        ones, twos = (np.frombuffer(b"".join(sign[x]), np.uint32).reshape(-1, BANDS * ROWS) for x in (probing, ~probing))
+        twos, most = np.ascontiguousarray(twos.T), least * BANDS * ROWS
+        labels, hit_base, hit_probe = label[~probing], np.zeros(twos.shape[1], bool), np.zeros(len(ones), bool)
+        for i, (one, own, number) in enumerate(zip(ones, label[probing], band[probing], strict=True)):
+            equal = twos == one[:, None]
+            hit = (equal.sum(axis=0, dtype=np.uint8) >= most) & (labels != own)
             if hit.any():
-                hit[hit] = ~equal[hit][:, :band].all(axis=2).any(axis=1)
+                hit[hit] = ~equal[: number * ROWS, hit].reshape(number, ROWS, hit.sum()).all(axis=1).any(axis=0)
                 hit_probe[i] = hit.any()
                 hit_base |= hit
-        return pd.concat([probe[hit_probe], base[hit_base]])[["bucket", "band", "node", "label"]].drop_duplicates()
+        marks = np.concatenate([np.flatnonzero(probing)[hit_probe], np.flatnonzero(~probing)[hit_base]])
+        return list({(int(bucket[0]), int(band[i]), int(node[i]), int(label[i])) for i in marks})
 
-    return saved(blocked.groupBy("bucket", "base", "probe").applyInPandas(mark, "bucket long, band int, node long, label long").distinct(), "marked")
+    return saved(by_sorted_groups(blocked, ["bucket", "base", "probe"], mark, "bucket long, band int, node long, label long").distinct(), "marked")
 
 
 def _linked_in_blocks(marked: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -221,14 +224,16 @@ def _linked_in_blocks(marked: DataFrame, docs: DataFrame, width: int, percent: i
     held = _with_main(marked).join(texts.hint("shuffle_merge"), "node")
     blocked = _in_blocks(held, F.col("size"), F.col("label") != F.col("main"), ["node", "label", "text"])
 
-    def link(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        probe, base = (rows[rows["probing"] == x] for x in (True, False))
-        ones, twos = ([shingle_set((x or "").encode(), width) for x in part["text"]] for part in (probe, base))
-        nodes, labels = base["node"].to_numpy(), base["label"].to_numpy()
+    def link(bucket, base, probe, probing, node, label, text) -> list[tuple]:  # noqa: ANN001
+        probing = probing.astype(bool)
+        if probing.all() or not probing.any():
+            return []
+        ones, twos = ([shingle_set((x or "").encode(), width) for x in text[y]] for y in (probing, ~probing))
+        nodes, labels = node[~probing], label[~probing]
         sizes = np.array([len(x) for x in twos])
-        owner = np.repeat(np.arange(len(twos)), sizes)
-        order = np.argsort(np.concatenate(twos), kind="stable")
-        every, owner = np.concatenate(twos)[order], owner[order]
+        every, owner = np.concatenate(twos), np.repeat(np.arange(len(twos)), sizes)
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
         root: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -237,17 +242,18 @@ def _linked_in_blocks(marked: DataFrame, docs: DataFrame, width: int, percent: i
             return x
 
         found = []
-        for node, label, one in zip(probe["node"], probe["label"], ones, strict=True):
+        for own_node, own, one in zip(node[probing].tolist(), label[probing].tolist(), ones, strict=True):
             first, last = np.searchsorted(every, one), np.searchsorted(every, one, "right")
-            held_by = np.concatenate([np.arange(0), *(owner[i:j] for i, j in zip(first, last, strict=True) if j > i)]).astype(np.int64)
-            shared = np.bincount(held_by, minlength=len(twos))
-            for i in np.flatnonzero((100 * shared >= percent * (len(one) + sizes - shared)) & (labels != label)):
-                if (x := top(label)) != (y := top(labels[i])):
+            held = last > first
+            spans = [owner[i:j] for i, j in zip(first[held], last[held], strict=True)]
+            shared = np.bincount(np.concatenate(spans), minlength=len(twos)) if spans else np.zeros(len(twos), int)
+            for i in np.flatnonzero((100 * shared >= percent * (len(one) + sizes - shared)) & (labels != own)):
+                if (x := top(own)) != (y := top(int(labels[i]))):
                     root[max(x, y)] = min(x, y)
-                    found.append((max(node, nodes[i]), min(node, nodes[i])))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+                    found.append((max(own_node, int(nodes[i])), min(own_node, int(nodes[i]))))
+        return found
 
-    return blocked.groupBy("bucket", "base", "probe").applyInPandas(link, "a long, b long").distinct()
+    return by_sorted_groups(blocked, ["bucket", "base", "probe"], link, "a long, b long").distinct()
 
 
 def near_components(features: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:

@@ -79,7 +79,7 @@ class Encoder:
         self.library.no_padding()
         with open(path, encoding="utf-8") as file:
             self.spec = json.load(file)
-        self.suffix = self.spec["model"].get("end_of_word_suffix") or ""
+        self.path, self.suffix = path, self.spec.pop("model").get("end_of_word_suffix") or ""
         kinds = [x["type"] for x in (self.spec["normalizer"] or {}).get("normalizers", [])]
         pre = self.spec["pre_tokenizer"] or {}
         self.pieces, self.lower = None, False
