@@ -8,7 +8,7 @@ from marginalia.operators import agreement, classify, pairs, sequences, stats, v
 from marginalia.operators.stats import r6
 from marginalia.sources import tables as t
 
-from .catalog import DENSE, FACTS, MISSING, PAIRS, RUNS, SEQ, STATS, STATUS, TRACES, query, with_views
+from .catalog import DENSE, FACTS, MISSING, RUNS, SEQ, STATS, STATUS, TRACES, query, with_views
 
 F_ = with_views(FACTS)
 FS = with_views(FACTS, STATS)
@@ -190,8 +190,6 @@ def _rates(orders):
 
 # ---- missing values and normalisation --------------------------------------
 
-_BASE = "doc_id, code_idx"
-
 
 def _values(df):
     return df.select("doc_id", "code_idx", r6(F.col("value")).alias("value"))
