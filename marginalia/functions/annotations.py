@@ -125,29 +125,29 @@ def split_sections(annotations: DataFrame, key: str = "sample_id", text: str = "
     return rows.select(key, F.lower(F.substring("part", 1, 1)).alias("side"), stripped(F.regexp_replace("part", r"^.[^\n]*===\n?", "")).alias("section"))
 
 
+def cut_words(text: str, words: int, search: int) -> list[str]:
+    """A text in parts of at most ``words`` words, cut after the last sentence end among a part's last ``search`` words; a short text is one part, unchanged."""
+    tokens = text.split()
+    if len(tokens) <= words:
+        return [text]
+    parts, at = [], 0
+    while len(tokens) - at > words:
+        end = at + words
+        cut = next((i for i in range(end, end - search, -1) if tokens[i - 1][-1] in ".!?"), end)
+        parts.append(" ".join(tokens[at:cut]))
+        at = cut
+    return [*parts, " ".join(tokens[at:])]
+
+
 def split_output(df: DataFrame, words: int = 250, search: int = 50, text: str = "text") -> DataFrame:
-    """``df`` with part_idx and its text in parts of at most ``words`` words, cut after the last sentence end in a part's last ``search`` words.
+    """``df`` with part_idx and its text in parts (``cut_words``)."""
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: cut_words(x or "", words, search))
 
-    A fold over the words in the JVM: state is the list of closed parts and the open one.
-    """
-    tokens = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != "")
-    blank = F.array().cast("array<string>")
-    start = F.struct(F.array().cast("array<array<string>>").alias("done"), blank.alias("open"))
-
-    def step(s: Column, w: Column) -> Column:
-        full = F.size(s["open"]) >= words
-        ends = F.transform(F.slice(s["open"], words - search + 1, search), lambda x, i: F.when(x.rlike(r"[.!?]$"), i + (words - search + 1)).otherwise(0))
-        last = F.array_max(ends)
-        cut = F.when(last > 0, last).otherwise(words)
-        closed = F.concat(s["done"], F.array(F.slice(s["open"], 1, cut)))
-        rest = F.slice(s["open"], cut + 1, words)
-        return F.struct(F.when(full, closed).otherwise(s["done"]).alias("done"), F.concat(F.when(full, rest).otherwise(s["open"]), F.array(w)).alias("open"))
-
-    parts = F.aggregate(tokens, start, step, lambda s: F.concat(s["done"], F.array(s["open"])))
-    short = F.size(tokens) <= words
-    out = df.withColumn("__parts", F.when(short, F.array(F.col(text))).otherwise(F.transform(parts, lambda p: F.array_join(p, " "))))
     rest = [c for c in df.columns if c != text]
-    return out.select(*rest, F.posexplode("__parts").alias("part_idx", text))
+    return df.withColumn("__parts", cut(text)).select(*rest, F.posexplode("__parts").alias("part_idx", text))
 
 
 def occurrence_to_sequence(facts: DataFrame, keys: list[str]) -> DataFrame:
@@ -156,23 +156,21 @@ def occurrence_to_sequence(facts: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy("code_idx")).cast("long")).select(*keys, "pos", "code")
 
 
+def name_pattern(code: str) -> re.Pattern:
+    """Finds a code's name, overlaps too; a name of one word needs neighbours that are no letters or digits."""
+    name = re.escape(code.lower())
+    return re.compile(rf"(?={name})" if " " in code else rf"(?<![^\W_])(?={name}(?![^\W_]))")
+
+
 def extract_sequence(df: DataFrame, codes: list[str], keys: list[str], text: str = "text", longest: int = 50) -> DataFrame:
-    """(keys, pos, code_idx): where code names stand in a text, overlaps too, the first ``longest`` by place.
+    """(keys, pos, code_idx): where code names stand in a text, the first ``longest`` by place, then by index."""
 
-    A name of one word needs neighbours that are no letters or digits.
-    """
-    lower = F.lower(F.coalesce(F.col(text), F.lit("")))
-
-    def places(i: int, code: str) -> Column:
-        code = code.lower()
-        mark, n = ("(?=(\\Q%s\\E))" % code), len(code)
-        pattern = mark if " " in code else rf"(?<![\p{{L}}\p{{N}}])(?=\Q{code}\E(?![\p{{L}}\p{{N}}]))"
-        starts = F.split(lower, pattern)
-        found = F.filter(F.transform(starts, lambda s, k: F.struct((F.aggregate(F.slice(starts, 1, k), F.lit(0), lambda a, x: a + F.length(x)) + 1).alias("at"), F.lit(i).alias("code_idx"), s.startswith(code).alias("ok"))), lambda s: s["ok"])
-        return F.transform(found, lambda s: F.struct(s["at"].alias("at"), s["code_idx"].alias("code_idx"))) if n else F.array()
-
-    every = F.slice(F.array_sort(F.flatten(F.array(*(places(i, c) for i, c in enumerate(codes))))), 1, longest)
-    return df.select(*keys, F.posexplode(every).alias("pos", "hit")).select(*keys, (F.col("pos") + 1).cast("long").alias("pos"), F.col("hit.code_idx").alias("code_idx"))
+    @F.pandas_udf("array<int>")
+    def places(texts: pd.Series) -> pd.Series:
+        patterns = [name_pattern(c) for c in codes]
+        return texts.map(lambda x: [i for _, i in sorted((m.start(), i) for i, p in enumerate(patterns) for m in p.finditer((x or "").lower()))[:longest]])
+
+    return df.select(*keys, F.posexplode(places(text)).alias("pos", "code_idx")).select(*keys, (F.col("pos") + 1).cast("long").alias("pos"), "code_idx")
 
 
 # ---- taxonomy updates -------------------------------------------------------

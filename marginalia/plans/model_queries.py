@@ -197,4 +197,4 @@ def _neighbours(s, d):
     return near.withColumn("rank", again).where("rank <= 11").withColumn("distance", r6(F.col("distance")))
 
 
-query("j12_similar_code_pairs")(lambda s, d: experiments.similar_vectors(t.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 0.9))
+query("j12_similar_code_pairs")(lambda s, d: experiments.similar_vectors(t.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 0.6))

@@ -151,8 +151,11 @@ query("t10_e19_split_sections", F_ + r"SELECT comparison || '_' || question_id A
     lambda s, d: an.split_sections(combined(s, d)).where("side = 'a'").select("sample_id", "side", F.length("section").cast("long").alias("least"))
 )
 query("t8_e4_new_codes")(lambda s, d: an.parse_new_codes(t.table(s, d, "conversations").where("role = 'assistant'").select(F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("update_id"), F.concat(F.lit("Final output:\nAdded:\n- "), F.substring("text", 1, 20), F.lit(": "), "text").alias("text")), list(t.SEED_CODES)))
-query("t9_extract_sequence")(lambda s, d: an.extract_sequence(t.table(s, d, "documents").select("doc_id", "text"), list(t.SEED_CODES), ["doc_id"]))
-query("t11_split_output")(lambda s, d: an.split_output(t.table(s, d, "documents").select("doc_id", "text")).groupBy("doc_id").agg(F.count("*").alias("parts"), F.max(F.size(F.split("text", r"\s+"))).alias("longest")))
+query(
+    "t9_extract_sequence",
+    F_ + r"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS pos, code_idx FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM (SELECT doc_id, string_split_regex(lower(thinking), '[^\p{L}\p{N}]+') AS ws FROM traces)) JOIN codebook ON w = code_name QUALIFY pos <= 50""",
+)(lambda s, d: an.extract_sequence(t.table(s, d, "documents").select("doc_id", "text"), list(t.SEED_CODES), ["doc_id"]))
+query("t11_split_output")(lambda s, d: an.split_output(t.table(s, d, "documents").select("doc_id", "text")).groupBy("doc_id").agg(F.count("*").alias("parts"), F.max(F.size(F.split("text", r"\s+"))).cast("long").alias("longest")))
 query("t12_occurrence_to_sequence", F_ + "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY code_idx, k) AS pos, code_name AS code FROM (SELECT doc_id, code_idx, code_name, unnest(range(0, cnt)) AS k FROM facts)")(lambda s, d: an.occurrence_to_sequence(t.facts(s, d), ["doc_id"]))
 query("v2_reindex_sequences", F_ + "SELECT doc_id, code_name, 7 - code_idx AS code_idx, cnt FROM facts WHERE code_idx > 1")(
     lambda s, d: _reversed_index(s, d)
@@ -276,7 +279,7 @@ query(
     c AS (SELECT code_idx, (('0x' || substring(md5(word), 1, 8))::BIGINT % 768)::INT AS dim, count(*) AS n FROM w GROUP BY ALL)
     SELECT code_idx, dim, round(n / sqrt(sum(n * n) OVER (PARTITION BY code_idx)), 6) AS x FROM c""",
 )(lambda s, d: cb.embed_codes(named_items(s, d)).withColumn("x", r6(F.col("x"))))
-query("e2_group_similar_codes")(lambda s, d: cb.group_similar_codes(cb.embed_codes(named_items(s, d)), 0.6))
+query("e2_group_similar_codes")(lambda s, d: cb.group_similar_codes(cb.embed_codes(named_items(s, d)), 0.35))
 query("j8_fuzzy_match")(lambda s, d: cb.fuzzy_match(t.table(s, d, "part").select(F.lower("p_name").alias("name")), named_items(s, d).select(F.col("code_idx").alias("ord"), F.col("code_name").alias("candidate")).unionByName(t.table(s, d, "part").groupBy("p_brand").agg(F.min(F.lower("p_name")).alias("candidate"), F.min("p_partkey").cast("int").alias("ord")).select("ord", "candidate")), 80))
 query("v5_impute_iterative")(lambda s, d: vectors.impute_iterative(t.facts_missing(s, d), 2).select("doc_id", "code_idx", r6(F.col("value")).alias("value")))
 

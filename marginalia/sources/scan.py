@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from marginalia.functions import text as fx
 
+from .scratch import saved
+
 PROMPT_SCHEMA = T.StructType(
     [
         T.StructField("data_source", T.StringType()),
@@ -41,7 +43,8 @@ def parse_traces(rows: DataFrame, value: str = "value") -> DataFrame:
 
 def scan_json_tasks(spark: SparkSession, folder: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(tasks by file stem, unreadable files): a JSON object a file."""
-    read = spark.read.schema(f"{schema}, _corrupt_record string").json(f"{folder}/*.json", multiLine=True, mode="PERMISSIVE").withColumn("task", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1))
+    parsed = spark.read.schema(f"{schema}, _corrupt_record string").json(f"{folder}/*.json", multiLine=True, mode="PERMISSIVE")
+    read = saved(parsed.withColumn("task", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1)), "tasks")
     return read.where("_corrupt_record IS NULL").drop("_corrupt_record"), read.where("_corrupt_record IS NOT NULL").select("task", "_corrupt_record")
 
 
