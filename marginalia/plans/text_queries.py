@@ -54,9 +54,12 @@ def _span(rows):
     return rows.select("conv_id", "turn", thinking.alias("thinking"), answer.alias("answer"))
 
 
-_TRACE_TEXT = F.concat(F.lit("### QUESTION:\n"), "question", F.lit("\n### THINKING:\n<think>"), F.reverse("question"), F.lit("</think>\n### ANSWER:\n"), "answer")
+def _trace_text():
+    return F.concat(F.lit("### QUESTION:\n"), "question", F.lit("\n### THINKING:\n<think>"), F.reverse("question"), F.lit("</think>\n### ANSWER:\n"), "answer")
+
+
 query("s2_p2_parse_trace_sections", U_ + r"SELECT conv_id, turn, regexp_replace(regexp_replace(question, '^\s+', ''), '\s+$', '') AS question, length(question) AS n_thinking, regexp_replace(regexp_replace(answer, '^\s+', ''), '\s+$', '') AS answer FROM turns WHERE length(question) >= 10")(
-    lambda s, d: scan.parse_traces(turns(s, d).where("length(question) >= 10").select("conv_id", "turn", _TRACE_TEXT.alias("value"))).select("conv_id", "turn", "question", F.length("thinking").cast("long").alias("n_thinking"), "answer")
+    lambda s, d: scan.parse_traces(turns(s, d).where("length(question) >= 10").select("conv_id", "turn", _trace_text().alias("value"))).select("conv_id", "turn", "question", F.length("thinking").cast("long").alias("n_thinking"), "answer")
 )
 query("p6_m18_encode_model", "SELECT doc_id, CASE WHEN source < 'src2' THEN 'model-' || upper(substring(source, 4)) ELSE source END AS alias FROM documents")(
     lambda s, d: fx.encode_models(t.table(s, d, "documents").select("doc_id", F.col("source").alias("model")), t.table(s, d, "documents").where("source < 'src2'").select(F.col("source").alias("model"), F.concat(F.lit("model-"), F.upper(F.substring("source", 4, 9))).alias("alias")).distinct()).select("doc_id", "alias")
