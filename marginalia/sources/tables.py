@@ -48,30 +48,38 @@ def codebook(spark: SparkSession, codes: Sequence[str] = SEED_CODES) -> DataFram
     return spark.createDataFrame(list(enumerate(codes)), "code_idx int, code_name string")
 
 
-def lexical_counts(text: Column, codes: Sequence[str]) -> Column:
-    """Array of (code_idx, code_name, cnt): whole-word counts of single-word codes and substring counts of phrases, in any case.
+def _is_token(code: str) -> bool:
+    return all(c.isalnum() or c == "_" for c in code)
 
-    A word is what stands between TOKEN_BORDERs; a single word that holds a border
-    itself (a hyphen) must not touch a letter, digit or underscore.
-    """
-    lower = F.lower(F.coalesce(text, F.lit("")))
-    tokens = F.split(lower, TOKEN_BORDER)
+
+def lexical_counts(lower: Column, hits: Column, codes: Sequence[str]) -> Column:
+    """Array of (code_idx, code_name, cnt) from a text in lower case and its words that are codes."""
 
     def count(code: str) -> Column:
         code = code.lower()
+        if _is_token(code):
+            return F.size(F.filter(hits, lambda x: x == code)).cast("long")
         if " " in code:
             return F.floor((F.length(lower) - F.length(F.replace(lower, F.lit(code), F.lit("")))) / len(code)).cast("long")
-        if all(c.isalnum() or c == "_" for c in code):
-            return F.size(F.filter(tokens, lambda x: x == code)).cast("long")
         return F.regexp_count(lower, F.lit(rf"(?<![\p{{L}}\p{{N}}_])\Q{code}\E(?![\p{{L}}\p{{N}}_])")).cast("long")
 
     return F.array(*(F.struct(F.lit(i).alias("code_idx"), F.lit(c).alias("code_name"), count(c).alias("cnt")) for i, c in enumerate(codes)))
 
 
 def count_mentions(df: DataFrame, codes: Sequence[str] = SEED_CODES, text: str = "thinking") -> DataFrame:
-    """``df`` without its text, one row a code, zero counts too."""
+    """``df`` without its text, one row a code with its count in any case, zero counts too.
+
+    A word is what stands between TOKEN_BORDERs; a phrase counts as a substring; a single
+    word that holds a border itself (a hyphen) must not touch a letter, digit or underscore.
+    A text is split once, and only its words that are codes are kept to be counted.
+    """
     rest = [c for c in df.columns if c != text]
-    return df.select(*rest, F.inline(lexical_counts(F.col(text), codes)))
+    words = sorted({c.lower() for c in codes if _is_token(c)})
+    lower = F.lower(F.coalesce(F.col(text), F.lit("")))
+    hits = F.filter(F.split(lower, TOKEN_BORDER), lambda x: x.isin(*words)) if words else F.array().cast("array<string>")
+    phrases = [c for c in codes if not _is_token(c)]
+    marked = df.select(*rest, hits.alias("__hits"), (lower if phrases else F.lit("")).alias("__lower"))
+    return marked.select(*rest, F.inline(lexical_counts(F.col("__lower"), F.col("__hits"), codes)))
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:

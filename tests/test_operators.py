@@ -19,6 +19,13 @@ def test_numbered_matches_a_window(spark):
         assert [got[k, i * 40_000] for i in range(50) if (k, i * 40_000) in got] == list(range(sum(1 for x in got if x[0] == k)))
 
 
+def test_count_mentions_of_words_phrases_and_hyphens(spark):
+    rows = spark.createDataFrame([("s", "Self-check: the self-check, SELF-CHECKS. Going back; going  back, going back_ the_x thé")], "k string, thinking string")
+    got = {r.code_name: r.cnt for r in t.count_mentions(rows, ["self-check", "Going back", "the", "back_"]).collect()}
+    assert got == {"self-check": 2, "Going back": 2, "the": 1, "back_": 1}
+    assert {r.cnt for r in t.count_mentions(spark.createDataFrame([("s", None)], "k string, thinking string")).collect()} == {0}
+
+
 def test_average_linkage_and_groups(spark):
     rows = [(0, 0, 1.0), (1, 0, 0.99), (1, 1, math.sqrt(1 - 0.99**2)), (2, 2, 1.0), (3, 2, 0.98), (3, 3, math.sqrt(1 - 0.98**2)), (4, 5, 1.0)]
     found = codebook.group_similar_codes(spark.createDataFrame(rows, "code_idx int, dim int, x double"), 0.85)
