@@ -89,7 +89,7 @@ class Encoder:
             self.pieces, self.lower = _PLAIN["word"].findall, True
         if any(not x["content"].startswith("<|") for x in self.spec["added_tokens"]):
             self.pieces = None
-        self.piece_ids = Remembered(self._piece)
+        self.piece_ids = Remembered(self._piece, 300_000)
 
     def _piece(self, piece: str) -> bytes:
         """The ids of one pre-token."""
