@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.functions.annotations import verdict_model
 from marginalia.operators import classify, codebook, stats
 from marginalia.sources import tables as t
 from marginalia.sources.scratch import saved
@@ -85,6 +86,28 @@ def similar_vectors(rows: DataFrame, least: float, block: int = 1024, keep: Call
     return packed(unit.where(keep(F.col("id"))), "qs").crossJoin(packed(unit, "bs")).select(F.inline(close("qs", "bs")))
 
 
+def judged_by_verdict(annotated: DataFrame) -> DataFrame:
+    """``annotated(comparison, question_id, model_a, model_b, annotation)`` with outcome: the models that the annotation's verdict names, without any training."""
+    named = annotated.withColumns({"said_a": verdict_model(F.col("annotation"), "a"), "said_b": verdict_model(F.col("annotation"), "b")})
+    return named.withColumn("outcome", stats.outcome(F.col("said_a") == F.col("model_a"), F.col("said_b") == F.col("model_b")))
+
+
+def direct_rules(train: DataFrame, k: int) -> DataFrame:
+    """(comparison, code_idx, leans): the k most telling codes of a comparison as rules that name a side."""
+    rules = stats.top_k_codes(stats.code_stats(train), k).where("c0 <> c1")
+    return rules.select("comparison", "code_idx", F.when(F.col("c0") > F.col("c1"), 0).otherwise(1).alias("leans"))
+
+
+def rule_annotations(rules: DataFrame, test: DataFrame) -> DataFrame:
+    """(comparison, question_id, model_a, model_b, annotation): what an annotator that only applies the rules writes. The output with the larger balance of counts towards side 0 is given to its model."""
+    lean = F.when(F.col("leans") == 0, F.col("cnt")).when(F.col("leans") == 1, -F.col("cnt"))
+    hits = test.join(F.broadcast(rules), ["comparison", "code_idx"], "left").groupBy("comparison", "question_id", "side", "model").agg(F.coalesce(F.sum(lean), F.lit(0)).alias("balance"))
+    a, b = (hits.where(F.col("side") == i).select("comparison", "question_id", F.col("model").alias(f"model_{x}"), F.col("balance").alias(f"balance_{x}")) for i, x in enumerate("ab"))
+    first = F.col("balance_a") >= F.col("balance_b")
+    said = [F.concat(F.lit(f"The author model of output {x} is "), F.when(first == (x == "a"), F.col("model_a")).otherwise(F.col("model_b"))) for x in "ab"]
+    return a.join(b.hint("shuffle_merge"), ["comparison", "question_id"]).select("comparison", "question_id", "model_a", "model_b", F.concat(said[0], F.lit(".\n"), said[1], F.lit(".")).alias("annotation"))
+
+
 # ---- the rounds that grow a taxonomy ---------------------------------------
 
 Annotator = Callable[[DataFrame, list[str]], DataFrame]

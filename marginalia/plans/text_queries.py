@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import annotations as an
 from marginalia.functions import text as fx
 from marginalia.operators import codebook as cb
-from marginalia.operators import pairs, stats, vectors
+from marginalia.operators import classify, pairs, stats, vectors
 from marginalia.operators.stats import r6
 from marginalia.sources import scan
 from marginalia.sources import tables as t
@@ -251,6 +251,10 @@ def _graded(s, d):
     return t.table(s, d, "documents").select("doc_id", "source").join(t.correctness(s, d), "doc_id").withColumnRenamed("status", "outcome")
 
 
+query("s6_scan_choice_orders", f"WITH c AS ({_CH}), r AS (SELECT o_orderkey, pos, choice, row_number() OVER (PARTITION BY o_orderkey ORDER BY md5(o_orderkey || ':' || pos), pos) AS k FROM c), l AS (SELECT o_orderkey, list(choice ORDER BY k) AS choice_order FROM r GROUP BY o_orderkey) SELECT o_orderkey, l_linenumber, choice_order FROM lineitem JOIN l ON l_orderkey = o_orderkey")(
+    lambda s, d: scan.with_choice_orders(t.table(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber"), _written(s, pairs.shuffled_choices(_choices(s, d), "o_orderkey", "choices").withColumnRenamed("choices", "choice_order"), lambda rows, path: rows.write.parquet(path), "orders"), ["o_orderkey"])
+)
+
 # ---- taxonomy ---------------------------------------------------------------
 
 
@@ -302,6 +306,37 @@ def _averaged(s, d):
     return stats.centroids(experiments.averaged(facts, runs)).select("comparison", "code_idx", "side", r6(F.col("mean")).alias("mean"))
 
 
+query(
+    "e15_baseline_verdict",
+    with_views(TRACES, PAIRS) + "SELECT comparison, count(*) AS n, count(*) FILTER (length(text_a) >= length(text_b)) AS n_correct, round(avg((length(text_a) >= length(text_b))::INT) * 100, 6) AS accuracy FROM pairs GROUP BY comparison",
+)(lambda s, d: stats.accuracy(experiments.judged_by_verdict(_guessed_by_length(s, d)), ["comparison"]))
+
+
+def _guessed_by_length(s, d):
+    """Pairs judged without training: the longer output is said to be the first model's."""
+    model = lambda x: F.concat(F.lit("src"), (F.col("comparison") * 2 + x).cast("string"))
+    longer = F.length("text_a") >= F.length("text_b")
+    said = lambda x, first: F.concat(F.lit(f"The author model of output {x} is **"), F.when(first, model(0)).otherwise(model(1)), F.lit("**.\n"))
+    return pairs.pair_traces(t.traces(s, d)).select("comparison", "question_id", model(0).alias("model_a"), model(1).alias("model_b"), F.concat(said("a", longer), said("b", ~longer)).alias("annotation"))
+
+
+query(
+    "e16_direct_rules",
+    F_ + """, train AS (SELECT * FROM facts WHERE NOT md5('7:' || question_id) < '4'), test AS (SELECT * FROM facts WHERE md5('7:' || question_id) < '4'),
+    st AS (SELECT comparison, code_idx, sum(cnt) FILTER (side = 0) AS c0, sum(cnt) FILTER (side = 1) AS c1 FROM train GROUP BY ALL),
+    rules AS (SELECT comparison, code_idx, CASE WHEN c0 > c1 THEN 1 ELSE -1 END AS w FROM (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY comparison ORDER BY round(CASE WHEN c0 + c1 = 0 THEN 0 ELSE abs(c0 / (c0 + c1) - 0.5::DOUBLE) * (c0 + c1) END, 6) DESC, code_idx) <= 4) WHERE c0 <> c1),
+    b AS (SELECT comparison, question_id, side, coalesce(sum(cnt * w), 0) AS b FROM test LEFT JOIN rules USING (comparison, code_idx) GROUP BY ALL)
+    SELECT comparison, count(*) AS n, count(*) FILTER (x.b >= y.b) AS n_correct, round(avg((x.b >= y.b)::INT) * 100, 6) AS accuracy FROM b x JOIN b y USING (comparison, question_id) WHERE x.side = 0 AND y.side = 1 GROUP BY comparison""",
+)(lambda s, d: _direct(s, d))
+
+
+def _direct(s, d):
+    facts = t.facts(s, d)
+    held_out = classify.is_eval(F.col("question_id"))
+    rules = experiments.direct_rules(facts.where(~held_out), 4)
+    return stats.accuracy(experiments.judged_by_verdict(experiments.rule_annotations(rules, facts.where(held_out))), ["comparison"])
+
+
 _INC = "SELECT 'train' AS split, code_name, model, count(*) FILTER (cnt > 0) AS n FROM facts GROUP BY ALL"
 
 

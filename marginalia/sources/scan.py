@@ -56,6 +56,11 @@ def scan_benchmark(spark: SparkSession, registry: DataFrame, name: str) -> DataF
     return spark.read.parquet(found["path"])
 
 
+def with_choice_orders(traces: DataFrame, orders: DataFrame, keys: list[str]) -> DataFrame:
+    """Traces with the order in which their choices were shown, a written side table by (question, model folder)."""
+    return traces.join(orders.select(*keys, "choice_order"), keys, "left")
+
+
 def scan_experiment_stats(spark: SparkSession, base: str, ignore: tuple[str, ...] = ()) -> DataFrame:
     """(dataset, model, full_rate, partial_rate) of folders ``DATASET_intervention_experiment/MODEL``."""
     files = spark.read.text(f"{base}/*_intervention_experiment/*/*.txt", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
