@@ -30,21 +30,29 @@ def _pairs(links: DataFrame) -> DataFrame:
 
 
 def partial_labels(links: DataFrame) -> DataFrame:
-    """Saved (a, b): for each node of ``links(a, b)`` but the smallest of its component, a smaller node of the same component; one round of stars, without an end condition."""
-    return saved(_star(_star(_pairs(links), True), False).groupBy("a").agg(F.min("b").alias("b")), "labels")
+    """Saved (a, b): for each node of ``links(a, b)`` a smaller node of the same component, or itself: its smallest neighbour's smallest neighbour."""
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    low = saved(both.groupBy("a").agg(F.least("a", F.min("b")).alias("b")), "lows")
+    lower = low.select(F.col("a").alias("b"), F.col("b").alias("lower"))
+    return saved(low.join(lower.hint("shuffle_merge"), "b").select("a", F.least("b", "lower").alias("b")), "labels")
+
+
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Every child has one parent, and no parent is a child."""
+    if not edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return False
+    parents = edges.select(F.col("b").alias("a")).distinct()
+    return edges.join(parents.hint("shuffle_merge"), "a", "left_semi").isEmpty()
 
 
 def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(a, b): each node of ``links(a, b)`` except the smallest of its component, and that smallest node. Saved."""
     spark = links.sparkSession
     edges = saved(_pairs(links), "links")
-    mark = None
     for _ in range(rounds):
         after = saved(_star(_star(edges, True), False), "stars")
-        now = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         dropped(spark, edges)
         edges = after
-        if now == mark:
+        if _is_forest_of_stars(edges):
             return edges
-        mark = now
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -6,10 +6,9 @@ their sets' Jaccard similarity is at least ``percent`` %.
 1. Sets and signatures are made where the texts lie; a signature is the minima
    of BANDS x ROWS universal hashes. Documents of equal sets form a class, of
    which only the one with the smallest id goes on.
-2. A band's hash is a bucket. Every class is compared with the centre that it meets
-   in most buckets (not with all members): first by signature, then on the full
-   sets. Links found so far give labels by one round of stars. A second turn, around
-   other centres, looks at the buckets that still hold several labels.
+2. A band's hash is a bucket, its smallest member the centre. Every class is compared
+   with the CENTRES centres that it meets in most buckets (not with all members):
+   first by signature, then on the full sets. Links found so far give labels.
 3. A star can miss a link between two classes that both differ from the centre. So
    at last all pairs across labels in buckets of several labels are compared:
    bucket members are dealt to blocks of bounded size and every block pair is one
@@ -34,7 +33,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_batches, by_sorted_groups, raw_texts, saved, word_hashes
@@ -43,7 +42,7 @@ from .components import connected_components, partial_labels
 BANDS, ROWS = 26, 5
 SLACK = 0.2
 BLOCK = 1024
-TURNS = 2
+CENTRES = 2
 
 
 def _universal(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,20 +156,18 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
 def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """Saved (bucket, band, node, size, label) of buckets that still hold several labels."""
     of_node = labels.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    named = buckets.drop("label").join(of_node.hint("shuffle_merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = buckets.join(of_node.hint("shuffle_merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
     return saved(named.join(several.hint("shuffle_merge"), "bucket", "left_semi"), "mixed")
 
 
-def _stars(buckets: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each class and the centre of another label that it meets in most buckets; a bucket's centre is its first member in this turn's order."""
-    rank = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-    member = F.struct(rank.alias("rank"), F.col("node").alias("node"), F.col("label").alias("label"))
-    centres = buckets.groupBy("bucket").agg(F.min(member).alias("centre"))
-    met = buckets.join(centres.hint("shuffle_merge"), "bucket").where("label <> centre.label")
-    times = met.groupBy("node", F.col("centre.node").alias("centre")).agg(F.count("*").alias("n"))
-    best = times.groupBy("node").agg(F.max(F.struct("n", (-F.col("centre")).alias("low"))).alias("best"))
-    return best.select("node", (-F.col("best.low")).alias("centre")).select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
+def _stars(buckets: DataFrame) -> DataFrame:
+    """(a, b): each class and the CENTRES centres that it meets in most buckets; a bucket's centre is its smallest member. Centres are a written table, so that a join on a bucket of very many members can be split."""
+    centres = saved(buckets.groupBy("bucket").agg(F.min("node").alias("centre")), "centres")
+    met = buckets.join(centres.hint("shuffle_merge"), "bucket").where("node <> centre")
+    times = met.groupBy("node", "centre").agg(F.count("*").alias("n"))
+    nth = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "centre"))
+    return times.withColumn("nth", nth).where(F.col("nth") <= CENTRES).select(F.col("node").alias("a"), F.col("centre").alias("b"))
 
 
 def _in_blocks(held: DataFrame, size: Column, minor: Column, columns: list[str]) -> DataFrame:
@@ -261,11 +258,8 @@ def near_components(features: DataFrame, docs: DataFrame, width: int, percent: i
     classes = features.where("same IS NOT NULL AND doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
     signs = saved(classes.drop("same"), "classes")
     buckets = _buckets(signs)
-    mixed, links = buckets.withColumn("label", F.col("node")), None
-    for turn in range(TURNS):
-        found = saved(_verified(_by_signature(_stars(mixed, turn), signs, percent), docs, width, percent), "verified")
-        links = found if links is None else links.unionByName(found)
-        mixed = _mixed(buckets, partial_labels(links))
+    links = saved(_verified(_by_signature(_stars(buckets), signs, percent), docs, width, percent), "verified")
+    mixed = _mixed(buckets, partial_labels(links))
     marked = _marked(mixed, signs, percent)
     if not marked.isEmpty():
         links = links.unionByName(saved(_linked_in_blocks(marked, docs, width, percent), "verified"))

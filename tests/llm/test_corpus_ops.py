@@ -93,7 +93,7 @@ def test_near_duplicates_against_brute_force(spark, width, percent):
 
 def test_near_duplicates_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
-    monkeypatch.setattr(near_dedup, "TURNS", 1)
+    monkeypatch.setattr(near_dedup, "CENTRES", 1)
     rng, base = random.Random(3), [f"w{i}" for i in range(80)]
     rows = [(i, noisy(rng, base, 0.03)) for i in range(60)]
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
