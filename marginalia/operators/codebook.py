@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.annotations import similarity
 from marginalia.functions.text import clean_code_name
+from marginalia.sources.scratch import saved
 
 from . import stats
 from .vectors import chosen
@@ -35,7 +36,7 @@ def _labels(edges: DataFrame, rounds: int = 50) -> DataFrame:
     labels = both.select(F.col("a").alias("code_idx")).distinct().withColumn("component", F.col("code_idx"))
     for _ in range(rounds):
         heard = both.join(labels.withColumnRenamed("code_idx", "b"), "b").groupBy(F.col("a").alias("code_idx")).agg(F.min("component").alias("heard"))
-        after = labels.join(heard, "code_idx").select("code_idx", F.least("component", "heard").alias("component"), (F.col("heard") < F.col("component")).alias("moved")).checkpoint()
+        after = saved(labels.join(heard, "code_idx").select("code_idx", F.least("component", "heard").alias("component"), (F.col("heard") < F.col("component")).alias("moved")), "labels")
         labels = after.select("code_idx", "component")
         if after.where("moved").isEmpty():
             return labels
