@@ -71,7 +71,7 @@ def chat_windows(df: DataFrame, budget: int = 512, history: int = 128, target: s
     turns = formatted_turns(df).withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK).cast("long"))
     first_system = F.min(F.struct("turn", "role", "text", "written", "tokens"))
     systems = turns.where("role = 'system'").groupBy("conv_id").agg(first_system.alias("system")).select(F.col("conv_id").alias("sys_id"), F.col("system.written").alias("sys_written"), F.col("system.tokens").alias("sys_tokens"), F.col("system.turn").alias("sys_turn"))
-    named = turns.join(systems.hint("shuffle_merge"), turns["conv_id"].eqNullSafe(F.col("sys_id")) & F.lit(True), "left").drop("sys_id")
+    named = turns.join(systems.hint("shuffle_merge"), turns["conv_id"].eqNullSafe(F.col("sys_id")), "left").drop("sys_id")
 
     def windows(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["turn", "role", "text"], kind="stable", na_position="first", ignore_index=True)
