@@ -12,8 +12,8 @@ CODE = ("code_idx", "code_name")
 
 
 def r6(value: Column) -> Column:
-    """Six places: sums of doubles depend on their order."""
-    return F.round(value.cast("double"), 6)
+    """Six places, as sums of doubles depend on their order; never minus zero."""
+    return F.round(value.cast("double"), 6) + F.lit(0.0)
 
 
 def code_counts(facts: DataFrame, by: Sequence[str] = ("comparison",)) -> DataFrame:

@@ -78,7 +78,7 @@ def _fleiss_sql(category: str) -> str:
     kappas AS (SELECT code, items, CASE WHEN pe < 1 - 1e-12::DOUBLE THEN (p - pe) / (1 - pe) END AS kappa FROM obs JOIN chance USING (code))"""
 
 
-_K = "SELECT code, items, round(kappa, 6) AS kappa FROM kappas"
+_K = "SELECT code, items, round(kappa, 6) + 0.0::DOUBLE AS kappa FROM kappas"
 _round_kappa = lambda df: df.withColumn("kappa", r6(F.col("kappa")))
 query("a25_fleiss_kappa_binary", with_views(RUNS, _RATED, _fleiss_sql("(rating > 3)::INT")) + _K)(lambda s, d: _round_kappa(agreement.fleiss_kappa_binary(t.runs(s, d), 3.0)))
 query(
@@ -90,7 +90,7 @@ query("a27_kappa_tolerance", with_views(RUNS, _RATED, _fleiss_sql("floor(rating
 _RP = "rp AS MATERIALIZED (SELECT x.code, x.run AS run1, y.run AS run2, x.sample_id, x.rating AS a, y.rating AS b FROM rated x JOIN rated y ON x.code = y.code AND x.sample_id = y.sample_id AND x.run < y.run)"
 query(
     "a26_cohen_kappa_pairwise",
-    with_views(RUNS, _RATED, _RP) + """SELECT code, run1, run2, n, round(CASE WHEN pe < 1 - 1e-12::DOUBLE THEN (po - pe) / (1 - pe) END, 6) AS kappa FROM (SELECT *, px * py + (1 - px) * (1 - py) AS pe FROM
+    with_views(RUNS, _RATED, _RP) + """SELECT code, run1, run2, n, round(CASE WHEN pe < 1 - 1e-12::DOUBLE THEN (po - pe) / (1 - pe) END, 6) + 0.0::DOUBLE AS kappa FROM (SELECT *, px * py + (1 - px) * (1 - py) AS pe FROM
     (SELECT code, run1, run2, count(*) AS n, avg(((a > 3) = (b > 3))::INT) AS po, avg((a > 3)::INT) AS px, avg((b > 3)::INT) AS py FROM rp GROUP BY ALL HAVING count(*) >= 2))""",
 )(lambda s, d: _round_kappa(agreement.cohen_kappa_pairwise(t.runs(s, d), 3.0)))
 for _squared, _w in ((False, "abs(a - b)"), (True, "(a - b) * (a - b)")):
@@ -98,7 +98,7 @@ for _squared, _w in ((False, "abs(a - b)"), (True, "(a - b) * (a - b)")):
         "a27_kappa_weighted" + ("_squared" if _squared else ""),
         with_views(RUNS, _RATED, _RP) + f""", o AS (SELECT code, run1, run2, avg({_w}) AS o, count(*) AS n FROM rp GROUP BY ALL HAVING count(*) >= 2),
         e AS (SELECT code, run1, run2, sum({_w} * na * nb) AS e FROM (SELECT code, run1, run2, a, count(*) AS na FROM rp GROUP BY ALL) JOIN (SELECT code, run1, run2, b, count(*) AS nb FROM rp GROUP BY ALL) USING (code, run1, run2) GROUP BY ALL)
-        SELECT code, round(avg(1 - o / nullif(e / (n * n), 0)), 6) AS kappa FROM o JOIN e USING (code, run1, run2) GROUP BY code""",
+        SELECT code, round(avg(1 - o / nullif(e / (n * n), 0)), 6) + 0.0::DOUBLE AS kappa FROM o JOIN e USING (code, run1, run2) GROUP BY code""",
     )(lambda s, d, q=_squared: _round_kappa(agreement.kappa_weighted(t.runs(s, d), q)))
 
 # ---- feature scores ---------------------------------------------------------
@@ -164,7 +164,7 @@ def _reindexed(codes):
 
 query(
     "a28_j10_code_correctness",
-    with_views(FACTS, STATUS) + """SELECT code_idx, code_name, count(*) AS n, sum(x)::BIGINT AS held, round(corr(x, y), 6) AS correlation, round(sum(x * y) / nullif(sum(greatest(x, y)), 0), 6) AS jaccard, round(sum(x * y) * 100 / nullif(sum(x), 0), 6) AS percent
+    with_views(FACTS, STATUS) + """SELECT code_idx, code_name, count(*) AS n, sum(x)::BIGINT AS held, round(corr(x, y), 6) + 0.0::DOUBLE AS correlation, round(sum(x * y) / nullif(sum(greatest(x, y)), 0), 6) AS jaccard, round(sum(x * y) * 100 / nullif(sum(x), 0), 6) AS percent
     FROM (SELECT code_idx, code_name, (cnt > 0)::INT AS x, (status = 'correct')::INT AS y FROM facts JOIN status USING (doc_id)) GROUP BY ALL""",
 )(lambda s, d: stats.code_correctness(t.facts(s, d), t.correctness(s, d)))
 query("a29_ids_by_model_rule", F_ + "SELECT model, code_name, list(question_id ORDER BY question_id) AS ids FROM facts WHERE cnt > 0 GROUP BY ALL")(lambda s, d: stats.ids_by_model_rule(t.facts(s, d)))
