@@ -22,7 +22,6 @@ import math
 from collections.abc import Iterable
 from os.path import commonprefix
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +31,7 @@ from .tokens import vocabulary_path
 
 MARK = "▁"
 _KEPT = 300_000
+_SHIFT = 60  # sums of scores stay below
 
 
 def zipf_scores(pieces: Iterable[str]) -> dict[str, int]:
@@ -42,12 +42,17 @@ class UnigramTrie:
     def __init__(self, scores: dict[str, int]):
         self.scores, self.longest = scores, max(map(len, scores))
         self.unknown = min(scores.values())
-        self.known: dict[bytes, tuple[int, int]] = {}
+        self.known: dict[bytes, int] = {}  # tokens << _SHIFT | -score
+        lengths: dict[str, set[int]] = {}
+        for x in scores:
+            if len(x) > 1:
+                lengths.setdefault(x[-2:], set()).add(len(x))
+        self.lengths = {k: tuple(sorted(v)) for k, v in lengths.items()}  # of the pieces that end in two characters
 
     def forward(self, words: list[str]) -> list[tuple[int, int]]:
         """(score, -tokens) at the end of each of sorted ``words``."""
         rows, last, out = [(0, 0)], "", []
-        get, longest = self.scores.get, self.longest
+        get, lengths = self.scores.get, self.lengths.get
         for word in words:
             shared = len(commonprefix((last, word)))
             del rows[shared + 1 :]
@@ -56,10 +61,12 @@ class UnigramTrie:
                 n = 0 if char in self.scores else len(char.encode("utf-8", "replace"))
                 score, tokens = rows[end - 1]
                 best = (score + self.unknown * n, tokens - n) if n else (score + get(char), tokens - 1)
-                for start in range(max(0, end - longest), end - 1):
-                    value = get(word[start:end])
+                for length in lengths(word[end - 2 : end], ()) if end > 1 else ():
+                    if length > end:
+                        break
+                    value = get(word[end - length : end])
                     if value is not None:
-                        score, tokens = rows[start]
+                        score, tokens = rows[end - length]
                         if (score + value, tokens - 1) > best:
                             best = (score + value, tokens - 1)
                 rows.append(best)
@@ -72,7 +79,7 @@ class UnigramTrie:
         if len(self.known) > _KEPT:
             self.known = {}
         new = sorted((MARK + w.decode("utf-8", "replace"), w) for w in set(words) - self.known.keys())
-        self.known.update(zip((w for _, w in new), self.forward([x for x, _ in new]), strict=True))
+        self.known.update((w, -tokens << _SHIFT | -score) for (_, w), (score, tokens) in zip(new, self.forward([x for x, _ in new]), strict=True))
 
 
 @functools.lru_cache(2)
@@ -99,8 +106,8 @@ def unigram_counts(df: DataFrame, model: str, text: str = "text", batch_words: i
                 continue
             trie.learn(w for ws in split[first:last] for w in ws)
             for ws in split[first:last]:
-                pairs = np.fromiter((x for w in ws for x in trie.known[w]), np.int64, 2 * len(ws)).reshape(-1, 2)
-                out.append((len(ws), -int(pairs[:, 1].sum()), int(pairs[:, 0].sum())))
+                total = sum(map(trie.known.__getitem__, ws))
+                out.append((len(ws), total >> _SHIFT, -(total & (1 << _SHIFT) - 1)))
             first, held = last, 0
         return pa.RecordBatch.from_arrays([*batch.columns[:at], *(pa.array(x, pa.int64()) for x in zip(*out, strict=True))], [*batch.schema.names[:at], "n_pre_tokens", "n_tokens", "score"])
 
