@@ -30,17 +30,22 @@ def similar_codes(embedded: DataFrame, least: float) -> DataFrame:
     return one.join(two.hint("shuffle_merge"), "dim").where("code_1 < code_2").groupBy("code_1", "code_2").agg(F.sum(F.col("x1") * F.col("x2")).alias("cosine")).where(F.col("cosine") >= least)
 
 
-def _labels(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(code_idx, component) by passing on smallest labels; codes are at most a few hundred rows."""
-    both = edges.select(F.col("code_1").alias("a"), F.col("code_2").alias("b")).unionByName(edges.select(F.col("code_2").alias("a"), F.col("code_1").alias("b")))
+def component_labels(edges: DataFrame) -> DataFrame:
+    """(code_idx, component) of ``edges(code_1, code_2)``: the smallest code of each connected component.
+
+    Each round passes on smallest labels and lets every code take its label's own label,
+    so chains halve; it runs until no label moves.
+    """
+    both = saved(edges.select(F.col("code_1").alias("a"), F.col("code_2").alias("b")).unionByName(edges.select(F.col("code_2").alias("a"), F.col("code_1").alias("b"))), "edges")
     labels = both.select(F.col("a").alias("code_idx")).distinct().withColumn("component", F.col("code_idx"))
-    for _ in range(rounds):
+    while True:
         heard = both.join(labels.withColumnRenamed("code_idx", "b"), "b").groupBy(F.col("a").alias("code_idx")).agg(F.min("component").alias("heard"))
-        after = saved(labels.join(heard, "code_idx").select("code_idx", F.least("component", "heard").alias("component"), (F.col("heard") < F.col("component")).alias("moved")), "labels")
+        near = saved(labels.join(heard, "code_idx").select("code_idx", F.col("component").alias("before"), F.least("component", "heard").alias("component")), "labels")
+        jump = near.select(F.col("code_idx").alias("component"), F.col("component").alias("further"))
+        after = saved(near.join(jump, "component").select("code_idx", F.least("component", "further").alias("component"), (F.least("component", "further") < F.col("before")).alias("moved")), "labels")
         labels = after.select("code_idx", "component")
         if after.where("moved").isEmpty():
             return labels
-    return labels
 
 
 def average_linkage(names: list[int], cosine: dict[tuple[int, int], float], cut: float) -> list[list[int]]:
@@ -58,7 +63,7 @@ def average_linkage(names: list[int], cosine: dict[tuple[int, int], float], cut:
 def group_similar_codes(embedded: DataFrame, least: float = 0.85, size: int = 2) -> DataFrame:
     """(group, code_idx) of clusters of ``size`` codes or more. A merge below the cut needs one pair below it, so clusters stay inside components."""
     all_pairs = similar_codes(embedded, 1e-9)
-    labels = _labels(all_pairs.where(F.col("cosine") > least))
+    labels = component_labels(all_pairs.where(F.col("cosine") > least))
     of = lambda c: labels.select(F.col("code_idx").alias(c), F.col("component").alias(f"of_{c}"))
     inside = all_pairs.join(of("code_1"), "code_1").join(of("code_2"), "code_2").where("of_code_1 = of_code_2")
 

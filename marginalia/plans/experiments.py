@@ -65,25 +65,68 @@ def transfer(facts: DataFrame, directions: DataFrame, method: str = "naive_bayes
     return evaluate(method, train, test).join(F.broadcast(ways.withColumnRenamed("way", "comparison")), "comparison").drop("comparison")
 
 
-def similar_vectors(rows: DataFrame, least: float, block: int = 1024, keep: Callable = lambda ids: ids % 20 == 0) -> DataFrame:
-    """(id_1, id_2, cosine) with cosine >= ``least`` for the stated query ids against all rows, in blocks; id_1 is the query."""
-    count = rows.count()
-    blocks = max(1, -(-count // block))
-    unit = rows.select("id", F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"))
-    packed = lambda df, name: df.groupBy("b").agg(F.collect_list(F.struct("id", "v")).alias(name)).drop("b")
+def _met_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """(qs, bs, same): every block of ``rows(id, v)`` with itself and every later block, so each pair meets once, in a unit of work of bounded size. The work grows with the square of the rows."""
+    rows = rows.where("id IS NOT NULL AND v IS NOT NULL")
+    blocks = max(1, -(-rows.count() // block))
+    unit = rows.select("id", F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
+    packed = saved(unit.groupBy("b").agg(F.collect_list(F.struct("id", "v")).alias("rows")), "vector-blocks")
+    one = packed.select(F.col("b").alias("b1"), F.col("rows").alias("qs"), F.explode(F.sequence("b", F.lit(blocks - 1))).alias("b2"))
+    two = packed.select(F.col("b").alias("b2"), F.col("rows").alias("bs"))
+    return one.join(two.hint("shuffle_merge"), "b2").select("qs", "bs", (F.col("b1") == F.col("b2")).alias("same"))
+
+
+def _close_pairs(q: list, b: list, same: bool, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and cosines of the pairs of two blocks at ``least`` or more; a block with itself gives each pair once."""
+    (i, x), (j, y) = ((np.array([r["id"] for r in z], np.int64), np.array([r["v"] for r in z], float)) for z in (q, b))
+    x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
+    c = x @ y.T
+    u, w = np.nonzero((c >= least) & (i[:, None] < j[None, :] if same else i[:, None] != j[None, :]))
+    return i[u], j[w], c[u, w]
+
+
+def similar_vectors(rows: DataFrame, least: float, block: int = 1024) -> DataFrame:
+    """(id_1, id_2, cosine) with id_1 < id_2 and cosine >= ``least``: all pairs of ``rows(id, v)``, exactly."""
 
     @F.pandas_udf("array<struct<id_1:long,id_2:long,cosine:double>>")
-    def close(qs: pd.Series, bs: pd.Series) -> pd.Series:
+    def close(qs: pd.Series, bs: pd.Series, same: pd.Series) -> pd.Series:
+        found = (_close_pairs(q, b, s, least) for q, b, s in zip(qs, bs, same, strict=True))
+        return pd.Series([[{"id_1": int(min(i, j)), "id_2": int(max(i, j)), "cosine": round(float(c), 6)} for i, j, c in zip(*x, strict=True)] for x in found])
+
+    return _met_blocks(rows, block).select(F.inline(close("qs", "bs", "same")))
+
+
+def similar_classes(rows: DataFrame, least: float, block: int = 1024) -> DataFrame:
+    """(id, class_id, links): a row for each of ``rows(id, v)`` with the smallest id that a chain of similar pairs leads to, and how many similar vectors it has itself.
+
+    Two blocks give a row for each of their vectors with links, so a large class costs no row a pair.
+    """
+
+    @F.pandas_udf("array<struct<id:long,root:long,links:long>>")
+    def linked(qs: pd.Series, bs: pd.Series, same: pd.Series) -> pd.Series:
         out = []
-        for q, b in zip(qs, bs, strict=True):
-            (i, x), (j, y) = ((np.array([r["id"] for r in z]), np.array([r["v"] for r in z], float)) for z in (q, b))
-            x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
-            c = x @ y.T
-            at = np.argwhere((c >= least) & (i[:, None] != j[None, :]))
-            out.append([{"id_1": int(i[a]), "id_2": int(j[k]), "cosine": round(float(c[a, k]), 6)} for a, k in at])
+        for q, b, s in zip(qs, bs, same, strict=True):
+            i, j, _ = _close_pairs(q, b, s, least)
+            ids, ends = np.unique(np.concatenate([i, j]), return_inverse=True)
+            one, two = ends[: len(i)], ends[len(i) :]
+            roots = np.arange(len(ids))
+            while True:
+                low = np.minimum(roots[one], roots[two])
+                after = roots.copy()
+                np.minimum.at(after, one, low)
+                np.minimum.at(after, two, low)
+                after = after[after]
+                if (after == roots).all():
+                    break
+                roots = after
+            out.append([{"id": int(x), "root": int(r), "links": int(n)} for x, r, n in zip(ids, ids[roots], np.bincount(ends, minlength=len(ids)), strict=True)])
         return pd.Series(out)
 
-    return packed(unit.where(keep(F.col("id"))), "qs").crossJoin(packed(unit, "bs")).select(F.inline(close("qs", "bs")))
+    found = saved(_met_blocks(rows, block).select(F.inline(linked("qs", "bs", "same"))), "links")
+    links = found.groupBy("id").agg(F.sum("links").alias("links"))
+    labels = codebook.component_labels(found.select(F.col("id").alias("code_1"), F.col("root").alias("code_2")).distinct()).select(F.col("code_idx").alias("id"), "component")
+    joined = rows.select("id").join(links.hint("shuffle_merge"), "id", "left").join(labels.hint("shuffle_merge"), "id", "left")
+    return joined.select("id", F.coalesce("component", "id").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
 
 
 def judged_by_verdict(annotated: DataFrame) -> DataFrame:

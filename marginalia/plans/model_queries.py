@@ -197,4 +197,10 @@ def _neighbours(s, d):
     return near.withColumn("rank", again).where("rank <= 11").withColumn("distance", r6(F.col("distance")))
 
 
-query("j12_similar_code_pairs")(lambda s, d: experiments.similar_vectors(t.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 0.6))
+_VECTORS = "e AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings)"
+_SIMILAR = "p AS MATERIALIZED (SELECT a.vec_id AS id, b.vec_id AS other FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE list_sum(list_transform(list_zip(a.v, b.v), lambda x: x[1] * x[2])) / (a.n * b.n) >= 0.6)"
+_REACHED = "reached AS (SELECT vec_id AS id, vec_id AS other FROM e UNION SELECT reached.id, p.other FROM reached JOIN p ON reached.other = p.id)"
+query(
+    "j12_similar_code_pairs",
+    with_views(_VECTORS, _SIMILAR, _REACHED).replace("WITH", "WITH RECURSIVE", 1) + "SELECT id, min(reached.other) AS class_id, (SELECT count(*) FROM p WHERE p.id = reached.id) AS links FROM reached GROUP BY id",
+)(lambda s, d: experiments.similar_classes(t.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 0.6))

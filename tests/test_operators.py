@@ -165,3 +165,28 @@ def test_prompt_records_match_the_schema(spark):
     made = scan.prompt_records(rows, "d", "a")
     assert [f.dataType.simpleString() for f in made.schema] == [f.dataType.simpleString() for f in scan.PROMPT_SCHEMA]
     assert scan.with_split_label(made, "test").first()["extra_info"]["split"] == "test"
+
+
+def test_similar_vectors_finds_every_pair(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 6))
+    ids = [int(i) for i in rng.permutation(400)[:90]]
+    c = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+    want = {(min(ids[a], ids[b]), max(ids[a], ids[b])) for a in range(90) for b in range(a) if c[a, b] >= 0.8}
+    assert any(a % 20 and b % 20 for a, b in want)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "id long, v array<double>")
+    for block in (16, 1024):
+        got = [(r.id_1, r.id_2) for r in experiments.similar_vectors(rows, 0.8, block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    parent = {i: i for i in ids}
+    for _ in ids:
+        for a, b in want:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    for block in (16, 1024):
+        classes = {r.id: (r.class_id, r.links) for r in experiments.similar_classes(rows, 0.8, block).collect()}
+        assert classes == {i: (parent[i], sum(i in p for p in want)) for i in ids}
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(150)], "code_1 int, code_2 int")
+    assert {(r.code_idx, r.component) for r in codebook.component_labels(edges).collect()} == {(i, 0) for i in range(151)}
