@@ -170,14 +170,17 @@ def frequent_word_proposer(samples: DataFrame, codes: list[str]) -> list[str]:
     return [r["w"] for r in best]
 
 
-def grow_taxonomy(spark: SparkSession, samples: DataFrame, seed_codes: list[str], rounds: int, per_round: int, max_codes: int, annotate: Annotator = lexical_annotator, propose: Proposer | None = frequent_word_proposer, log: Callable[..., None] | None = None) -> tuple[DataFrame, list[str]]:
-    """(round table, codes): accumulate ``per_round`` samples, annotate, evaluate, then update the taxonomy; prune and stop by rule.
+def grow_taxonomy(spark: SparkSession, samples: DataFrame, seed_codes: list[str], rounds: int, per_round: int | None, max_codes: int, annotate: Annotator = lexical_annotator, propose: Proposer | None = frequent_word_proposer, log: Callable[..., None] | None = None) -> tuple[DataFrame, list[str]]:
+    """(round table, codes): accumulate a round's samples, annotate them, then update the taxonomy; stop by rule.
 
+    A round takes ``per_round`` samples of each comparison; with None the questions are dealt
+    to the rounds in equal shares, both sides together, so that the rounds cover every sample.
     One Spark job a step; facts are written each round, so a lost executor or a
     restart costs at most a round. ``propose`` None keeps the taxonomy fixed.
     """
     codes, history, facts = list(seed_codes), [], None
-    rounded = saved(samples.withColumn("round", F.floor(F.row_number().over(_by_shuffle()) / per_round)), "rounds")
+    dealt = _in_shares(samples, rounds) if per_round is None else samples.withColumn("round", F.floor((F.row_number().over(_by_shuffle()) - 1) / per_round))
+    rounded = saved(dealt, "rounds")
     for number in range(rounds):
         new = annotate(rounded.where(F.col("round") == number), codes)
         facts = saved(new if facts is None else facts.unionByName(new), "facts")
@@ -192,6 +195,15 @@ def grow_taxonomy(spark: SparkSession, samples: DataFrame, seed_codes: list[str]
     return spark.createDataFrame(history, "round int, codes int, samples long, cnt long"), codes
 
 
+def _in_shares(samples: DataFrame, rounds: int) -> DataFrame:
+    """``samples`` with round: each comparison's shuffled questions in ``rounds`` equal shares, numbered in ranges of the digest."""
+    digest = F.conv(F.substring(t.shuffled_rank(F.col("question_id"), 1), 1, 15), 16, 10).cast("long")
+    questions = samples.select("comparison", "question_id").distinct().withColumn("digest", digest)
+    sizes = questions.groupBy("comparison").agg(F.count("*").alias("n"))
+    shares = t.numbered(questions, ["comparison"], "digest", "place", 1 << 54).join(F.broadcast(sizes), "comparison").select("comparison", "question_id", F.floor(F.col("place") * rounds / F.col("n")).alias("round"))
+    return samples.join(shares.hint("shuffle_merge"), ["comparison", "question_id"])
+
+
 def _by_shuffle():
     from pyspark.sql import Window
 

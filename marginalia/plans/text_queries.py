@@ -292,7 +292,13 @@ query("v5_impute_iterative")(lambda s, d: vectors.impute_iterative(t.facts_missi
 
 # ---- experiments and the incremental path ---------------------------------
 
-query("e6_e14_x1_grow_taxonomy")(lambda s, d: experiments.grow_taxonomy(s, t.traces(s, d), list(t.SEED_CODES[:4]), rounds=3, per_round=40, max_codes=12)[0])
+query("e6_e14_x1_grow_taxonomy")(lambda s, d: experiments.grow_taxonomy(s, t.traces(s, d), list(t.SEED_CODES[:4]), rounds=3, per_round=None, max_codes=12)[0])
+query(
+    "e14_fixed_taxonomy",
+    F_ + """, q AS (SELECT comparison, question_id, (row_number() OVER (PARTITION BY comparison ORDER BY md5('1:' || question_id)) - 1) * 3 // count(*) OVER (PARTITION BY comparison) AS round FROM (SELECT DISTINCT comparison, question_id FROM traces)),
+    dealt AS (SELECT doc_id, cnt, round FROM facts JOIN q USING (comparison, question_id) WHERE code_idx < 4)
+    SELECT r.round::INT AS round, 4 AS codes, count(DISTINCT doc_id) AS samples, sum(cnt)::BIGINT AS cnt FROM (SELECT DISTINCT round FROM dealt) r JOIN dealt d ON d.round <= r.round GROUP BY r.round""",
+)(lambda s, d: experiments.grow_taxonomy(s, t.traces(s, d), list(t.SEED_CODES[:4]), rounds=3, per_round=None, max_codes=12, propose=None)[0])
 query("e12_transfer")(lambda s, d: experiments.transfer(t.facts(s, d), t.facts(s, d).select(F.col("comparison").alias("train_on")).distinct().withColumn("test_on", (F.col("train_on") + 1) % 10)))
 query(
     "e11_evaluate_averaged",

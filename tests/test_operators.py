@@ -152,6 +152,15 @@ def test_taxonomy_grows_until_full(spark, data):
     assert same == ["the"]
 
 
+def test_rounds_cover_every_trace(spark, data):
+    all_traces = t.traces(spark, data)
+    whole = experiments.grow_taxonomy(spark, all_traces, ["the"], rounds=3, per_round=None, max_codes=9)[0].orderBy("round").collect()
+    assert [r.round for r in whole] == [0, 1, 2]
+    assert 0 < whole[0].samples < whole[1].samples < whole[2].samples == all_traces.count()
+    few = experiments.grow_taxonomy(spark, all_traces.where("comparison = 0"), ["the"], rounds=1, per_round=5, max_codes=9)[0]
+    assert few.first()["samples"] == 5
+
+
 def test_transfer_zero_shot_to_itself_equals_refit(spark, data):
     facts = t.facts(spark, data)
     ways = spark.createDataFrame([(0, 0), (0, 1)], "train_on int, test_on int")
