@@ -39,6 +39,20 @@ def _fallback(rows):
     return rows.select("conv_id", "turn", thinking.alias("thinking"), answer.alias("answer"))
 
 
+query(
+    "p1_thinking_fallback_whole",
+    U_ + "SELECT conv_id, turn, CASE WHEN length(trim(q)) < 10 THEN answer ELSE q END AS thinking, CASE WHEN length(trim(q)) = 0 THEN '' ELSE answer END AS answer FROM (SELECT conv_id, turn, CASE (conv_id + turn) % 8 WHEN 0 THEN '  ' WHEN 1 THEN substring(question, 1, (conv_id % 9 + 1)::INT) ELSE question END AS q, answer FROM turns)",
+)(lambda s, d: _fallback_whole(turns(s, d)))
+
+
+def _fallback_whole(rows):
+    """Whole questions as thinking; a quarter of the turns is made blank or 1-9 characters long."""
+    case = (F.col("conv_id") + F.col("turn")) % 8
+    some = F.when(case == 0, F.lit("  ")).when(case == 1, F.expr("substring(question, 1, int(conv_id % 9 + 1))")).otherwise(F.col("question"))
+    thinking, answer = fx.thinking_fallback(some, F.col("answer"))
+    return rows.select("conv_id", "turn", thinking.alias("thinking"), answer.alias("answer"))
+
+
 query("p3_strip_think_tags", U_ + "SELECT conv_id, turn, question || answer AS text FROM turns")(
     lambda s, d: turns(s, d).select("conv_id", "turn", fx.strip_think_tags(F.concat(F.lit("\n<think>"), "question", F.lit("</think>"), "answer", F.lit("\n\n"))).alias("text"))
 )

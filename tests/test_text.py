@@ -185,3 +185,14 @@ def test_injection_and_examples(spark):
     assert one(spark, prompt, t="q") == "q\nNote."
     assert one(spark, fx.examples_for_dataset(F.col("t")), t="AIME25") == "math"
     assert one(spark, fx.truncate_annotation(F.col("t"), 4, 2), t="=== Annotation for OUTPUT A ===\nb c\n=== Annotation for OUTPUT B ===\nd e") is not None
+
+
+def test_fallback_reads_whole_questions(spark, data):
+    from marginalia.plans import registered
+    from marginalia.sources import tables as t
+
+    questions = {(r.conv_id, r.turn): r.question for r in t.turns(spark, data).collect()}
+    got = {(r.conv_id, r.turn): r.thinking for r in registered.QUERIES["p1_thinking_fallback_whole"](spark, data).collect()}
+    assert got.keys() == questions.keys()
+    assert any(len(q) > 14 for q in questions.values())
+    assert all(got[k] == q for k, q in questions.items() if sum(k) % 8 > 1 and len(q.strip()) >= 10)
