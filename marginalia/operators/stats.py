@@ -99,11 +99,11 @@ def reject_inconsistent(variability: DataFrame, percentile: float | None = None,
     return variability.crossJoin(F.broadcast(limit)).where(F.col("variability") >= F.col("limit")).drop("limit")
 
 
-def run_accuracy_stats(outcomes: DataFrame) -> DataFrame:
+def run_accuracy_stats(outcomes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean, population deviation and range of the accuracies of runs."""
     right = (F.col("outcome") == "correct").cast("double")
-    per_run = outcomes.groupBy("run").agg((F.avg(right) * 100).alias("a"))
-    return per_run.agg(F.count("*").alias("n_runs"), r6(F.avg("a")).alias("mean"), r6(F.stddev_pop("a")).alias("std"), r6(F.min("a")).alias("low"), r6(F.max("a")).alias("high"))
+    per_run = outcomes.groupBy(*by, "run").agg((F.avg(right) * 100).alias("a"))
+    return per_run.groupBy(*by).agg(F.count("*").alias("n_runs"), r6(F.avg("a")).alias("mean"), r6(F.stddev_pop("a")).alias("std"), r6(F.min("a")).alias("low"), r6(F.max("a")).alias("high"))
 
 
 # ---- feature scores; rows (dim, label, x) ---------------------------------

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.annotations import verdict_model
-from marginalia.operators import classify, codebook, stats
+from marginalia.operators import classify, codebook, pairs, stats
 from marginalia.sources import tables as t
 from marginalia.sources.scratch import saved
 
@@ -129,6 +129,48 @@ def similar_classes(rows: DataFrame, least: float, block: int = 1024) -> DataFra
     return joined.select("id", F.coalesce("component", "id").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
 
 
+def resolved(method: str, train: DataFrame, test: DataFrame) -> DataFrame:
+    """Outcomes of a classifier whose scores are rounded, so that ties are ties on any engine."""
+    return classify.resolve(classify.classify(method, train, test).withColumns({p: F.round(p, 9) for p in ("p0", "p1")}))
+
+
+def directions(facts: DataFrame) -> DataFrame:
+    """(train_on, test_on): every two different comparisons, both ways."""
+    found = facts.select("comparison").where("comparison IS NOT NULL").distinct()
+    return found.select(F.col("comparison").alias("train_on")).join(F.broadcast(found.select(F.col("comparison").alias("test_on"))), F.col("train_on") != F.col("test_on"))
+
+
+def seed_stability(facts: DataFrame, seeds: int, method: str = "naive_bayes_multinomial") -> DataFrame:
+    """Accuracy statistics of each comparison over ``seeds`` splits; each (seed, comparison) is a comparison of its own in one job."""
+    key = F.col("run").cast("long") * 2**32 + F.col("comparison")
+    runs = pairs.repeated(facts, seeds).withColumn("held", F.md5(F.concat_ws(":", F.col("run").cast("string"), F.col("question_id").cast("string"))) < "4").withColumn("comparison", key.cast("long"))
+    outcomes = resolved(method, runs.where("NOT held"), runs.where("held"))
+    split = outcomes.select(F.expr("int(comparison div 4294967296)").alias("run"), F.expr("int(comparison % 4294967296)").alias("comparison"), "outcome")
+    return stats.run_accuracy_stats(split, ["comparison"])
+
+
+def correct_vs_wrong(facts: DataFrame, paired: DataFrame, method: str = "naive_bayes_multinomial") -> DataFrame:
+    """Accuracy per comparison of telling correct (side 0) from wrong traces in ``paired(comparison, slot, correct_id, wrong_id)``.
+
+    Slots are split as questions are; a trace that the pairing repeats can be on both sides of the split.
+    """
+    sides = (paired.select("comparison", F.col("slot").alias("question_id"), F.lit(i).alias("side"), F.col(f"{s}_id").alias("doc_id")) for i, s in enumerate(("correct", "wrong")))
+    rows = reduce(DataFrame.unionByName, sides).join(facts.select("doc_id", "code_idx", "cnt").hint("shuffle_merge"), "doc_id")
+    held_out = classify.is_eval(F.col("question_id"))
+    return stats.accuracy(resolved(method, rows.where(~held_out), rows.where(held_out)), ["comparison"])
+
+
+def train_concat(spark: SparkSession, traces: DataFrame, seed_codes: list[str], rounds: int, max_codes: int, method: str = "naive_bayes_multinomial") -> tuple[DataFrame, list[str]]:
+    """(accuracy per dataset, codes): the pairs of all comparisons as one training set, split within each, one taxonomy grown on its training part and one classifier."""
+    both = pairs.pair_traces(traces).select("comparison", "question_id")
+    split = pairs.split_traces(both, 5, 1, 0.8, ["comparison"], "question_id")
+    rows = saved(traces.join(split.hint("shuffle_merge"), ["comparison", "question_id"]), "concat")
+    _, codes = grow_taxonomy(spark, rows.where("split <> 'eval'"), seed_codes, rounds, None, max_codes)
+    facts = t.count_mentions(rows.withColumn("question_id", F.col("comparison") * F.lit(2**32) + F.col("question_id")).withColumn("comparison", F.lit(0)), codes)
+    outcomes = resolved(method, facts.where("split <> 'eval'"), facts.where("split = 'eval'"))
+    return stats.accuracy(outcomes.withColumn("comparison", F.expr("int(question_id div 4294967296)")), ["comparison"]), codes
+
+
 def judged_by_verdict(annotated: DataFrame) -> DataFrame:
     """``annotated(comparison, question_id, model_a, model_b, annotation)`` with outcome: the models that the annotation's verdict names, without any training."""
     named = annotated.withColumns({"said_a": verdict_model(F.col("annotation"), "a"), "said_b": verdict_model(F.col("annotation"), "b")})

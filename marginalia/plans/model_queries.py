@@ -175,6 +175,25 @@ query("a9_e10_accuracy", with_views(FACTS, _TT, SCORES["naive_bayes_multinomial"
 query("a33_multi_dataset_accuracy", with_views(FACTS, _TT, SCORES["naive_bayes_multinomial"], _ROUNDED, _RESOLVED) + "SELECT comparison, count(*) AS n, round(avg((pred0 = 0)::INT) * 100, 6) AS accuracy FROM r GROUP BY ROLLUP (comparison)")(
     lambda s, d: stats.rolled_accuracy(classify.resolve(scored(s, d, "naive_bayes_multinomial")))
 )
+_BAYES = (SCORES["naive_bayes_multinomial"], _ROUNDED, _RESOLVED)
+query(
+    "e18_seed_stability",
+    with_views(FACTS, "sf AS MATERIALIZED (SELECT * REPLACE (seed * 4294967296 + comparison AS comparison), md5(seed || ':' || question_id) < '4' AS held FROM facts, (SELECT unnest(range(0, 4)) AS seed))", "train AS (SELECT * FROM sf WHERE NOT held), test AS (SELECT * FROM sf WHERE held)", *_BAYES)
+    + "SELECT c::INT AS comparison, count(*) AS n_runs, round(avg(a), 6) AS mean, round(stddev_pop(a), 6) AS std, round(min(a), 6) AS low, round(max(a), 6) AS high FROM (SELECT comparison % 4294967296 AS c, avg((pred0 = 0)::INT) * 100 AS a FROM r GROUP BY comparison) GROUP BY c",
+)(lambda s, d: experiments.seed_stability(t.facts(s, d), 4))
+_CW_VIEWS, _CW_PAIRS = _CW.format(n="greatest(nc, nw)").rsplit("SELECT slots.source", 1)
+query(
+    "e17_correct_vs_wrong",
+    with_views(FACTS, STATUS, _CW_VIEWS.rstrip(), "cw AS MATERIALIZED (SELECT slots.source" + _CW_PAIRS + ")", r"sided AS (SELECT CAST(regexp_extract(source, '(\d+)', 1) AS INT) AS comparison, slot AS question_id, side, CASE side WHEN 0 THEN correct_id ELSE wrong_id END AS doc_id FROM cw, (SELECT unnest(range(0, 2)) AS side))", "pf AS MATERIALIZED (SELECT sided.*, code_idx, cnt FROM sided JOIN facts USING (doc_id))", _TT.replace("FROM facts", "FROM pf"), *_BAYES)
+    + "SELECT comparison, count(*) AS n, count(*) FILTER (pred0 = 0) AS n_correct, round(avg((pred0 = 0)::INT) * 100, 6) AS accuracy FROM r GROUP BY comparison",
+)(lambda s, d: experiments.correct_vs_wrong(t.facts(s, d), _correct_wrong(s, d)))
+
+
+def _correct_wrong(s, d):
+    paired = pairs.pair_correct_wrong(t.table(s, d, "documents").select("source", "doc_id"), t.correctness(s, d), ["source"])
+    return paired.withColumn("comparison", F.regexp_extract("source", r"(\d+)", 1).cast("int"))
+
+
 _CM = ["vote_soft", "vote_hard", "naive_bayes_multinomial", "centroid_euclidean"]
 query("c11_compare_classifiers")(lambda s, d: experiments.compare(_CM, *train_and_test(t.facts(s, d))))
 query("c8_logistic_regression")(lambda s, d: experiments.fitted_per_comparison(*train_and_test(t.facts(s, d))))

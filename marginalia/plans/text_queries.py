@@ -313,7 +313,8 @@ query(
     dealt AS (SELECT doc_id, cnt, round FROM facts JOIN q USING (comparison, question_id) WHERE code_idx < 4)
     SELECT r.round::INT AS round, 4 AS codes, count(DISTINCT doc_id) AS samples, sum(cnt)::BIGINT AS cnt FROM (SELECT DISTINCT round FROM dealt) r JOIN dealt d ON d.round <= r.round GROUP BY r.round""",
 )(lambda s, d: experiments.grow_taxonomy(s, t.traces(s, d), list(t.SEED_CODES[:4]), rounds=3, per_round=None, max_codes=12, propose=None)[0])
-query("e12_transfer")(lambda s, d: experiments.transfer(t.facts(s, d), t.facts(s, d).select(F.col("comparison").alias("train_on")).distinct().withColumn("test_on", (F.col("train_on") + 1) % 10)))
+query("e12_transfer")(lambda s, d: experiments.transfer(t.facts(s, d), experiments.directions(t.traces(s, d))))
+query("e13_train_concat")(lambda s, d: experiments.train_concat(s, t.traces(s, d), list(t.SEED_CODES), rounds=3, max_codes=12)[0])
 query(
     "e11_evaluate_averaged",
     F_ + "SELECT comparison, code_idx, side, round(avg((cnt + cnt + 1) / 2), 6) AS mean FROM facts GROUP BY ALL",

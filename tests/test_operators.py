@@ -152,6 +152,19 @@ def test_taxonomy_grows_until_full(spark, data):
     assert same == ["the"]
 
 
+def test_transfer_directions_are_all_both_ways(spark):
+    rows = spark.createDataFrame([(i,) for i in (0, 3, 12, 12)], "comparison int")
+    assert sorted(tuple(r) for r in experiments.directions(rows).collect()) == [(a, b) for a in (0, 3, 12) for b in (0, 3, 12) if a != b]
+
+
+def test_concatenated_training_judges_every_dataset(spark, data):
+    traces = t.traces(spark, data)
+    got, codes = experiments.train_concat(spark, traces, ["the", "of"], rounds=2, max_codes=9)
+    split = pairs.split_traces(pairs.pair_traces(traces).select("comparison", "question_id"), 5, 1, 0.8, ["comparison"], "question_id").where("split = 'eval'")
+    want = {r.comparison: r["count"] for r in split.groupBy("comparison").count().collect()}
+    assert {r.comparison: r.n for r in got.collect()} == want and len(codes) == 4
+
+
 def test_rounds_cover_every_trace(spark, data):
     all_traces = t.traces(spark, data)
     whole = experiments.grow_taxonomy(spark, all_traces, ["the"], rounds=3, per_round=None, max_codes=9)[0].orderBy("round").collect()
