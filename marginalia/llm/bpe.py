@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import binaries, by_batches, texts
-from .tokens import Encoder, encoder, to_letters
+from .tokens import Encoder, _merges, encoder, to_letters
 
 LONG_RUN, PIECE = 4096, 1024
 
@@ -44,8 +44,7 @@ class RunEncoder:
         if self.suffix:
             with open(enc.path, encoding="utf-8") as file:
                 model = json.load(file)["model"]
-            merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
-            self.inner = models.BPE(vocab=model["vocab"], merges=merges)
+            self.inner = models.BPE(vocab=model["vocab"], merges=_merges(model))
 
     def encode(self, letters: str, ends_word: bool) -> list[int]:
         return [x.id for x in (self.ends if ends_word else self.inner).tokenize(letters)]

@@ -7,11 +7,13 @@ stripe by stripe and a lookup by id skips the stripes that can't hold it. Files
 are written in ascending ``doc_id`` order, by ranges that Spark samples.
 
 Nulls: a null text is empty (just the end id); rows with a null ``doc_id`` come
-first. Repeated ids keep one row each, ordered by their ids' content.
+first. Rows that repeat an id keep a row each, ordered by digest and text; ranges
+are cut by the digest too, so very many rows of one id are no single range.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -30,10 +32,11 @@ def with_end(df: DataFrame, tokenizer: str, end_id: int, text: str = "text", key
     @by_batches
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         enc = encoder(tokenizer)
-        parts = [enc.encode(x) + end for x in texts(batch.column(1))]
-        counts = np.array([len(x) // 4 for x in parts])
+        parts = [enc.encode(x) for x in texts(batch.column(1))]
+        counts = np.array([len(x) // 4 + 1 for x in parts])
         offsets = np.concatenate([[0], np.cumsum(counts)]).astype("<i4")
-        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+        packed = b"".join(itertools.chain.from_iterable((x, end) for x in parts))
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.Array.from_buffers(pa.int32(), len(packed) // 4, [None, pa.py_buffer(packed)]))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), ids], ["doc_id", "n_tokens", "ids"])
 
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, "doc_id long, n_tokens long, ids array<int>")
@@ -41,7 +44,8 @@ def with_end(df: DataFrame, tokenizer: str, end_id: int, text: str = "text", key
 
 def write_token_files(df: DataFrame, path: str, tokenizer: str, end_id: int, stripe_mb: int = 16, rows_per_index: int = 1000) -> None:
     """Write ``df(doc_id, text)`` as ORC token files in ascending ``doc_id`` order. Texts are dealt by range before they are encoded, so only texts move."""
-    ranged = df.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = df.select("doc_id", "text", F.xxhash64("text").alias("digest"))
+    ranged = keyed.repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest", "text")
     (
         with_end(ranged, tokenizer, end_id)
         .write.option("compression", "zstd")
@@ -75,7 +79,8 @@ def token_offsets(spark: SparkSession, path: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([*batch.columns[:2], *batch.columns[3:], pa.array(crc, pa.int64())], ["doc_id", "n_tokens", "file", "block", "at", "ids_crc32"])
 
     checked = rows.mapInArrow(check, "doc_id long, n_tokens long, file string, block long, at long, ids_crc32 long")
-    files = read_token_files(spark, path).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.sum("n_tokens").alias("in_file"), F.min("doc_id").alias("first"))
-    before = files.select("file", (F.sum("in_file").over(Window.orderBy(F.col("first").asc_nulls_first(), "file")) - F.col("in_file")).alias("before"))
+    files = read_token_files(spark, path).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.sum("n_tokens").alias("in_file"))
+    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")  # files are numbered in the order of their ranges
+    before = files.select("file", (F.sum("in_file").over(Window.orderBy(number, "file")) - F.col("in_file")).alias("before"))
     inside = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("block", "at")) - F.col("n_tokens")
     return checked.withColumn("inside", inside).join(before.hint("shuffle_merge"), "file").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")

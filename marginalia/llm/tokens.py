@@ -1,19 +1,32 @@
 """Encoding and decoding with public BPE vocabularies inside Spark tasks.
 
 A text in plain Latin letters is cut into pre-tokens here, by the vocabulary's
-own pattern written for these letters, and each distinct pre-token is encoded
-once per worker by the library's model. A text with anything else in it (a
-special token's string, white space beyond the plain four, other letters) goes
-through the library as a whole, so the ids are the library's in every case.
+own pattern written for these letters. With a byte-level vocabulary, cutting and
+merging are one call of the rank encoder, which always merges the neighbours
+whose joint string has the lowest id. With a vocabulary that marks the ends of
+words, each distinct pre-token is encoded once per worker by the library's model.
+A text with anything else in it (a special token's string, white space beyond the
+plain four, other letters) goes through the library as a whole, so the ids are
+the library's in every case.
+
+Why the rank encoder's ids are the library's: it stands in only where merges are
+in order of their products' ids, merge single bytes or products of earlier
+merges, and where the library encodes each product alone as itself (all checked
+when a vocabulary is loaded). Suppose that both agree on all merges below rank r,
+and the rank encoder joins x and y to the product t of rank r. No token crosses
+the borders of x + y, so what was merged inside is what is merged in t alone; there
+the library, before its merge of rank r, has just the two parts of that merge, as
+t becomes itself. So x and y are these parts, and the library merges them too.
 """
 
 from __future__ import annotations
 
+import array
 import functools
 import json
 import os
 import re
-import struct
+import sys
 
 import numpy as np
 
@@ -25,12 +38,13 @@ _SPACE = r" \t\n\r"
 #: White space for some library but not among the plain four, and what lies beyond Latin.
 _ODD = "\x0b\x0c\x1c-\x1f\x85\xa0\u0250-\U0010ffff"
 _OTHER = rf"[^{_SPACE}{_LETTER}{_NUMBER}{_ODD}]"
-#: By kind of pre-tokenizer; what none of the alternatives takes is a piece of one odd character.
-_PLAIN = {
-    "byte": re.compile(rf" ?[{_LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[{_NUMBER}]+| ?{_OTHER}+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+|[\s\S]"),
-    "word": re.compile(rf"[{_LETTER}]+|'(?:[stmd]|re|ve|ll)|[{_NUMBER}]|{_OTHER}+|[^{_SPACE}]"),
-}
+#: Pre-tokens of a vocabulary with ends of words; what none of the alternatives takes is a piece of one odd character.
+_WORDS = re.compile(rf"[{_LETTER}]+|'(?:[stmd]|re|ve|ll)|[{_NUMBER}]|{_OTHER}+|[^{_SPACE}]").findall
+#: Pre-tokens of a byte-level vocabulary (a fixed pattern); without neighbouring white space its last two parts are one character.
+_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
+_BYTE_LEVEL, _SINGLE_SPACES = _PARTS + r"|\s+(?!\S)|\s+", _PARTS + r"|\s"
 _IS_ODD = re.compile(rf"[{_ODD}]|<\|").search
+_HAS_WIDE_SPACE = re.compile(rf"[{_SPACE}]{{2}}").search
 
 
 def vocabulary_path(name_or_path: str) -> str:
@@ -55,7 +69,10 @@ LETTER_BYTES = {c: b for b, c in BYTE_LETTERS.items()}
 
 
 def pack_ids(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    packed = array.array("I", ids)
+    if sys.byteorder != "little":
+        packed.byteswap()
+    return packed.tobytes()
 
 
 def to_letters(text: str) -> str:
@@ -66,6 +83,24 @@ class _Unsure(Exception):
     """The text must go through the library as a whole."""
 
 
+def _merges(model: dict) -> list[tuple[str, str]]:
+    return [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
+
+
+def _ranks(model: dict, library) -> dict[bytes, int] | None:  # noqa: ANN001
+    """The id of each byte and merge product, if merging by these alone gives the library's ids (see above)."""
+    vocab, plain = model["vocab"], not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    if model["type"] != "BPE" or not plain or not vocab.keys() >= LETTER_BYTES.keys():
+        return None
+    made, last = {c: vocab[c] for c in LETTER_BYTES}, -1
+    for one, two in _merges(model):
+        product = vocab.get(one + two, -1)
+        if product <= last or one not in made or two not in made or [x.id for x in library.model.tokenize(one + two)] != [product]:
+            return None
+        made[one + two] = last = product
+    return {bytes(LETTER_BYTES[c] for c in x): i for x, i in made.items()} if len(set(made.values())) == len(made) else None
+
+
 class Encoder:
     """Ids of whole texts, as the library gives them with ``add_special_tokens=False``."""
 
@@ -79,18 +114,26 @@ class Encoder:
         self.library.no_padding()
         with open(path, encoding="utf-8") as file:
             self.spec = json.load(file)
-        self.path, self.suffix = path, self.spec.pop("model").get("end_of_word_suffix") or ""
+        model = self.spec.pop("model")
+        self.path, self.suffix = path, model.get("end_of_word_suffix") or ""
+        #: Whether a part's merges may depend on chance or on whole words: then no text is cut.
+        self.divisible = model["type"] == "BPE" and not any(model.get(x) for x in ("dropout", "ignore_merges", "continuing_subword_prefix", "unk_token"))
         kinds = [x["type"] for x in (self.spec["normalizer"] or {}).get("normalizers", [])]
         pre = self.spec["pre_tokenizer"] or {}
-        self.pieces, self.lower = None, False
-        if not self.spec["normalizer"] and pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre["use_regex"]:
-            self.pieces = _PLAIN["byte"].findall
-        elif kinds == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"]:
-            self.pieces, self.lower = _PLAIN["word"].findall, True
-        if any(not x["content"].startswith("<|") for x in self.spec["added_tokens"]):
-            self.pieces = None
+        self.pieces = self.by_ranks = None
+        if all(x["content"].startswith("<|") for x in self.spec["added_tokens"]):
+            if not self.spec["normalizer"] and pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre["use_regex"]:
+                self.by_ranks = self._rank_encoders(_ranks(model, self.library))
+            elif kinds == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"]:
+                self.pieces = _WORDS
         self.piece_ids = Remembered(self._piece, 300_000)
 
+    @staticmethod
+    def _rank_encoders(ranks: dict[bytes, int] | None) -> list | None:
+        import tiktoken
+
+        return ranks and [tiktoken.Encoding(x, pat_str=x, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for x in (_SINGLE_SPACES, _BYTE_LEVEL)]
+
     def _piece(self, piece: str) -> bytes:
         """The ids of one pre-token."""
         if _IS_ODD(piece):
@@ -102,9 +145,11 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        if self.by_ranks and not _IS_ODD(text):
+            return pack_ids(self.by_ranks[_HAS_WIDE_SPACE(text) is not None](text))
         if self.pieces:
             try:
-                return b"".join(map(self.piece_ids.__getitem__, self.pieces(text.lower() if self.lower else text)))
+                return b"".join(map(self.piece_ids.__getitem__, self.pieces(text.lower())))
             except _Unsure:
                 pass
         return self._whole(text)
