@@ -3,22 +3,29 @@
 1. A task parses a page to a light tree. What is never main text (menus, headers,
    footers, asides, forms, scripts, elements whose class, id or role says so) is
    marked. Every remaining text block gives its length, less what is in links, to
-   the containers around it, less the further out they are; the container with
-   the highest score is the page's candidate.
+   the containers around it, less the further out they are, to half of it; the
+   container with the highest score, or the ``article`` or ``main`` around it, is the
+   page's candidate. It is widened to the container around it as long as that adds
+   text of its own (a title, an introduction) or containers of the same label, and
+   this text isn't mostly links.
 2. Spark counts the candidates' paths by host. A path is the chain of tags and
    classes from the root, digits left out. The paths with most votes win.
 3. Pages are parsed again and the elements on their host's first winning path
-   that hold at least half of the page's own best candidate's score are
-   extracted; a page with none takes its own candidate.
+   that hold at least half of the text of the page's own candidate are extracted
+   (a single one is widened as above); a page with none takes its own candidate.
 
 Only paths and counts are shuffled; the winners are a written table, so Spark
 joins by its true size, and a host with a third of all pages is one row there.
+Parsing takes time in proportion to the page, however deep its elements lie.
 
 Blocks end where a block-level element begins or ends. References are decoded,
 white space inside a block becomes one space, blocks are joined by line feeds.
+Quotes count in tags only where a value begins, as HTML has it.
 
 Nulls: a null or empty page has an empty text; a null URL belongs to the host "".
-Repeated rows are extracted alike, each with its vote.
+Repeated rows are extracted alike, each with its vote. Paths with equal votes are
+ordered by pages, then by the path's number. Columns named text and n_chars are
+replaced; all others but the source are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,8 +42,9 @@ from pyspark.sql import functions as F
 from .common import by_batches, saved, texts
 from .urls import url_host
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>", re.DOTALL)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_VALUE = r"""(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?"""
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?:[^a-zA-Z>][^>]*)?>|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|=?[^\s/>=]++{_VALUE}|=)*+)(?:>|\Z)", re.DOTALL)
+_ATTRIBUTE = re.compile(r"""(=?[^\s/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"'][^\s>]*)?)?""")
 _RAW = {x: re.compile(rf"</{x}(?=[\s/>])", re.IGNORECASE) for x in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
@@ -50,20 +58,29 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form dial
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _PARTS = re.compile(r"[A-Za-z]+")
 _DIGITS = re.compile(r"\d+")
-_OUTWARD = (1.0, 0.9, 0.8, 0.7, 0.6, 0.5)
+#: A class that says what a page has or lacks, not what the element is.
+_STATE = re.compile(r"^(?:no|has|with|without)[-_]|[-_](?:open|closed|enabled|disabled|free)$", re.IGNORECASE)
+#: The share of a block's text that counts for every container around it, and what comes on top for the first ones.
+_FAR = 0.5
+_NEAR = (0.5, 0.4, 0.3, 0.2, 0.1)
+#: What ends the search for an open ``p``.
+_P_STOPS = frozenset({"button", "table", "td", "th", "article", "section", "div", "main", "li", "blockquote"})
 
 
 class Node:
-    __slots__ = ("tag", "parent", "noise", "path", "label", "first", "last")
+    __slots__ = ("tag", "up", "place", "noise", "path", "label", "first", "last")
 
-    def __init__(self, tag: str, parent: Node | None, label: str, noise: bool):
-        self.tag, self.parent, self.label, self.noise = tag, parent, label, noise
-        self.path = xxhash.xxh64_intdigest(label, seed=parent.path if parent else 0)
+    def __init__(self, tag: str, up: Node | None, label: str, noise: bool):
+        self.tag, self.up, self.label, self.noise = tag, up, label, noise  # up: the container around it
+        self.place, self.path = -1, xxhash.xxh64_intdigest(label, seed=up.path if up else 0)
         self.first = self.last = 0  # blocks inside: [first, last)
 
 
 def _attributes(text: str) -> dict[str, str]:
-    return {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(text)} if text.strip(" /\n\t\r") else {}
+    """By lower-case name; the first of a repeated name counts."""
+    if not text.strip(" /\n\t\r"):
+        return {}
+    return {k.lower(): html.unescape(v[1:-1] if v[:1] in ("'", '"') else v) for k, v in reversed(_ATTRIBUTE.findall(text))}
 
 
 def _is_noise(tag: str, at: dict[str, str]) -> bool:
@@ -71,26 +88,25 @@ def _is_noise(tag: str, at: dict[str, str]) -> bool:
         return True
     if tag in ("html", "body", "main"):
         return False
-    return any(x.lower() in _NOISE for k in ("class", "id") for x in _PARTS.findall(at.get(k, "")))
+    return any(x.lower() in _NOISE for k in ("class", "id") for name in at.get(k, "").split() if not _STATE.search(name) for x in _PARTS.findall(name))
 
 
 class Page:
-    """The elements of a page and its text blocks in order: (text, letters outside links, innermost block element, noise)."""
+    """The containers of a page and its text blocks in order: (text, letters outside links, innermost container, noise)."""
 
     def __init__(self, source: str):
         self.nodes: list[Node] = []
-        self.blocks: list[tuple[str, int, Node, bool]] = []
+        self.blocks: list[tuple[str, int, Node | None, bool]] = []
         self._text: list[str] = []
         self._linked = self._links = self._noisy = 0
-        root = Node("", None, "", False)
-        self._open = [root]
+        self._open: list[Node] = []
+        self._at: dict[str, list[int]] = {}  # where each tag's open elements lie in _open
+        self._inside: list[Node] = []  # open containers
         at = 0
         while m := _TOKEN.search(source, at):
             if m.start() > at:
                 self._add(source[at : m.start()])
             at = m.end()
-            if m[0].startswith("<![CDATA["):
-                self._add(m[0][9:-3].replace("&", "&amp;"))
             if not m[2]:
                 continue
             tag = m[2].lower()
@@ -103,9 +119,10 @@ class Page:
                 at = stop.start() if stop else len(source)
         if at < len(source):
             self._add(source[at:])
-        while len(self._open) > 1:
+        while self._open:
             self._pop()
         self._flush()
+        self._count()
 
     def _add(self, text: str) -> None:
         text = html.unescape(text)
@@ -116,41 +133,48 @@ class Page:
     def _flush(self) -> None:
         if self._text:
             if text := " ".join("".join(self._text).split()):
-                block = next(x for x in reversed(self._open) if x.tag in _BLOCK or not x.parent)
-                self.blocks.append((text, max(0, len(text) - self._linked), block, self._noisy > 0))
+                self.blocks.append((text, max(0, len(text) - self._linked), self._inside[-1] if self._inside else None, self._noisy > 0))
             self._text = []
         self._linked = 0
 
+    def _is_open(self, *tags: str) -> bool:
+        return any(self._at.get(x) for x in tags)
+
     def _pop(self) -> None:
         node = self._open[-1]
         if node.tag in _BLOCK or node.noise:
             self._flush()
         self._open.pop()
+        self._at[node.tag].pop()
+        if node.place >= 0:
+            self._inside.pop()
         node.last = len(self.blocks)
         self._noisy -= node.noise
         self._links -= node.tag == "a"
 
+    def _last(self, tags: set[str] | frozenset[str]) -> int:
+        """The place of the innermost open element with one of the tags, -1 without one."""
+        return max((found[-1] for x in tags if (found := self._at.get(x))), default=-1)
+
     def _until(self, tags: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
-        for i in range(len(self._open) - 1, 0, -1):
-            if self._open[i].tag in tags:
-                while len(self._open) > i:
-                    self._pop()
-                return
-            if self._open[i].tag in stop:
-                return
+        """Close the innermost open element with one of the tags, and all in it, unless one to stop at is open in it."""
+        place = self._last(tags)
+        if place >= 0 and place >= self._last(stop):
+            while len(self._open) > place:
+                self._pop()
 
     def _end(self, tag: str) -> None:
-        if tag in ("br", "p") and not any(x.tag == tag for x in self._open):
-            self._text.append(" ")
-        elif any(x.tag == tag for x in self._open):
+        if self._is_open(tag):
             self._until({tag}, {"table"} - {tag} if tag not in _BLOCK else set())
+        elif tag in ("br", "p"):
+            self._text.append(" ")
 
     def _start(self, tag: str, attributes: str) -> None:
-        if tag in _CLOSES_P:
-            self._until({"p"}, {"button", "table", "td", "th", "article", "section", "div", "main", "li", "blockquote"})
+        if tag in _CLOSES_P and self._is_open("p"):
+            self._until({"p"}, _P_STOPS)
         if tag in _ENDS:
             self._until(*_ENDS[tag])
-        if tag == "a":
+        if tag == "a" and self._is_open("a"):
             self._until({"a"}, _BLOCK)
         if tag in _BLOCK:
             self._flush()
@@ -159,38 +183,80 @@ class Page:
                 self._text.append(" " if tag != "wbr" else "")
             return
         at = _attributes(attributes)
-        parent = self._open[-1]
         noise = _is_noise(tag, at)
-        if tag == "header" and any(x.tag in ("article", "main") for x in self._open):
+        if tag == "header" and self._is_open("article", "main"):
             noise = False  # an article's own title
         if noise:
             self._flush()
-        classes = sorted(_DIGITS.sub("", x) for x in at.get("class", "").split())
-        node = Node(tag, parent, ".".join([tag, *classes]) if tag in _CONTAINER else "", noise) if tag in _BLOCK or noise else Node(tag, parent, "", False)
+        contains = tag in _CONTAINER
+        classes = sorted(_DIGITS.sub("", x) for x in at.get("class", "").split()) if contains else []
+        node = Node(tag, self._inside[-1] if self._inside else None, ".".join([tag, *classes]) if contains else "", noise)
         node.first = len(self.blocks)
+        self._at.setdefault(tag, []).append(len(self._open))
         self._open.append(node)
         self._noisy += noise
         self._links += tag == "a"
-        if tag in _CONTAINER:
+        if contains:
+            node.place = len(self.nodes)
             self.nodes.append(node)
-
-    def scores(self) -> dict[int, float]:
-        """The score of each container, by its place in ``nodes``."""
-        places = {id(x): i for i, x in enumerate(self.nodes)}
-        out: dict[int, float] = {}
-        for _, own, block, noise in self.blocks:
-            if noise or not own:
-                continue
-            node, step = block, 0
-            while node is not None:
-                if (i := places.get(id(node))) is not None:
-                    out[i] = out.get(i, 0.0) + own * _OUTWARD[min(step, len(_OUTWARD) - 1)] * _CONTAINER[node.tag]
-                    step += 1
-                node = node.parent if step < 64 else None
-        return out
-
-    def best(self, scores: dict[int, float]) -> int | None:
-        return max(scores, key=lambda i: (scores[i], i), default=None)
+            self._inside.append(node)
+
+    def _count(self) -> None:
+        """Sums over blocks that aren't noise: all text and text outside links before each block, text right inside each container, and text by parent and label of containers."""
+        kept = np.array([0 if noise else len(text) for text, _, _, noise in self.blocks], np.int64)
+        plain = np.array([0 if noise else own for _, own, _, noise in self.blocks], np.int64)
+        self._all, self._plain = (np.concatenate([[0], np.cumsum(x)]).tolist() for x in (kept, plain))
+        self._direct = [0] * len(self.nodes)
+        self._near = [0.0] * len(self.nodes)
+        for _, own, node, noise in self.blocks:
+            if own and not noise and node is not None:
+                self._direct[node.place] += own
+                for share in _NEAR:
+                    self._near[node.place] += share * own
+                    if (node := node.up) is None:
+                        break
+        self._alike: dict[tuple[int, str], int] = {}
+        for x in self.nodes:
+            if x.up is not None:
+                key = (x.up.place, x.label)
+                self._alike[key] = self._alike.get(key, 0) + self.plain(x)
+
+    def plain(self, node: Node) -> int:
+        """Letters outside links and noise."""
+        return self._plain[node.last] - self._plain[node.first]
+
+    def letters(self, node: Node) -> int:
+        return self._all[node.last] - self._all[node.first]
+
+    def score(self, node: Node) -> float:
+        return _CONTAINER[node.tag] * (self._near[node.place] + _FAR * self.plain(node))
+
+    def widened(self, node: Node) -> Node:
+        """The container around, as long as it adds text of its own or containers like this one, not mostly links."""
+        chosen = child = node
+        while (up := child.up) is not None:
+            more = self.letters(up) - self.letters(chosen)
+            if more:
+                belongs = self._direct[up.place] or self._alike[up.place, child.label] > self.plain(child)
+                if not belongs or 2 * (self.plain(up) - self.plain(chosen)) < more:
+                    break
+                chosen = up
+            child = up
+        return chosen
+
+    def candidate(self) -> Node | None:
+        """The container of the main text; null without text outside links and noise."""
+        best = max((x for x in self.nodes if self.plain(x)), key=lambda x: (self.score(x), x.place), default=None)
+        if best is None:
+            return None
+        around, found = best, {}
+        while around is not None:
+            found.setdefault(around.tag, around)
+            around = around.up
+        return self.widened(found.get("article") or found.get("main") or best)
+
+    def on_path(self, path: int) -> list[Node]:
+        return [x for x in self.nodes if _signed(x.path) == path and self.plain(x)]
 
     def text(self, nodes: list[Node]) -> str:
         out, done = [], 0
@@ -205,25 +271,23 @@ def _signed(path: int) -> int:
 
 
 def candidate(source: str) -> tuple[int, float] | None:
-    """The path of a page's best container and its share of all scores."""
+    """The path of a page's candidate and its share of the page's text outside links and noise."""
     page = Page(source)
-    scores = page.scores()
-    best = page.best(scores)
-    return None if best is None else (_signed(page.nodes[best].path), scores[best] / sum(scores.values()))
+    node = page.candidate()
+    return None if node is None else (_signed(node.path), page.plain(node) / page._plain[-1])
 
 
 def main_text(source: str, paths: list[int]) -> str:
     """The main text by the first of the host's paths that holds enough of the page, else by the page's own candidate."""
     page = Page(source)
-    scores = page.scores()
-    best = page.best(scores)
-    if best is None:
+    own = page.candidate()
+    if own is None:
         return "\n".join(t for t, _, _, noise in page.blocks if not noise)
     for path in paths:
-        found = [i for i, x in enumerate(page.nodes) if _signed(x.path) == path and i in scores]
-        if found and sum(scores[i] for i in found) >= 0.5 * scores[best]:
-            return page.text([page.nodes[i] for i in found])
-    return page.text([page.nodes[best]])
+        found = page.on_path(path)
+        if 2 * sum(map(page.plain, found)) >= page.plain(own):
+            return page.text([page.widened(found[0])] if len(found) == 1 else found)
+    return page.text([own])
 
 
 def host_paths(pages: DataFrame, keep: int = 3) -> DataFrame:
@@ -245,10 +309,9 @@ def host_paths(pages: DataFrame, keep: int = 3) -> DataFrame:
 
 def extract_main_text(df: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
     """``df`` without its html, with text and n_chars (code points)."""
-    pages = df.drop("text", "n_chars", "host", "paths").withColumn("host", url_host(F.col(url)))
-    winners = host_paths(pages.select("host", F.col(source).alias("html")))
     kept = [c for c in df.columns if c not in (source, "text", "n_chars")]
-    joined = pages.join(winners, "host", "left").select(*(F.col(f"`{c}`") for c in kept), F.col(source).alias("html"), "paths")
+    pages = df.select(*(F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(kept)), F.col(f"`{source}`").alias("html"), url_host(F.col(f"`{url}`")).alias("host"))
+    joined = pages.join(host_paths(pages), "host", "left").drop("host")
     at = len(kept)
 
     @by_batches
@@ -256,5 +319,5 @@ def extract_main_text(df: DataFrame, url: str = "url", source: str = "html") ->
         found = [main_text(x, p or []) for x, p in zip(texts(batch.column(at)), batch.column(at + 1).to_pylist(), strict=True)]
         return pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(found, pa.string()), pa.array(np.array([len(x) for x in found], np.int64))], [*kept, "text", "n_chars"])
 
-    schema = "".join(f"`{c}` {joined.schema[c].dataType.simpleString()}, " for c in kept) + "text string, n_chars long"
+    schema = "".join(f"`{c}` {joined.schema[f'own_{i}'].dataType.simpleString()}, " for i, c in enumerate(kept)) + "text string, n_chars long"
     return joined.mapInArrow(extract, schema)

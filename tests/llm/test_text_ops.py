@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -205,6 +206,53 @@ def test_deep_and_broken_pages():
     assert html_extract.main_text("<article><p>Intro to a table<table><tr><td>c1<td>c2</table></article>", []) == "Intro to a table\nc1\nc2"
 
 
+BODY = "Long body text goes on and on. " * 20
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><p title=it's>Hello world, here.</p><p>It's fine here.</p><p>Bye then</p></article>", "Hello world, here.\nIt's fine here.\nBye then"),
+        ("<div class='post'><h1>T</h1><p>Short intro.</p><div class='body'>" + BODY + "</div></div>", "T\nShort intro.\n" + BODY.strip()),
+        ("<article class='post comments-open'><h1>T</h1><div><div class=x>short</div><div class=y>" + BODY + "</div></div></article>", "T\nshort\n" + BODY.strip()),
+        ("<div><section><p>one</p></section><section><p>" + BODY + "</p></section></div>", "one\n" + BODY.strip()),
+        ("<div><div class=a><p>" + BODY + "</p></div><div class=b><a href=1>link</a> <a href=2>more links</a></div></div>", BODY.strip()),
+        ("<article><p>" + BODY + "</p><div class='comments'><p>reader</p></div><div id=no-sidebar><p>end</p></div></article>", BODY.strip() + "\nend"),
+        ("<p>a <![CDATA[gone]]> b</p><!-->c<!--->d</>e</ x>f", "a b\nc d e f".replace("c d e f", "cdef")),
+        ("<p data-a=\"x>y\" data-b='>' class=a/b>in quotes</p><p a='1' a=\"2\">twice</p>", "in quotes\ntwice"),
+        ("<p>cut <a href='x", "cut"),
+    ],
+)
+def test_main_text_of_odd_pages(page, want):
+    assert html_extract.main_text(page, []) == want
+
+
+def test_depth_changes_nothing():
+    paragraphs = [f"Paragraph {i} " + "with words " * (5 + 30 * (i == 3)) for i in range(4)]
+    want = "\n".join(["Title", *(p.strip() for p in paragraphs)])
+    for depth in (0, 1, 7, 70, 500):
+        page = "<article><h1>Title</h1>" + "".join("<div>" * depth + f"<p>{p}</p>" + "</div>" * depth for p in paragraphs) + "</article>"
+        assert html_extract.main_text(page, []) == want
+
+
+@pytest.mark.parametrize("page", ["<div>" * 50_000 + "x</b></i>" * 50_000, "<span>" * 50_000 + "<p>x</p>" * 50_000, "<p><span>" * 50_000 + "<ul>x", "<b>x<table></b>" * 20_000, "<a b='" * 50_000])
+def test_time_grows_with_the_page_only(page):
+    began = time.process_time()
+    html_extract.main_text(page, [])
+    assert time.process_time() - began < 10
+
+
+def test_columns_and_ties_of_host_paths(spark):
+    page = lambda c, t: f"<body><div class={c}><p>{t}</p></div><div class=z><p>{t}</p></div>"
+    rows = [(1, "http://h/1", page("a", "one two three"), "mine", [7]), (2, "http://h/2", page("b", "four five six"), "yours", None)]
+    schema = "page_id long, url string, html string, host string, paths array<int>"
+    out = html_extract.extract_main_text(spark.createDataFrame(rows, schema)).orderBy("page_id").collect()
+    assert [(r.host, r.paths) for r in out] == [("mine", [7]), ("yours", None)]
+    again = html_extract.extract_main_text(spark.createDataFrame(rows[::-1], schema).repartition(3)).orderBy("page_id").collect()
+    assert out == again  # equal votes: the order of rows doesn't matter
+    assert [r.n_chars for r in out] == [len(r.text) for r in out]
+
+
 @pytest.mark.parametrize(
     ("url", "want"),
     [
