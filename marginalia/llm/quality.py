@@ -5,34 +5,38 @@ Base: a document fails with under 20 words, or with over 30 % of its words in
 
 Lines: a line (its words in lower case, one space between) is common if more
 than ``limit`` documents of its host have it: 50, or a thousandth of the host's
-documents if that is more. Common lines are taken out, and a document that is
-left with under a tenth of its words is rejected as depleted. Copies of one
+documents if that is more. Common lines are taken out of the texts, and a document
+that is left with under a tenth of its words is rejected as depleted. Copies of one
 document share all their lines, but that makes none of these boilerplate; so the
 count that decides only takes documents with at least a fifth of their words in
 lines that are not common among all documents. A page of nothing but lines that
 other pages also carry beside their own text goes; a much-copied document stays
-for the stages that deal with copies.
+whole for the stages that deal with copies.
 
-Nulls: a null text has no words and fails the base rule; a null source is a host
-of its own; a null id is an id like others. Rows that repeat each get the same
+Nulls: a null text has no words, fails the base rule and stays null; a null source
+is the empty one; a null id is an id like others. Rows that repeat each get the same
 verdict and each count as a document. Columns of the input with the names of the
-statistics are replaced.
+results are replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batches, raw_texts, saved, word_hashes
+from .common import SPACE_CLASS, by_batches, raw_texts, saved, word_hashes
 
 WINDOW = 8
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _KEEP_SYMBOLS = bytes(b for b in range(256) if b not in b"#*$%&|<>")
 _SPACES = b" \t\n\x0b\x0c\r"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SPARK_SEED = 42  # of the SQL function xxhash64
 _STEPS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WINDOW)], np.uint64)
 
 
@@ -73,75 +77,75 @@ def distinct_lines(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         if parts := line.split():
             key = b" ".join(parts)
             words[key] = words.get(key, 0) + len(parts)
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64), np.fromiter(words.values(), np.int64, len(words))
+    hashes = (xxhash.xxh64_intdigest(x, seed=_SPARK_SEED) for x in words)
+    return np.fromiter(hashes, np.uint64, len(words)).view(np.int64), np.fromiter(words.values(), np.int64, len(words))
+
+
+def line_hash(line: Column) -> Column:
+    """The hash that ``distinct_lines`` gives a line."""
+    return F.xxhash64(F.btrim(F.regexp_replace(F.translate(line, _UPPER, _LOWER), f"{SPACE_CLASS}+", " ")))
 
 
-def row_key(text: Column, host: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")), host)
+def without_lines(text: Column, removed: Column) -> Column:
+    """The text without the lines whose hashes are in ``removed``; unchanged where that is null."""
+    kept = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(removed, line_hash(x)))
+    return F.when(removed.isNull(), text).otherwise(F.array_join(kept, "\n"))
 
 
-def base_stats(df: DataFrame, text: str = "text", lines: bool = False) -> DataFrame:
-    """``df`` with STATS and base_failed; with ``lines``, also line_hashes and line_words."""
-    own = df.drop(*STATS, "base_failed", "line_hashes", "line_words")
-    at = own.columns.index(text)
+def line_features(df: DataFrame, keep: Sequence[str], text: str = "text", host: str = "source") -> DataFrame:
+    """Saved: the columns ``keep`` of ``df`` as own_0, own_1 ..., a row number, host, STATS, base_failed, line_hashes and line_words. Texts are read once."""
+    own = df.select(*(F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(keep)), F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("")).alias("host"), F.col(f"`{text}`").alias("text"))
 
     @by_batches
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
-        raws = raw_texts(batch.column(at))
+        raws = raw_texts(batch.column(batch.num_columns - 1))
         found = np.array([text_stats(x) for x in raws], np.int64).T
         failed = (found[0] < 20) | (100 * found[4] > 30 * found[0])
-        columns, names = [*batch.columns, *map(pa.array, found), pa.array(failed)], [*batch.schema.names, *STATS, "base_failed"]
-        if lines:
-            each = [distinct_lines(x) for x in raws]
-            edges = pa.array(np.concatenate([[0], np.cumsum([len(x) for x, _ in each])]).astype(np.int32))
-            columns += [pa.ListArray.from_arrays(edges, pa.array(np.concatenate([x[i] for x in each]))) for i in (0, 1)]
-            names += ["line_hashes", "line_words"]
-        return pa.RecordBatch.from_arrays(columns, names)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema) + "".join(f", {x} long" for x in STATS) + ", base_failed boolean"
-    return own.mapInArrow(measure, schema + (", line_hashes array<long>, line_words array<long>" if lines else ""))
-
+        each = [distinct_lines(x) for x in raws]
+        edges = pa.array(np.concatenate([[0], np.cumsum([len(x) for x, _ in each])]).astype(np.int32))
+        lines = [pa.ListArray.from_arrays(edges, pa.array(np.concatenate([x[i] for x in each]))) for i in (0, 1)]
+        names = [*batch.schema.names[:-1], *STATS, "base_failed", "line_hashes", "line_words"]
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, found), pa.array(failed), *lines], names)
 
-def line_features(df: DataFrame, text: str = "text", doc_id: str = "doc_id", host: str = "source") -> DataFrame:
-    """A saved row for each of ``df``: doc_id, host, key (of text and host), statistics and lines."""
-    narrow = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(host).cast("string").alias("host"))
-    found = base_stats(narrow.withColumn("key", row_key(F.col("text"), F.col("host"))), lines=True).drop("text")
-    return saved(found.withColumn("row", F.monotonically_increasing_id()), "line-features")
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in own.schema if f.name != "text") + "".join(f"{x} long, " for x in STATS)
+    measured = own.mapInArrow(measure, kinds + "base_failed boolean, line_hashes array<long>, line_words array<long>")
+    return saved(measured.withColumn("row", F.monotonically_increasing_id()), "line-features")
 
 
-def depleted_documents(features: DataFrame, min_docs: int = 50, share: float = 0.001, own_tenths: int = 2, left_tenths: int = 1) -> DataFrame:
-    """The distinct (doc_id, key) of documents that lose over nine tenths of their words with the common lines."""
-    hosts = features.groupBy("host").agg(F.greatest(F.lit(min_docs), (F.count("*") * share).cast("long")).alias("limit"))
+def line_verdicts(features: DataFrame, min_docs: int = 50, share: float = 0.001, own_tenths: int = 2, left_tenths: int = 1) -> DataFrame:
+    """Saved (row, removed, depleted) of documents with common lines: the hashes of these, and whether over nine tenths of the words go with them."""
+    hosts = saved(features.groupBy("host").agg(F.greatest(F.lit(min_docs), (F.count("*") * share).cast("long")).alias("limit")), "hosts")
     lines = features.select("row", "host", F.explode(F.arrays_zip("line_hashes", "line_words")).alias("line")).select("row", "host", F.col("line.line_hashes").alias("line"), F.col("line.line_words").alias("words"))
 
     def common(rows: DataFrame, label: str) -> DataFrame:
         counts = rows.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs)
-        return saved(counts.join(hosts.hint("shuffle_merge"), counts["host"].eqNullSafe(hosts["host"])).where(F.col("docs") > F.col("limit")).select(F.coalesce(counts["host"], F.lit("")).alias("host"), "line"), label)
+        return saved(counts.join(hosts.hint("shuffle_merge"), "host").where(F.col("docs") > F.col("limit")).select("host", "line"), label)
 
-    named = lines.withColumn("host", F.coalesce("host", F.lit("")))
-    shared = saved(named.join(common(lines, "common-lines"), ["host", "line"], "left_semi"), "shared-lines")
-    taken = shared.groupBy("row").agg(F.sum("words").alias("taken"))
+    shared = saved(lines.join(common(lines, "common-lines"), ["host", "line"], "left_semi"), "shared-lines")
+    taken = saved(shared.groupBy("row").agg(F.sum("words").alias("taken")), "taken")
     with_own = features.select("row", "n_words").join(taken.hint("shuffle_merge"), "row").where((F.col("n_words") - F.col("taken")) * 10 >= F.col("n_words") * own_tenths)
     decisive = common(shared.join(with_own.select("row").hint("shuffle_merge"), "row", "left_semi"), "decisive-lines")
-    removed = shared.join(decisive, ["host", "line"], "left_semi").groupBy("row").agg(F.sum("words").alias("removed"))
-    poor = features.select("row", "doc_id", "key", "n_words").join(removed.hint("shuffle_merge"), "row").where((F.col("n_words") - F.col("removed")) * 10 < F.col("n_words") * left_tenths)
-    return saved(poor.select("doc_id", "key").distinct().withColumn("depleted", F.lit(True)), "depleted")
+    removed = shared.join(decisive, ["host", "line"], "left_semi").groupBy("row").agg(F.collect_list("line").alias("removed"), F.sum("words").alias("gone"))  # no longer than the document
+    left = F.col("n_words") - F.col("gone")
+    return saved(features.select("row", "n_words").join(removed.hint("shuffle_merge"), "row").select("row", "removed", (left * 10 < F.col("n_words") * left_tenths).alias("depleted")), "line-verdicts")
 
 
-def with_verdict(df: DataFrame, depleted: DataFrame) -> DataFrame:
-    """``df(doc_id, key, base_failed, ...)`` with kept."""
-    right = depleted.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "depleted")
-    joined = df.join(right, df["doc_id"].eqNullSafe(right["__id"]) & (df["key"] == right["__key"]), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & F.col("depleted").isNull()).drop("__id", "__key", "depleted")
+def with_verdict(features: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``features`` with removed (null where nothing is) and kept. The verdicts are a written table: Spark joins by their true size."""
+    joined = features.drop("line_hashes", "line_words").join(verdicts, "row", "left")
+    return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("depleted", F.lit(False)))
 
 
 def quality_verdicts(df: DataFrame, **limits: float) -> DataFrame:
     """(doc_id, STATS, base_failed, kept) of each row of ``df(doc_id, text, source)``."""
-    features = line_features(df)
-    return with_verdict(features.drop("line_hashes", "line_words"), depleted_documents(features, **limits)).select("doc_id", *STATS, "base_failed", "kept")
+    features = line_features(df, ["doc_id"])
+    return with_verdict(features, line_verdicts(features, **limits)).select(F.col("own_0").alias("doc_id"), *STATS, "base_failed", "kept")
 
 
-def judged(df: DataFrame, **limits: float) -> DataFrame:
-    """``df`` with STATS, base_failed and kept. The texts stay where they are: only the few depleted documents are joined."""
-    depleted = depleted_documents(line_features(df), **limits)
-    return with_verdict(base_stats(df.drop("key", "kept")).withColumn("key", row_key(F.col("text"), F.col("source").cast("string"))), depleted).drop("key")
+def judged(df: DataFrame, text: str = "text", host: str = "source", **limits: float) -> DataFrame:
+    """``df`` with STATS, base_failed, kept and clean_text, the text without its common lines."""
+    keep = [c for c in df.columns if c not in (*STATS, "base_failed", "kept", "clean_text")]
+    features = line_features(df, keep, text, host)
+    found = with_verdict(features, line_verdicts(features, **limits))
+    clean = without_lines(F.col(f"own_{keep.index(text)}"), F.col("removed"))
+    return found.select(*(F.col(f"own_{i}").alias(c) for i, c in enumerate(keep)), *STATS, "base_failed", "kept", clean.alias("clean_text"))

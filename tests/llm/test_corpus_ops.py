@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,12 +143,46 @@ def test_depleted_documents_go_and_copies_stay(spark):
     rows += [(200 + i, "\n".join(f"copied line {k} " + own(9000 + k, 12) for k in range(5)), "h") for i in range(80)]  # copies of one document
     rows += [(400 + i, "\n".join(menu), "other") for i in range(3)]  # common elsewhere only
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_words", F.lit("clash"))
-    kept = {r.doc_id: r.kept for r in quality.judged(df).collect()}
+    out = quality.judged(df).collect()
+    kept = {r.doc_id: r.kept for r in out}
     assert len(kept) == len(rows)
+    assert all(r.clean_text == (own(r.doc_id) if r.doc_id < 100 else "" if r.doc_id < 200 else r.text) for r in out)
     assert [i for i, k in kept.items() if not k] == [100, 101, 102]
     assert kept == {r.doc_id: r.kept for r in quality.quality_verdicts(df).collect()}
 
 
+def test_lines_are_found_by_their_hash(spark):
+    lines = ["A  b\tC", "a b c", " É x ", "", "  ", "tail\r", "\x0bq"]
+    rows = spark.createDataFrame([(x,) for x in lines], "line string").select("line", quality.line_hash(F.col("line")).alias("h")).collect()
+    for r in rows:
+        assert r.h in quality.distinct_lines(r.line.encode())[0].tolist() or not r.line.split()
+    text = spark.createDataFrame([("keep\n a B  c\n\nA b c\nend\n",), (None,)], "text string")
+    removed = F.array(F.lit(rows[1].h))
+    assert [r[0] for r in text.select(quality.without_lines(F.col("text"), removed)).collect()] == ["keep\n\nend\n", None]
+
+
+def test_quality_query_where_lines_decide(spark, tmp_path):
+    """The registered query and its SQL on planted boilerplate: a host's menu in many pages, pages of nothing else, copies of one page, null and empty hosts."""
+    rng = random.Random(9)
+    words = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10_000)}" for _ in range(n))
+    rows = []
+    for host in ("big", None, ""):
+        menu = [words(8) for _ in range(6)]
+        page = words(60) + "\n" + words(50)
+        texts = [words(40) + "\n" + "\n".join(rng.sample(menu, 5)) for _ in range(90)] + ["\n".join(menu), "\n".join(menu[:4])] * 4 + [page] * 70 + ["\n".join(menu) + " \n" + words(4)]
+        rows += [(x, host) for x in texts]
+    docs = spark.createDataFrame([(i, t, "en", h, len(t)) for i, (t, h) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    df = queries.op9_quality_rules(spark, str(tmp_path))
+    got = df.collect()
+    gone = [r.doc_id for r in got if not r.kept and not r.base_failed]
+    assert len(gone) == 27 and len(got) == len(rows)
+    assert {rows[i][0].count("\n") for i in gone} == {3, 5, 6}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert_same([tuple(r) for r in got], df.columns, con.execute(queries.oracle_sql()["op9_quality_rules"]))
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_rows_as_sql(spark, data, name):
     df = queries.queries()[name](spark, data)
