@@ -7,6 +7,7 @@ kept; what it returns is written as Parquet and read again for the next.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marginalia.llm import exact_dedup, near_dedup, packing, quality
 from marginalia.llm.common import saved, table
@@ -15,8 +16,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the line rule keep."""
-    return quality.judged(docs).where("kept").select(*COLUMNS)
+    """Documents that the base rules and the line rule keep, without their common lines."""
+    kept = quality.judged(docs).where("kept")
+    text = F.col("clean_text")
+    n_chars = F.when(text.eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.char_length(text).cast(docs.schema["n_chars"].dataType))
+    return kept.withColumns({"text": text, "n_chars": n_chars}).select(*COLUMNS)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
