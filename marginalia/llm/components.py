@@ -11,12 +11,12 @@ from .common import dropped, saved
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Hang neighbours on the smallest: of each node's larger neighbours (large), or of its smaller neighbours and itself (small).
 
-    The smallest neighbour is aggregated before the shuffle and joined back, so a
-    node with many neighbours is never gathered.
+    The smallest neighbour is aggregated before the shuffle, written and joined back:
+    a node with many neighbours is never gathered, and Spark can split its rows.
     """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     around = both if large else both.where("b < a")
-    least = around.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+    least = saved(around.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")), "least")
     hung = around.join(least.hint("shuffle_merge"), "a")
     if large:
         out = hung.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
@@ -41,18 +41,16 @@ def _is_forest_of_stars(edges: DataFrame) -> bool:
     """Every child has one parent, and no parent is a child."""
     if not edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return False
-    parents = edges.select(F.col("b").alias("a")).distinct()
+    parents = saved(edges.select(F.col("b").alias("a")).distinct(), "parents")
     return edges.join(parents.hint("shuffle_merge"), "a", "left_semi").isEmpty()
 
 
-def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(a, b): each node of ``links(a, b)`` except the smallest of its component, and that smallest node. Saved."""
+def connected_components(links: DataFrame) -> DataFrame:
+    """(a, b): each node of ``links(a, b)`` except the smallest of its component, and that smallest node. Saved. Turns follow until every component is a star."""
     spark = links.sparkSession
     edges = saved(_pairs(links), "links")
-    for _ in range(rounds):
+    while not _is_forest_of_stars(edges):
         after = saved(_star(_star(edges, True), False), "stars")
         dropped(spark, edges)
         edges = after
-        if _is_forest_of_stars(edges):
-            return edges
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    return edges
