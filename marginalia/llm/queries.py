@@ -28,8 +28,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = exact_dedup.exact_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
 def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

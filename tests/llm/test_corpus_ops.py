@@ -20,7 +20,7 @@ def normal(text):
 
 def test_exact_duplicates(spark):
     rows = [(i, t) for i, t in enumerate(["a b", "ab", "a  b ", None, "", " \n\t", "é x", "éx"] + ["hot text"] * 700 + ["hot  text"] * 3 + [f"t{i % 900}" for i in range(2000)])]
-    rows += [(8, "hot text"), (8, "hot text"), (710, "hot  text"), (None, "hot text"), (None, "zz"), (None, "zz")]
+    rows += [(8, "hot text"), (8, "hot text"), (710, "hot  text"), (None, "hot text"), (None, "zz"), (None, "zz")] + [(None, "no id at all")] * 150
     out = exact_dedup.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit("clash"))).collect()
     groups, kept = defaultdict(list), Counter()
     for i, t in rows:
