@@ -11,13 +11,16 @@ and up to ``history`` tokens of the turns before it, then takes new turns up to
 turns aren't targets again: the loss mask of a window covers the text of its new
 assistant turns only.
 
-Turns are dealt by conversation and block of BLOCK turn numbers, a window doesn't
-reach over a block's edge (its history neither), and each block is one group of a
-bounded number of turns: a conversation of any length is no group. Its checksum
-alone needs its windows in order: they stream through one task, none is held.
-
-Nulls: a null text or role is empty; a null ``conv_id`` is a conversation of its
-own; null turn numbers come first. Equal turn numbers are ordered by role and text.
+Turns get their places in the conversation by sampled ranges, so that no task
+holds or sorts a whole conversation, and are dealt by conversation and block of
+BLOCK places. A window doesn't reach over a block's edge (its history neither), and
+each block is one group of at most BLOCK turns, whatever the turn numbers are. A
+conversation's checksum alone needs its windows in order: they stream through one
+task, none is held.
+
+Nulls: a null text or role is empty; rows with a null ``conv_id`` are one
+conversation; null turn numbers come first. Equal turn numbers are ordered by role
+and a digest of the text; equal rows are turns like others.
 """
 
 from __future__ import annotations
@@ -28,10 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import by_sorted_groups, saved
+
 BLOCK = 512
+_CONVERSATION = ("unknown", "conv")
 OPEN, MIDDLE, CLOSE = "### ", ": ", "</turn>\n"
 _READ = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.|<(?!/turn>))*)</turn>\n", re.DOTALL)
 _UNESCAPE = re.compile(r"\\(.)", re.DOTALL)
@@ -66,26 +72,40 @@ def formatted_turns(df: DataFrame) -> DataFrame:
     return made.withColumn("tokens", F.regexp_count("written", F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")).cast("long"))
 
 
+def placed_turns(turns: DataFrame) -> DataFrame:
+    """``turns`` with (unknown, conv), which stand for ``conv_id`` without nulls, and their place from 0 in the conversation.
+
+    Ranges are numbered by themselves and the sizes of the ranges before are added.
+    """
+    order = ("turn", "role", "digest", "tie")
+    keyed = turns.withColumns({"unknown": F.col("conv_id").isNull(), "conv": F.coalesce("conv_id", F.lit(0)), "digest": F.xxhash64("text"), "tie": F.monotonically_increasing_id()})
+    ranged = saved(keyed.repartitionByRange(*_CONVERSATION, *order).withColumn("range", F.spark_partition_id()), "ranged-turns")
+    sizes = ranged.groupBy(*_CONVERSATION, "range").agg(F.count("*").alias("size"))
+    before = saved(sizes.withColumn("before", F.sum("size").over(Window.partitionBy(*_CONVERSATION).orderBy("range")) - F.col("size")).drop("size"), "turn-ranges")
+    inside = F.row_number().over(Window.partitionBy(*_CONVERSATION, "range").orderBy(*order)) - 1
+    joined = ranged.withColumn("inside", inside).join(before.hint("shuffle_merge"), [*_CONVERSATION, "range"])
+    return joined.withColumn("place", F.col("before") + F.col("inside")).drop("digest", "tie", "range", "inside", "before")
+
+
 def chat_windows(df: DataFrame, budget: int = 512, history: int = 128, target: str = "assistant") -> DataFrame:
     """(conv_id, block, window, n_repeated, n_turns, formatted, loss): formatted windows and the (start, end) spans under the loss."""
-    turns = formatted_turns(df).withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK).cast("long"))
-    first_system = F.min(F.struct("turn", "role", "text", "written", "tokens"))
-    systems = turns.where("role = 'system'").groupBy("conv_id").agg(first_system.alias("system")).select(F.col("conv_id").alias("sys_id"), F.col("system.written").alias("sys_written"), F.col("system.tokens").alias("sys_tokens"), F.col("system.turn").alias("sys_turn"))
-    named = turns.join(systems.hint("shuffle_merge"), turns["conv_id"].eqNullSafe(F.col("sys_id")), "left").drop("sys_id")
-
-    def windows(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["turn", "role", "text"], kind="stable", na_position="first", ignore_index=True)
-        tokens, written = rows["tokens"].to_numpy(), rows["written"].tolist()
-        text_from, is_target = rows["head"].str.len().to_numpy(), (rows["role"] == target).to_numpy()
-        system = rows["sys_written"].iloc[0]
+    turns = placed_turns(formatted_turns(df))
+    first_system = F.min_by(F.struct("written", "tokens"), "place")
+    systems = saved(turns.where("role = 'system'").groupBy(*_CONVERSATION).agg(first_system.alias("system")), "system-turns")
+    named = turns.join(systems.hint("shuffle_merge"), list(_CONVERSATION), "left").withColumn("block", F.expr(f"place div {BLOCK}"))
+    at_start = F.col("place") % BLOCK == 0  # a block needs its system turn once
+    columns = [*_CONVERSATION, "block", "place", F.char_length("head").alias("text_from"), "written", "tokens", (F.col("role") == target).alias("is_target"), F.when(at_start, F.col("system.written")).alias("sys_written"), F.when(at_start, F.col("system.tokens")).alias("sys_tokens")]
+
+    def windows(unknown, conv, block, place, text_from, written, tokens, is_target, sys_written, sys_tokens) -> list[tuple]:  # noqa: ANN001
+        system, written = sys_written[0], written.tolist()
         sums = np.concatenate([[0], np.cumsum(tokens)])
         out, at = [], 0
-        while at < len(rows):
+        while at < len(written):
             head, room = [], budget
             back = at
             if at or (isinstance(system, str) and written[0] != system):
                 if isinstance(system, str):
-                    head, room = [system], budget - int(rows["sys_tokens"].iloc[0])
+                    head, room = [system], budget - int(sys_tokens[0])
                 back = int(np.searchsorted(sums, sums[at] - history))
                 while back < at and written[back] == system:
                     back += 1
@@ -96,11 +116,11 @@ def chat_windows(df: DataFrame, budget: int = 512, history: int = 128, target: s
             starts = np.cumsum([0, *map(len, parts)])
             skip = len(parts) - (end - at)
             loss = [{"start": int(starts[skip + i - at] + text_from[i]), "end": int(starts[skip + i - at + 1] - len(CLOSE))} for i in range(at, end) if is_target[i]]
-            out.append((key[0], key[1], len(out), skip, len(parts), "".join(parts), loss))
+            out.append((None if unknown[0] else int(conv[0]), int(block[0]), len(out), skip, len(parts), "".join(parts), loss))
             at = end
-        return pd.DataFrame(out, columns=["conv_id", "block", "window", "n_repeated", "n_turns", "formatted", "loss"])
+        return out
 
-    return named.groupBy("conv_id", "block").applyInPandas(windows, "conv_id long, block long, window long, n_repeated int, n_turns int, formatted string, loss array<struct<start:int,end:int>>")
+    return by_sorted_groups(named.select(*columns), [*_CONVERSATION, "block"], windows, "conv_id long, block long, window long, n_repeated int, n_turns int, formatted string, loss array<struct<start:int,end:int>>", ("place",))
 
 
 def read_back(windows: DataFrame) -> DataFrame:

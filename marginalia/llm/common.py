@@ -105,12 +105,12 @@ def by_batches(make) -> object:
     return run
 
 
-def by_sorted_groups(df: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
+def by_sorted_groups(df: DataFrame, keys: list[str], work, schema: str, order: tuple[str, ...] = ()) -> DataFrame:
     """The rows (a list of tuples) that ``work`` makes of each group's columns (arrays, in order of ``df``).
 
     As ``applyInPandas``, for many small groups of bounded size: rows are dealt and
-    sorted by the keys, which must be the first columns, and stream through
-    ``mapInPandas``; one group at a time is held.
+    sorted by the keys, which must be the first columns and never null, and by ``order``,
+    and stream through ``mapInPandas``; one group at a time is held.
     """
     n = len(keys)
     names = [x.split()[0] for x in schema.split(", ")]
@@ -130,7 +130,7 @@ def by_sorted_groups(df: DataFrame, keys: list[str], work, schema: str) -> DataF
             made = [x for i, j in itertools.pairwise(edges) for x in work(*(c[i:j] for c in columns))]
             yield pd.DataFrame(made, columns=names)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def binaries(parts: list[bytes]) -> pa.Array:

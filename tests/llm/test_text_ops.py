@@ -147,7 +147,21 @@ def test_chat_round_trip(spark, data):
         assert w.formatted.startswith("### system: ")
         assert w.n_repeated >= 1 or (w.block, w.window) == (0, 0)
     query = {r.conv_id: tuple(r)[1:5] for r in queries.op5_chat_windows(spark, data).collect()}
-    assert query[-7] == digests({-7: [("user", queries._TRICKY), ("assistant", queries._TRICKY)]})[-7]
+    every = defaultdict(list, {-7: [("user", queries._TRICKY), ("assistant", queries._TRICKY)]})
+    for r in spark.read.parquet(f"{data}/conversations.parquet").orderBy("conv_id", "turn").collect():
+        every[r.conv_id].append((r.role, r.text or ""))
+    assert query == digests(every)
+
+
+def test_blocks_are_bounded_whatever_the_turn_numbers(spark):
+    rows = [(None, None, "user", "same words")] * 1500 + [(7, 3, "assistant", f"t{i % 40} </turn>") for i in range(1500)] + [(7, None, "system", "first"), (8, 10**12, "user", "far"), (8, -5, "user", "near")]
+    windows = chat.chat_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), 100, 20).collect()
+    new = defaultdict(int)
+    for w in windows:
+        new[w.conv_id, w.block] += w.n_turns - w.n_repeated
+    assert max(new.values()) <= chat.BLOCK
+    assert {c: sum(n for (x, _), n in new.items() if x == c) for c in (None, 7, 8)} == {None: 1500, 7: 1501, 8: 2}
+    assert [chat.read_turns(w.formatted)[-1][1] for w in windows if w.conv_id == 8] == ["far"]
 
 
 def test_unigram_counts_against_each_word_alone(spark):
