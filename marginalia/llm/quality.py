@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from .common import SPACE_CLASS, by_batches, raw_texts, saved, word_hashes
 
 WINDOW = 8
+BROADCAST = 500_000
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _KEEP_SYMBOLS = bytes(b for b in range(256) if b not in b"#*$%&|<>")
 _SPACES = b" \t\n\x0b\x0c\r"
@@ -131,8 +132,10 @@ def line_verdicts(features: DataFrame, min_docs: int = 50, share: float = 0.001,
 
 
 def with_verdict(features: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """``features`` with removed (null where nothing is) and kept. The verdicts are a written table: Spark joins by their true size."""
-    joined = features.drop("line_hashes", "line_words").join(verdicts, "row", "left")
+    """``features`` with removed (null where nothing is) and kept. Verdicts of at most BROADCAST rows and hashes are broadcast, more are merged."""
+    rows, hashes = verdicts.agg(F.count("*"), F.coalesce(F.sum(F.size("removed")), F.lit(0))).first()
+    small = rows + hashes <= BROADCAST
+    joined = features.drop("line_hashes", "line_words").join(verdicts.hint("broadcast" if small else "shuffle_merge"), "row", "left")
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("depleted", F.lit(False)))
 
 

@@ -135,7 +135,7 @@ def test_base_statistics(spark, data):
         assert got[i].base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0])
 
 
-def test_depleted_documents_go_and_copies_stay(spark):
+def test_depleted_documents_go_and_copies_stay(spark, monkeypatch):
     own = lambda i, n=40: " ".join(f"own{i}w{j}" for j in range(n))
     menu = [" ".join(f"menu{k}word{j}" for j in range(9)) for k in range(12)]
     rows = [(i, own(i) + "\n" + "\n".join(menu), "h") for i in range(60)]  # own text and the menu
@@ -143,12 +143,14 @@ def test_depleted_documents_go_and_copies_stay(spark):
     rows += [(200 + i, "\n".join(f"copied line {k} " + own(9000 + k, 12) for k in range(5)), "h") for i in range(80)]  # copies of one document
     rows += [(400 + i, "\n".join(menu), "other") for i in range(3)]  # common elsewhere only
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_words", F.lit("clash"))
-    out = quality.judged(df).collect()
+    out = quality.judged(df).orderBy("doc_id").collect()
     kept = {r.doc_id: r.kept for r in out}
     assert len(kept) == len(rows)
     assert all(r.clean_text == (own(r.doc_id) if r.doc_id < 100 else "" if r.doc_id < 200 else r.text) for r in out)
     assert [i for i, k in kept.items() if not k] == [100, 101, 102]
     assert kept == {r.doc_id: r.kept for r in quality.quality_verdicts(df).collect()}
+    monkeypatch.setattr(quality, "BROADCAST", 0)
+    assert out == quality.judged(df).orderBy("doc_id").collect()
 
 
 def test_lines_are_found_by_their_hash(spark):
