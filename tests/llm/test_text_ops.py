@@ -36,12 +36,15 @@ def test_encoder_equals_the_library(spark, data, name):
         assert enc.decode(got) == lib.decode(want, skip_special_tokens=False)
 
 
-def test_tree_concatenation_is_exact(spark):
+@pytest.mark.parametrize("name", [queries.BYTE_BPE, queries.WORD_BPE])
+def test_long_texts_in_pieces(spark, name):
     rng = random.Random(5)
     long = ["".join(rng.choice("abcdeé'st1") for _ in range(5000)), "a" * 9000, "the" * 4000 + " x " + "of" * 3000, "日本語" * 3000, "x<|endoftext|>" + "ab" * 5000, "?!" * 5000 + "in" * 4000]
+    long += [" ".join(rng.choice(["the", "it's", "x", "<|endoftext|>", "Ünïcode", "日本", "12,5", "a  b", "\n\n", "e\u0301"]) for _ in range(n)) for n in (700, 3000)]
+    long += ["\n".join("line of words, no. %d." % i for i in range(900)), "word " * 3000, " " * 9000 + "x" + "\n " * 4000]
     texts = [*long, *ODD, long[0]]
-    lib = library(queries.WORD_BPE)
-    rows = bpe.bpe_digests(docs_of(spark, texts), queries.WORD_BPE).collect()
+    lib = library(name)
+    rows = bpe.bpe_digests(docs_of(spark, texts), name, long=3000, piece=500, run_piece=200).collect()
     assert len(rows) == len(texts)
     for r in rows:
         ids = lib.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
@@ -50,6 +53,28 @@ def test_tree_concatenation_is_exact(spark):
         assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_the_registered_round_trip(spark, data, tmp_path):
+    """op1 on all documents and on longer texts than it cuts, against the library."""
+    lib = library(queries.WORD_BPE)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    rows += [(10**6 + i, x) for i, x in enumerate([" ".join(t or "" for _, t in rows[i::3]) for i in range(3)] + ["ab" * 40_000, None, ""])]
+    assert max(len(t or "") for _, t in rows) > 2 * bpe.LONG
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {}
+    for i, text in rows:
+        ids = lib.encode(text or "", add_special_tokens=False).ids
+        want[i] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+    assert {r.doc_id: tuple(r)[1:] for r in queries.op1_bpe_round_trip(spark, str(tmp_path)).collect()} == want
+
+
+def test_names_that_clash(spark):
+    rows = spark.createDataFrame([(1, "a b", "x", 5, "y")], "doc_id long, text string, ids string, own_0 long, row string")
+    out = bpe.bpe_encode(rows, queries.WORD_BPE, decoded="row").first()
+    lib = library(queries.WORD_BPE)
+    ids = lib.encode("a b", add_special_tokens=False).ids
+    assert out.asDict() == {"doc_id": 1, "text": "a b", "own_0": 5, "ids": np.array(ids, "<u4").tobytes(), "row": lib.decode(ids, skip_special_tokens=False)}
+
+
 @pytest.mark.parametrize("piece", [3, 17, 64])
 def test_tree_of_small_pieces(piece):
     rng, runs = random.Random(piece), bpe.run_encoder(queries.WORD_BPE)
@@ -286,3 +311,25 @@ def test_columns_and_ties_of_host_paths(spark):
 def test_url_verdicts(spark, url, want):
     r = urls.url_verdicts(spark.createDataFrame([(1, url, "clash")], "page_id long, url string, host string")).first()
     assert (r.host, r.path, r.rule, r.verdict) == want
+
+
+def test_url_vocabulary_as_a_table(spark):
+    terms = [("bad", "strict", 1.0), ("a", "soft", 0.5), ("b-c", "soft", 1.0), ("c", "soft", 0.5), ("Both", "soft", 0.1), ("both", "strict", 0.1), (None, "soft", 9.0), ("", "strict", 9.0)]
+    table = spark.createDataFrame(terms, "term string, kind string, weight double")
+    addresses = ["http://x/BAD", "http://x/a-a-a/a", "http://x/a/c", "http://x/a/b-c", "http://x/b-c", "http://x/both", "http://x/bads", "", None, "http://y/" + "z" * 200_000 + "/bad"]
+    rows = spark.createDataFrame(list(enumerate(addresses)), "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.soft_weight, r.strict_terms, r.soft_terms) for r in urls.url_verdicts(rows, rules=(), vocabulary=table, least_weight=1.5).collect()}
+    assert got == {
+        0: ("block", 0.0, ["bad"], []),
+        1: ("allow", 0.5, [], ["a"]),
+        2: ("allow", 1.0, [], ["a", "c"]),
+        3: ("block", 2.0, [], ["a", "b-c", "c"]),
+        4: ("block", 1.5, [], ["b-c", "c"]),
+        5: ("block", 0.0, ["both"], []),
+        6: ("allow", 0.0, [], []),
+        7: ("allow", 0.0, [], []),
+        8: ("allow", 0.0, [], []),
+        9: ("block", 0.0, ["bad"], []),
+    }
+    with pytest.raises(ValueError, match="terms"):
+        urls.vocabulary_terms(table, most=3)
