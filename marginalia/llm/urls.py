@@ -2,12 +2,15 @@
 
 The longest rule that fits a URL decides. Where none fits, an Aho-Corasick
 automaton finds all vocabulary terms in the URL in one pass; a hit counts if no
-letter or digit touches it on either side. One strict term, or two distinct soft
-ones, block.
+letter or digit touches it on either side. One strict term blocks, and so do
+distinct soft terms whose weights reach ``least_weight``: two of weight 1. The
+vocabulary is a parameter, a table or a list of (term, kind, weight), of a checked
+size, as each worker holds its automaton. A term of both kinds is strict.
 
 Nulls: a null URL, or one without ``://``, has empty host and path, fits no rule,
 and is judged by its terms (none in a null one: allow). Repeated rows are judged
-alike.
+alike. Null and empty terms are no terms. Columns with the names of the results are
+replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +25,9 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STRICT = ("porn", "xxx", "casino", "spam", "gambling", "viagra", "warez", "hentai", "escort", "escorts")
 SOFT = ("adult", "x", "free", "bet", "bets", "win", "sex", "hot", "nude", "pills", "cheap", "loans", "prize", "jackpot", "poker", "slots", "farm", "crack", "cracked", "torrent", "dating", "singles")
+#: The default vocabulary.
+VOCABULARY = tuple((x, "strict", 1.0) for x in STRICT) + tuple((x, "soft", 1.0) for x in SOFT)
+MOST_TERMS = 200_000
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
 
@@ -68,23 +74,38 @@ def bounded_terms(text: str, terms: tuple[str, ...]) -> list[str]:
     return sorted(out)
 
 
-def with_terms(df: DataFrame, url: str, strict: Sequence[str], soft: Sequence[str]) -> DataFrame:
-    """``df`` with strict_terms and soft_terms, the distinct terms found in the URL."""
-    both, firm = tuple(strict) + tuple(soft), frozenset(strict)
+Terms = Sequence[tuple[str, str, float]]
 
-    @F.pandas_udf("array<string>")
-    def terms(urls: pd.Series) -> pd.Series:
-        return urls.map(lambda x: bounded_terms(x, both))
+
+def vocabulary_terms(vocabulary: DataFrame | Terms, most: int = MOST_TERMS) -> tuple[dict[str, float], frozenset[str]]:
+    """The weight of each term, in lower case, and which terms are strict."""
+    rows = vocabulary.select("term", "kind", "weight").limit(most + 1).collect() if isinstance(vocabulary, DataFrame) else list(vocabulary)
+    if len(rows) > most:
+        raise ValueError(f"more than {most} terms")
+    low = str.maketrans(UPPER, LOWER)
+    named = [(term.translate(low), kind, weight) for term, kind, weight in rows if term]
+    return {t: float(w) for t, _, w in sorted(named)}, frozenset(t for t, kind, _ in named if kind == "strict")
+
+
+def with_terms(df: DataFrame, url: str, vocabulary: DataFrame | Terms) -> DataFrame:
+    """``df`` with strict_terms and soft_terms, the distinct terms found in the URL, and soft_weight, the sum of the soft terms' weights."""
+    weights, strict = vocabulary_terms(vocabulary)
+    every = tuple(weights)
+
+    @F.pandas_udf("strict_terms array<string>, soft_terms array<string>, soft_weight double")
+    def terms(urls: pd.Series) -> pd.DataFrame:
+        found = [bounded_terms(x, every) for x in urls]
+        soft = [[t for t in x if t not in strict] for x in found]
+        return pd.DataFrame({"strict_terms": [[t for t in x if t in strict] for x in found], "soft_terms": soft, "soft_weight": [float(sum(weights[t] for t in x)) for x in soft]})
 
     found = df.withColumn("__terms", terms(F.translate(F.coalesce(F.col(url), F.lit("")), UPPER, LOWER)))
-    is_strict = lambda x: x.isin(*sorted(firm))
-    return found.withColumns({"strict_terms": F.filter("__terms", is_strict), "soft_terms": F.filter("__terms", lambda x: ~is_strict(x))}).drop("__terms")
+    return found.withColumns({x: F.col(f"__terms.{x}") for x in ("strict_terms", "soft_terms", "soft_weight")}).drop("__terms")
 
 
-def url_verdicts(df: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, strict: Sequence[str] = STRICT, soft: Sequence[str] = SOFT, least_soft: int = 2, url: str = "url") -> DataFrame:
-    """``df`` with host, path, rule, verdict, strict_terms and soft_terms; columns with these names are replaced."""
-    named = with_terms(df.drop("host", "path", "rule", "verdict"), url, strict, soft).withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))})
-    bad = (F.size("strict_terms") > 0) | (F.size("soft_terms") >= least_soft)
-    ruled = named.withColumn("__rule", longest_rule(F.col("host"), F.col("path"), rules))
+def url_verdicts(df: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, vocabulary: DataFrame | Terms = VOCABULARY, least_weight: float = 2.0, url: str = "url") -> DataFrame:
+    """``df`` with host, path, rule, verdict, strict_terms, soft_terms and soft_weight."""
+    named = with_terms(df.drop("host", "path", "rule", "verdict"), url, vocabulary).withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))})
+    bad = (F.size("strict_terms") > 0) | (F.col("soft_weight") >= least_weight)
+    ruled = named.withColumn("__rule", longest_rule(F.col("host"), F.col("path"), rules).cast("struct<rule:string,verdict:string>"))
     verdict = F.coalesce(F.col("__rule.verdict"), F.when(bad, F.lit("block")).otherwise(F.lit("allow")))
     return ruled.withColumns({"rule": F.col("__rule.rule"), "verdict": verdict}).drop("__rule")
