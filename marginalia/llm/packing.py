@@ -9,7 +9,8 @@ anew among fewer, differently mixed groups and packed again, and so are, at the
 end, the documents in half-empty sequences of all groups.
 
 Nulls: a null text is empty and gives one piece, the separator alone. Rows with
-a null or repeated ``doc_id`` are packed like any other.
+a null or repeated ``doc_id`` are packed like any other: pieces are dealt by a row
+number, so very many equal ones are no single group.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from .tokens import encoder
 
 GROUP = 40_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_KEPT = f"{PIECES}, row long"
 
 
 def token_pieces(df: DataFrame, tokenizer: str, separator: int, capacity: int) -> DataFrame:
@@ -64,10 +66,13 @@ def _bound_functions(capacity: int) -> np.ndarray:
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     """No packing of these lengths has fewer sequences."""
-    if not len(lengths):
-        return 0
+    return lower_bound_of_counts(np.bincount(np.asarray(lengths, np.int64), minlength=capacity + 1), capacity)
+
+
+def lower_bound_of_counts(counts: np.ndarray, capacity: int) -> int:
+    """As ``lower_bound``, from the number of pieces of each length."""
     values = _bound_functions(capacity)
-    sums = values @ np.bincount(lengths, minlength=capacity + 1)
+    sums = values @ counts
     return int((-(-sums // values[:, -1])).max())
 
 
@@ -95,7 +100,7 @@ def _pack_groups(df: DataFrame, capacity: int, groups: int, turn: int) -> DataFr
     """Pack each of ``groups`` groups by itself; adds sequence_id, offset, used (of the sequence), gap (of the group)."""
 
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
+        rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32", "row"], ascending=[False, True, True, True, True], kind="stable", ignore_index=True)
         lengths = rows["length"].to_numpy()
         bins = best_fit_decreasing(lengths, capacity)
         used = np.bincount(bins, weights=lengths).astype(np.int64)
@@ -106,12 +111,12 @@ def _pack_groups(df: DataFrame, capacity: int, groups: int, turn: int) -> DataFr
         sequence = (turn << 52) + (int(key[0]) << 26) + bins
         return rows.drop(columns="bucket").assign(sequence_id=sequence, offset=offset, used=used[bins], gap=len(used) - lower_bound(lengths, capacity))
 
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)), F.lit(groups))
-    return df.select("doc_id", "piece", "start", "length", "ids_crc32", bucket.alias("bucket")).groupBy("bucket").applyInPandas(pack, f"{PIECES}, sequence_id long, offset long, used long, gap long")
+    bucket = F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(groups))
+    return df.select("doc_id", "piece", "start", "length", "ids_crc32", "row", bucket.alias("bucket")).groupBy("bucket").applyInPandas(pack, f"{_KEPT}, sequence_id long, offset long, used long, gap long")
 
 
 def pack_pieces(pieces: DataFrame, capacity: int, group: int = GROUP, turns: int = 3) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of saved ``pieces``. ``group`` is the usual number of pieces that a task packs."""
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of saved ``pieces(..., row)``. ``group`` is the usual number of pieces that a task packs."""
     rest, done, count = pieces, [], pieces.count()
     for turn in range(turns):
         groups = max(1, -(-count // group))
@@ -132,4 +137,14 @@ def pack_pieces(pieces: DataFrame, capacity: int, group: int = GROUP, turns: int
 
 def pack_documents(df: DataFrame, tokenizer: str, separator: int, capacity: int = 2048, group: int = GROUP) -> DataFrame:
     """Pack ``df(doc_id, text)``: pieces are made and saved once, then only their lengths move."""
-    return pack_pieces(saved(token_pieces(df, tokenizer, separator, capacity), "pieces"), capacity, group)
+    pieces = token_pieces(df, tokenizer, separator, capacity).withColumn("row", F.monotonically_increasing_id())
+    return pack_pieces(saved(pieces, "pieces"), capacity, group)
+
+
+def certificate(packed: DataFrame, capacity: int = 2048) -> DataFrame:
+    """One row (sequences, bound, pieces) of packed pieces: how many sequences there are, and that no packing of all pieces has fewer than ``bound``. Only sums by length reach the driver, as many rows as a sequence has tokens."""
+    counts = np.zeros(capacity + 1, np.int64)
+    for length, n in packed.groupBy("length").count().collect():
+        counts[length] = n
+    sequences = packed.agg(F.count_distinct("sequence_id")).first()[0]
+    return packed.sparkSession.createDataFrame([(sequences, lower_bound_of_counts(counts, capacity), int(counts.sum()))], "sequences long, bound long, pieces long")
