@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import itertools
 import re
 import shutil
@@ -21,9 +22,11 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``); where it is unset (tests), one of our own."""
+    """The shared folder of the cluster (``spark.checkpoint.dir``). Where it is unset, a session in one process (as in tests) gets one of its own; a cluster, whose executors would not see that, is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[[^-]|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="marginalia-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -34,18 +37,42 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Folders of saved tables that are still there, in the order of their making.
+_MADE: list[str] = []
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back: the lineage is cut, and Spark knows the true size."""
     path = scratch_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
+    _MADE.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, df: DataFrame | None) -> None:
-    """Delete the files of a table made by ``saved`` that nothing reads any more."""
-    for file in df.inputFiles()[:1] if df is not None else []:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+def dropped(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete the files of tables made by ``saved`` that nothing reads any more."""
+    _delete(spark, [x for df in tables for x in _folders(df)])
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables saved inside are deleted at the end, but for those that are put into the list."""
+    before, kept = len(_MADE), []
+    yield kept
+    stay = {name for df in kept for name in _folders(df)}
+    _delete(spark, [x for x in _MADE[before:] if x not in stay])
+
+
+def _folders(df: DataFrame) -> list[str]:
+    names = {file.rsplit("/", 2)[-2] for file in df.inputFiles()}
+    return [x for x in _MADE if x.rsplit("/", 1)[-1] in names]
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _MADE.remove(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_batches, by_sorted_groups, raw_texts, saved, word_hashes
+from .common import by_batches, by_sorted_groups, raw_texts, saved, scratch, word_hashes
 from .components import connected_components, partial_labels
 
 BANDS, ROWS = 26, 5
@@ -269,13 +269,15 @@ def set_classes(features: DataFrame) -> DataFrame:
 
 def near_components(signs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(node, component) of each of ``signs(node, signature, n_shingles)`` in a component of several; ``docs(node, text)`` has the texts."""
-    buckets = _buckets(signs)
-    links = saved(_verified(_by_signature(_stars(buckets), signs, percent), docs, width, percent), "verified")
-    mixed = _mixed(buckets, partial_labels(links))
-    marked = _marked(mixed, signs, percent)
-    if not marked.isEmpty():
-        links = links.unionByName(saved(_linked_in_blocks(marked, docs, width, percent), "verified"))
-    components = connected_components(links)
+    with scratch(docs.sparkSession) as kept:
+        buckets = _buckets(signs)
+        links = saved(_verified(_by_signature(_stars(buckets), signs, percent), docs, width, percent), "verified")
+        mixed = _mixed(buckets, partial_labels(links))
+        marked = _marked(mixed, signs, percent)
+        if not marked.isEmpty():
+            links = links.unionByName(saved(_linked_in_blocks(marked, docs, width, percent), "verified"))
+        components = connected_components(links)
+        kept.append(components)
     return components.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, by_batches, raw_texts, saved, word_hashes
+from .common import SPACE_CLASS, by_batches, raw_texts, saved, scratch, word_hashes
 
 WINDOW = 8
 BROADCAST = 500_000
@@ -115,20 +115,23 @@ def line_features(df: DataFrame, keep: Sequence[str], text: str = "text", host:
 
 def line_verdicts(features: DataFrame, min_docs: int = 50, share: float = 0.001, own_tenths: int = 2, left_tenths: int = 1) -> DataFrame:
     """Saved (row, removed, depleted) of documents with common lines: the hashes of these, and whether over nine tenths of the words go with them."""
-    hosts = saved(features.groupBy("host").agg(F.greatest(F.lit(min_docs), (F.count("*") * share).cast("long")).alias("limit")), "hosts")
-    lines = features.select("row", "host", F.explode(F.arrays_zip("line_hashes", "line_words")).alias("line")).select("row", "host", F.col("line.line_hashes").alias("line"), F.col("line.line_words").alias("words"))
-
-    def common(rows: DataFrame, label: str) -> DataFrame:
-        counts = rows.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs)
-        return saved(counts.join(hosts.hint("shuffle_merge"), "host").where(F.col("docs") > F.col("limit")).select("host", "line"), label)
-
-    shared = saved(lines.join(common(lines, "common-lines"), ["host", "line"], "left_semi"), "shared-lines")
-    taken = saved(shared.groupBy("row").agg(F.sum("words").alias("taken")), "taken")
-    with_own = features.select("row", "n_words").join(taken.hint("shuffle_merge"), "row").where((F.col("n_words") - F.col("taken")) * 10 >= F.col("n_words") * own_tenths)
-    decisive = common(shared.join(with_own.select("row").hint("shuffle_merge"), "row", "left_semi"), "decisive-lines")
-    removed = shared.join(decisive, ["host", "line"], "left_semi").groupBy("row").agg(F.collect_list("line").alias("removed"), F.sum("words").alias("gone"))  # no longer than the document
-    left = F.col("n_words") - F.col("gone")
-    return saved(features.select("row", "n_words").join(removed.hint("shuffle_merge"), "row").select("row", "removed", (left * 10 < F.col("n_words") * left_tenths).alias("depleted")), "line-verdicts")
+    with scratch(features.sparkSession) as kept:
+        hosts = saved(features.groupBy("host").agg(F.greatest(F.lit(min_docs), (F.count("*") * share).cast("long")).alias("limit")), "hosts")
+        lines = features.select("row", "host", F.explode(F.arrays_zip("line_hashes", "line_words")).alias("line")).select("row", "host", F.col("line.line_hashes").alias("line"), F.col("line.line_words").alias("words"))
+
+        def common(rows: DataFrame, label: str) -> DataFrame:
+            counts = rows.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs)
+            return saved(counts.join(hosts.hint("shuffle_merge"), "host").where(F.col("docs") > F.col("limit")).select("host", "line"), label)
+
+        shared = saved(lines.join(common(lines, "common-lines"), ["host", "line"], "left_semi"), "shared-lines")
+        taken = saved(shared.groupBy("row").agg(F.sum("words").alias("taken")), "taken")
+        with_own = features.select("row", "n_words").join(taken.hint("shuffle_merge"), "row").where((F.col("n_words") - F.col("taken")) * 10 >= F.col("n_words") * own_tenths)
+        decisive = common(shared.join(with_own.select("row").hint("shuffle_merge"), "row", "left_semi"), "decisive-lines")
+        removed = shared.join(decisive, ["host", "line"], "left_semi").groupBy("row").agg(F.collect_list("line").alias("removed"), F.sum("words").alias("gone"))  # no longer than the document
+        left = F.col("n_words") - F.col("gone")
+        found = saved(features.select("row", "n_words").join(removed.hint("shuffle_merge"), "row").select("row", "removed", (left * 10 < F.col("n_words") * left_tenths).alias("depleted")), "line-verdicts")
+        kept.append(found)
+    return found
 
 
 def with_verdict(features: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -145,6 +145,26 @@ def test_token_files_round_trip_and_prune(spark):
     assert token_files.token_offsets(spark, _empty(spark)).collect() == []
 
 
+def test_token_files_have_indexes_and_skip_rows(spark):
+    path = scratch_path(spark, "tokens")
+    rows = [(i, f"text {i}") for i in range(0, 12_000, 2)] + [(7001, f"hot {i}") for i in range(3000)]
+    token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), path, queries.BYTE_BPE, 2, rows_per_index=1000)
+    files, orc = token_files.read_token_files(spark, path).inputFiles(), spark._jvm.org.apache.orc.OrcFile
+    for file in files:
+        reader = orc.createReader(spark._jvm.org.apache.hadoop.fs.Path(file), orc.readerOptions(spark._jsc.hadoopConfiguration()))
+        records = reader.rows()
+        for stripe in reader.getStripes():
+            kinds = {x.getKind().toString() for x in records.readStripeFooter(stripe).getStreamsList()}
+            assert {"ROW_INDEX", "BLOOM_FILTER_UTF8"} <= kinds
+    for key, found in ((4002, 1), (4003, 0), (7001, 3000)):
+        one = token_files.read_token_files(spark, path).where(f"doc_id = {key}")
+        assert len(one.collect()) == found
+        read = one._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+        assert read <= (0 if not found else found + 2000)
+    got = token_files.token_offsets(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted(i for i, _ in rows)
+
+
 def _empty(spark):
     path = scratch_path(spark, "none")
     token_files.write_token_files(spark.createDataFrame([], "doc_id long, text string"), path, queries.BYTE_BPE, 2)
