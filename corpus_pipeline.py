@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import exact_dedup, near_dedup, packing, quality
-from marginalia.llm.common import saved, table
+from marginalia.llm.common import saved, scratch, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -47,8 +47,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = saved(docs, name.replace(" ", "-"))
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scratch(spark) as kept:
+            docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            kept.append(docs)
+    return STAGES[-1][1](spark, docs, sf_dir)
