@@ -45,7 +45,7 @@ from .components import connected_components, partial_labels
 BANDS, ROWS = 26, 5
 SLACK = 0.2
 #: Members of a block, or units of so many bytes of text if these are more.
-BLOCK, UNIT = 1024, 8192
+BLOCK, UNIT = 512, 8192
 CENTRES = 2
 
 
