@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,32 +11,54 @@ from pyspark.sql import functions as F
 
 from .text import clean_code_name, stripped
 
-#: A heading with one of these is a statement or a verdict, not a code's name (fixed values of the annotation format).
-NOT_A_CODE = ("reasoning behavior is", "count in output", "author model", "is observed", "not observed", "final", "conclusion", "verdict")
-
-
-def _lines(annotations: DataFrame, key: str, text: str) -> DataFrame:
-    return annotations.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line_no", "line"))
-
-
-def _with_code(lines: DataFrame, key: str) -> DataFrame:
-    """Lines with the code that the last heading above opened, and how often that code was opened so far."""
-    line = stripped(F.col("line"))
-    lower = F.lower(line)
-    name = stripped(clean_code_name(F.regexp_replace(line, r"^#+\s*", "")))
-    heading = line.startswith("###") & ~lower.rlike("|".join(NOT_A_CODE)) & (F.size(F.split(name, r"\s+")) <= 10) & (name != "")
-    opened = lines.withColumns({"lower": lower, "heading": heading}).withColumn("opens", F.when(F.col("heading"), F.regexp_replace(name, r":\s*$", "")))
-    so_far = Window.partitionBy(key).orderBy("line_no")
-    return opened.withColumns({"code_name": F.last("opens", ignorenulls=True).over(so_far), "opened_at": F.last(F.when(F.col("heading"), F.col("line_no")), ignorenulls=True).over(so_far)})
-
-
-def _sides(coded: DataFrame, key: str) -> DataFrame:
-    """A row for each code and side, with the statements after the code's last opening, in order."""
-    last_open = coded.where("heading").groupBy(key, "code_name").agg(F.max("line_no").alias("last_open"))
-    said = coded.where(~F.col("heading") & F.col("code_name").isNotNull()).join(last_open.hint("shuffle_merge"), [key, "code_name"]).where("opened_at = last_open")
-    statements = said.groupBy(key, "code_name").agg(F.array_sort(F.collect_list(F.struct("line_no", "lower"))).alias("said"))
-    both = last_open.select(key, "code_name").join(statements.hint("shuffle_merge"), [key, "code_name"], "left")
-    return both.select(key, "code_name", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("side"), "said")
+#: A heading line with one of these names no code (fixed values of the annotation format).
+NOT_A_CODE = (
+    "definition of this reasoning behavior",
+    "exhibited by",
+    "in output",
+    "output a shows",
+    "output b shows",
+    "this reasoning behavior is",
+    "because of this reasoning behavior",
+    "output a",
+    "output b",
+    "reasoning behavior name",
+    ":",
+)
+#: The same for annotations with counts.
+NOT_A_COUNTED_CODE = (*NOT_A_CODE, "whether this", "how many times", "count in")
+_LONGEST_NAME = 10
+
+
+def _opened(line: Column, excluded: Sequence[str]) -> Column:
+    """The code that a stripped line opens, null where it opens none."""
+    bare = stripped(F.regexp_replace(line, r"^#+|#+$", ""))
+    words = F.size(F.split(bare, r"\s+"))
+    is_name = line.startswith("###") & (bare != "") & (words <= _LONGEST_NAME) & ~F.lower(line).rlike("|".join(rf"\Q{x}\E" for x in excluded))
+    return F.when(is_name, stripped(clean_code_name(bare)))
+
+
+def _sections(annotations: DataFrame, key: str, text: str, excluded: Sequence[str]) -> DataFrame:
+    """(key, code_name, said): the lines in lower case under each code's last heading, up to the next code's. All within the row: nothing is shuffled."""
+    lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: stripped(x))
+    marked = F.transform("__lines", lambda x: F.struct(F.lower(x).alias("lower"), _opened(x, excluded).alias("opens")))
+    heads = F.filter(F.transform("__marked", lambda x, i: F.when(x["opens"].isNotNull(), i)), lambda i: i.isNotNull())
+
+    def section(head: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("__heads", k + 1), F.size("__marked"))
+        said = F.transform(F.slice("__marked", head + 2, end - head - 1), lambda x: x["lower"])
+        return F.struct(F.get("__marked", head)["opens"].alias("code_name"), said.alias("said"))
+
+    names = F.transform("__heads", lambda i: F.get("__marked", i)["opens"])
+    last = F.filter(F.transform("__heads", section), lambda x, k: ~F.array_contains(F.slice("__names", k + 2, F.size("__names")), x["code_name"]))
+    steps = annotations.select(key, lines.alias("__lines")).select(key, marked.alias("__marked")).withColumn("__heads", heads).withColumn("__names", names)
+    return steps.select(key, F.inline(last))
+
+
+def _by_side(sections: DataFrame, key: str, out: str, start: Column, fold) -> DataFrame:  # noqa: ANN001
+    """(key, code_name, side, out): each section's lines folded for each side."""
+    sides = F.array(*(F.struct(F.lit(x).alias("side"), F.aggregate("said", start, fold(x)).alias(out)) for x in "ab"))
+    return sections.select(key, "code_name", F.inline(sides))
 
 
 def parse_presence(annotations: DataFrame, key: str = "sample_id", text: str = "annotation") -> DataFrame:
@@ -45,33 +67,32 @@ def parse_presence(annotations: DataFrame, key: str = "sample_id", text: str = "
     Of a line ``### ... reasoning behavior is observed in output a`` the first match
     of: observed in a, in b, not observed in a, in b, counts; the last such line wins.
     """
-    sides = _sides(_with_code(_lines(annotations, key, text), key), key)
 
-    def verdict(state: Column, s: Column) -> Column:
-        line = s["lower"]
-        ok = line.startswith("###") & line.contains("reasoning behavior is")
-        seen = {x: line.rlike(rf"(?<!not )observed in output {x}") for x in "ab"}
-        unseen = {x: line.rlike(rf"not observed in output {x}") for x in "ab"}
-        effect = F.when(seen["a"], F.lit("a+")).when(seen["b"], F.lit("b+")).when(unseen["a"], F.lit("a-")).when(unseen["b"], F.lit("b-"))
-        return F.when(ok & (effect == F.concat(F.col("side"), F.lit("+"))), F.lit(True)).when(ok & (effect == F.concat(F.col("side"), F.lit("-"))), F.lit(False)).otherwise(state)
+    def fold(side: str):
+        def verdict(state: Column, line: Column) -> Column:
+            effects = [(f"{no}observed in output {x}", x, no == "is ") for no in ("is ", "not ") for x in "ab"]
+            out = F.when(~(line.startswith("###") & line.contains("reasoning behavior is")), state)
+            for words, x, seen in effects:
+                out = out.when(line.contains(words), F.lit(seen) if x == side else state)
+            return out.otherwise(state)
+
+        return verdict
 
-    said = F.coalesce("said", F.array().cast("array<struct<line_no:int,lower:string>>"))
-    return sides.select(key, "code_name", "side", F.aggregate(said, F.lit(False), verdict).alias("present"))
+    return _by_side(_sections(annotations, key, text, NOT_A_CODE), key, "present", F.lit(False), fold)
 
 
 def parse_counts(annotations: DataFrame, key: str = "sample_id", text: str = "annotation") -> DataFrame:
-    """(key, code_name, side, cnt). ``count in output x: n`` sets n, ``not observed in output x`` 0, ``is observed in output x`` 1 if it is still 0; in order of the lines."""
-    sides = _sides(_with_code(_lines(annotations, key, text), key), key)
-
-    def fold(state: Column, s: Column) -> Column:
-        line = s["lower"]
-        out = F.concat(F.lit("output "), F.col("side"))
-        number = F.regexp_extract(F.replace(line, F.concat(F.lit("count in "), out), F.lit("\x01")), r"\x01\s*:?\s*\**\s*(\d+)", 1).try_cast("long")
-        here = line.contains(out)
-        return F.when(number.isNotNull(), number).when(here & line.contains("not observed"), F.lit(0).cast("long")).when(here & line.contains("is observed") & (state == 0), F.lit(1).cast("long")).otherwise(state)
-
-    said = F.coalesce("said", F.array().cast("array<struct<line_no:int,lower:string>>"))
-    return sides.select(key, "code_name", "side", F.aggregate(said, F.lit(0).cast("long"), fold).alias("cnt"))
+    """(key, code_name, side, cnt). In order of the lines, and within a line in this order: ``count in output x: n`` sets n, ``is observed in output x`` sets 1 if it is still 0, else ``not observed in output x`` sets 0."""
+
+    def fold(side: str):
+        def count(state: Column, line: Column) -> Column:
+            number = F.regexp_extract(line, rf"count in output {side}:\s*(\d+)", 1).try_cast("long")
+            now = F.coalesce(F.when(line.contains(f"count in output {side}:"), number), state)
+            return F.when(line.contains(f"is observed in output {side}"), F.when(now == 0, F.lit(1).cast("long")).otherwise(now)).when(line.contains(f"not observed in output {side}"), F.lit(0).cast("long")).otherwise(now)
+
+        return count
+
+    return _by_side(_sections(annotations, key, text, NOT_A_COUNTED_CODE), key, "cnt", F.lit(0).cast("long"), fold)
 
 
 def parse_decision(annotations: DataFrame, key: str = "sample_id", text: str = "annotation") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -190,25 +190,31 @@ def tagged_answer(text: Column) -> Column:
 
 
 def tagged_call_input(text: Column) -> Column:
-    """The arguments of the first ``f(...)`` in the tagged answer."""
-    return F.regexp_extract(tagged_answer(text), r"(?s)f\((.*)\)", 1)
+    """What stands in the first ``f(...)`` of the tagged answer, up to the first closing bracket."""
+    return stripped(F.regexp_extract(tagged_answer(text), r"(?s)f\((.*?)\)", 1))
 
 
 def boxed_answers(text: Column) -> Column:
-    """Contents of every ``boxed{...}``, braces balanced."""
+    """Contents of every ``boxed{...}``, braces balanced; the closing brace stays where a percent sign follows it."""
     pieces = F.slice(F.split(F.coalesce(text, F.lit("")), r"boxed\{"), 2, 1 << 30)
 
     def balanced(piece: Column) -> Column:
-        start = F.struct(F.lit(1).alias("depth"), F.lit("").alias("out"))
+        """How many characters the content has (null where it never ends)."""
+        start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("size"))
 
         def step(state: Column, char: Column) -> Column:
             depth = state["depth"] + F.when(char == "{", 1).when(char == "}", -1).otherwise(0)
             open_ = state["depth"] > 0
-            return F.struct(F.when(open_, depth).otherwise(0).alias("depth"), F.when(open_ & (depth > 0), F.concat(state["out"], char)).otherwise(state["out"]).alias("out"))
+            return F.struct(F.when(open_, depth).otherwise(0).alias("depth"), F.when(open_ & (depth > 0), state["size"] + 1).otherwise(state["size"]).alias("size"))
 
-        return F.aggregate(F.split(piece, ""), start, step)
+        return F.aggregate(F.split(piece, ""), start, step, lambda s: F.when(s["depth"] == 0, s["size"]))
 
-    return F.transform(F.filter(F.transform(pieces, balanced), lambda s: s["depth"] == 0), lambda s: s["out"])
+    def content(x: Column) -> Column:
+        size = x["size"] + F.when(F.substring(x["piece"], x["size"] + 2, F.lit(1)) == "%", 1).otherwise(0)
+        return F.substring(x["piece"], F.lit(1), size)
+
+    sized = F.transform(pieces, lambda p: F.struct(p.alias("piece"), balanced(p).alias("size")))
+    return F.transform(F.filter(sized, lambda x: x["size"].isNotNull()), content)
 
 
 def program_output(text: Column) -> Column:
@@ -218,61 +224,105 @@ def program_output(text: Column) -> Column:
 
 
 def last_number(text: Column) -> Column:
-    found = F.regexp_extract_all(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=\d),(?=\d)", ""), F.lit(r"-?\d*\.?\d+"), 0)
+    """The last number, commas left out; empty without one."""
+    found = F.regexp_extract_all(F.replace(F.coalesce(text, F.lit("")), F.lit(","), F.lit("")), F.lit(r"-?\d*\.?\d+"), 0)
     return F.when(F.size(found) > 0, F.element_at(found, -1)).otherwise(F.lit(""))
 
 
-def free_answer(text: Column) -> Column:
-    """The answer of free-form text: a marked final answer, the last box, a phrase, a program's output, the last number."""
+def free_answers(text: Column) -> Column:
+    """All answers of free-form text in normal form: a marked final answer, else every box, else what follows the last phrase, else a program's output, else the last number."""
     text = F.coalesce(text, F.lit(""))
-    boxes = boxed_answers(text)
-    final = F.regexp_extract(text, r"final answer is \$(.*?)\$\. I hope", 1)
-    phrase = F.when(text.contains("he answer is"), F.substring_index(text, "he answer is", -1))
-    output = F.when(program_output(text) != "", program_output(text))
-    raw = F.coalesce(F.when(final != "", final), F.when(F.size(boxes) > 0, F.element_at(boxes, -1)), phrase, output, last_number(text))
-    line = F.element_at(F.split(stripped(raw), "\n"), 1)
-    return math_normal(F.regexp_replace(F.regexp_replace(line, r"^[:\s]+", ""), r"[./\s]+$", ""))
+    opening, closing = "final answer is $", "$. I hope"
+    rest = F.substring(text, F.instr(text, opening) + len(opening), F.length(text))
+    final = F.when(text.contains(opening) & text.contains(closing), F.array(stripped(F.substring_index(rest, closing, 1))))
+    boxed = F.when(text.contains("boxed"), boxed_answers(text))
+    phrase = F.when(text.contains("he answer is"), F.array(stripped(F.substring_index(text, "he answer is", -1))))
+    other = F.coalesce(F.nullif(program_output(text), F.lit("")), last_number(text))
+    raw = F.coalesce(final, boxed, phrase, F.filter(F.array(other), lambda x: x != ""))
+
+    def normal(answer: Column) -> Column:
+        line = F.substring_index(stripped(answer), "\n", 1)
+        return math_normal(F.regexp_replace(F.regexp_replace(F.regexp_replace(line, r"^:+", ""), r"\.+\z", ""), r"/+\z", ""))
+
+    return F.transform(raw, normal)
+
+
+def free_answer(text: Column) -> Column:
+    """The last of the answers of free-form text, empty without one."""
+    found = free_answers(text)
+    return F.when(F.size(found) > 0, F.element_at(found, -1)).otherwise(F.lit(""))
 
 
-#: Ordered rewrites of the math normaliser: (pattern, replacement).
+#: Of a plain fraction: a whole number as it is usually written, or anything with a root.
+_SIDE = r"(0|-?[1-9]\d*|[^/]*sqrt[^/]*)"
+#: No fraction without braces is cut short: else all stay as they are.
+_FRACTIONS_END = r"\A(?!.*\\frac[^{]?(?:\\frac|\z))"
+#: Ordered rewrites of the math normaliser: (pattern, replacement, condition on the text before or None).
 _MATH = (
-    (r"\n", ""),
-    (r"\.+$", ""),
-    (r"\\!", ""),
-    (r"\\ ", ""),
-    (r"\\[dt]frac", r"\\frac"),
-    (r"\\left|\\right", ""),
-    (r"\\text\{\s*(?:cm|mm|m|km|inches|units|degrees|dollars|square units)\s*\}(?:\^\d)?", ""),
-    (r"\^\{?\\circ\}?", ""),
-    (r"\\\$|\$", ""),
-    (r"\\%|%", ""),
-    (r"\\(?:text|mbox|mathrm)\{([^{}]*)\}", "$1"),
-    (r"(?<![\d.])\.(?=\d)", "0."),
-    (r"(\d+)\.0+(?!\d)", "$1"),
-    (r"(\.\d*[1-9])0+(?!\d)", "$1"),
-    (r"\\sqrt\s*([0-9A-Za-z])", r"\\sqrt{$1}"),
-    (r"\\tan\s+(?=\w)", r"\\tan"),
-    (r"\\frac\s*([0-9A-Za-z])\s*([0-9A-Za-z])", r"\\frac{$1}{$2}"),
-    (r"\\frac\{([^{}]+)\}\s*([0-9A-Za-z])", r"\\frac{$1}{$2}"),
-    (r"\\frac\s*([0-9A-Za-z])\s*\{", r"\\frac{$1}{"),
-    (r"^[a-z]\s*=\s*(?=.)", ""),
-    (r"\s+", ""),
-    (r"^(-?\d+)/(\d+)$", r"\\frac{$1}{$2}"),
-    (r"^0\.5$", r"\\frac{1}{2}"),
+    # ends and line breaks
+    (r"\A\s+|\s+\z", "", None),
+    (r"\n", "", None),
+    (r"\.+\z", "", None),
+    (r"\\!", "", None),
+    # a text around everything, forms of fractions, sizes of brackets
+    (r"\A\\text\{(.*)\}\z", "$1", None),
+    (r"[tdc]frac", "frac", None),
+    (r"\\left|\\right", "", None),
+    # units: a text at the end unless it is all there is, degrees, lengths, times of day, tons
+    (r"\A((?!\\text\{).*?)\\text\{.*\}\z", "$1", None),
+    (r"\A\s+|\s+\z", "", None),
+    (r"\^\{\\circ\}|\^\\circ", "", None),
+    (r"\{[cm]?m\}(?:\^[23])?", "", None),
+    (r"\s*p\.m\.\s*\z", "", None),
+    (r"(\d)\s*t\s*\z", "$1", None),
+    (r"\A\s+|\s+\z", "", None),
+    # signs
+    (r"\\\$|\$", "", None),
+    (r"x\\in", "", None),
+    (r"\\%", "%", None),
+    (r"([ {])\.", "$10.", None),
+    (r"\\cdot", "", None),
+    (r"infinity", r"\\infty", None),
+    (r"inf", r"\\infty", r"\A(?!.*\\infty)"),
+    (r"\+\\inity", r"\\infty", None),
+    (r"\\mathbf|\\mathrm", "", None),
+    (r"\\mbox\{.*?\}", "", None),
+    (r"j", "i", r"\A[^i]*\z"),
+    # numbers
+    (r"(\d+)\.0+(\D|\z)", "$1$2", None),
+    (r"\A\.", "0.", None),
+    # arguments without braces
+    (r"\\(sqrt|tan)(-?[0-9.a-zA-Z]+)", r"\\$1{$2}", None),
+    (r"\\(sqrt|tan)\s+(\w+)\z", r"\\$1{$2}", None),
+    (r" ", "", None),
+    (r"\\frac([^{])\{", r"\\frac{$1}{", _FRACTIONS_END),
+    (r"\\frac([^{])([^{])", r"\\frac{$1}{$2}", _FRACTIONS_END),
+    (rf"\A{_SIDE}/{_SIDE}\z", r"\\frac{$1}{$2}", None),
+    # what is left at the end
+    (r"[\\,.]+\z", "", None),
 )
 
 
 def math_normal(text: Column) -> Column:
     """A canonical form of a math answer, by ordered rewrites."""
+
+    def rewritten(pattern: str, to: str, where: str) -> Callable[[Column], Column]:
+        return lambda x: F.when(x.rlike(where), F.regexp_replace(x, pattern, to)).otherwise(x)
+
     out = F.coalesce(text, F.lit(""))
-    for pattern, to in _MATH:
-        out = F.regexp_replace(out, pattern, to)
+    for pattern, to, where in _MATH:  # as a lambda's variable, the text so far stands once in the expression
+        out = F.regexp_replace(out, pattern, to) if where is None else F.get(F.transform(F.array(out), rewritten(pattern, to, where)), F.lit(0))
     return out
 
 
-def list_answers(text: Column) -> Column:
-    """Parts of an answer that lists several, separated by commas or ``\\text{and}``."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r",|\\text\{\s*and\s*\}"), stripped), lambda x: x != "")
+def list_answers(question: Column, text: Column) -> Column:
+    """All answers of free-form text; a question that asks for answers separated by commas has those without brackets split at commas, and others are split at ``\\text{and}``."""
+
+    def parts(answer: Column) -> Column:
+        commas = question.contains("separated by commas") & ~answer.rlike(r"[()\[\]]")
+        return F.transform(F.when(F.coalesce(commas, F.lit(False)), F.split(answer, ",")).otherwise(F.split(answer, r"\\text\{\s*and\s*\}")), stripped)
+
+    return F.flatten(F.transform(free_answers(text), parts))
 
 
 #: Answer forms of evaluation suites: (cut before, pattern of the answer or None for the last number).

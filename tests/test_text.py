@@ -75,7 +75,11 @@ said before
 ### A heading that has far too many words to be a code at all here
 ### The reasoning behavior is observed in OUTPUT B
 ### Verification:
+### Output A planning
+### Final check
 ### The reasoning behavior is observed in OUTPUT B
+### Conclusion first
+### Whether this counts
 ### Backtracking
 ### The reasoning behavior is observed in OUTPUT B"""
 
@@ -83,22 +87,30 @@ said before
 def test_parse_presence_resets_on_reopening(spark):
     rows = spark.createDataFrame([("s", PRESENCE), ("none", "### The reasoning behavior is observed in OUTPUT A"), ("null", None)], "sample_id string, annotation string")
     got = {(r.sample_id, r.code_name, r.side): r.present for r in an.parse_presence(rows).collect()}
-    assert got == {("s", "Backtracking", "a"): False, ("s", "Backtracking", "b"): True, ("s", "Verification", "a"): False, ("s", "Verification", "b"): True}
+    held = {"Backtracking": True, "Final check": True, "Conclusion first": False, "Whether this counts": False}
+    assert got == {("s", c, s): s == "b" and b for c, b in held.items() for s in "ab"}
 
 
 COUNTS = """### **Restating**
 Count in OUTPUT A: 4
 It is not observed in OUTPUT B.
+### Whether this behavior is used
+### How many times it is used
 ### Guessing
 It is observed in OUTPUT A
-Count in OUTPUT B: **2**
-It is observed in OUTPUT B"""
+Count in OUTPUT B: 2, not observed in output a or not, is observed in OUTPUT B
+### Conclusion
+Count in OUTPUT A: **3**
+### Guessing again
+### Guessing
+It is observed in OUTPUT A
+count in output b:2"""
 
 
 def test_parse_counts_in_order(spark):
     rows = spark.createDataFrame([("s", COUNTS)], "sample_id string, annotation string")
     got = {(r.code_name, r.side): r.cnt for r in an.parse_counts(rows).collect()}
-    assert got == {("Restating", "a"): 4, ("Restating", "b"): 0, ("Guessing", "a"): 1, ("Guessing", "b"): 2}
+    assert got == {("Restating", "a"): 4, ("Restating", "b"): 0, ("Guessing", "a"): 1, ("Guessing", "b"): 2, ("Conclusion", "a"): 0, ("Conclusion", "b"): 0, ("Guessing again", "a"): 0, ("Guessing again", "b"): 0}
 
 
 @pytest.mark.parametrize(
@@ -152,28 +164,101 @@ def test_grade_choice(spark):
     assert [r.correct for r in fx.grade_choice(rows).collect()] == [True, False, False]
 
 
-@pytest.mark.parametrize(
-    ("text", "want"),
-    [
-        ("\\boxed{\\dfrac{1}{2}}", "\\frac{1}{2}"),
-        ("x \\boxed{\\frac12} y \\boxed{3.50}", "3.5"),
-        ("final answer is $3/4$. I hope it helps", "\\frac{3}{4}"),
-        ("The answer is: 12.\nmore", "12"),
-        ("so we get 1,234 apples", "1234"),
-        ("```output\n7\n```", "7"),
-        ("\\boxed{5\\text{ cm}}", "5"),
-        ("\\boxed{\\sqrt2}", "\\sqrt{2}"),
-        ("\\boxed{x = 5}", "5"),
-        ("\\boxed{0.5}", "\\frac{1}{2}"),
-        (None, ""),
-    ],
-)
-def test_free_answer(spark, text, want):
-    assert one(spark, fx.free_answer(F.col("t")), t=text) == want
+FREE = [
+    ("\\boxed{\\dfrac{1}{2}}", "\\frac{1}{2}"),
+    ("x \\boxed{\\frac12} y \\boxed{3.50}", "3.50"),
+    ("final answer is $3/4$. I hope it helps", "\\frac{3}{4}"),
+    ("$. I hope so, the final answer is $7 apples", "7apples"),
+    ("The answer is: 12.\nmore", "12"),
+    ("The answer is 1. No, the answer is :: 5/.", "5"),
+    ("so we get 1,234 apples", "1234"),
+    ("at -.5 or so", "-.5"),
+    ("```output\n7\n```", "7"),
+    ("\\boxed{5\\text{ cm}}", "5"),
+    ("\\boxed{\\sqrt2}", "\\sqrt{2}"),
+    ("\\boxed{x = 5}", "x=5"),
+    ("\\boxed{0.5}", "0.5"),
+    ("\\boxed{50}%", "50}"),
+    ("a boxed result: 12", ""),
+    ("nothing", ""),
+    (None, ""),
+]
+
+
+def test_free_answer(spark):
+    rows = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(FREE)], "i int, t string").select("i", fx.free_answer(F.col("t")).alias("x")).orderBy("i").collect()
+    assert [r.x for r in rows] == [want for _, want in FREE]
+
+
+#: Answers and their normal forms, worked out by hand from the rules.
+MATH = [
+    (" 5 ", "5"),
+    ("5.", "5"),
+    ("5,", "5"),
+    ("1\n2", "12"),
+    ("7\\!8", "78"),
+    ("\\text{yes}", "yes"),
+    ("\\text{a} \\text{b}", "a}\\text{b"),
+    ("5\\text{ miles}", "5"),
+    ("12 \\text{sq} \\text{ m}", "12"),
+    ("\\dfrac12", "\\frac{1}{2}"),
+    ("\\tfrac{3}{4}", "\\frac{3}{4}"),
+    ("\\cfrac12", "\\frac{1}{2}"),
+    ("\\frac1{72}", "\\frac{1}{72}"),
+    ("\\frac{72}1", "\\frac{72}1"),
+    ("\\frac12+\\frac1{23}", "\\frac{1}{2}+\\frac{1}{23}"),
+    ("\\frac12+\\frac1", "\\frac12+\\frac1"),
+    ("\\left(1,2\\right)", "(1,2)"),
+    ("90^{\\circ}", "90"),
+    ("90^\\circ", "90"),
+    ("3{cm}^2", "3"),
+    ("4{m}", "4"),
+    ("7 t", "7"),
+    ("\\$5", "5"),
+    ("$x\\in[0,1]$", "[0,1]"),
+    ("50\\%", "50%"),
+    (" .5", "0.5"),
+    ("\\frac{.5}{2}", "\\frac{0.5}{2}"),
+    ("3\\cdot4", "34"),
+    ("infinity", "\\infty"),
+    ("-inf", "-\\infty"),
+    ("inf, \\infty", "inf,\\infty"),
+    ("\\mathbf{x}", "{x}"),
+    ("\\mathrm{e}", "{e}"),
+    ("3\\mbox{ units}4", "34"),
+    ("2+3j", "2+3i"),
+    ("ij", "ij"),
+    ("2.00", "2"),
+    ("2.0x", "2x"),
+    ("2.50", "2.50"),
+    ("\\sqrt12", "\\sqrt{12}"),
+    ("\\sqrt 12", "\\sqrt{12}"),
+    ("\\sqrt{3}", "\\sqrt{3}"),
+    ("\\tan12", "\\tan{12}"),
+    ("\\tan x", "\\tan{x}"),
+    ("a b", "ab"),
+    ("3/4", "\\frac{3}{4}"),
+    ("-3/4", "\\frac{-3}{4}"),
+    ("03/4", "03/4"),
+    ("x/4", "x/4"),
+    ("\\sqrt{2}/2", "\\frac{\\sqrt{2}}{2}"),
+    ("1/2/3", "1/2/3"),
+    ("x=5", "x=5"),
+    ("0.5", "0.5"),
+    ("1\\\\", "1"),
+    ("", ""),
+]
+
+
+def test_math_normal(spark):
+    rows = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(MATH)], "i int, t string").select("i", fx.math_normal(F.col("t")).alias("x")).orderBy("i").collect()
+    assert [(MATH[r.i][0], r.x) for r in rows] == MATH
 
 
 def test_list_and_suite_answers(spark):
-    assert one(spark, fx.list_answers(F.col("t")), t="1, 2 \\text{and} 3") == ["1", "2", "3"]
+    lists = [("give them separated by commas", "\\boxed{1, 2} and \\boxed{(3, 4)}", ["1", "2", "(3,4)"]), ("all", "\\boxed{1, 2 \\text{ and } 3}", ["1,2", "3"]), (None, "the answer is 1, 2", ["1,2"]), ("x", None, [])]
+    for question, text, want in lists:
+        assert one(spark, fx.list_answers(F.col("q"), F.col("t")), q=question, t=text) == want
     assert one(spark, fx.suite_answer(F.col("t"), "hash_number"), t="x\n#### 42\n\nQ 7") == "42"
     assert one(spark, fx.suite_answer(F.col("t"), "few_shot_number"), t="so 1 and 9\n\nQuestion: 7") == "9"
     assert one(spark, fx.suite_answer(F.col("t"), "phrase_letter"), t="the answer is (C) Q: no") == "C"
