@@ -110,6 +110,20 @@ def parse_decision(annotations: DataFrame, key: str = "sample_id", text: str = "
     return rows.select(key, "c.side", F.explode(F.split("c.codes", ", ")).alias("code_name"), "c.model").withColumn("code_name", stripped(clean_code_name(F.col("code_name")))).where("code_name <> ''")
 
 
+def parse_joint_decision(annotations: DataFrame, key: str = "sample_id", text: str = "annotation") -> DataFrame:
+    """(key, side, code_name, model): codes cited after the last ``###`` in the one sentence of each side, both of which must be there.
+
+    Its form: ``Because of (the) reasoning behaviors CODE, CODE, the author model of OUTPUT A
+    is MODEL.``, white space, and the same for OUTPUT B; a model's name has a hyphen.
+    """
+    tail = F.substring_index(F.coalesce(F.col(text), F.lit("")), "###", -1)
+    said = [rf"Because of (?:the )?reasoning behaviors (.+?),\s*the author model of OUTPUT {x} is (\w+(?:-\w+)+)\." for x in "AB"]
+    pattern = r"\s*".join(said)
+    cited = [F.struct(F.lit(x).alias("side"), F.regexp_extract(tail, pattern, 2 * i + 1).alias("codes"), F.regexp_extract(tail, pattern, 2 * i + 2).alias("model")) for i, x in enumerate("ab")]
+    rows = annotations.select(key, F.explode(F.array(*cited)).alias("c")).where("c.model <> ''")
+    return rows.select(key, "c.side", F.explode(F.array_distinct(F.split("c.codes", ", "))).alias("code_name"), "c.model")
+
+
 def verdict_model(text: Column, side: str) -> Column:
     """The model that the verdict names as author of an output, ``unknown`` without one."""
     said = F.regexp_extract(F.coalesce(text, F.lit("")), rf"(?i)the author model of output {side} is:?\s+(.*?)(?:\. [A-Z]|\.?\s*$|,|\.?\n)", 1)
@@ -213,6 +227,18 @@ def similarity(one: str, two: str) -> int:
     return round(200 * row[-1] / (len(one) + len(two)))
 
 
+def token_set_similarity(one: str, two: str) -> int:
+    """The best similarity of: the common words, these and the first text's other words, these and the second's; words in lower case, without punctuation, sorted. A text whose words are all the other's scores 100."""
+    a, b = ({*re.sub(r"[^\w]|_", " ", x.lower()).split()} for x in (one, two))
+    if not a or not b:
+        return 0
+    common = sorted(a & b)
+    if common and (a <= b or b <= a):
+        return 100
+    parts = [" ".join(common), *(" ".join([*common, *sorted(x - set(common))]) for x in (a, b))]
+    return max(similarity(parts[1], parts[2]), *(similarity(parts[0], x) for x in parts[1:] if common), 0)
+
+
 def new_codes(text: str, existing: list[str], most: int = 9, longest: int = 2000, alike: int = 90) -> Iterator[tuple[str, str, str]]:
     """(action, name, definition) of one update text, in order. An update keeps the code's old name."""
     cut = text.lower().rfind("final output:")

@@ -325,23 +325,62 @@ def list_answers(question: Column, text: Column) -> Column:
     return F.flatten(F.transform(free_answers(text), parts))
 
 
-#: Answer forms of evaluation suites: (cut before, pattern of the answer or None for the last number).
+def _before(text: Column, mark: str) -> Column:
+    return F.substring_index(text, mark, 1)
+
+
+def _last_decimal(text: Column) -> Column:
+    found = F.regexp_extract_all(text, F.lit(r"-?\d+\.?\d*"), 0)
+    return F.when(F.size(found) > 0, F.element_at(found, -1)).otherwise(F.lit("[invalid]"))
+
+
+def _said_in_chinese(text: Column) -> Column:
+    """The line after the first mark of an answer; null without the mark."""
+    said = F.substring(text, F.instr(text, "答案是") + 3, F.length(text))
+    return F.when(text.contains("答案是"), stripped(_before(stripped(said), "\n")))
+
+
+def _final_letter(text: Column) -> Column:
+    letter = F.regexp_extract(F.lower(_before(text, "Problem:")), r"the final answer is \(?([abcd])\)?", 1)
+    return F.when(letter == "", F.lit("placeholder")).otherwise(F.upper(letter))
+
+
+def _hoped(text: Column) -> Column:
+    pattern = r"final answer is (.*)\. I hope it is correct."
+    head = _before(text, "Problem:")
+    return F.when(head.rlike(pattern), F.regexp_extract(head, pattern, 1)).otherwise(F.lit("[invalid]"))
+
+
+def _chinese_number(text: Column) -> Column:
+    head = _before(text, "问题：")
+    said = _said_in_chinese(head)
+    return F.when(said.isNotNull(), _last_decimal(said)).otherwise(free_answer(head))
+
+
+#: The answer of each evaluation suite: marks of the next question and of the answer are fixed values of the suites.
 SUITES = {
-    "few_shot_number": ("\n\nQuestion:", None),
-    "few_shot_letter": ("\n\nQuestion:", r"\(?([A-E])\)?(?=[.\s)]*$)"),
-    "phrase_letter": ("Q:", r"(?i)answer is \(?([A-E])"),
-    "phrase_text": ("\n\n", r"(?i)answer is:?\s*(.+)"),
-    "hash_number": ("\n\nQ", r"####\s*(-?[\d.,]+)"),
+    "single": free_answer,
+    "gsm_few_shot": lambda x: _last_decimal(_before(x, "Q: ")),
+    "gaokao_cloze": lambda x: F.coalesce(F.regexp_replace(_said_in_chinese(_before(x, "问题 ")), r"\A\$+|\$+\z", ""), F.lit("placeholder")),
+    "gaokao_choice": lambda x: F.coalesce(_said_in_chinese(_before(x, "问题 ")), F.lit("placeholder")),
+    "sat_few_shot": _final_letter,
+    "mmlu_stem": _final_letter,
+    "courses_few_shot": _hoped,
+    "formal_proof": lambda x: stripped(_before(x, "Informal:")),
+    "cmath_few_shot": _chinese_number,
 }
 
 
 def suite_answer(text: Column, suite: str) -> Column:
-    cut, pattern = SUITES[suite]
-    head = F.substring_index(F.coalesce(text, F.lit("")), cut, 1)
-    if pattern is None:
-        return last_number(head)
-    found = F.regexp_extract_all(head, F.lit(pattern), 1)
-    return F.when(F.size(found) > 0, stripped(F.element_at(found, -1))).otherwise(F.lit(""))
+    """The answer of a text by the rule of an evaluation suite; an unknown suite is an error."""
+    if suite not in SUITES:
+        raise ValueError(f"unknown suite {suite!r}; known: {', '.join(sorted(SUITES))}")
+    return SUITES[suite](F.coalesce(text, F.lit("")))
+
+
+def suite_list_answers(question: Column, text: Column) -> Column:
+    """The list of answers before the next problem."""
+    return list_answers(question, _before(F.coalesce(text, F.lit("")), "Problem:"))
 
 
 def grade(answers: DataFrame) -> DataFrame:

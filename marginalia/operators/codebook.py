@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.annotations import similarity
+from marginalia.functions.annotations import similarity, token_set_similarity
 from marginalia.functions.text import clean_code_name
 from marginalia.sources.scratch import saved
 
@@ -15,6 +17,9 @@ from . import stats
 from .vectors import chosen
 
 
+MOST_CANDIDATES = 20_000
+
+
 def embed_codes(codes: DataFrame, width: int = 768, tokens: int = 512) -> DataFrame:
     """(code_idx, dim, x): a hashed histogram of ``name: definition``, its first ``tokens`` words, at length 1."""
     words = F.slice(F.split(F.lower(F.concat("code_name", F.lit(": "), "definition")), r"\s+"), 1, tokens)
@@ -116,32 +121,39 @@ def latest(codes: DataFrame) -> DataFrame:
 def fuzzy_match(names: DataFrame, candidates: DataFrame, least: int = 90, mode: str = "character") -> DataFrame:
     """(name, candidate, score): the best candidate of each name at ``least`` or more, ties by candidate order.
 
-    ``candidates(ord, candidate)`` is a taxonomy's few hundred names. Pairs whose lengths
-    rule the score out don't meet. ``token`` compares the sorted words.
+    ``candidates(ord, candidate)`` is a taxonomy's few hundred names, at most MOST_CANDIDATES.
+    In ``character`` mode, pairs whose lengths rule the score out don't meet. ``token``
+    compares the sets of words (``token_set_similarity``).
     """
+    if candidates.limit(MOST_CANDIDATES + 1).count() > MOST_CANDIDATES:
+        raise ValueError(f"more than {MOST_CANDIDATES} candidates")
+    alike = token_set_similarity if mode == "token" else similarity
 
     @F.pandas_udf("int")
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        norm = (lambda s: " ".join(sorted(s.split()))) if mode == "token" else (lambda s: s)
-        memo: dict[tuple[str, str], int] = {}
-        return pd.Series([memo.setdefault((x, y), similarity(norm(x), norm(y))) for x, y in zip(a, b, strict=True)])
+        return pd.Series([alike(x, y) for x, y in zip(a, b, strict=True)])
 
     distinct = names.select("name").distinct()
     la, lb = F.length("name"), F.length("candidate")
-    met = distinct.join(F.broadcast(candidates), 2 * F.least(la, lb) >= (least - 0.5) / 100 * (la + lb))
+    met = distinct.join(F.broadcast(candidates), F.lit(True) if mode == "token" else 2 * F.least(la, lb) >= (least - 0.5) / 100 * (la + lb))
     rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "ord"))
     return met.withColumn("score", score("name", "candidate")).where(F.col("score") >= least).withColumn("rank", rank).where("rank = 1").select("name", "candidate", "score")
 
 
-def should_stop(rounds: DataFrame, max_codes: int | None = None, max_samples: int | None = None, patience: int | None = None, least_samples: int = 0) -> bool:
-    """The stop rule on ``rounds(round, codes, samples)``: enough codes or samples, or no change for ``patience`` rounds. One row reaches the driver."""
-    order = Window.orderBy("round")
+def stop_decisions(rounds: DataFrame, by: Sequence[str] = (), max_codes: int | None = None, max_samples: int | None = None, patience: int | None = None, least_samples: int = 0) -> DataFrame:
+    """(by, round, codes, samples, streak, stop) after the last of each run's ``rounds(by, round, codes, samples)``: enough codes or samples, or no change for ``patience`` rounds."""
+    order = Window.partitionBy(*by).orderBy("round")
     changed = F.coalesce((F.col("codes") != F.lag("codes").over(order)).cast("int"), F.lit(1))
-    marked = rounds.withColumn("island", F.sum(changed).over(order))
-    last = marked.groupBy("island").agg(F.count("*").alias("streak"), F.max("round").alias("round"), F.max("codes").alias("codes"), F.max("samples").alias("samples")).orderBy(F.desc("round")).first()
-    if last is None:
-        return False
-    return bool((max_codes and last["codes"] >= max_codes) or (max_samples and last["samples"] >= max_samples) or (patience and last["streak"] > patience and last["samples"] >= least_samples))
+    islands = rounds.withColumn("island", F.sum(changed).over(order)).groupBy(*by, "island").agg(F.count("*").alias("streak"), F.max("round").alias("round"), F.max("codes").alias("codes"), F.max("samples").alias("samples"))
+    last = islands.groupBy(*by).agg(F.max_by(F.struct("round", "codes", "samples", "streak"), "round").alias("last")).select(*by, "last.*").where("round IS NOT NULL")
+    rules = [F.col("codes") >= max_codes if max_codes else F.lit(False), F.col("samples") >= max_samples if max_samples else F.lit(False), (F.col("streak") > patience) & (F.col("samples") >= least_samples) if patience else F.lit(False)]
+    return last.withColumn("stop", rules[0] | rules[1] | rules[2])
+
+
+def should_stop(rounds: DataFrame, **limits: int | None) -> bool:
+    """The stop rule of one run. One row reaches the driver."""
+    found = stop_decisions(rounds, **limits).first()
+    return bool(found and found["stop"])
 
 
 def clean_names(codes: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.sources.tables import numbered, shuffled_rank
+from marginalia.sources.tables import numbered, shuffle_numbered, shuffled_rank
 
 
 def pair_traces(traces: DataFrame) -> DataFrame:
@@ -17,9 +17,10 @@ def pair_traces(traces: DataFrame) -> DataFrame:
 
 
 def model_pairs(models: DataFrame) -> DataFrame:
-    """Unordered pairs of a list of models, one row a model."""
-    one, two = models.select(F.col("model").alias("model_1")), models.select(F.col("model").alias("model_2"))
-    return one.join(F.broadcast(two), F.col("model_1") < F.col("model_2"))
+    """Unordered pairs of a list of models, one row a model: the list is short, and each model takes those after it."""
+    listed = models.agg(F.array_sort(F.collect_set("model")).alias("all"))
+    firsts = listed.select("all", F.posexplode("all").alias("at", "model_1"))
+    return firsts.select("model_1", F.explode(F.slice("all", F.col("at") + 2, F.size("all"))).alias("model_2"))
 
 
 def cross_model_pairs(first: DataFrame, second: DataFrame, batch: int = 2) -> DataFrame:
@@ -61,24 +62,23 @@ def densify(samples: DataFrame, codes: DataFrame, facts: DataFrame, keys: Sequen
 def shuffle_pairs(pairs: DataFrame, seed: int, key: str = "question_id", balance: bool = False) -> DataFrame:
     """``pairs(comparison, ...)`` with their place in a fixed shuffle and whether the sides swap: by a bit of the digest, or every second one."""
     rank = shuffled_rank(F.col(key), seed)
-    place = F.row_number().over(Window.partitionBy("comparison").orderBy(rank, key))
-    swap = place % 2 == 0 if balance else F.substring(rank, 32, 1).isin(*"13579bdf")
-    return pairs.withColumns({"place": place, "swap": swap})
+    placed = shuffle_numbered(pairs, ["comparison"], rank, key, "place").withColumn("place", (F.col("place") + 1).cast("int"))
+    return placed.withColumn("swap", F.col("place") % 2 == 0 if balance else F.substring(rank, 32, 1).isin(*"13579bdf"))
 
 
 def split_traces(rows: DataFrame, seed: int, warmup: int, share: float, strata: Sequence[str], key: str) -> DataFrame:
     """``rows`` with split: the first ``warmup`` of each stratum's shuffle, then ``share`` of the rest to train, what is left to eval."""
-    order = Window.partitionBy(*strata).orderBy(shuffled_rank(F.col(key), seed), key)
-    numbered_ = rows.withColumns({"__at": F.row_number().over(order), "__n": F.count("*").over(Window.partitionBy(*strata))})
-    train = F.floor((F.col("__n") - warmup) * share)
-    return numbered_.withColumn("split", F.when(F.col("__at") <= warmup, "warmup").when(F.col("__at") <= warmup + train, "train").otherwise("eval")).drop("__at", "__n")
+    placed = shuffle_numbered(rows, strata, shuffled_rank(F.col(key), seed), key, "at_", "n_")
+    train = F.floor((F.col("n_") - warmup) * share)
+    return placed.withColumn("split", F.when(F.col("at_") < warmup, "warmup").when(F.col("at_") < warmup + train, "train").otherwise("eval")).drop("at_", "n_")
 
 
 def accumulation_rounds(rows: DataFrame, k: int, epochs: int, seed: int, keys: Sequence[str], key: str) -> DataFrame:
     """Each epoch deals all rows in a new order into rounds of k."""
     turned = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    order = Window.partitionBy(*keys, "epoch").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("epoch").cast("string"), F.lit(":"), F.col(key).cast("string"))), key)
-    return turned.withColumn("round", F.floor((F.row_number().over(order) - 1) / k))
+    rank = F.md5(F.concat(F.lit(f"{seed}:"), F.col("epoch").cast("string"), F.lit(":"), F.col(key).cast("string")))
+    placed = shuffle_numbered(turned, [*keys, "epoch"], rank, key, "round")
+    return placed.withColumn("round", F.floor(F.col("round") / k))
 
 
 def update_draws(rows: DataFrame, draws: DataFrame, seed: int, index: str) -> DataFrame:
@@ -99,9 +99,11 @@ def shuffled_choices(questions: DataFrame, key: str, choices: str) -> DataFrame:
 
 
 def few_shot(rows: DataFrame, k: int, seed: int, keys: Sequence[str], key: str) -> DataFrame:
-    """k samples of each group by a fixed shuffle."""
-    order = Window.partitionBy(*keys).orderBy(shuffled_rank(F.col(key), seed), key)
-    return rows.withColumn("shot", F.row_number().over(order)).where(F.col("shot") <= k)
+    """k samples of each group by a fixed shuffle: the first k of each of the digest's 256 ranges, then of these."""
+    ranked = rows.withColumn("rank_", shuffled_rank(F.col(key), seed)).withColumn("range_", F.substring("rank_", 1, 2))
+    first = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy("rank_", key))
+    near = ranked.withColumn("shot", first([*keys, "range_"])).where(F.col("shot") <= k)
+    return near.withColumn("shot", first(keys)).where(F.col("shot") <= k).drop("rank_", "range_")
 
 
 def repeated(rows: DataFrame, n: int, out: str = "run") -> DataFrame:

@@ -201,7 +201,13 @@ def code_correctness(facts: DataFrame, status: DataFrame) -> DataFrame:
     return graded.groupBy(*CODE).agg(F.count("*").alias("n"), F.sum("x").alias("held"), r6(F.corr("x", "y")).alias("correlation"), r6(both / F.nullif(either, F.lit(0))).alias("jaccard"), r6(both * 100 / F.nullif(F.sum("x"), F.lit(0))).alias("percent"))
 
 
+def held_ids(facts: DataFrame) -> DataFrame:
+    """(model, code_name, question_id): a row for each trace that holds a code, as many as there are."""
+    return facts.where("cnt > 0").select("model", "code_name", "question_id")
+
+
 def ids_by_model_rule(facts: DataFrame) -> DataFrame:
+    """All ids of a model and code in one array, for taxonomies of few traces; ``held_ids`` has no such bound."""
     return facts.where("cnt > 0").groupBy("model", "code_name").agg(F.array_sort(F.collect_list("question_id")).alias("ids"))
 
 

@@ -29,7 +29,8 @@ def impute_simple(facts: DataFrame, method: str = "mean", constant: float = 0.0,
             fill = facts.groupBy(*by).agg((F.avg("cnt") if method == "mean" else F.expr("percentile(cnt, 0.5)")).alias("fill"))
         else:
             raise ValueError(f"unknown imputation: {method}")
-        filled = facts.join(fill.hint("shuffle_merge"), by, "left").withColumn("value", F.coalesce(F.col("cnt").cast("double"), "fill", F.lit(0.0))).drop("fill")
+        known = facts.join(F.broadcast(fill), by, "left")  # a row a model and code of the taxonomy
+        filled = known.withColumn("value", F.coalesce(F.col("cnt").cast("double"), "fill", F.lit(0.0))).drop("fill")
     return filled.withColumn("value", F.bround("value")) if rounded else filled
 
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.functions.annotations import verdict_model
+from marginalia.functions.annotations import extract_sequence, split_sections, verdict_model
 from marginalia.operators import classify, codebook, pairs, stats
 from marginalia.sources import tables as t
 from marginalia.sources.scratch import saved
@@ -28,7 +28,7 @@ def status_sets(parts: Iterable[DataFrame]) -> DataFrame:
 
 def evaluate(method: str, train: DataFrame, test: DataFrame) -> DataFrame:
     """(comparison, n, n_correct, accuracy) of a classifier on held-out pairs."""
-    return stats.accuracy(classify.resolve(classify.classify(method, train, test)), ["comparison"])
+    return stats.accuracy(resolved(method, train, test), ["comparison"])
 
 
 def compare(methods: Iterable[str], train: DataFrame, test: DataFrame) -> DataFrame:
@@ -140,6 +140,27 @@ def directions(facts: DataFrame) -> DataFrame:
     return found.select(F.col("comparison").alias("train_on")).join(F.broadcast(found.select(F.col("comparison").alias("test_on"))), F.col("train_on") != F.col("test_on"))
 
 
+def evaluate_averaged(method: str, train: DataFrame, runs: DataFrame) -> DataFrame:
+    """(comparison, n, n_correct, accuracy) on reruns of held-out facts, ``runs(comparison, question_id, side, doc_id, run, code_idx, cnt)``, their counts averaged."""
+    keys = ["comparison", "question_id", "side", "doc_id", "code_idx"]
+    return evaluate(method, train, runs.groupBy(*keys).agg(F.avg("cnt").alias("cnt")))
+
+
+def evaluate_runs(method: str, train: DataFrame, runs: DataFrame) -> DataFrame:
+    """Accuracy statistics of each comparison over reruns, each judged by itself; a (run, comparison) is a comparison of its own in one job."""
+    key = (F.col("run").cast("long") * 2**32 + F.col("comparison")).alias("comparison")
+    numbers = runs.select("run").distinct()  # a handful of reruns
+    fit = train.select("comparison", "side", "doc_id", "code_idx", "cnt").crossJoin(F.broadcast(numbers)).select(key, "side", "doc_id", "code_idx", "cnt")
+    outcomes = resolved(method, fit, runs.select(key, "question_id", "side", "doc_id", "code_idx", "cnt"))
+    split = outcomes.select(F.expr("int(comparison div 4294967296)").alias("run"), F.expr("int(comparison % 4294967296)").alias("comparison"), "outcome")
+    return stats.run_accuracy_stats(split, ["comparison"])
+
+
+def sequences_from_counts(annotations: DataFrame, codes: list[str], key: str = "sample_id") -> DataFrame:
+    """(key, side, pos, code_idx): the orders of behaviours in the sections of annotations that were made to count them."""
+    return extract_sequence(split_sections(annotations, key), codes, [key, "side"], "section")
+
+
 def seed_stability(facts: DataFrame, seeds: int, method: str = "naive_bayes_multinomial") -> DataFrame:
     """Accuracy statistics of each comparison over ``seeds`` splits; each (seed, comparison) is a comparison of its own in one job."""
     key = F.col("run").cast("long") * 2**32 + F.col("comparison")
@@ -221,7 +242,7 @@ def grow_taxonomy(spark: SparkSession, samples: DataFrame, seed_codes: list[str]
     restart costs at most a round. ``propose`` None keeps the taxonomy fixed.
     """
     codes, history, facts = list(seed_codes), [], None
-    dealt = _in_shares(samples, rounds) if per_round is None else samples.withColumn("round", F.floor((F.row_number().over(_by_shuffle()) - 1) / per_round))
+    dealt = _in_shares(samples, rounds) if per_round is None else _in_rounds(samples, per_round)
     rounded = saved(dealt, "rounds")
     for number in range(rounds):
         new = annotate(rounded.where(F.col("round") == number), codes)
@@ -246,7 +267,8 @@ def _in_shares(samples: DataFrame, rounds: int) -> DataFrame:
     return samples.join(shares.hint("shuffle_merge"), ["comparison", "question_id"])
 
 
-def _by_shuffle():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("comparison").orderBy(t.shuffled_rank(F.col("question_id"), 1), "question_id", "side")
+def _in_rounds(samples: DataFrame, per_round: int) -> DataFrame:
+    """``samples`` with round: each comparison's shuffled samples, ``per_round`` a round. Only keys are numbered, texts are joined once."""
+    keys = samples.select("comparison", "question_id", "side").withColumn("order_", F.col("question_id") * 2 + F.col("side"))
+    placed = t.shuffle_numbered(keys, ["comparison"], t.shuffled_rank(F.col("question_id"), 1), "order_", "round").select("comparison", "question_id", "side", F.floor(F.col("round") / per_round).alias("round"))
+    return samples.join(placed.hint("shuffle_merge"), ["comparison", "question_id", "side"])

@@ -1,4 +1,4 @@
 """All queries of the library; importing this registers them."""
 
-from . import model_queries, stat_queries, text_queries  # noqa: F401
+from . import answer_queries, experiment_queries, model_queries, stat_queries, text_queries  # noqa: F401
 from .catalog import QUERIES, SQL  # noqa: F401

@@ -21,15 +21,19 @@ PROMPT_SCHEMA = T.StructType(
 )
 
 
-def scan_traces(spark: SparkSession, base: str) -> DataFrame:
+def scan_traces(spark: SparkSession, base: str, files: str = "*/*.txt") -> DataFrame:
     """(model, question_id, question, thinking, answer) of a folder with one folder a model and one text file a question.
 
     Files of other kinds and raw outputs are left out, and those without a question id.
+    ``files`` says how they lie under ``base``: the first folder is the model's, the name
+    may be a folder's too, and ``key=`` before a name (a partitioned table) is no part of it.
     """
-    files = spark.read.text(f"{base}/*/*.txt", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    found = spark.read.text(f"{base}/{files}", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    deep = files.count("/")
+    name = F.regexp_extract("path", rf"((?:/[^/]+){{{deep}}})$", 1)
     id_ = F.coalesce(F.nullif(F.regexp_extract(name, r"question_id_(\d+)", 1), F.lit("")), F.nullif(F.regexp_extract(name, r"question_id_sample_(\d+)", 1), F.lit("")))
-    rows = files.where(~name.contains("raw_output")).select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("model"), id_.alias("question_id"), "value").where("question_id IS NOT NULL")
+    model = F.regexp_extract("path", rf"/(?:[^/=]+=)?([^/]+)(?:/[^/]+){{{deep}}}$", 1)
+    rows = found.where(~name.contains("raw_output")).select(model.alias("model"), id_.alias("question_id"), "value").where("question_id IS NOT NULL")
     return parse_traces(rows)
 
 
@@ -41,10 +45,11 @@ def parse_traces(rows: DataFrame, value: str = "value") -> DataFrame:
     return rows.select(*(c for c in rows.columns if c != value), fx.section(F.col(value), "QUESTION").alias("question"), thinking.alias("thinking"), answer.alias("answer"))
 
 
-def scan_json_tasks(spark: SparkSession, folder: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(tasks by file stem, unreadable files): a JSON object a file."""
-    parsed = spark.read.schema(f"{schema}, _corrupt_record string").json(f"{folder}/*.json", multiLine=True, mode="PERMISSIVE")
-    read = saved(parsed.withColumn("task", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1)), "tasks")
+def scan_json_tasks(spark: SparkSession, folder: str, schema: str, files: str = "*.json") -> tuple[DataFrame, DataFrame]:
+    """(tasks by file stem, unreadable files): a JSON object a file. In a table partitioned by task, the folder has the name."""
+    parsed = spark.read.schema(f"{schema}, _corrupt_record string").json(f"{folder}/{files}", multiLine=True, mode="PERMISSIVE")
+    pattern = r"/task=([^/]+)/[^/]+$" if "task=" in files else r"([^/]+)\.json$"
+    read = saved(parsed.withColumn("task", F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)), "tasks")
     return read.where("_corrupt_record IS NULL").drop("_corrupt_record"), read.where("_corrupt_record IS NOT NULL").select("task", "_corrupt_record")
 
 
@@ -61,11 +66,11 @@ def with_choice_orders(traces: DataFrame, orders: DataFrame, keys: list[str]) ->
     return traces.join(orders.select(*keys, "choice_order"), keys, "left")
 
 
-def scan_experiment_stats(spark: SparkSession, base: str, ignore: tuple[str, ...] = ()) -> DataFrame:
-    """(dataset, model, full_rate, partial_rate) of folders ``DATASET_intervention_experiment/MODEL``."""
-    files = spark.read.text(f"{base}/*_intervention_experiment/*/*.txt", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    pattern = r"([^/]+)_intervention_experiment/([^/]+)/[^/]+$"
-    rows = files.select(F.regexp_extract("path", pattern, 1).alias("dataset"), F.regexp_extract("path", pattern, 2).alias("model"), fx.parse_stats(F.col("value")).alias("r"))
+def scan_experiment_stats(spark: SparkSession, base: str, ignore: tuple[str, ...] = (), files: str = "*_intervention_experiment/*/*.txt") -> DataFrame:
+    """(dataset, model, full_rate, partial_rate) of folders ``DATASET_intervention_experiment/MODEL``; ``key=`` before a name is no part of it."""
+    found = spark.read.text(f"{base}/{files}", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    pattern = r"/(?:[^/=]+=)?([^/=]+)_intervention_experiment/(?:[^/=]+=)?([^/]+)/[^/]+$"
+    rows = found.select(F.regexp_extract("path", pattern, 1).alias("dataset"), F.regexp_extract("path", pattern, 2).alias("model"), fx.parse_stats(F.col("value")).alias("r"))
     return rows.where(~F.col("model").isin(*ignore) if ignore else F.lit(True)).select("dataset", "model", "r.full_rate", "r.partial_rate")
 
 

@@ -35,6 +35,24 @@ def numbered(df: DataFrame, keys: Sequence[str], order: str, out: str, span: int
     return both.withColumn(out, F.col("__before") + F.col("__inside")).drop("__range", "__inside", "__before")
 
 
+def shuffle_numbered(df: DataFrame, keys: Sequence[str], rank: Column, key: str, out: str, size: str | None = None) -> DataFrame:
+    """``df`` with a number from 0 within ``keys`` by the hexadecimal digest ``rank``, ties by ``key``; with ``size``, also how many rows the keys have.
+
+    As ``numbered``: rows are numbered in the digest's 4096 ranges and the ranges' sizes summed.
+    """
+    ranged = df.withColumn("__rank", rank).withColumn("__range", F.substring("__rank", 1, 3))
+    sizes = ranged.groupBy(*keys, "__range").agg(F.count("*").alias("__n"))
+    whole = Window.partitionBy(*keys)
+    before = sizes.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__range").alias("__of"), (F.sum("__n").over(whole.orderBy("__range")) - F.col("__n")).alias("__before"), F.sum("__n").over(whole).alias("__size"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "__range").orderBy("__rank", key)) - 1
+    same = F.col("__range") == F.col("__of")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    both = ranged.withColumn("__inside", inside).join(before.hint("shuffle_merge"), same)
+    made = {out: F.col("__before") + F.col("__inside")} | ({size: F.col("__size")} if size else {})
+    return both.select(*df.columns, *(c.alias(n) for n, c in made.items()))
+
+
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, model, comparison, side, question_id, thinking): each source is a model, each two sources a comparison, the n-th trace of a model answers question n."""
     number = F.regexp_extract("source", r"(\d+)", 1).cast("int")

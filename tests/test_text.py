@@ -259,9 +259,42 @@ def test_list_and_suite_answers(spark):
     lists = [("give them separated by commas", "\\boxed{1, 2} and \\boxed{(3, 4)}", ["1", "2", "(3,4)"]), ("all", "\\boxed{1, 2 \\text{ and } 3}", ["1,2", "3"]), (None, "the answer is 1, 2", ["1,2"]), ("x", None, [])]
     for question, text, want in lists:
         assert one(spark, fx.list_answers(F.col("q"), F.col("t")), q=question, t=text) == want
-    assert one(spark, fx.suite_answer(F.col("t"), "hash_number"), t="x\n#### 42\n\nQ 7") == "42"
-    assert one(spark, fx.suite_answer(F.col("t"), "few_shot_number"), t="so 1 and 9\n\nQuestion: 7") == "9"
-    assert one(spark, fx.suite_answer(F.col("t"), "phrase_letter"), t="the answer is (C) Q: no") == "C"
+    suites = [
+        ("gsm_few_shot", "x 4 then -42.5 apples\nQ: 7", "-42.5"),
+        ("gsm_few_shot", "none", "[invalid]"),
+        ("single", "The answer is 9", "9"),
+        ("gaokao_cloze", "答案是 $3$ \n x 问题 9", "3"),
+        ("gaokao_cloze", "x", "placeholder"),
+        ("gaokao_choice", "答案是 A\n答案是 B", "A"),
+        ("sat_few_shot", "The final answer is (c). Problem: the final answer is a", "C"),
+        ("mmlu_stem", "no", "placeholder"),
+        ("courses_few_shot", "final answer is 3 eV. I hope it is correct.", "3 eV"),
+        ("courses_few_shot", "3 eV", "[invalid]"),
+        ("formal_proof", " by simp \nInformal: x", "by simp"),
+        ("cmath_few_shot", "答案是：12.5。问题：7", "12.5"),
+        ("cmath_few_shot", "答案是 x", "[invalid]"),
+        ("cmath_few_shot", "so \\boxed{8}", "8"),
+    ]
+    for suite, text, want in suites:
+        assert one(spark, fx.suite_answer(F.col("t"), suite), t=text) == want
+    assert one(spark, fx.suite_list_answers(F.lit("separated by commas"), F.col("t")), t="\\boxed{1,2} Problem: \\boxed{3}") == ["1", "2"]
+    with pytest.raises(ValueError, match="unknown suite"):
+        fx.suite_answer(F.lit("x"), "none")
+
+
+def test_joint_decision(spark):
+    good = "### x\n### y\nBecause of the reasoning behaviors a b, c, the author model of OUTPUT A is m-1. Because of reasoning behaviors d, d, the author model of OUTPUT B is m-2-x."
+    rows = spark.createDataFrame([("good", good), ("half", good.split(" Because of reasoning")[0]), ("null", None)], "sample_id string, annotation string")
+    got = {tuple(r) for r in an.parse_joint_decision(rows).collect()}
+    assert got == {("good", "a", "a b", "m-1"), ("good", "a", "c", "m-1"), ("good", "b", "d", "m-2-x")}
+
+
+def test_token_sets():
+    assert an.token_set_similarity("Going back", "back, going!") == 100
+    assert an.token_set_similarity("Going back", "going back to the start") == 100
+    assert an.token_set_similarity("", "x") == 0
+    assert an.token_set_similarity("ab", "cd") == 0
+    assert an.token_set_similarity("fuzzy bear", "fuzzy pear") == max(an.similarity("fuzzy bear", "fuzzy pear"), an.similarity("fuzzy", "fuzzy bear"))
 
 
 def test_injection_and_examples(spark):
