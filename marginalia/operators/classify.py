@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.sources.scratch import saved
+
 from .vectors import chosen
 
 OUTPUT = ("comparison", "question_id", "side")
@@ -143,13 +145,22 @@ def nearest_neighbours(queries: DataFrame, base: DataFrame, k: int, keys: tuple[
 
 
 def knn_vote(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
-    """The share of each model among the k nearest training vectors."""
+    """The share of each model among the k nearest training vectors.
+
+    Vectors of counts repeat: each distinct one looks for neighbours once, and of equal
+    training vectors only those with the k smallest ids can be among the k nearest, so the
+    work follows the distinct vectors, not the traces.
+    """
     from .stats import vectors
 
     queries = vectors(test).select("comparison", (F.col("question_id") * 2 + F.col("side")).alias("id"), "v")
-    base = vectors(train).select("comparison", (F.col("question_id") * 2 + F.col("side")).alias("id"), F.col("side").alias("label"), "v")
-    near = nearest_neighbours(queries, base, k, ("comparison",))
-    shares = near.groupBy("comparison", F.col("query").alias("id")).agg(F.avg((F.col("label") == 0).cast("double")).alias("p0"))
+    asked = saved(queries.groupBy("comparison", "v").agg(F.min("id").alias("query")), "asked")
+    first = F.row_number().over(Window.partitionBy("comparison", "v").orderBy("id"))
+    base = vectors(train).select("comparison", (F.col("question_id") * 2 + F.col("side")).alias("id"), F.col("side").alias("label"), "v").withColumn("nth", first).where(F.col("nth") <= k)
+    near = nearest_neighbours(asked.withColumnRenamed("query", "id"), base.drop("nth"), k, ("comparison",))
+    found = near.groupBy("comparison", "query").agg(F.avg((F.col("label") == 0).cast("double")).alias("p0"))
+    voted = saved(asked.join(found.hint("shuffle_merge"), ["comparison", "query"]).drop("query"), "votes")
+    shares = queries.join(voted.hint("shuffle_merge"), ["comparison", "v"])
     return shares.select("comparison", F.floor(F.col("id") / 2).alias("question_id"), (F.col("id") % 2).cast("int").alias("side"), "p0", (1 - F.col("p0")).alias("p1"))
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.sources.scratch import saved
+
 KEYS = ("comparison", "question_id", "side", "model", "doc_id")
 
 
@@ -37,29 +39,37 @@ def impute_simple(facts: DataFrame, method: str = "mean", constant: float = 0.0,
 def impute_knn(facts: DataFrame, k: int = 10) -> DataFrame:
     """Facts with ``value``: a missing count is the mean of the k nearest traces of its model that have the code.
 
-    Distance is Euclidean over shared codes, scaled by all / shared. Only traces with
-    gaps look for neighbours; each compares with the traces of its model and comparison.
+    Distance is Euclidean over shared codes, scaled by all / shared; ties go to the smaller
+    id. Equal vectors are one: only distinct vectors of a model and comparison meet, those
+    with gaps as targets, and a donor vector stands for its k smallest ids. The k nearest
+    traces are among those of the k nearest donor vectors, ordered by distance and first id.
     """
-    n_codes = facts.select("code_idx").distinct().agg(F.count("*").alias("width"))
-    base = facts.select("comparison", "model", "doc_id", "code_idx", "cnt")
-    holed = base.where("cnt IS NULL").select("comparison", "model", F.col("doc_id").alias("target"), "code_idx")
-    seeking = base.join(holed.select("comparison", "model", F.col("target").alias("doc_id")).distinct().hint("shuffle_merge"), ["comparison", "model", "doc_id"], "left_semi").where("cnt IS NOT NULL")
-    left = seeking.select("comparison", "model", F.col("doc_id").alias("target"), "code_idx", F.col("cnt").alias("x"))
-    right = base.where("cnt IS NOT NULL").select("comparison", "model", F.col("doc_id").alias("donor"), "code_idx", F.col("cnt").alias("y"))
-    gaps = left.join(right.hint("shuffle_merge"), ["comparison", "model", "code_idx"]).where("target <> donor")
-    sums = gaps.groupBy("comparison", "model", "target", "donor").agg(F.sum((F.col("x") - F.col("y")) * (F.col("x") - F.col("y"))).alias("ss"), F.count("*").alias("shared"))
-    near = sums.crossJoin(F.broadcast(n_codes)).withColumn("distance", F.sqrt(F.col("ss") * F.col("width") / F.col("shared")))
-    given = holed.join(near.select("target", "donor", "distance").hint("shuffle_merge"), "target").join(right.select("donor", "code_idx", "y").hint("shuffle_merge"), ["donor", "code_idx"])
-    rank = F.row_number().over(Window.partitionBy("target", "code_idx").orderBy("distance", "donor"))
-    means = given.withColumn("rank", rank).where(F.col("rank") <= k).groupBy(F.col("target").alias("doc_id"), "code_idx").agg(F.avg("y").alias("fill"))
+    by = ["comparison", "model"]
+    width = facts.agg(F.count_distinct("code_idx").alias("width"))
+    traces = saved(facts.groupBy(*by, "doc_id").agg(F.array_sort(F.collect_list(F.struct("code_idx", "cnt"))).alias("v")), "vectors")
+    nth = F.row_number().over(Window.partitionBy(*by, "v").orderBy("doc_id"))
+    donors = traces.withColumn("nth", nth).where(F.col("nth") <= k).groupBy(*by, F.col("v").alias("donor")).agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    targets = saved(traces.where(F.exists("v", lambda x: x["cnt"].isNull())).select(*by, F.col("v").alias("target")).distinct(), "targets")
+    both = targets.join(saved(donors, "donors").hint("shuffle_merge"), by)
+    cells = F.filter(F.transform(F.arrays_zip("target", "donor"), lambda p: F.when(p["target"]["code_idx"] == p["donor"]["code_idx"], p["target"]["cnt"] - p["donor"]["cnt"])), lambda x: x.isNotNull())
+    sums = both.withColumn("cells", cells).where(F.size("cells") > 0).crossJoin(F.broadcast(width))
+    near = sums.withColumn("distance", F.sqrt(F.aggregate("cells", F.lit(0).cast("long"), lambda s, x: s + x * x) * F.col("width") / F.size("cells"))).drop("cells", "width")
+    given = F.filter(F.transform(F.arrays_zip("target", "donor"), lambda p: F.when(p["target"]["cnt"].isNull(), p["donor"])), lambda x: x["cnt"].isNotNull())
+    offers = near.select(*by, "target", "distance", "ids", F.inline(given)).withColumnRenamed("cnt", "y")
+    rank = lambda *order: F.row_number().over(Window.partitionBy(*by, "target", "code_idx").orderBy(*order))
+    nearest = offers.withColumn("rank", rank("distance", F.col("ids")[0])).where(F.col("rank") <= k)
+    single = nearest.withColumn("donor_id", F.explode("ids")).withColumn("rank", rank("distance", "donor_id")).where(F.col("rank") <= k)
+    means = saved(single.groupBy(*by, F.col("target").alias("v"), "code_idx").agg(F.avg("y").alias("fill")), "fills")
     columns = impute_simple(facts, "mean").withColumnRenamed("value", "by_column")
-    return columns.join(means.hint("shuffle_merge"), ["doc_id", "code_idx"], "left").withColumn("value", F.coalesce(F.col("cnt").cast("double"), "fill", "by_column")).drop("fill", "by_column")
+    filled = columns.join(traces.select("doc_id", "v").hint("shuffle_merge"), "doc_id").join(means.hint("shuffle_merge"), [*by, "v", "code_idx"], "left")
+    return filled.withColumn("value", F.coalesce(F.col("cnt").cast("double"), "fill", "by_column")).drop("fill", "by_column", "v")
 
 
 def impute_iterative(facts: DataFrame, rounds: int = 10) -> DataFrame:
     """Facts with ``value``: each incomplete code is regressed on the others (ridge) in turn, from column means.
 
-    A driver loop of MLlib fits, one per incomplete code and round; only coefficients reach the driver.
+    A driver loop of MLlib fits, one per incomplete code and round; only coefficients reach
+    the driver. Each round is written, so that the lineage doesn't grow.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
@@ -67,6 +77,7 @@ def impute_iterative(facts: DataFrame, rounds: int = 10) -> DataFrame:
     start = impute_simple(facts, "mean")
     codes = [r[0] for r in start.select("code_idx").distinct().orderBy("code_idx").collect()]
     wide = start.groupBy(*KEYS).agg(*[F.max(F.when(F.col("code_idx") == c, F.col("value"))).alias(f"v{c}") for c in codes], *[F.bool_or((F.col("code_idx") == c) & F.col("cnt").isNull()).alias(f"m{c}") for c in codes])
+    wide = saved(wide, "wide")
     incomplete = [c for c in codes if not wide.where(f"m{c}").isEmpty()]
     for _ in range(rounds):
         for c in incomplete:
@@ -74,6 +85,7 @@ def impute_iterative(facts: DataFrame, rounds: int = 10) -> DataFrame:
             rows = others.transform(wide)
             model = LinearRegression(labelCol=f"v{c}", regParam=1e-3).fit(rows.where(f"NOT m{c}"))
             wide = model.transform(rows).withColumn(f"v{c}", F.when(F.col(f"m{c}"), F.col("prediction")).otherwise(F.col(f"v{c}"))).drop("features", "prediction")
+        wide = saved(wide, "wide")
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("code_idx"), F.col(f"v{c}").alias("value")) for c in codes)))
     return wide.select(*KEYS, pairs.alias("p")).select(*KEYS, "p.code_idx", "p.value")
 
