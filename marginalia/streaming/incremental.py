@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,13 +12,15 @@ from marginalia.functions.annotations import parse_counts
 from marginalia.sources.scratch import scratch_path
 
 FACT_KEYS = ("split", "model", "sample_id")
+_DELTAS = "split string, model string, code_name string, delta long"
+_STATE = "version int, codes string"
+_BETWEEN = "\x01"
 
 
 def annotation_facts(annotations: DataFrame) -> DataFrame:
-    """(split, model, sample_id, version, code_name, cnt) of ``annotations(split, model, sample_id, version, annotation)``; an annotation here is of one output, A."""
-    keyed = annotations.withColumn("__key", F.concat_ws("\x01", "split", "model", "sample_id", F.col("version").cast("string")))
-    counts = parse_counts(keyed, "__key").where("side = 'a'").drop("side")
-    return keyed.drop("annotation").join(counts.hint("shuffle_merge"), "__key").drop("__key")
+    """(split, model, sample_id, version, code_name, cnt) of ``annotations(split, model, sample_id, version, annotation)``; an annotation here is of one output, A. Nothing is shuffled."""
+    keyed = annotations.select(F.struct(*FACT_KEYS, "version").alias("key"), "annotation")
+    return parse_counts(keyed, "key").where("side = 'a'").select("key.*", "code_name", "cnt")
 
 
 def latest_facts(facts: DataFrame) -> DataFrame:
@@ -29,19 +34,35 @@ def code_counts(facts: DataFrame) -> DataFrame:
     return latest_facts(facts).groupBy("split", "code_name", "model").agg(F.count_if(F.col("cnt") > 0).alias("n"))
 
 
+def changed_codes(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+    """What a sample's newest annotation changes in the counts: +1 for a code it now holds, -1 for one it no longer holds, 0 for the others that it names. An annotation no newer than the known one changes nothing."""
+    rows = pd.concat(list(batches))
+    version = int(rows["version"].max())
+    known, codes = state.get if state.exists else (-1, "")
+    if version <= known:
+        return
+    before = set(codes.split(_BETWEEN)) if codes else set()
+    newest = rows[rows["version"] == version]
+    now, named = set(newest.loc[newest["cnt"] > 0, "code_name"]), set(newest["code_name"])
+    state.update((version, _BETWEEN.join(sorted(now))))
+    yield pd.DataFrame([(key[0], key[1], c, int(c in now) - int(c in before)) for c in sorted(named | before)], columns=["split", "model", "code_name", "delta"])
+
+
 def run_incremental(spark: SparkSession, source: str, schema: str, files_per_batch: int = 1) -> DataFrame:
-    """Counts after all files in ``source`` have gone through a stream, one micro-batch at a time.
+    """(split, code_name, model, n) after all files in ``source`` have gone through a stream, one micro-batch at a time.
 
-    A batch appends its facts under its number, so a batch that runs again after a
-    failure replaces its own files; counts are taken over the facts of the highest
-    versions. Appending keeps a batch's cost at its own size.
+    The stream's state has each sample's version and codes. A batch writes the changes
+    of the counts under its number, summed, so a batch that runs again after a failure
+    replaces its own file. Its cost is that of its own samples, and reading sums a row a
+    batch, code and model.
     """
-    store, marks = scratch_path(spark, "facts"), scratch_path(spark, "marks")
+    store, marks = scratch_path(spark, "deltas"), scratch_path(spark, "marks")
 
     def append(batch: DataFrame, number: int) -> None:
-        annotation_facts(batch).write.mode("overwrite").parquet(f"{store}/batch={number}")
+        batch.groupBy("split", "code_name", "model").agg(F.sum("delta").alias("delta")).write.mode("overwrite").parquet(f"{store}/batch={number}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    run = stream.writeStream.foreachBatch(append).option("checkpointLocation", marks).trigger(availableNow=True).start()
+    deltas = annotation_facts(stream).groupBy(*FACT_KEYS).applyInPandasWithState(changed_codes, _DELTAS, _STATE, "update", "NoTimeout")
+    run = deltas.writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", marks).trigger(availableNow=True).start()
     run.awaitTermination()
-    return code_counts(spark.read.parquet(store).drop("batch"))
+    return spark.read.parquet(store).groupBy("split", "code_name", "model").agg(F.sum("delta").alias("n"))
