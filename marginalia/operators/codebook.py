@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,50 +41,58 @@ def component_labels(edges: DataFrame) -> DataFrame:
     so chains halve; it runs until no label moves.
     """
     both = saved(edges.select(F.col("code_1").alias("a"), F.col("code_2").alias("b")).unionByName(edges.select(F.col("code_2").alias("a"), F.col("code_1").alias("b"))), "edges")
-    labels = both.select(F.col("a").alias("code_idx")).distinct().withColumn("component", F.col("code_idx"))
+    labels = saved(both.select(F.col("a").alias("code_idx")).distinct().withColumn("component", F.col("code_idx")), "labels")
     while True:
-        heard = both.join(labels.withColumnRenamed("code_idx", "b"), "b").groupBy(F.col("a").alias("code_idx")).agg(F.min("component").alias("heard"))
-        near = saved(labels.join(heard, "code_idx").select("code_idx", F.col("component").alias("before"), F.least("component", "heard").alias("component")), "labels")
+        heard = both.join(labels.withColumnRenamed("code_idx", "b").hint("shuffle_merge"), "b").groupBy(F.col("a").alias("code_idx")).agg(F.min("component").alias("heard"))
+        near = saved(labels.join(heard.hint("shuffle_merge"), "code_idx").select("code_idx", F.col("component").alias("before"), F.least("component", "heard").alias("component")), "labels")
         jump = near.select(F.col("code_idx").alias("component"), F.col("component").alias("further"))
-        after = saved(near.join(jump, "component").select("code_idx", F.least("component", "further").alias("component"), (F.least("component", "further") < F.col("before")).alias("moved")), "labels")
+        after = saved(near.join(jump.hint("shuffle_merge"), "component").select("code_idx", F.least("component", "further").alias("component"), (F.least("component", "further") < F.col("before")).alias("moved")), "labels")
         labels = after.select("code_idx", "component")
         if after.where("moved").isEmpty():
             return labels
 
 
-def average_linkage(names: list[int], cosine: dict[tuple[int, int], float], cut: float) -> list[list[int]]:
-    """Clusters by average linkage on cosine distance, merged while the nearest two are strictly below ``cut``; ties by smallest members."""
-    groups = [[x] for x in sorted(names)]
-    gap = lambda a, b: float(np.mean([1 - cosine.get((min(x, y), max(x, y)), 0.0) for x in a for y in b]))
-    while len(groups) > 1:
-        d, i, j = min((gap(a, b), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
-        if d >= cut:
-            break
-        groups[i] = sorted(groups[i] + groups.pop(j))
-    return groups
+def average_linkage(pairs: DataFrame, codes: DataFrame, cut: float) -> DataFrame:
+    """(code_idx, group) of ``codes(code_idx)``: clusters by average linkage on cosine distance, merged while the nearest two are strictly below ``cut``; a group is named by its smallest code.
 
+    ``pairs(a, b, s)``, a < b, has the cosines that aren't 0. In each round all pairs of
+    clusters merge that are each other's nearest (ties by smallest codes). A merged cluster
+    is no nearer to a third one than the nearer of its parts was, so these merges are those
+    that one merge at a time would make. Sums and sizes of clusters are all that moves.
+    """
+    members = saved(codes.select("code_idx", F.col("code_idx").alias("group")), "members")
+    pairs = saved(pairs.select("a", "b", "s"), "cluster-pairs")
+    while True:
+        sizes = saved(members.groupBy("group").agg(F.count("*").alias("n")), "sizes")
+        of = lambda x: sizes.select(F.col("group").alias(x), F.col("n").alias(f"n_{x}")).hint("shuffle_merge")  # noqa: E731, B023
+        gap = F.round(1 - F.col("s") / (F.col("n_a") * F.col("n_b")), 9)
+        near = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", gap.alias("gap")).where(F.col("gap") < cut)
+        best = near.withColumn("end", F.explode(F.array("a", "b"))).groupBy("end").agg(F.min(F.struct("gap", "a", "b")).alias("p"))
+        merged = saved(best.groupBy("p.a", "p.b").agg(F.count("*").alias("ends")).where("ends = 2").select("a", "b"), "merged")
+        if merged.isEmpty():
+            return members
+        into = lambda x: merged.select(F.col("b").alias(x), F.col("a").alias(f"{x}_into")).hint("shuffle_merge")  # noqa: E731, B023
+        members = saved(members.join(into("group"), "group", "left").select("code_idx", F.coalesce("group_into", "group").alias("group")), "members")
+        moved = pairs.join(into("a"), "a", "left").join(into("b"), "b", "left").select(F.coalesce("a_into", "a").alias("x"), F.coalesce("b_into", "b").alias("y"), "s")
+        pairs = saved(moved.where("x <> y").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("s").alias("s")), "cluster-pairs")
 
-def group_similar_codes(embedded: DataFrame, least: float = 0.85, size: int = 2) -> DataFrame:
-    """(group, code_idx) of clusters of ``size`` codes or more. A merge below the cut needs one pair below it, so clusters stay inside components."""
-    all_pairs = similar_codes(embedded, 1e-9)
-    labels = component_labels(all_pairs.where(F.col("cosine") > least))
-    of = lambda c: labels.select(F.col("code_idx").alias(c), F.col("component").alias(f"of_{c}"))
-    inside = all_pairs.join(of("code_1"), "code_1").join(of("code_2"), "code_2").where("of_code_1 = of_code_2")
-
-    def cluster(rows: pd.DataFrame) -> pd.DataFrame:
-        names = sorted({*rows["code_1"], *rows["code_2"]})
-        cosine = {(a, b): c for a, b, c in zip(rows["code_1"], rows["code_2"], rows["cosine"], strict=True)}
-        found = [g for g in average_linkage(names, cosine, 1 - least) if len(g) >= size]
-        return pd.DataFrame([(g[0], c) for g in found for c in g], columns=["group", "code_idx"])
 
-    return inside.select(F.col("of_code_1").alias("component"), "code_1", "code_2", "cosine").groupBy("component").applyInPandas(cluster, "group int, code_idx int")
+def group_similar_codes(embedded: DataFrame, least: float = 0.85, size: int = 2) -> DataFrame:
+    """(group, code_idx) of clusters of ``size`` codes or more. A merge below the cut needs one pair below it, so clusters stay inside components, and only codes of one component are compared again."""
+    labels = component_labels(similar_codes(embedded, least).where(F.col("cosine") > least))
+    inside = saved(embedded.join(labels.hint("shuffle_merge"), "code_idx"), "inside")
+    one, two = (inside.select(F.col("code_idx").alias(c), "component", "dim", F.col("x").alias(f"x_{c}")) for c in "ab")
+    pairs = one.join(two.hint("shuffle_merge"), ["component", "dim"]).where("a < b").groupBy("a", "b").agg(F.sum(F.col("x_a") * F.col("x_b")).alias("s"))
+    groups = average_linkage(pairs, labels, 1 - least)
+    large = saved(groups.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") >= size).select("group"), "groups")
+    return groups.join(large.hint("shuffle_merge"), "group").select("group", "code_idx")
 
 
 def merge_map(codes: DataFrame, groups: DataFrame) -> DataFrame:
     """(code_name, merged): each grouped code under the name of its group's first."""
-    named = groups.join(codes.select("code_idx", "code_name"), "code_idx")
+    named = saved(groups.join(codes.select("code_idx", "code_name").hint("shuffle_merge"), "code_idx"), "grouped-codes")
     first = named.groupBy("group").agg(F.min_by("code_name", "code_idx").alias("merged"))
-    return named.join(first, "group").select("code_name", "merged")
+    return named.join(first.hint("shuffle_merge"), "group").select("code_name", "merged")
 
 
 def without(codes: DataFrame, removed: DataFrame) -> DataFrame:

@@ -30,7 +30,61 @@ def test_average_linkage_and_groups(spark):
     rows = [(0, 0, 1.0), (1, 0, 0.99), (1, 1, math.sqrt(1 - 0.99**2)), (2, 2, 1.0), (3, 2, 0.98), (3, 3, math.sqrt(1 - 0.98**2)), (4, 5, 1.0)]
     found = codebook.group_similar_codes(spark.createDataFrame(rows, "code_idx int, dim int, x double"), 0.85)
     assert sorted((r.group, r.code_idx) for r in found.collect()) == [(0, 0), (0, 1), (2, 2), (2, 3)]
-    assert codebook.average_linkage([1, 2, 3], {(1, 2): 0.9, (2, 3): 0.9, (1, 3): 0.0}, 0.15) == [[1, 2], [3]]
+    assert one_merge_at_a_time([1, 2, 3], {(1, 2): 0.9, (2, 3): 0.9, (1, 3): 0.0}, 0.15) == [[1, 2], [3]]
+
+
+def one_merge_at_a_time(names, cosine, cut):
+    """Average linkage as it is defined."""
+    groups = [[x] for x in sorted(names)]
+    gap = lambda a, b: round(float(np.mean([1 - cosine.get((min(x, y), max(x, y)), 0.0) for x in a for y in b])), 9)
+    while len(groups) > 1:
+        d, i, j = min((gap(a, b), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
+        if d >= cut:
+            break
+        groups[i] = sorted(groups[i] + groups.pop(j))
+    return groups
+
+
+@pytest.mark.parametrize("cut", [0.3, 0.6, 0.9])
+def test_average_linkage_in_rounds(spark, cut):
+    rng = np.random.default_rng(int(cut * 10))
+    cosine = {(i, j): round(float(rng.random()), 3) for i in range(24) for j in range(i + 1, 24) if rng.random() < 0.6}
+    rows = spark.createDataFrame([(a, b, c) for (a, b), c in cosine.items()], "a int, b int, s double")
+    found = {}
+    for r in codebook.average_linkage(rows, spark.createDataFrame([(i,) for i in range(24)], "code_idx int"), cut).collect():
+        found.setdefault(r.group, []).append(r.code_idx)
+    assert sorted(sorted(x) for x in found.values()) == sorted(one_merge_at_a_time(range(24), cosine, cut))
+    assert all(g == min(x) for g, x in found.items())
+
+
+def test_groups_of_similar_items_against_all_merges(spark, data):
+    from marginalia.plans.text_queries import named_items
+
+    embedded = codebook.embed_codes(named_items(spark, data))
+    vectors_ = {}
+    for r in embedded.collect():
+        vectors_.setdefault(r.code_idx, {})[r.dim] = r.x
+    names = sorted(vectors_)
+    cosine = {(a, b): sum(x * vectors_[b].get(d, 0.0) for d, x in vectors_[a].items()) for a in names for b in names if a < b}
+    want = {(g[0], c) for g in one_merge_at_a_time(names, cosine, 1 - 0.35) if len(g) > 1 for c in g}
+    assert {(r.group, r.code_idx) for r in codebook.group_similar_codes(embedded, 0.35).collect()} == want
+
+
+def test_incremental_counts_follow_the_newest_annotations(spark, tmp_path):
+    """Several versions of a sample in one file, in later files, and late ones, against the counts over all newest versions."""
+    from marginalia.streaming import incremental
+
+    schema = "split string, model string, sample_id string, version int, annotation string"
+    note = lambda **counts: "\n".join(f"### {c}\nCount in OUTPUT A: {n}" for c, n in counts.items())
+    files = [
+        [("train", "m", "1", 1, note(x=1, y=0)), ("train", "m", "2", 3, note(x=2)), ("train", "m", "3", 1, note(x=1)), ("train", "m", "3", 2, note(y=4))],
+        [("train", "m", "1", 2, note(x=0, y=5, z=1)), ("train", "m", "2", 1, note(y=9)), ("eval", "m", "1", 1, note(x=1))],
+        [("train", "m", "1", 2, note(x=7)), ("train", "k", "1", 1, None), ("train", "m", "3", 5, note(y=0))],
+    ]
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = {(r.split, r.code_name, r.model): r.n for r in incremental.run_incremental(spark, str(tmp_path / "in"), schema).collect()}
+    assert got == {("train", "x", "m"): 1, ("train", "y", "m"): 1, ("train", "z", "m"): 1, ("eval", "x", "m"): 1}
 
 
 def test_fuzzy_match_ties_go_to_the_first(spark):
