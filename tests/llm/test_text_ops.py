@@ -112,6 +112,63 @@ def test_packing_is_whole_and_near_its_bound(spark, data):
     assert len(sequences) <= packing.lower_bound(lengths, 512) + 3
 
 
+def test_the_registered_packing(spark, data):
+    """op3 on all documents against the library's ids, and how far from the least number of sequences it may be."""
+    lib = library(queries.BYTE_BPE)
+    want = {r.doc_id: np.array([*lib.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4") for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    df = queries.op3_best_fit_packing(spark, data)
+    rows, seen, filled = df.collect(), defaultdict(list), defaultdict(list)
+    for r in rows:
+        assert r.ids_crc32 == zlib.crc32(want[r.doc_id][r.start : r.start + r.length].tobytes())
+        seen[r.doc_id].append((r.piece, r.start, r.length))
+        filled[r.sequence_id].append((r.offset, r.length))
+    assert seen.keys() == want.keys()
+    for doc, parts in seen.items():
+        parts.sort()
+        assert [p for p, _, _ in parts] == list(range(len(parts))) and sum(n for _, _, n in parts) == len(want[doc])
+        assert all(n == 2048 for p, _, n in parts if p) and parts[0][2] <= 2048
+    for parts in filled.values():
+        parts.sort()
+        assert [a for a, _ in parts] == np.cumsum([0, *(n for _, n in parts)])[:-1].tolist() and sum(n for _, n in parts) <= 2048
+    proof = packing.certificate(df).first()
+    assert proof.pieces == len(rows) and proof.sequences == len(filled)
+    assert proof.bound <= proof.sequences <= proof.bound + max(1, proof.bound // 100)
+
+
+def test_the_registered_token_files(spark, data):
+    """op8 on all documents against the library."""
+    lib, at, want = library(queries.BYTE_BPE), 0, []
+    for r in sorted(spark.read.parquet(f"{data}/documents.parquet").collect(), key=lambda r: r.doc_id):
+        ids = np.array([*lib.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4")
+        want.append((r.doc_id, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert sorted(tuple(r) for r in queries.op8_token_files(spark, data).select("doc_id", "start", "n_tokens", "ids_crc32").collect()) == want
+
+
+def test_the_registered_token_counts(spark, data):
+    """op6 on all documents against a plain best segmentation of each word."""
+    trie = token_counts.unigram_trie(queries.PIECES)
+    scores, known = trie.scores, {}
+
+    def best(word):
+        if word not in known:
+            rows = [(0, 0)]
+            for end in range(1, len(word) + 1):
+                options = [(rows[start][0] + scores[word[start:end]], rows[start][1] - 1) for start in range(max(0, end - trie.longest), end) if word[start:end] in scores]
+                if word[end - 1] not in scores:
+                    n = len(word[end - 1].encode())
+                    options.append((rows[end - 1][0] + n * trie.unknown, rows[end - 1][1] - n))
+                rows.append(max(options))
+            known[word] = rows[-1]
+        return known[word]
+
+    got = {r.doc_id: (r.n_pre_tokens, r.n_tokens, r.score) for r in queries.op6_token_counts(spark, data).collect()}
+    for r in spark.read.parquet(f"{data}/documents.parquet").collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+        found = [best(token_counts.MARK + w) for w in words]
+        assert got[r.doc_id] == (len(words), -sum(t for _, t in found), sum(s for s, _ in found))
+
+
 def test_bounds_and_best_fit():
     assert packing.lower_bound(np.array([6, 6, 6]), 10) == 3
     assert packing.lower_bound(np.array([5, 5, 5]), 10) == 2
