@@ -2,10 +2,13 @@
 
 A pre-token is a word with the word-start mark. Its count is that of the best
 segmentation into vocabulary pieces (highest sum of scores, then fewest tokens).
-The distinct pre-tokens of a batch go into a trie, here as a sorted list whose
-neighbours share their prefix's rows: the forward score of each prefix is
-computed once however many pre-tokens begin with it, and the count at each
-pre-token's end is stored. A worker remembers the counts of recent pre-tokens.
+The distinct pre-tokens of a batch go into a trie: the forward score of each prefix
+is computed once however many pre-tokens begin with it, and the count at each
+pre-token's end is stored. The trie is walked depth first without being built: in
+sorted order, a pre-token's path leaves that of the one before where their common
+prefix ends, so a stack with a row for each character of the path, cut back to the
+common prefix, meets every node of the trie exactly once. A worker remembers the
+counts of recent pre-tokens; prefixes are shared among those new in a batch.
 
 Scores follow the vocabulary's order by Zipf's law: a piece of rank r scores
 -1000 ln(r + 2), rounded, so sums are exact. A character outside the vocabulary
