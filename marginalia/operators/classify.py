@@ -88,14 +88,14 @@ def naive_bayes_multinomial(train: DataFrame, test: DataFrame, alpha: float = 1.
     logs = sums.select("comparison", "code_idx", *(F.ln((F.col(f"c{s}") + alpha) / (F.sum(f"c{s}").over(whole) + alpha * F.count("*").over(whole))).alias(f"l{s}") for s in (0, 1)))
     n = [F.count_distinct(F.when(F.col("side") == s, F.col("doc_id"))) for s in (0, 1)]
     priors = train.groupBy("comparison").agg(*(F.ln(n[s] / (n[0] + n[1])).alias(f"prior{s}") for s in (0, 1)))
-    rows = test.where("cnt IS NOT NULL").join(F.broadcast(logs), ["comparison", "code_idx"]).join(F.broadcast(priors), "comparison")
+    rows = test.where("cnt IS NOT NULL").join(F.broadcast(logs), ["comparison", "code_idx"]).join(F.broadcast(priors), "comparison")  # a row a comparison and code, a row a comparison
     return rows.groupBy(*OUTPUT).agg(*((F.sum(F.col("cnt") * F.col(f"l{s}")) + F.max(f"prior{s}")).alias(f"p{s}") for s in (0, 1)))
 
 
 def nearest_centroid(train: DataFrame, test: DataFrame, metric: str = "euclidean") -> DataFrame:
     """Cosine (0 for a zero vector) or 1 / (1 + distance) to each model's mean."""
     means = train.groupBy("comparison", "code_idx").agg(*(F.coalesce(F.avg(F.when(F.col("side") == s, F.col("cnt"))), F.lit(0.0)).alias(f"m{s}") for s in (0, 1)))
-    rows = test.where("cnt IS NOT NULL").join(F.broadcast(means), ["comparison", "code_idx"])
+    rows = test.where("cnt IS NOT NULL").join(F.broadcast(means), ["comparison", "code_idx"])  # a row a comparison and code
     x = F.col("cnt").cast("double")
     scores = []
     for s in (0, 1):

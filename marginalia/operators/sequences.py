@@ -9,7 +9,7 @@ KEYS = ("sample_id", "model")
 
 
 def reindex(rows: DataFrame, codes: DataFrame, old: str = "code_idx") -> DataFrame:
-    """Old code indexes to those of a new taxonomy, joined by name; codes that are gone drop out."""
+    """Old code indexes to those of a new taxonomy (``codes``, some dozens of rows), joined by name; codes that are gone drop out."""
     return rows.drop(old).join(F.broadcast(codes.select("code_name", "code_idx")), "code_name")
 
 
@@ -25,7 +25,7 @@ def transition_rates(seq: DataFrame) -> DataFrame:
 
 
 def transition_means(seq: DataFrame) -> DataFrame:
-    """(model, code, next, p): means over all samples of a model; a sample without a row counts as zero."""
+    """(model, code, next, p): means over all samples of a model; a sample without a row counts as zero. The sizes have a row a model."""
     samples = seq.groupBy("model").agg(F.count_distinct("sample_id").alias("samples"))
     sums = transition_rates(seq).groupBy("model", "code", "next").agg(F.sum("p").alias("s"))
     return sums.join(F.broadcast(samples), "model").select("model", "code", "next", (F.col("s") / F.col("samples")).alias("p"))
@@ -35,6 +35,7 @@ def transition_distances(seq: DataFrame, means: DataFrame) -> DataFrame:
     """(sample_id, model, to_model, distance): Frobenius distance of each sample to each model's mean.
 
     The sum over cells of (a - b)^2 is sum(b^2) over the mean plus sum(a^2 - 2ab) over the sample's own cells.
+    ``means`` has at most a row for each model and two codes of the taxonomy.
     """
     whole = means.groupBy(F.col("model").alias("to_model")).agg(F.sum(F.col("p") * F.col("p")).alias("mean_ss"))
     cells = means.select(F.col("model").alias("to_model"), "code", "next", F.col("p").alias("q"))
