@@ -62,6 +62,8 @@ def _stopped(seq: DataFrame) -> DataFrame:
     return cb.stop_decisions(grown, ["sample_id"], max_codes=6, max_samples=240, patience=55, least_samples=60)
 
 
+query("e6_train_taxonomy")(lambda s, d: experiments.train_taxonomy(s, t.traces(s, d), list(t.SEED_CODES[:3]), rounds=3, max_codes=6, epochs=2, warm_start=1)[0])
+
 # ---- reruns, sequences, long lists of ids ----------------------------------
 
 _RERUNS = "runs3 AS (SELECT test.* REPLACE (cnt + (question_id + run * code_idx) % 3 AS cnt), run FROM test, (SELECT unnest(range(0, 3)) AS run))"

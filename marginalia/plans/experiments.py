@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.annotations import extract_sequence, split_sections, verdict_model
-from marginalia.operators import classify, codebook, pairs, stats
+from marginalia.operators import classify, codebook, pairs, stats, vectors
+from marginalia.operators.vectors import chosen
 from marginalia.sources import tables as t
 from marginalia.sources.scratch import saved
 
@@ -258,9 +259,81 @@ def grow_taxonomy(spark: SparkSession, samples: DataFrame, seed_codes: list[str]
     return spark.createDataFrame(history, "round int, codes int, samples long, cnt long"), codes
 
 
-def _in_shares(samples: DataFrame, rounds: int) -> DataFrame:
+def _dense(facts: DataFrame, codebook_: DataFrame) -> DataFrame:
+    """Facts of the taxonomy's codes, NULL for a trace that was annotated before a code existed; codes that are gone drop out."""
+    keys = ["comparison", "question_id", "side", "model", "doc_id", "round"]
+    grid = facts.select(*keys).distinct().crossJoin(F.broadcast(codebook_))
+    return grid.join(facts.select("doc_id", "code_name", "cnt").hint("shuffle_merge"), ["doc_id", "code_name"], "left")
+
+
+def _most_telling(facts: DataFrame, k: int) -> list[str]:
+    """The k codes that tell some comparison's models apart best, in their order; k rows reach the driver."""
+    score = F.abs(F.col("c0") / F.nullif(F.col("total"), F.lit(0)) - 0.5) * F.col("total")
+    best = stats.code_stats(facts).groupBy("code_idx", "code_name").agg(F.max(F.round(F.coalesce(score, F.lit(0.0)), 6)).alias("score")).orderBy(F.desc("score"), "code_idx").limit(k)
+    return [r["code_name"] for r in sorted(best.collect(), key=lambda r: r["code_idx"])]
+
+
+def train_taxonomy(
+    spark: SparkSession,
+    samples: DataFrame,
+    seed_codes: list[str],
+    rounds: int,
+    max_codes: int,
+    epochs: int = 1,
+    warm_start: int = 0,
+    patience: int = 1,
+    impute: str = "mean",
+    method: str = "naive_bayes_multinomial",
+    annotate: Annotator = lexical_annotator,
+    propose: Proposer = frequent_word_proposer,
+    log: Callable[..., None] | None = None,
+) -> tuple[DataFrame, list[str]]:
+    """(round table, codes): the training loop of a taxonomy.
+
+    ``warm_start`` forced updates come first. A round annotates its share of the samples
+    with the codes of the moment, adds the facts to those so far, fills what older traces
+    lack, and judges the round's pairs by a classifier on the facts of the rounds before
+    (the first round by its own). If the accuracy has not risen for more than ``patience``
+    rounds, the codes of the best round come back; else the update adds a code. A taxonomy
+    over ``max_codes`` is pruned to the most telling ones. An epoch deals the samples anew
+    and starts with no facts. A step is one job, facts are written each round, and a row or
+    the taxonomy's names reach the driver.
+    """
+    codes, history = list(seed_codes), []
+    best, best_codes, stale = -1.0, list(codes), 0
+    for epoch in range(epochs):
+        dealt, facts = saved(_in_shares(samples, rounds, epoch + 1), "rounds"), None
+        for _ in range(warm_start if epoch == 0 else 0):
+            codes += propose(dealt.where("round = 0"), codes)
+        for number in range(rounds):
+            batch = dealt.where(F.col("round") == number)
+            new = annotate(batch, codes)
+            facts = saved(new if facts is None else facts.unionByName(new), "facts")
+            dense = saved(_dense(facts, t.codebook(spark, codes)), "dense")
+            filled = saved(chosen(vectors.IMPUTERS, impute)(dense).drop("cnt").withColumnRenamed("value", "cnt").drop("round").join(dense.select("doc_id", "round").distinct().hint("shuffle_merge"), "doc_id"), "filled")
+            earlier = filled.where(F.col("round") < number) if number else filled
+            found = stats.accuracy(resolved(method, earlier, filled.where(F.col("round") == number))).first()
+            total = dense.agg(F.count_distinct("doc_id")).first()[0]
+            restored = False
+            if (found["accuracy"] or 0.0) > best:
+                best, best_codes, stale = found["accuracy"] or 0.0, list(codes), 0
+            else:
+                stale += 1
+            history.append((epoch, number, len(codes), total, found["n"], found["accuracy"], stale > patience))
+            if log:
+                log(epoch=epoch, round=number, codes=list(codes), accuracy=found["accuracy"])
+            if stale > patience:
+                codes, stale, restored = list(best_codes), 0, True
+            if not restored:
+                codes += [c for c in propose(batch, codes) if c not in codes]
+            if len(codes) > max_codes:
+                codes = _most_telling(_dense(facts, t.codebook(spark, codes)), max_codes)
+    return spark.createDataFrame(history, "epoch int, round int, codes int, samples long, judged long, accuracy double, restored boolean"), codes
+
+
+def _in_shares(samples: DataFrame, rounds: int, seed: int = 1) -> DataFrame:
     """``samples`` with round: each comparison's shuffled questions in ``rounds`` equal shares, numbered in ranges of the digest."""
-    digest = F.conv(F.substring(t.shuffled_rank(F.col("question_id"), 1), 1, 15), 16, 10).cast("long")
+    digest = F.conv(F.substring(t.shuffled_rank(F.col("question_id"), seed), 1, 15), 16, 10).cast("long")
     questions = samples.select("comparison", "question_id").distinct().withColumn("digest", digest)
     sizes = questions.groupBy("comparison").agg(F.count("*").alias("n"))
     shares = t.numbered(questions, ["comparison"], "digest", "place", 1 << 54).join(F.broadcast(sizes), "comparison").select("comparison", "question_id", F.floor(F.col("place") * rounds / F.col("n")).alias("round"))

@@ -206,6 +206,24 @@ def test_taxonomy_grows_until_full(spark, data):
     assert same == ["the"]
 
 
+def test_training_loop_of_a_taxonomy(spark, data):
+    """Warm start, null facts of later codes, restoring the best version, pruning and epochs."""
+    traces, told = t.traces(spark, data), []
+    words = iter("alpha beta gamma delta epsilon zeta eta".split())
+    table, codes = experiments.train_taxonomy(spark, traces, ["the", "and"], rounds=3, max_codes=4, epochs=2, warm_start=1, patience=0, propose=lambda rows, known: [next(words)], log=lambda **x: told.append(x))
+    rows = table.orderBy("epoch", "round").collect()
+    assert [(r.epoch, r.round) for r in rows] == [(e, n) for e in range(2) for n in range(3)]
+    assert told[0]["codes"] == ["the", "and", "alpha"] and len(codes) <= 4 and {"the", "and"} <= set(codes)
+    assert all(r.codes <= 4 for r in rows) and [r.samples for r in rows[:3]] == [r.samples for r in rows[3:]] and rows[2].samples == traces.count()
+    for at, r in enumerate(rows[:-1]):
+        if r.restored:
+            best = max(range(at + 1), key=lambda i: (rows[i].accuracy, -i))
+            assert told[at + 1]["codes"] == told[best]["codes"]
+    facts = t.facts(spark, data).where("comparison = 0").withColumn("round", F.lit(0))
+    dense = experiments._dense(facts.where("code_idx < 2"), t.codebook(spark, ["and", "new"]))
+    assert {(r.code_name, r.cnt is None) for r in dense.collect()} == {("and", False), ("new", True)}
+
+
 def test_transfer_directions_are_all_both_ways(spark):
     rows = spark.createDataFrame([(i,) for i in (0, 3, 12, 12)], "comparison int")
     assert sorted(tuple(r) for r in experiments.directions(rows).collect()) == [(a, b) for a in (0, 3, 12) for b in (0, 3, 12) if a != b]
