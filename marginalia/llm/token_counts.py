@@ -46,32 +46,39 @@ class UnigramTrie:
         self.scores, self.longest = scores, max(map(len, scores))
         self.unknown = min(scores.values())
         self.known: dict[bytes, int] = {}  # tokens << _SHIFT | -score
-        lengths: dict[str, set[int]] = {}
-        for x in scores:
-            if len(x) > 1:
-                lengths.setdefault(x[-2:], set()).add(len(x))
-        self.lengths = {k: tuple(sorted(v)) for k, v in lengths.items()}  # of the pieces that end in two characters
+        self.backwards: dict = {}  # the pieces from their ends; "" has the score of the piece that begins there
+        for x, score in scores.items():
+            node = self.backwards
+            for char in reversed(x):
+                node = node.setdefault(char, {})
+            node[""] = score
 
     def forward(self, words: list[str]) -> list[tuple[int, int]]:
         """(score, -tokens) at the end of each of sorted ``words``."""
         rows, last, out = [(0, 0)], "", []
-        get, lengths = self.scores.get, self.lengths.get
+        root, scores = self.backwards, self.scores
         for word in words:
             shared = len(commonprefix((last, word)))
             del rows[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                char = word[end - 1]
-                n = 0 if char in self.scores else len(char.encode("utf-8", "replace"))
-                score, tokens = rows[end - 1]
-                best = (score + self.unknown * n, tokens - n) if n else (score + get(char), tokens - 1)
-                for length in lengths(word[end - 2 : end], ()) if end > 1 else ():
-                    if length > end:
+                node, start, best = root, end, None
+                while start:  # the pieces that end here, shortest first, as long as there are longer ones
+                    start -= 1
+                    node = node.get(word[start])
+                    if node is None:
                         break
-                    value = get(word[end - length : end])
+                    value = node.get("")
                     if value is not None:
-                        score, tokens = rows[end - length]
-                        if (score + value, tokens - 1) > best:
-                            best = (score + value, tokens - 1)
+                        score, tokens = rows[start]
+                        found = (score + value, tokens - 1)
+                        if best is None or found > best:
+                            best = found
+                if word[end - 1] not in scores:
+                    n = len(word[end - 1].encode("utf-8", "replace"))
+                    score, tokens = rows[end - 1]
+                    found = (score + self.unknown * n, tokens - n)
+                    if best is None or found > best:
+                        best = found
                 rows.append(best)
             last = word
             out.append(rows[-1])
