@@ -14,8 +14,8 @@ from marginalia.sources import tables as t
 
 from . import experiments
 from .answer_queries import _SECTIONS
-from .catalog import FACTS, SEQ, query, with_views
-from .model_queries import _RESOLVED, _ROUNDED, _TT, SCORES, train_and_test
+from .catalog import FACTS, SEQ, SQL, query, with_views
+from .model_queries import _CM, _RESOLVED, _ROUNDED, _TT, SCORES, train_and_test
 from .text_queries import combined
 
 F_ = with_views(FACTS)
@@ -133,15 +133,14 @@ TRANSFER_SQL = (
     with_views(FACTS, _WAYS, "train AS MATERIALIZED (SELECT facts.* REPLACE (way AS comparison) FROM facts JOIN ways ON comparison = CASE WHEN refit THEN test_on ELSE train_on END WHERE NOT md5('7:' || question_id) < '4')", "test AS MATERIALIZED (SELECT facts.* REPLACE (way AS comparison) FROM facts JOIN ways ON comparison = test_on WHERE md5('7:' || question_id) < '4')", SCORES["naive_bayes_multinomial"], _ROUNDED, _RESOLVED)
     + f"SELECT train_on, test_on, refit, n, n_correct, accuracy FROM ({_ACCURACY}) JOIN ways ON comparison = way"
 )
-query("e12_transfer_accuracy", TRANSFER_SQL)(lambda s, d: experiments.transfer(t.facts(s, d), experiments.directions(t.traces(s, d))))
-_METHODS = ("vote_soft", "vote_hard", "naive_bayes_multinomial", "centroid_euclidean")
+SQL["e12_transfer"] = TRANSFER_SQL
 
 
 def _one_method(method: str) -> str:
     return f"SELECT '{method}' AS method, * FROM (" + with_views(SCORES[method], _ROUNDED, _RESOLVED) + _ACCURACY + ")"
 
 
-query("c11_compare_accuracies", with_views(FACTS, _TT) + " UNION ALL ".join(map(_one_method, _METHODS)))(lambda s, d: experiments.compare(_METHODS, *train_and_test(t.facts(s, d))))
+SQL["c11_compare_classifiers"] = with_views(FACTS, _TT) + " UNION ALL ".join(map(_one_method, _CM))
 query(
     "t11_parts_of_outputs",
     r"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda w: w <> '') AS ws FROM documents),
