@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, html_extract, near_dedup, packing, quality, token_counts, token_files, urls
+from . import alignment, bpe, chat, collocations, exact_dedup, html_extract, language_id, near_dedup, packing, quality, token_counts, token_files, urls
 from .common import scratch_path, table
 
 BYTE_BPE, WORD_BPE, PIECES = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -60,6 +60,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict", F.size("strict_terms").alias("n_strict"), F.size("soft_terms").alias("n_soft"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=30, percent=80, keep=2000)
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE, PIECES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     numbered = (
         op1_bpe_round_trip,
@@ -72,6 +84,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_token_files,
         op9_quality_rules,
         op10_url_filter,
+        op11_collocations,
+        op12_language_id,
+        op13_token_alignment,
     )
     return {f.__name__: f for f in numbered}
 
@@ -115,8 +130,30 @@ _QUALITY = rf"""
         NOT (n_words < 20 OR 100 * n_rep > 30 * n_words) AND doc_id NOT IN (SELECT doc_id FROM depleted) AS kept
     FROM base"""
 
+_COLLOCATIONS = r"""
+    WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+    worded AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces WHERE regexp_matches(piece, '[^\x20\x09]')),
+    totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang),
+    placed AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM worded, (VALUES (1), (2), (3), (4)) AS sizes(k) WHERE len(w) >= k),
+    f AS MATERIALIZED (SELECT lang, k AS words, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM placed GROUP BY ALL HAVING count(*) >= 30),
+    cut AS (SELECT lang, phrase, f AS a, words, string_split(phrase, ' ') AS p, unnest(range(1, words)) AS k FROM f WHERE words > 1),
+    scored AS (
+        SELECT c.lang, c.phrase, c.a, k, x.f AS l, y.f AS r, 2000000::HUGEINT * c.a // (x.f + y.f) AS score
+        FROM cut c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(p[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(p[k + 1:c.words], ' ')),
+    best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    longer AS (SELECT lang, f, words, string_split(phrase, ' ') AS p, unnest(range(2, words)) AS m FROM f WHERE words > 2),
+    inside AS (SELECT lang, f, p, m, unnest(range(1, words - m + 2)) AS i FROM longer),
+    around AS (SELECT lang, array_to_string(p[i:i + m - 1], ' ') AS phrase, max(f) AS f FROM inside GROUP BY ALL),
+    ranked AS (
+        SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+        FROM best b LEFT JOIN around USING (lang, phrase) WHERE around.f IS NULL OR 100::HUGEINT * around.f < 80::HUGEINT * a)
+    SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_collocations": _COLLOCATIONS,
         "op4_exact_dedup": f"""
             WITH n AS (SELECT doc_id, {_NORM} AS norm, length(coalesce(text, '')) AS n FROM documents),
             g AS (SELECT doc_id, norm, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM n)

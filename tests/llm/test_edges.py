@@ -40,6 +40,8 @@ def test_nulls_everywhere(spark, holes, name):
     rows = queries.queries()[name](spark, holes).collect()
     if name.startswith("op5"):
         assert sorted((r.conv_id is None, r.n_turns) for r in rows) == [(False, 2), (False, 3), (True, 1)]
+    elif name.startswith("op11"):
+        assert [(r.lang, r.phrase, r.a, r.n) for r in rows] == [("und", "word word word word", 39_997, 40_003)]
     elif name.startswith("op3"):
         assert {r.doc_id for r in rows} == {None, 1, 2, 3}
     else:
@@ -54,7 +56,7 @@ def test_pipeline_on_empty_and_holed_tables(spark, empty, holes):
 
 
 #: Names that the operators use themselves.
-CLASHES = "node same bucket row label host ids digest hash prefix salt norm head best nth rows first text_sha256 kept keep_id group_size piece start length offset sequence_id n_tokens component component_id signature n_shingles paths path own_0 own_1 line_hashes removed depleted clean_text n_words base_failed conv unknown place range size block window written tokens system rule verdict strict_terms soft_terms id best_text".split()
+CLASHES = "node same bucket row label host ids digest hash prefix salt norm head best nth rows first text_sha256 kept keep_id group_size piece start length offset sequence_id n_tokens component component_id signature n_shingles paths path own_0 own_1 line_hashes removed depleted clean_text n_words base_failed conv unknown place range size block window written tokens system rule verdict strict_terms soft_terms id best_text phrase count bit lang_pred held_out score digest label values places shard kept chunk own pairs times pair a b texts n_a n_links count_sum best".split()
 
 
 @pytest.fixture(scope="module")
