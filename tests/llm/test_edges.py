@@ -56,7 +56,7 @@ def test_pipeline_on_empty_and_holed_tables(spark, empty, holes):
 
 
 #: Names that the operators use themselves.
-CLASHES = "node same bucket row label host ids digest hash prefix salt norm head best nth rows first text_sha256 kept keep_id group_size piece start length offset sequence_id n_tokens component component_id signature n_shingles paths path own_0 own_1 line_hashes removed depleted clean_text n_words base_failed conv unknown place range size block window written tokens system rule verdict strict_terms soft_terms id best_text phrase count bit lang_pred held_out score digest label values places shard kept chunk own pairs times pair a b texts n_a n_links count_sum best".split()
+CLASHES = "node same bucket row label host ids digest hash prefix salt norm head best nth rows first text_sha256 kept keep_id group_size piece start length offset sequence_id n_tokens component component_id signature n_shingles paths path own_0 own_1 line_hashes removed depleted clean_text n_words base_failed conv unknown place range size block window written tokens system rule verdict strict_terms soft_terms id best_text phrase count bit lang_pred held_out score values places shard chunk own pairs times pair a b texts n_a n_links count_sum".split()
 
 
 @pytest.fixture(scope="module")
