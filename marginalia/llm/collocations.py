@@ -7,11 +7,13 @@
 2. Runs are merged by ranges of the sorted order: a range is a set of whole subtrees,
    or a part of one that is too large. Equal phrases of a run are one row, so no phrase
    is many rows of a range.
-3. Words come first, then pairs of frequent words, then windows of three and four
-   whose pairs are all frequent: a phrase is no more frequent than its parts. Which parts are,
-   tasks know from a filter of a fixed 2^FILTER_BITS bits, which Spark builds by ``bitmap``
-   aggregates. A bit may stand for several phrases; then some are counted in vain, none
-   is lost. Texts are read once for each of the three.
+3. Words come first, then pairs, then windows of three and four: a phrase is no more
+   frequent than its parts. With each pass, tasks also count the next longer phrases in
+   2^BUCKET_BITS buckets by hash, which lie spread over PARTS parts of the shuffle; a
+   phrase in a bucket counted too seldom can't be frequent and isn't put into a trie.
+   Tasks learn the other buckets from a filter of a fixed 2^FILTER_BITS bits, which Spark
+   builds by ``bitmap`` aggregates. A bit may stand for several phrases; then some are
+   counted in vain, none is lost. Texts are read once for each of the three.
 4. Both parts of every cut are looked up by joins on written tables; longer phrases give
    the shorter ones inside them their largest count.
 
@@ -27,7 +29,7 @@ from __future__ import annotations
 import itertools
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +37,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, raw_texts, saved, scratch
+from .common import BATCH_BYTES, binaries, dropped, raw_texts, saved, scratch
 
 #: Bits of a word's id in a task; a task with so many words gives all of its counts away and starts anew.
 ID_BITS = 21
 BURST, MOST = 4096, 500_000
-FILTER_BITS = 26
+FILTER_BITS, BUCKET_BITS, PARTS = 26, 40, 2048
+#: Hashed phrases that a task holds before it gives them away.
+HASHED = 6_000_000
 _BITMAP = 32_768  # bits of one of Spark's bitmaps
 _SEED = 42
 _BREAK = b"\xff"  # in no UTF-8 text
@@ -49,7 +53,8 @@ _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Bytes of text that are cut into words at once.
 SEGMENT = 1 << 20
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
-_RUN = "lang string, phrase string, count long, bit long"
+_PART = np.uint64((1 << BUCKET_BITS) // PARTS)  # buckets of a part
+_RUN = "lang string, phrase string, count long, part int, buckets binary, counts binary"
 
 
 def words_of(raw: bytes) -> list[bytes]:
@@ -78,9 +83,50 @@ def segments(raws: list[bytes]) -> Iterator[tuple[list[bytes], int]]:
 
 
 def _mixed(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """A hash of two hashes, in their order."""
     found = (one * _MIX[0]) ^ (two * _MIX[1])
     found ^= found >> np.uint64(31)
-    return (found * _MIX[0]) >> np.uint64(64 - FILTER_BITS)
+    return found * _MIX[0]
+
+
+def _is_known(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bits = hashes >> np.uint64(64 - FILTER_BITS)
+    return ((known[bits >> np.uint64(3)] >> (bits & np.uint64(7)).astype(np.uint8)) & 1).view(bool)
+
+
+class Buckets:
+    """Counts of hashed phrases, as sorted buckets in PARTS parts of their range."""
+
+    def __init__(self, least: int):
+        self.least, self.held, self.size = least, [], 0
+
+    def add(self, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append(hashes >> np.uint64(64 - BUCKET_BITS))
+        self.size += len(hashes)
+        if self.size > HASHED:
+            yield from self.given()
+
+    def given(self) -> Iterator[pa.RecordBatch]:
+        """(part, buckets as steps, counts up to ``least``)."""
+        if not self.size:
+            return
+        buckets, counts = np.unique(np.concatenate(self.held), return_counts=True)
+        self.held, self.size = [], 0
+        parts = (buckets // _PART).astype(np.int64)
+        edges = _edges(parts)
+        counts = np.minimum(counts, self.least).astype("<u4" if self.least >> 16 else "<u2")
+        rows = [(int(parts[i]), np.diff(buckets[i:j], prepend=np.uint64(parts[i]) * _PART).astype("<u8" if int(_PART) >> 32 else "<u4").tobytes(), counts[i:j].tobytes()) for i, j in itertools.pairwise(edges)]
+        yield _run_batch(parts=[x for x, _, _ in rows], buckets=[x for _, x, _ in rows], counts=[x for _, _, x in rows])
+
+
+def _run_batch(lang: str = "", phrases: Sequence[bytes] = (), count: Sequence[int] = (), parts: Sequence[int] = (), buckets: Sequence[bytes] = (), counts: Sequence[bytes] = ()) -> pa.RecordBatch:
+    """Rows of a run, or of hashed phrases."""
+    size = len(phrases) or len(parts)
+    if phrases:
+        columns = [pa.array([lang] * size), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(count, pa.int64()), *(pa.nulls(size, x) for x in (pa.int32(), pa.binary(), pa.binary()))]
+    else:
+        columns = [*(pa.nulls(size, x) for x in (pa.string(), pa.string(), pa.int64())), pa.array(parts, pa.int32()), binaries(buckets), binaries(counts)]
+    return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "count", "part", "buckets", "counts"])
 
 
 class WordIds(dict):
@@ -175,69 +221,79 @@ class HatTrie:
 
 
 class LanguageCounts:
-    """Counts of a language in a task: of words, of pairs, or of windows of three and four words."""
+    """Counts of a language in a task: of words, of pairs, or of windows of three and four words; and the next longer phrases by hash.
+
+    ``known`` has the filters of words, pairs and triples, as far as they are there.
+    """
 
-    def __init__(self, lang: str, level: int, known: tuple[bytes | None, bytes | None]):
-        self.lang, self.level, self.known = lang, level, known
-        self.pairs = None if known[1] is None else np.frombuffer(known[1], np.uint8)
+    def __init__(self, lang: str, level: int, known: Sequence[bytes | None], buckets: Buckets):
+        self.lang, self.level, self.buckets = lang, level, buckets
+        self.words, *self.known = known[0], *(x and np.frombuffer(x, np.uint8) for x in known[1:])
         self.clear()
 
     def clear(self) -> None:
-        self.ids, self.single = WordIds(self.lang, self.known[0]), Counter()
+        self.ids, self.single = WordIds(self.lang, self.words), np.zeros(1, np.int64)
         self.trie = HatTrie(2 if self.level == 2 else 4)
 
     @property
     def size(self) -> int:
-        return len(self.single) + len(self.ids) + self.trie.size
+        return len(self.ids) + self.trie.size
 
     def add(self, raws: list[bytes]) -> Iterator[pa.RecordBatch]:
         """Count the texts; a part's words always get ids, if need be after all counts have left."""
         for tokens, own in segments(raws):
             if len(self.ids.words) + len(tokens) >= 1 << ID_BITS:
                 yield from self.spilled(0)
-            self._count(tokens, own)
+            yield from self._count(tokens, own)
 
-    def _count(self, tokens: list[bytes], own: int) -> None:
-        if self.level == 1:
-            self.single.update(tokens[:own])
-            del self.single[_BREAK]
-            return
+    def _count(self, tokens: list[bytes], own: int) -> Iterator[pa.RecordBatch]:
         ids = np.zeros(len(tokens) + 3, np.int64)
         ids[: len(tokens)] = np.fromiter(map(self.ids.__getitem__, tokens), np.int64, len(tokens))
-        pair = (ids[:-1] > 0) & (ids[1:] > 0)
+        hashes = np.array(self.ids.hashes, np.uint64)
+        at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+        two = _mixed(hashes[ids[at]], hashes[ids[at + 1]])
+        if self.level == 1:
+            counts = np.bincount(ids[:own], minlength=len(hashes))
+            counts[: len(self.single)] += self.single
+            self.single = counts
+            yield from self.buckets.add(two[: np.searchsorted(at, own)])
+            return
+        good = _is_known(self.known[0], two)
+        at, two = at[good], two[good]
+        if self.level == 2:
+            mine = at[: np.searchsorted(at, own)]
+            self.trie.add(np.stack([ids[mine], ids[mine + 1]], 1))
+        follows = np.flatnonzero(at[1:] == at[:-1] + 1)  # pairs that overlap in a word
+        three = _mixed(two[follows], hashes[ids[at[follows] + 2]])
+        at = at[follows]
         if self.level == 2:
-            at = np.flatnonzero(pair[:own])
-            self.trie.add(np.stack([ids[at], ids[at + 1]], 1))
+            yield from self.buckets.add(three[: np.searchsorted(at, own)])
             return
-        hashes, at = np.array(self.ids.hashes, np.uint64), np.flatnonzero(pair)
-        bits = _mixed(hashes[ids[at]], hashes[ids[at + 1]])
-        pair[at] = (self.pairs[bits >> np.uint64(3)] >> (bits & np.uint64(7)).astype(np.uint8)) & 1
-        at = np.flatnonzero(pair[:-1][:own] & pair[1:][:own])
-        last = np.where(pair[np.minimum(at + 2, len(pair) - 1)], ids[np.minimum(at + 3, len(ids) - 1)], 0)
-        self.trie.add(np.stack([ids[at], ids[at + 1], ids[at + 2], last], 1))
-
-    def run(self, first: int, tree: Subtree) -> list[tuple[bytes, int, int]]:
-        """(phrase, count, bit) of a subtree, sorted by phrase."""
+        at = at[_is_known(self.known[1], three)]
+        goes_on = np.append(at[1:] == at[:-1] + 1, False) if len(at) else at
+        last = np.where(goes_on, ids[np.minimum(at + 3, len(ids) - 1)], 0)
+        mine = np.searchsorted(at, own)
+        self.trie.add(np.stack([ids[at], ids[at + 1], ids[at + 2], last], 1)[:mine])
+
+    def run(self, first: int, tree: Subtree) -> list[tuple[bytes, int]]:
+        """(phrase, count) of a subtree, sorted by phrase."""
         keys, counts = tree.paths(self.trie.width - 1)
-        words, hashes = self.ids.words, self.ids.hashes
+        words = self.ids.words
         if self.level == 2:
-            of = np.array([hashes[k] for k in keys.tolist()], np.uint64)
-            bits = _mixed(np.full(len(of), hashes[first], np.uint64), of).tolist()
-            return sorted((words[first] + b" " + words[k], c, b) for k, c, b in zip(keys.tolist(), counts.tolist(), bits, strict=True))
+            return sorted((words[first] + b" " + words[k], c) for k, c in zip(keys.tolist(), counts.tolist(), strict=True))
         mask, out, short = (1 << ID_BITS) - 1, [], Counter()
         for key, count in zip(keys.tolist(), counts.tolist(), strict=True):
             phrase = b" ".join((words[first], words[key >> 2 * ID_BITS], words[key >> ID_BITS & mask]))
             short[phrase] += count
             if key & mask:
-                out.append((phrase + b" " + words[key & mask], count, 0))
-        return sorted(out + [(x, c, 0) for x, c in short.items()])
+                out.append((phrase + b" " + words[key & mask], count))
+        return sorted(out + list(short.items()))
 
     def spilled(self, left: int) -> Iterator[pa.RecordBatch]:
         """Runs of whole subtrees until at most ``left`` entries stay; of everything, where the words alone are more."""
-        everything = left == 0 or len(self.ids) + len(self.single) > left
-        if self.single:
-            hashed = ((w, c, xxhash.xxh64_intdigest(w, seed=self.ids.seed) >> 64 - FILTER_BITS) for w, c in self.single.items())
-            yield from self._batches(sorted(hashed))
+        everything = left == 0 or len(self.ids) > left
+        if everything:
+            yield from self._batches(sorted((self.ids.words[i], int(self.single[i])) for i in range(1, len(self.single))))
         rows = []
         for first, tree in self.trie.taken(-1 if everything else left - len(self.ids)):
             rows += self.run(first, tree)
@@ -248,19 +304,19 @@ class LanguageCounts:
         if everything:
             self.clear()
 
-    def _batches(self, rows: list[tuple[bytes, int, int]]) -> Iterator[pa.RecordBatch]:
+    def _batches(self, rows: list[tuple[bytes, int]]) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(rows), 50_000):
-            phrases, counts, bits = zip(*rows[at : at + 50_000], strict=True)
-            columns = [pa.array([self.lang] * len(phrases)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(bits, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "count", "bit"])
+            phrases, counts = zip(*rows[at : at + 50_000], strict=True)
+            yield _run_batch(self.lang, phrases, counts)
 
 
-def runs(texts: DataFrame, level: int, known: tuple[bytes | None, bytes | None]) -> DataFrame:
-    """Saved (lang, phrase, count, bit) that the tasks counted in ``texts(lang, text)``."""
+def runs(texts: DataFrame, level: int, known: Sequence[bytes | None], least: int) -> DataFrame:
+    """Saved: (lang, phrase, count) that the tasks counted in ``texts(lang, text)``, and (part, buckets, counts) of the next longer phrases."""
     shared = texts.sparkSession.sparkContext.broadcast(known)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, LanguageCounts] = {}
+        buckets = Buckets(least)
         for batch in batches:
             step = max(1, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes))
             for at in range(0, batch.num_rows, step):
@@ -269,7 +325,7 @@ def runs(texts: DataFrame, level: int, known: tuple[bytes | None, bytes | None])
                     by_lang.setdefault(lang, []).append(raw)
                 for lang, raws in by_lang.items():
                     if lang not in held:
-                        held[lang] = LanguageCounts(lang, level, shared.value)
+                        held[lang] = LanguageCounts(lang, level, shared.value, buckets)
                     yield from held[lang].add(raws)
                 size = sum(x.size for x in held.values())
                 for x in sorted(held.values(), key=lambda x: -x.size):
@@ -284,35 +340,60 @@ def runs(texts: DataFrame, level: int, known: tuple[bytes | None, bytes | None])
                     held = {}
         for x in held.values():
             yield from x.spilled(0)
+        yield from buckets.given()
 
     return saved(texts.mapInArrow(count, _RUN), f"phrase-runs-{level}")
 
 
 def merged(found: DataFrame, least: int) -> DataFrame:
-    """Saved (lang, phrase, f, bit) of the phrases counted ``least`` times, merged by ranges of their order."""
-    ranged = found.repartitionByRange("lang", "phrase")
-    return saved(ranged.groupBy("lang", "phrase").agg(F.sum("count").alias("f"), F.min("bit").alias("bit")).where(F.col("f") >= least), "phrase-counts")
+    """Saved (lang, phrase, f) of the phrases counted ``least`` times, merged by ranges of their order."""
+    ranged = found.where("lang IS NOT NULL").select("lang", "phrase", "count").repartitionByRange("lang", "phrase")
+    return saved(ranged.groupBy("lang", "phrase").agg(F.sum("count").alias("f")).where(F.col("f") >= least), "phrase-counts")
 
 
-def bit_filter(frequent: DataFrame) -> bytes:
-    """The bits of all rows: 2^FILTER_BITS of them, whatever the number of rows."""
+def full_buckets(found: DataFrame, least: int) -> DataFrame:
+    """Saved (bit): the filter's bits of the buckets counted ``least`` times."""
+    steps, kind = "<u8" if int(_PART) >> 32 else "<u4", "<u4" if least >> 16 else "<u2"
+
+    def add(group: pa.Table) -> pa.Table:  # a part of the buckets' range
+        buckets = np.concatenate([np.cumsum(np.frombuffer(x, steps), dtype=np.int64) for x in group.column("buckets").to_pylist()])
+        counts = np.concatenate([np.frombuffer(x, kind) for x in group.column("counts").to_pylist()]).astype(np.int64)
+        order = np.argsort(buckets)
+        first = _edges(buckets[order])
+        full = buckets[order][first[:-1][np.add.reduceat(counts[order], first[:-1]) >= least]]
+        bits = full + group.column("part")[0].as_py() * int(_PART) >> BUCKET_BITS - FILTER_BITS
+        return pa.table([np.unique(bits)], names=["bit"])
+
+    return saved(found.where("part IS NOT NULL").select("part", "buckets", "counts").groupBy("part").applyInArrow(add, "bit long"), "full-buckets")
+
+
+def bit_filter(bits: DataFrame) -> bytes:
+    """The bits of all rows (bit): 2^FILTER_BITS of them, whatever the number of rows."""
     at = F.col("bit") + 1
-    rows = frequent.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    rows = bits.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
     out, width = bytearray(1 << FILTER_BITS - 3), _BITMAP // 8
     for r in rows:
         out[(r.bucket - 1) * width : r.bucket * width] = r.bits
     return bytes(out)
 
 
+def word_bits(words: DataFrame) -> DataFrame:
+    """(bit) of each word, as ``WordIds`` has it."""
+    return words.select(F.shiftrightunsigned(F.xxhash64("lang", "phrase"), 64 - FILTER_BITS).alias("bit"))
+
+
 def phrase_counts(texts: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """Saved (lang, phrase, words, f) of all phrases of 1 to 4 words counted ``least`` times, and (lang, n), all words of each language."""
     with scratch(texts.sparkSession) as kept:
-        singles = runs(texts, 1, (None, None))
-        totals = saved(singles.groupBy("lang").agg(F.sum("count").alias("n")), "word-totals")
+        singles = runs(texts, 1, (None,), least)
+        totals = saved(singles.where("lang IS NOT NULL").groupBy("lang").agg(F.sum("count").alias("n")), "word-totals")
         words = merged(singles, least)
-        known = bit_filter(words)
-        pairs = merged(runs(texts, 2, (known, None)), least)
-        longer = merged(runs(texts, 3, (known, bit_filter(pairs))), least)
+        known = [bit_filter(word_bits(words)), bit_filter(full_buckets(singles, least))]
+        dropped(texts.sparkSession, singles)
+        doubles = runs(texts, 2, known, least)
+        pairs = merged(doubles, least)
+        known.append(bit_filter(full_buckets(doubles, least)))
+        longer = merged(runs(texts, 3, known, least), least)
         every = words.unionByName(pairs).unionByName(longer).withColumn("words", F.size(F.split("phrase", " ")))
         counts = saved(every.select("lang", "phrase", "words", "f"), "all-phrases")
         kept += [counts, totals]

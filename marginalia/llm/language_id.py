@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_batches, saved, scratch
+from .common import binaries, by_batches, saved, scratch
 
 ORDERS = (1, 2, 3)
 FEATURES = 1 << 15
@@ -86,11 +86,26 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+def _weighed(places: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    values = (1 + np.log(counts)) * idf[places]
+    return places, values / max(np.sqrt((values**2).sum()), 1e-12)
+
+
 def tf_idf(counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The places taken and their values."""
     places = np.flatnonzero(counts)
-    values = (1 + np.log(counts[places])) * idf[places]
-    return places, values / max(np.sqrt((values**2).sum()), 1e-12)
+    return _weighed(places, counts[places], idf)
+
+
+def packed(counts: np.ndarray) -> tuple[bytes, bytes]:
+    """The places taken, as steps from one to the next, and their counts."""
+    places = np.flatnonzero(counts)
+    return np.diff(places, prepend=0).astype("<u2").tobytes(), counts[places].astype("<u4").tobytes()
+
+
+def unpacked(places: bytes, counts: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places and values of a packed row."""
+    return _weighed(np.cumsum(np.frombuffer(places, "<u2"), dtype=np.int64), np.frombuffer(counts, "<u4"), idf)
 
 
 @dataclass(frozen=True)
@@ -192,29 +207,29 @@ def fitted(learned: DataFrame, sample_rows: int, shards: int, epochs: int, penal
 
         @by_batches
         def features(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = [tf_idf(feature_counts(x or ""), idf) for x in batch.column(1).to_pylist()]
+            rows = [packed(feature_counts(x or "")) for x in batch.column(1).to_pylist()]
             labels = [index[x] for x in batch.column(0).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(2), pa.array(labels, pa.int32()), pa.array([p.astype(np.int32) for p, _ in rows], pa.list_(pa.int32())), pa.array([v for _, v in rows], pa.list_(pa.float64()))], ["digest", "label", "places", "values"])
+            return pa.RecordBatch.from_arrays([batch.column(2), pa.array(labels, pa.int32()), binaries([x for x, _ in rows]), binaries([x for _, x in rows])], ["digest", "label", "places", "counts"])
 
-        made = texts.select("lang", "text", "digest").mapInArrow(features, "digest long, label int, places array<int>, values array<double>")
-        dealt = made.where(F.size("places") > 0).withColumns({"kept": F.pmod("digest", F.lit(5)) == 0, "shard": F.pmod(F.xxhash64("digest"), F.lit(shards))})
+        made = texts.select("lang", "text", "digest").mapInArrow(features, "digest long, label int, places binary, counts binary")
+        dealt = made.where(F.length("places") > 0).withColumns({"kept": F.pmod("digest", F.lit(5)) == 0, "shard": F.pmod(F.xxhash64("digest"), F.lit(shards))})
         table = saved(dealt, "language-features")
         z, n = np.zeros((FEATURES, width)), np.zeros((FEATURES, width))
         for _ in range(epochs):
-            z, n = _averaged(table.where("NOT kept"), z, n, penalties)
+            z, n = _averaged(table.where("NOT kept"), idf, z, n, penalties)
         model.weights = penalties.weights(z, n)
         model.temperature = _temperature(table.where("kept"), model)
     return model
 
 
-def _averaged(rows: DataFrame, z: np.ndarray, n: np.ndarray, penalties: Penalties) -> tuple[np.ndarray, np.ndarray]:
+def _averaged(rows: DataFrame, idf: np.ndarray, z: np.ndarray, n: np.ndarray, penalties: Penalties) -> tuple[np.ndarray, np.ndarray]:
     """The state after one pass of every shard from (z, n), averaged over shards."""
     shared = rows.sparkSession.sparkContext.broadcast((z, n))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         z, n = (x.copy() for x in shared.value)
         part = part.sort_values("digest")
-        follow_the_leader(z, n, zip(part["places"], part["values"], part["label"], strict=True), penalties)
+        follow_the_leader(z, n, ((*unpacked(p, c, idf), y) for p, c, y in zip(part["places"], part["counts"], part["label"], strict=True)), penalties)
         moved = np.flatnonzero((n != shared.value[1]).any(axis=1))
         return pd.DataFrame({"place": moved, "z": list(z[moved] - shared.value[0][moved]), "n": list(n[moved] - shared.value[1][moved])})
 
@@ -240,14 +255,14 @@ def _temperature(rows: DataFrame, model: Model) -> float:
     def loss(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(_TEMPERATURES))
         for batch in batches:
-            for label, places, values in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                scores = model.scores(np.array(places), np.array(values)) / _TEMPERATURES[:, None]
+            for label, places, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                scores = model.scores(*unpacked(places, counts, model.idf)) / _TEMPERATURES[:, None]
                 chances = scores - scores.max(axis=1, keepdims=True)
                 chances -= np.log(np.exp(chances).sum(axis=1, keepdims=True))
                 total -= chances @ aim + sure * chances[:, label]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["at", "loss"])
 
-    sums = rows.select("label", "places", "values").mapInArrow(loss, "at long, loss double").groupBy("at").agg(F.sum("loss").alias("loss"))
+    sums = rows.select("label", "places", "counts").mapInArrow(loss, "at long, loss double").groupBy("at").agg(F.sum("loss").alias("loss"))
     return float(_TEMPERATURES[sums.orderBy(F.round("loss", 6), F.desc("at")).first().at])
 
 
@@ -267,7 +282,7 @@ def predicted(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return found.select(*(F.col(f"own_{i}").alias(c) for i, c in enumerate(kept)), "lang_pred", "score")
 
 
-def identify(df: DataFrame, sample_rows: int = 20_000, shards: int = 4, epochs: int = 3, penalties: Penalties = Penalties()) -> DataFrame:
+def identify(df: DataFrame, sample_rows: int = 8_000, shards: int = 4, epochs: int = 3, penalties: Penalties = Penalties()) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of each row of ``df(doc_id, text, lang)``; only rows that aren't held out are learned from."""
     rows = df.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), held_out(F.col("doc_id")).alias("held_out"))
     learned = rows.where("NOT held_out AND lang IS NOT NULL").drop("held_out")

@@ -53,10 +53,11 @@ def test_collocations_score_beyond_64_bits(spark):
     assert [r.score for r in collocations.scored(counts).collect()] == [2_000_000 * (8 * 10**18 + 1) // (18 * 10**18)]
 
 
-def counted(monkeypatch, texts, level, most, known=(None, None)):
+def counted(monkeypatch, texts, level, most, known=(None,)):
     """What a task counts when it may hold ``most`` entries."""
     found, runs = Counter(), 0
-    held = collocations.LanguageCounts("en", level, known)
+    buckets = collocations.Buckets(30)
+    held = collocations.LanguageCounts("en", level, known, buckets)
     batches = []
     for text in texts:
         batches += held.add([text])
@@ -64,6 +65,7 @@ def counted(monkeypatch, texts, level, most, known=(None, None)):
             batches += held.spilled(held.size // 2)
     batches += held.spilled(0)
     for b in batches:
+        assert b["part"].null_count == len(b)
         assert b["phrase"].to_pylist() == sorted(b["phrase"].to_pylist(), key=str.encode) or level > 1
         found.update({p: 0 for p in b["phrase"].to_pylist()})
         for p, c in zip(b["phrase"].to_pylist(), b["count"].to_pylist(), strict=True):
@@ -76,7 +78,7 @@ def counted(monkeypatch, texts, level, most, known=(None, None)):
 def test_tries_spill_whole_subtrees_and_lose_nothing(monkeypatch, level):
     rng = random.Random(level)
     texts = [" ".join(f"w{int(rng.paretovariate(0.7)) % 300}" for _ in range(400)).encode() for _ in range(30)]
-    every = (None, b"\xff" * (1 << collocations.FILTER_BITS - 3))
+    every = (None, *[b"\xff" * (1 << collocations.FILTER_BITS - 3)] * 2)
     monkeypatch.setattr(collocations, "BURST", 8)
     whole, few = counted(monkeypatch, texts, level, 10**9, every)
     monkeypatch.setattr(collocations, "SEGMENT", 100)  # texts in many parts
@@ -104,22 +106,37 @@ def test_containers_burst(monkeypatch):
     assert not trie.root
 
 
-def test_the_filter_prunes_and_has_a_fixed_size(spark, data):
+def test_filters_prune_lose_nothing_and_have_a_fixed_size(spark, data):
     texts = spark.read.parquet(f"{data}/documents.parquet").select("lang", "text")
-    words = collocations.merged(collocations.runs(texts, 1, (None, None)), 30)
-    bits = collocations.bit_filter(words)
-    assert len(bits) == 1 << collocations.FILTER_BITS - 3
-    assert 0 < sum(x.bit_count() for x in bits) <= words.count()
-    pruned = collocations.runs(texts, 2, (bits, None))
-    every = collocations.runs(texts, 2, (None, None))
-    assert pruned.count() * 3 < every.count()
-    got, want = (sorted(map(tuple, collocations.merged(x, 30).select("lang", "phrase", "f").collect())) for x in (pruned, every))
+    singles = collocations.runs(texts, 1, (None,), 30)
+    words = collocations.merged(singles, 30)
+    bits = [collocations.bit_filter(x) for x in (collocations.word_bits(words), collocations.full_buckets(singles, 30))]
+    assert {len(x) for x in bits} == {1 << collocations.FILTER_BITS - 3}
+    assert 0 < sum(x.bit_count() for x in bits[0]) <= words.count()
+    every = b"\xff" * len(bits[0])
+    pruned, free = (collocations.runs(texts, 2, x, 30).where("lang IS NOT NULL") for x in (bits, [None, every]))
+    assert pruned.count() * 10 < free.count()
+    got, want = (sorted(map(tuple, collocations.merged(x, 30).collect())) for x in (pruned, free))
     assert got == want and got
 
 
+def test_buckets_add_up(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    hashes = rng.integers(0, 1 << 64, 500, np.uint64, endpoint=False)
+    often = hashes[:7]
+    batches = []
+    for _ in range(3):
+        buckets = collocations.Buckets(30)
+        batches += buckets.add(np.concatenate([hashes, *[often] * 9]))
+        batches += buckets.given()
+    rows = [(r["part"], r["buckets"], r["counts"]) for b in batches for r in b.to_pylist()]
+    got = collocations.full_buckets(spark.createDataFrame(rows, "part int, buckets binary, counts binary"), 30)
+    assert sorted(r.bit for r in got.collect()) == sorted(int(x) >> 64 - collocations.FILTER_BITS for x in often)
+
+
 def test_runs_are_merged_without_another_shuffle(spark, data):
     texts = spark.read.parquet(f"{data}/documents.parquet").select("lang", "text")
-    found = collocations.runs(texts, 1, (None, None))
+    found = collocations.runs(texts, 1, (None,), 30)
     plan = found.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("count"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
 
