@@ -1,8 +1,11 @@
 """Main text of web pages by consensus of each host's pages.
 
 1. A task parses a page to a light tree. What is never main text (menus, headers,
-   footers, asides, forms, scripts, elements whose class, id or role says so) is
-   marked. Every remaining text block gives its length, less what is in links, to
+   footers, asides, scripts, elements that are hidden or whose role says so) is marked.
+   A class, an id or a form only hints at it: such an element is none of the text unless
+   it holds the page's main element, its largest article or its title, or over half
+   of its text where no article or main element lies outside hints. Comments and what is
+   hidden stay out, unless nothing would be left. Every remaining text block gives its length, less what is in links, to
    the containers around it, less the further out they are, to half of it; the
    container with the highest score, or the ``article`` or ``main`` around it, is the
    page's candidate. It is widened to the container around it as long as that adds
@@ -12,7 +15,8 @@
    classes from the root, digits left out. The paths with most votes win.
 3. Pages are parsed again and the elements on their host's first winning path
    that hold at least half of the text of the page's own candidate are extracted
-   (a single one is widened as above); a page with none takes its own candidate.
+   (a single one is widened as above), together with the candidate if they are inside
+   it and leave any of its text outside links; a page with none takes its candidate.
 
 Only paths and counts are shuffled; the winners are a written table, so Spark
 joins by its true size, and a host with a third of all pages is one row there.
@@ -52,9 +56,13 @@ _CLOSES_P = _BLOCK - {"body", "html", "head", "td", "th", "tr", "tbody", "thead"
 _CONTAINER = {"article": 1.3, "main": 1.2, "section": 1.0, "div": 1.0, "body": 0.9, "td": 0.9, "blockquote": 0.6, "center": 0.9, "html": 0.5}
 #: An opening tag on the left ends an open element on the right that lies above none of the third.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set())}
-_NEVER = frozenset("head script style noscript template nav header footer aside form button input select textarea iframe object svg canvas audio video dialog menu fieldset search title xmp noembed noframes".split())
-_NOISE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promoted banner nav navbar navigation navi menu menus breadcrumb breadcrumbs sidebar rail widget widgets footer masthead topbar cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations teaser teasers comment comments commentlist disqus reply replies respond discussion pagination pager toolbar copyright skip sr hidden outbrain taboola".split())
-_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+_NEVER = frozenset("head script style noscript template nav header footer aside button input select textarea iframe object svg canvas audio video dialog menu fieldset search title xmp noembed noframes".split())
+_NOISE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promoted banner nav navbar navigation navi menu menus breadcrumb breadcrumbs sidebar rail widget widgets footer masthead topbar cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations teaser teasers pagination pager toolbar copyright outbrain taboola".split())
+_COMMENTS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
+#: Whole classes of what is there for screen readers only, or not shown.
+_UNSEEN = frozenset("hidden sr-only visually-hidden visuallyhidden screen-reader-text screen-reader skip-link skip-to-content".split())
+_SHOWN = re.compile(r"^\w+:(?:block|flex|grid|inline\S*|table\S*|contents)$")
+_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _PARTS = re.compile(r"[A-Za-z]+")
 _DIGITS = re.compile(r"\d+")
@@ -67,10 +75,14 @@ _NEAR = (0.5, 0.4, 0.3, 0.2, 0.1)
 _P_STOPS = frozenset({"button", "table", "td", "th", "article", "section", "div", "main", "li", "blockquote"})
 
 
+#: What an element is by itself: text, never text, hidden, with a hint that it is none, with a hint at comments.
+TEXT, NEVER, HIDDEN, HINT, COMMENT = range(5)
+
+
 class Node:
     __slots__ = ("tag", "up", "place", "noise", "path", "label", "first", "last")
 
-    def __init__(self, tag: str, up: Node | None, label: str, noise: bool):
+    def __init__(self, tag: str, up: Node | None, label: str, noise: int):
         self.tag, self.up, self.label, self.noise = tag, up, label, noise  # up: the container around it
         self.place, self.path = -1, xxhash.xxh64_intdigest(label, seed=up.path if up else 0)
         self.first = self.last = 0  # blocks inside: [first, last)
@@ -83,12 +95,20 @@ def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): html.unescape(v[1:-1] if v[:1] in ("'", '"') else v) for k, v in reversed(_ATTRIBUTE.findall(text))}
 
 
-def _is_noise(tag: str, at: dict[str, str]) -> bool:
-    if tag in _NEVER or "hidden" in at or at.get("aria-hidden") == "true" or at.get("role", "").lower() in _ROLES or _HIDDEN.search(at.get("style", "")):
-        return True
+def _noise(tag: str, at: dict[str, str]) -> int:
+    role = at.get("role", "").lower()
+    if tag in _NEVER:
+        return NEVER
+    if "hidden" in at or at.get("aria-hidden") == "true" or role in _ROLES or _HIDDEN.search(at.get("style", "")):
+        return HIDDEN
     if tag in ("html", "body", "main"):
-        return False
-    return any(x.lower() in _NOISE for k in ("class", "id") for name in at.get(k, "").split() if not _STATE.search(name) for x in _PARTS.findall(name))
+        return TEXT
+    names = [name for k in ("class", "id") for name in at.get(k, "").split() if not _STATE.search(name)]
+    words = {x.lower() for name in names for x in _PARTS.findall(name)}
+    if not words.isdisjoint(_COMMENTS):
+        return COMMENT
+    unseen = not _UNSEEN.isdisjoint(names) and not any(map(_SHOWN.match, names))
+    return HINT if tag == "form" or role == "form" or unseen or not words.isdisjoint(_NOISE) else TEXT
 
 
 class Page:
@@ -96,6 +116,8 @@ class Page:
 
     def __init__(self, source: str):
         self.nodes: list[Node] = []
+        self._hints: list[Node] = []
+        self._owned: list[Node] = []  # main elements, articles and titles
         self.blocks: list[tuple[str, int, Node | None, bool]] = []
         self._text: list[str] = []
         self._linked = self._links = self._noisy = 0
@@ -122,6 +144,7 @@ class Page:
         while self._open:
             self._pop()
         self._flush()
+        self._weigh()
         self._count()
 
     def _add(self, text: str) -> None:
@@ -149,7 +172,7 @@ class Page:
         if node.place >= 0:
             self._inside.pop()
         node.last = len(self.blocks)
-        self._noisy -= node.noise
+        self._noisy -= node.noise == NEVER
         self._links -= node.tag == "a"
 
     def _last(self, tags: set[str] | frozenset[str]) -> int:
@@ -183,9 +206,9 @@ class Page:
                 self._text.append(" " if tag != "wbr" else "")
             return
         at = _attributes(attributes)
-        noise = _is_noise(tag, at)
+        noise = _noise(tag, at)
         if tag == "header" and self._is_open("article", "main"):
-            noise = False  # an article's own title
+            noise = TEXT  # an article's own title
         if noise:
             self._flush()
         contains = tag in _CONTAINER
@@ -194,13 +217,50 @@ class Page:
         node.first = len(self.blocks)
         self._at.setdefault(tag, []).append(len(self._open))
         self._open.append(node)
-        self._noisy += noise
+        if noise >= HIDDEN:
+            self._hints.append(node)
+        elif noise == TEXT and self._noisy == 0 and tag == "h1":
+            self._owned.append(node)
+        if tag in ("article", "main"):
+            self._owned.append(node)
+        self._noisy += noise == NEVER
         self._links += tag == "a"
         if contains:
             node.place = len(self.nodes)
             self.nodes.append(node)
             self._inside.append(node)
 
+    def _weigh(self) -> None:
+        """Blocks in elements that hints make noise are noise. If that leaves no text, hidden elements and hints count for nothing."""
+        if not self._hints and any(own and not noise for _, own, _, noise in self.blocks):
+            return
+        free = np.array([0 if noise else own for _, own, _, noise in self.blocks], np.int64)
+        before = np.concatenate([[0], np.cumsum(free)])
+        inside = lambda x: int(before[x.last] - before[x.first])
+        total = int(before[-1])
+        articles = [x for x in self._owned if x.tag == "article"]
+        largest = max(articles, key=inside, default=None)
+        kept = [x for x in self._owned if inside(x) and (x.tag != "article" or (x is largest and 4 * inside(x) >= total))]
+        size = len(self.blocks) + 1
+        ends, hinting = np.full(size, size), np.zeros(size, np.int64)  # by where they begin: the nearest end of those to keep, the farthest of hints
+        for x in kept:
+            ends[x.first] = min(ends[x.first], x.last)
+        for x in self._hints:
+            if x.noise != HIDDEN:
+                hinting[x.first] = max(hinting[x.first], x.last)
+        ends, hinting = np.minimum.accumulate(ends[::-1])[::-1], np.maximum.accumulate(hinting)
+        plain = any(x.tag != "h1" and inside(x) and hinting[x.first] < x.last for x in self._owned)
+        noise = [x for x in self._hints if x.noise != HINT or (ends[x.first] > x.last and (2 * inside(x) <= total or plain))]
+        for some in (noise, [x for x in noise if 2 * inside(x) <= total], []):
+            edges = np.zeros(size, np.int64)
+            for x in some:
+                edges[x.first] += 1
+                edges[x.last] -= 1
+            hinted = np.cumsum(edges)[:-1] > 0
+            if (free[~hinted] > 0).any():
+                break
+        self.blocks = [(t, own, node, bool(noise or h)) for (t, own, node, noise), h in zip(self.blocks, hinted, strict=True)]
+
     def _count(self) -> None:
         """Sums over blocks that aren't noise: all text and text outside links before each block, text right inside each container, and text by parent and label of containers."""
         kept = np.array([0 if noise else len(text) for text, _, _, noise in self.blocks], np.int64)
@@ -286,7 +346,11 @@ def main_text(source: str, paths: list[int]) -> str:
     for path in paths:
         found = page.on_path(path)
         if 2 * sum(map(page.plain, found)) >= page.plain(own):
-            return page.text([page.widened(found[0])] if len(found) == 1 else found)
+            found = [page.widened(found[0])] if len(found) == 1 else found
+            inside = [x for x in found if own.first <= x.first and x.last <= own.last]
+            if inside and sum(map(page.plain, inside)) < page.plain(own):
+                found = sorted([own, *(x for x in found if x not in inside)], key=lambda x: x.first)
+            return page.text(found)
     return page.text([own])
 
 

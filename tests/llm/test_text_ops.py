@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marginalia.llm import bpe, chat, html_extract, packing, queries, token_counts, token_files, tokens, urls
 from marginalia.llm.common import scratch_path
@@ -410,3 +411,55 @@ def test_url_vocabulary_as_a_table(spark):
     }
     with pytest.raises(ValueError, match="terms"):
         urls.vocabulary_terms(table, most=3)
+
+
+PARAGRAPHS = ["The first paragraph says a good deal about things.", "The second paragraph says a good deal more about other things."]
+TWO = "".join(f"<p>{x}</p>" for x in PARAGRAPHS)
+WRAPPERS = [*"overflow-hidden layout-with-sidebar layout--sidebar-left content-sidebar-wrap sr-container banner-present sticky-nav page-overlay-none".split(), *(f"page-{x}-on" for x in sorted(html_extract._NOISE | html_extract._COMMENTS | {"hidden", "sr", "skip"}))]
+WHOLE = ["<body><div class='{c}'><article>{t}</article></div></body>", "<body><div id='{c}'>{t}</div></body>", "<body><div class='{c}'><div class='x'>{t}</div></div><footer>foot</footer></body>", "<body><div class='{c}'><main>{t}<form>Your mail, please</form></main></div><nav>menu</nav></body>"]
+OWN = "category-notices|tag-advertising|post-share-enabled-false|entry-content social-proof|relative overflow-hidden rounded".split("|")
+
+
+@pytest.mark.parametrize("page", [*(p.format(c=c, t=TWO) for c in WRAPPERS for p in WHOLE), *(f"<body><nav>m</nav><article class='{c}'>{TWO}</article><div class='share'>Share this</div></body>" for c in OWN), f"<body><form id='aspnetForm'><div class='content'>{TWO}</div><input value=x></form></body>", f"<body><div style='display:none'>{TWO}</div></body>", f"<body><div class='hidden md:block'>{TWO}</div></body>"])
+def test_hints_never_empty_a_page(page):
+    assert html_extract.main_text(page, []) == "\n".join(PARAGRAPHS)
+
+
+@pytest.mark.parametrize(
+    "noise",
+    [
+        "<form><label>Mail</label> please give us your mail</form>",
+        "<div class='comments'>" + "<p>Nice article, I liked it a lot and so did my friends.</p>" * 6 + "</div>",
+        "<div class='hidden'>Not shown</div><span class='sr-only'>for readers</span><div class='related'><article>a teaser</article><article>another</article></div>",
+        "<div class='cookie-banner'>We use cookies</div><div id='sidebar'>side</div><p class='advert'>buy</p><div role='form'>fields</div>",
+    ],
+)
+def test_hints_still_take_noise_out(noise):
+    for page in (f"<body><div class='post'>{TWO}</div>{noise}</body>", f"<body><div class='post'>{TWO}{noise}</div></body>", f"<body><article>{TWO}{noise}</article></body>"):
+        assert html_extract.main_text(page, []) == "\n".join(PARAGRAPHS)
+
+
+def test_a_hosts_path_never_takes_text_from_a_page(spark):
+    """Pages in the way of a host, and one whose article goes on in another box."""
+    words = lambda n, k: "".join(f"<p>Paragraph {i} of page {n} tells something {'more ' * 20}.</p>" for i in range(k))
+    page = lambda inner: f"<body><nav>menu</nav><div class='wrap'>{inner}</div><footer>foot</footer></body>"
+    odd = page(f"<div class='story'>{words(9, 3)}</div><div class='update'>{words(10, 2)}</div>")
+    rows = [(i, "http://h.example/a", page(f"<div class='story'>{words(i, 4)}</div>")) for i in range(5)] + [(9, "http://h.example/b", odd)]
+    frame = lambda x: spark.createDataFrame(x, "page_id long, url string, html string")
+    alone, beside = (next(r for r in html_extract.extract_main_text(frame(x)).collect() if r.page_id == 9) for x in (rows[-1:], rows))
+    assert alone.text == beside.text and alone.text.count("\n") == 4
+
+
+def test_main_text_of_pages_without_articles(spark, data):
+    """The given pages with other boxes for their articles, against what stood in these."""
+    import html
+
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    boxed = pages.withColumn("html", F.replace(F.replace("html", F.lit("<article>"), F.concat(F.lit("<div class='layout-with-sidebar'><div class='text box-"), F.col("page_id") % 3, F.lit("'>"))), F.lit("</article>"), F.lit("</div></div>")))
+    source = {r.page_id: r.html for r in pages.collect()}
+    wrong = 0
+    for r in html_extract.extract_main_text(boxed).collect():
+        article = re.search(r"<article>(.*?)(?:</article>|\Z)", source[r.page_id], re.DOTALL)[1]
+        blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", article))
+        wrong += r.text != "\n".join(b for b in blocks if b)
+    assert wrong <= 0.02 * len(source)
