@@ -7,6 +7,8 @@ into two different models.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -119,8 +121,12 @@ def nearest_neighbours(queries: DataFrame, base: DataFrame, k: int, keys: tuple[
 
     def packed(df: DataFrame, label: Column, name: str) -> DataFrame:
         rows = df.select(*keys, F.pmod(F.xxhash64("id"), F.lit(1 << 20)).alias("h"), F.struct("id", label.alias("label"), F.col("v").cast("array<double>").alias("v")).alias("row"))
-        count = df.count()
-        return rows.groupBy(*keys, (F.col("h") % max(1, -(-count // block))).alias("__block")).agg(F.collect_list("row").alias(name)).drop("__block")
+        if keys:
+            sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias("__blocks"))
+            rows = rows.join(sizes.hint("shuffle_merge"), list(keys))
+        else:
+            rows = rows.withColumn("__blocks", F.lit(max(1, -(-df.count() // block))))
+        return rows.groupBy(*keys, (F.col("h") % F.col("__blocks")).alias("__block")).agg(F.collect_list("row").alias(name)).drop("__block")
 
     one = packed(queries, F.lit(None).cast("int"), "qs")
     two = packed(base, F.col("label"), "bs")
@@ -149,33 +155,81 @@ def knn_vote(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
 
     Vectors of counts repeat: each distinct one looks for neighbours once, and of equal
     training vectors only those with the k smallest ids can be among the k nearest, so the
-    work follows the distinct vectors, not the traces.
+    work follows the distinct vectors, not the traces. Of these, a vector meets those in
+    cells that may hold a neighbour (``pivot_neighbours``).
     """
+    from .neighbours import pivot_neighbours
     from .stats import vectors
 
     queries = vectors(test).select("comparison", (F.col("question_id") * 2 + F.col("side")).alias("id"), "v")
     asked = saved(queries.groupBy("comparison", "v").agg(F.min("id").alias("query")), "asked")
     first = F.row_number().over(Window.partitionBy("comparison", "v").orderBy("id"))
     base = vectors(train).select("comparison", (F.col("question_id") * 2 + F.col("side")).alias("id"), F.col("side").alias("label"), "v").withColumn("nth", first).where(F.col("nth") <= k)
-    near = nearest_neighbours(asked.withColumnRenamed("query", "id"), base.drop("nth"), k, ("comparison",))
+    near = pivot_neighbours(asked.withColumnRenamed("query", "id"), base.drop("nth"), k, ("comparison",))
     found = near.groupBy("comparison", "query").agg(F.avg((F.col("label") == 0).cast("double")).alias("p0"))
     voted = saved(asked.join(found.hint("shuffle_merge"), ["comparison", "query"]).drop("query"), "votes")
     shares = queries.join(voted.hint("shuffle_merge"), ["comparison", "v"])
     return shares.select("comparison", F.floor(F.col("id") / 2).alias("question_id"), (F.col("id") % 2).cast("int").alias("side"), "p0", (1 - F.col("p0")).alias("p1"))
 
 
-def logistic_regression(train: DataFrame, test: DataFrame, c: float = 1.0) -> DataFrame:
-    """L2 logistic regression on one comparison's vectors (regParam = 1 / (C n), no scaling)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+def logistic_regression(train: DataFrame, test: DataFrame, c: float = 1.0, steps: int = 40, tolerance: float = 1e-9) -> DataFrame:
+    """L2 logistic regression of each comparison's vectors: log loss + |w|^2 / (2 C), the intercept free, no scaling.
 
+    Newton's method for all comparisons at once. A step is one aggregation: tasks add up
+    X'WX, X'(p - y) and the loss of the distinct vectors they hold, by comparison; the sums
+    are added and solved by comparison in Spark. Where the loss rose, the last step is
+    halved. One number a step reaches the driver: how far the farthest weights moved.
+    """
     from .stats import vectors
 
-    rows = {k: vectors(x).withColumn("features", array_to_vector(F.col("v").cast("array<double>"))) for k, x in (("train", train), ("test", test))}
-    fit = LogisticRegression(labelCol="label", regParam=1 / (c * rows["train"].count()), elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-9)
-    model = fit.fit(rows["train"].withColumn("label", F.col("side").cast("double")))
-    p = vector_to_array("probability")
-    return model.transform(rows["test"]).select(*OUTPUT, p[0].alias("p0"), p[1].alias("p1"))
+    points = saved(vectors(train).groupBy("comparison", F.col("v").cast("array<double>").alias("v")).agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1")), "points")
+    start = points.groupBy("comparison").agg(F.max(F.size("v")).alias("width"))
+    zeros = F.transform(F.sequence(F.lit(0), F.col("width")), lambda _: F.lit(0.0))
+    weights = saved(start.select("comparison", zeros.alias("w"), zeros.alias("before"), F.lit(float("inf")).alias("loss"), F.lit(float("inf")).alias("moved")), "weights")
+    key = f"comparison {points.schema['comparison'].dataType.simpleString()}"
+    for _ in range(steps):
+        met = points.join(weights.select("comparison", "w", "before", F.col("loss").alias("last")).hint("shuffle_merge"), "comparison")
+        sums = met.mapInPandas(_newton_sums, f"{key}, w array<double>, before array<double>, last double, sums array<double>")
+        weights = saved(sums.groupBy("comparison").applyInPandas(lambda rows: _newton_step(rows, c), f"{key}, w array<double>, before array<double>, loss double, moved double"), "weights")  # a row a task
+        moved = weights.agg(F.max("moved")).first()[0]
+        if moved is None or moved < tolerance:
+            break
+    rows = vectors(test).join(weights.select("comparison", "w").hint("shuffle_merge"), "comparison")
+    inner = F.aggregate(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.col("v"), lambda w, x: w * x), F.element_at("w", -1), lambda s, x: s + x)
+    return rows.withColumn("p1", 1 / (1 + F.exp(-inner))).select(*OUTPUT, (1 - F.col("p1")).alias("p0"), "p1")
+
+
+def _newton_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """X'WX, X'(p - y) and the loss of the rows of each comparison that a task holds, in one array."""
+    held: dict[int, list] = {}
+    for rows in batches:
+        for comparison, part in rows.groupby("comparison"):
+            w = np.asarray(part["w"].iloc[0], float)
+            x = np.column_stack([np.stack(part["v"].tolist()), np.ones(len(part))])
+            n0, n1 = part["n0"].to_numpy(float), part["n1"].to_numpy(float)
+            score = x @ w
+            p = 1 / (1 + np.exp(-score))
+            loss = (n0 * np.logaddexp(0, score) + n1 * np.logaddexp(0, -score)).sum()
+            found = np.concatenate([(x.T @ (x * ((n0 + n1) * p * (1 - p))[:, None])).ravel(), x.T @ ((n0 + n1) * p - n1), [loss]])
+            if comparison in held:
+                held[comparison][-1] += found
+            else:
+                held[comparison] = [comparison, w, part["before"].iloc[0], part["last"].iloc[0], found]
+    yield pd.DataFrame(list(held.values()), columns=["comparison", "w", "before", "last", "sums"])
+
+
+def _newton_step(rows: pd.DataFrame, c: float) -> pd.DataFrame:
+    """The next weights of a comparison, from the sums of its tasks."""
+    w, before, last = np.asarray(rows["w"].iloc[0], float), np.asarray(rows["before"].iloc[0], float), rows["last"].iloc[0]
+    size, sums = len(w), np.sum(np.stack(rows["sums"].tolist()), axis=0)
+    penalty = np.append(np.full(size - 1, 1 / c), 0.0)
+    loss = sums[-1] + (penalty * w * w).sum() / 2
+    if loss > last + 1e-9 * (1 + abs(loss)):
+        after, kept, loss = (w + before) / 2, before, last
+    else:
+        curve = sums[: size * size].reshape(size, size) + np.diag(penalty)
+        after, kept = w - np.linalg.lstsq(curve, sums[size * size : -1] + penalty * w, rcond=None)[0], w
+    return pd.DataFrame({"comparison": rows["comparison"].iloc[:1], "w": [after], "before": [kept], "loss": [loss], "moved": [np.abs(after - w).max()]})
 
 
 CLASSIFIERS = {

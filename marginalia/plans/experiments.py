@@ -36,14 +36,6 @@ def compare(methods: Iterable[str], train: DataFrame, test: DataFrame) -> DataFr
     return reduce(DataFrame.unionByName, (evaluate(m, train, test).withColumn("method", F.lit(m)) for m in methods))
 
 
-def fitted_per_comparison(train: DataFrame, test: DataFrame) -> DataFrame:
-    """Logistic regression for each comparison: one MLlib fit each, a driver loop over the few comparisons."""
-    numbers = [r[0] for r in train.select("comparison").distinct().orderBy("comparison").collect()]
-    train, test = saved(train, "train"), saved(test, "test")
-    scores = (classify.logistic_regression(train.where(F.col("comparison") == c), test.where(F.col("comparison") == c)) for c in numbers)
-    return stats.accuracy(classify.resolve(reduce(DataFrame.unionByName, scores)), ["comparison"])
-
-
 def averaged(facts: DataFrame, runs: DataFrame) -> DataFrame:
     """Facts whose counts are means over reruns, ``runs(doc_id, run, code_idx, cnt)``."""
     means = runs.groupBy("doc_id", "code_idx").agg(F.avg("cnt").alias("cnt"))

@@ -196,7 +196,7 @@ def _correct_wrong(s, d):
 
 _CM = ["vote_soft", "vote_hard", "naive_bayes_multinomial", "centroid_euclidean"]
 query("c11_compare_classifiers")(lambda s, d: experiments.compare(_CM, *train_and_test(t.facts(s, d))))
-query("c8_logistic_regression")(lambda s, d: experiments.fitted_per_comparison(*train_and_test(t.facts(s, d))))
+query("c8_logistic_regression")(lambda s, d: experiments.evaluate("logistic_regression", *train_and_test(t.facts(s, d))))
 
 # ---- neighbours and similar codes -----------------------------------------
 

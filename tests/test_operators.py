@@ -116,20 +116,80 @@ def test_unknown_methods_are_errors(spark):
             call()
 
 
-def test_logistic_regression_against_newton(spark):
-    rng = np.random.default_rng(0)
-    x = rng.poisson(2, (60, 3)).astype(float)
-    y = (x[:, 0] + rng.normal(size=60) > 2).astype(float)
-    rows = [(0, i, int(y[i]), "m", i, c, str(c), int(x[i, c])) for i in range(60) for c in range(3)]
-    facts = spark.createDataFrame(rows, "comparison int, question_id long, side int, model string, doc_id long, code_idx int, code_name string, cnt long")
-    got = {r.question_id: r.p1 for r in classify.logistic_regression(facts, facts).collect()}
-    w, a = np.zeros(4), np.hstack([x, np.ones((60, 1))])
-    for _ in range(50):
+def _newton(x, y):
+    w, a = np.zeros(x.shape[1] + 1), np.hstack([x, np.ones((len(x), 1))])
+    penalty = np.diag([*[1.0] * x.shape[1], 0])
+    for _ in range(60):
         p = 1 / (1 + np.exp(-a @ w))
-        penalty = np.diag([1.0, 1, 1, 0])
         w -= np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + penalty, a.T @ (p - y) + penalty @ w)
-    want = 1 / (1 + np.exp(-a @ w))
-    assert max(abs(got[i] - want[i]) for i in range(60)) < 1e-4
+    return 1 / (1 + np.exp(-a @ w))
+
+
+def _points(spark, sizes):
+    """Facts of one comparison a size, with the vectors and sides they stand for."""
+    rng, rows, of = np.random.default_rng(0), [], {}
+    for comparison, size in enumerate(sizes):
+        x = rng.poisson(2 + comparison, (size, 3)).astype(float)
+        y = (x[:, 0] + rng.normal(size=size) * (comparison + 0.5) > 2 + comparison).astype(float)
+        of[comparison] = x, y
+        rows += [(comparison, i, int(y[i]), "m", 1000 * comparison + i, c, str(c), int(x[i, c])) for i in range(size) for c in range(3)]
+    return spark.createDataFrame(rows, "comparison int, question_id long, side int, model string, doc_id long, code_idx int, code_name string, cnt long"), of
+
+
+def test_logistic_regression_of_all_comparisons_against_newton(spark):
+    facts, of = _points(spark, [60, 200, 35])
+    got = {(r.comparison, r.question_id): r.p1 for r in classify.logistic_regression(facts, facts).collect()}
+    for comparison, (x, y) in of.items():
+        want = _newton(x, y)
+        assert max(abs(got[comparison, i] - want[i]) for i in range(len(y))) < 1e-6
+    assert len(got) == 295
+
+
+def test_logistic_regression_takes_as_many_jobs_for_many_comparisons(spark):
+    jobs = []
+    for sizes in ([60], [60, 55, 50, 45, 40, 35]):
+        facts, _ = _points(spark, sizes)
+        spark.sparkContext.setJobGroup(f"newton-{len(sizes)}", "")
+        classify.logistic_regression(facts, facts, steps=4, tolerance=0).collect()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"newton-{len(sizes)}")))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[0] == jobs[1]
+
+
+def test_logistic_regression_is_a_method_of_experiments(spark, data):
+    from marginalia.plans import experiments
+
+    facts = t.facts(spark, data)
+    split = facts.where(~classify.is_eval(F.col("question_id"))), facts.where(classify.is_eval(F.col("question_id")))
+    rows = experiments.compare(["vote_soft", "logistic_regression"], *split).collect()
+    assert {r.method for r in rows} == {"vote_soft", "logistic_regression"}
+
+
+@pytest.mark.parametrize("pivots", [1, 8, 32])
+def test_pivot_neighbours_against_brute_force(spark, pivots):
+    from marginalia.operators import neighbours
+
+    rng, rows = np.random.default_rng(pivots), []
+    for key, size in ((0, 700), (1, 3), (2, 120)):
+        centres = rng.normal(size=(6, 4)) * 20
+        points = np.round(centres[rng.integers(0, 6, size)] + rng.normal(size=(size, 4)), 1)
+        points[size // 2 :: 7] = points[0]  # ties
+        rows += [(key, i, i % 2, p.tolist()) for i, p in enumerate(points)]
+    base = spark.createDataFrame(rows, "key int, id long, label int, v array<double>")
+    queries = base.where("id % 5 = 0").drop("label").unionByName(spark.createDataFrame([(0, 10_000, [500.0, 0.0, 0.0, 0.0]), (9, 1, [0.0] * 4)], "key int, id long, v array<double>"))
+    got = {}
+    for r in neighbours.pivot_neighbours(queries, base, 5, ("key",), pivots, block=64).collect():
+        got.setdefault((r.key, r["query"]), []).append((r["rank"], r.neighbour, round(r.distance, 9)))
+    want = {}
+    for q in queries.collect():
+        found = sorted((float(np.sqrt(((np.array(v) - np.array(q.v)) ** 2).sum())), i) for k, i, _, v in rows if k == q.key)[:5]
+        if found:
+            want[q.key, q.id] = [(n, i, round(d, 9)) for n, (d, i) in enumerate(found, 1)]
+    assert {k: sorted(v) for k, v in got.items()} == want
+    placed, asked = neighbours.cells(queries, base, 5, ["key"], pivots)
+    compared = asked.groupBy("key", "cell").count().join(placed.groupBy("key", "cell").agg(F.count("*").alias("rows")), ["key", "cell"]).agg(F.sum(F.col("count") * F.col("rows"))).first()[0]
+    every = queries.groupBy("key").count().join(base.groupBy("key").agg(F.count("*").alias("rows")), "key").agg(F.sum(F.col("count") * F.col("rows"))).first()[0]
+    assert compared <= every and (pivots < 32 or compared * 3 < every)
 
 
 def test_impute_iterative_fills_gaps(spark, data):
