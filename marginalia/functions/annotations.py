@@ -214,22 +214,34 @@ def extract_sequence(df: DataFrame, codes: list[str], keys: list[str], text: str
 _JUNK = re.compile(r"^(?:none|n/a|added|updated|removed|no change.*|final output.*|output [ab].*|model [ab].*|)$", re.IGNORECASE)
 
 
+def common_letters(one: str, two: str) -> int:
+    """The length of the longest common subsequence: a bit for each letter of ``one``, a few operations on whole numbers for each of ``two``."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(one):
+        places[c] = places.get(c, 0) | 1 << i
+    every = free = (1 << len(one)) - 1
+    for c in two:
+        taken = free & places.get(c, 0)
+        free = (free + taken | free - taken) & every
+    return len(one) - free.bit_count()
+
+
 def similarity(one: str, two: str) -> int:
     """round(100 * 2 LCS / (lengths)), on lower case."""
     one, two = one.lower(), two.lower()
     if not one or not two:
         return 100 if one == two else 0
-    row = [0] * (len(two) + 1)
-    for c in one:
-        last = 0
-        for j, d in enumerate(two, 1):
-            last, row[j] = row[j], last + 1 if c == d else max(row[j], row[j - 1])
-    return round(200 * row[-1] / (len(one) + len(two)))
+    return round(200 * common_letters(one, two) / (len(one) + len(two)))
+
+
+def word_set(text: str) -> set[str]:
+    """Words in lower case, without punctuation."""
+    return {*re.sub(r"[^\w]|_", " ", text.lower()).split()}
 
 
 def token_set_similarity(one: str, two: str) -> int:
     """The best similarity of: the common words, these and the first text's other words, these and the second's; words in lower case, without punctuation, sorted. A text whose words are all the other's scores 100."""
-    a, b = ({*re.sub(r"[^\w]|_", " ", x.lower()).split()} for x in (one, two))
+    a, b = word_set(one), word_set(two)
     if not a or not b:
         return 0
     common = sorted(a & b)

@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.annotations import similarity, token_set_similarity
 from marginalia.functions.text import clean_code_name
 from marginalia.sources.scratch import saved
 
@@ -16,9 +14,6 @@ from . import stats
 from .vectors import chosen
 
 
-MOST_CANDIDATES = 20_000
-
-
 def embed_codes(codes: DataFrame, width: int = 768, tokens: int = 512) -> DataFrame:
     """(code_idx, dim, x): a hashed histogram of ``name: definition``, its first ``tokens`` words, at length 1."""
     words = F.slice(F.split(F.lower(F.concat("code_name", F.lit(": "), "definition")), r"\s+"), 1, tokens)
@@ -125,28 +120,6 @@ def latest(codes: DataFrame) -> DataFrame:
     return codes.join(F.broadcast(top), "version", "left_semi")
 
 
-def fuzzy_match(names: DataFrame, candidates: DataFrame, least: int = 90, mode: str = "character") -> DataFrame:
-    """(name, candidate, score): the best candidate of each name at ``least`` or more, ties by candidate order.
-
-    ``candidates(ord, candidate)`` is a taxonomy's few hundred names, at most MOST_CANDIDATES.
-    In ``character`` mode, pairs whose lengths rule the score out don't meet. ``token``
-    compares the sets of words (``token_set_similarity``).
-    """
-    if candidates.limit(MOST_CANDIDATES + 1).count() > MOST_CANDIDATES:
-        raise ValueError(f"more than {MOST_CANDIDATES} candidates")
-    alike = token_set_similarity if mode == "token" else similarity
-
-    @F.pandas_udf("int")
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([alike(x, y) for x, y in zip(a, b, strict=True)])
-
-    distinct = names.select("name").distinct()
-    la, lb = F.length("name"), F.length("candidate")
-    met = distinct.join(F.broadcast(candidates), F.lit(True) if mode == "token" else 2 * F.least(la, lb) >= (least - 0.5) / 100 * (la + lb))
-    rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "ord"))
-    return met.withColumn("score", score("name", "candidate")).where(F.col("score") >= least).withColumn("rank", rank).where("rank = 1").select("name", "candidate", "score")
-
-
 def stop_decisions(rounds: DataFrame, by: Sequence[str] = (), max_codes: int | None = None, max_samples: int | None = None, patience: int | None = None, least_samples: int = 0) -> DataFrame:
     """(by, round, codes, samples, streak, stop) after the last of each run's ``rounds(by, round, codes, samples)``: enough codes or samples, or no change for ``patience`` rounds."""
     order = Window.partitionBy(*by).orderBy("round")

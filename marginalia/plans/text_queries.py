@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import annotations as an
 from marginalia.functions import text as fx
 from marginalia.operators import codebook as cb
+from marginalia.operators import names as name_index
 from marginalia.operators import classify, pairs, stats, vectors
 from marginalia.operators.stats import r6
 from marginalia.sources import scan
@@ -301,7 +302,7 @@ query(
     SELECT code_idx, dim, round(n / sqrt(sum(n * n) OVER (PARTITION BY code_idx)), 6) AS x FROM c""",
 )(lambda s, d: cb.embed_codes(named_items(s, d)).withColumn("x", r6(F.col("x"))))
 query("e2_group_similar_codes")(lambda s, d: cb.group_similar_codes(cb.embed_codes(named_items(s, d)), 0.35))
-query("j8_fuzzy_match")(lambda s, d: cb.fuzzy_match(t.table(s, d, "part").select(F.lower("p_name").alias("name")), named_items(s, d).select(F.col("code_idx").alias("ord"), F.col("code_name").alias("candidate")).unionByName(t.table(s, d, "part").groupBy("p_brand").agg(F.min(F.lower("p_name")).alias("candidate"), F.min("p_partkey").cast("int").alias("ord")).select("ord", "candidate")), 80))
+query("j8_fuzzy_match")(lambda s, d: name_index.fuzzy_match(t.table(s, d, "part").select(F.lower("p_name").alias("name")), named_items(s, d).select(F.col("code_idx").alias("ord"), F.col("code_name").alias("candidate")).unionByName(t.table(s, d, "part").groupBy("p_brand").agg(F.min(F.lower("p_name")).alias("candidate"), F.min("p_partkey").cast("int").alias("ord")).select("ord", "candidate")), 80))
 query("v5_impute_iterative")(lambda s, d: vectors.impute_iterative(t.facts_missing(s, d)).select("doc_id", "code_idx", r6(F.col("value")).alias("value")))
 
 # ---- experiments and the incremental path ---------------------------------

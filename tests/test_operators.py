@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from marginalia.operators import names as name_index
 from marginalia.operators import agreement, classify, codebook, pairs, sequences, stats, vectors
 from marginalia.plans import experiments
 from marginalia.sources import scan
@@ -90,7 +91,62 @@ def test_incremental_counts_follow_the_newest_annotations(spark, tmp_path):
 def test_fuzzy_match_ties_go_to_the_first(spark):
     names = spark.createDataFrame([("backtracking",), ("zzz",)], "name string")
     options = spark.createDataFrame([(0, "Backtrackings"), (1, "backtracking"), (2, "Backtracking")], "ord int, candidate string")
-    assert [tuple(r) for r in codebook.fuzzy_match(names, options).collect()] == [("backtracking", "backtracking", 100)]
+    assert [tuple(r) for r in name_index.fuzzy_match(names, options).collect()] == [("backtracking", "backtracking", 100)]
+
+
+@pytest.mark.parametrize(("least", "mode"), [(80, "character"), (90, "character"), (50, "character"), (80, "token"), (90, "token")])
+def test_fuzzy_match_against_brute_force(spark, least, mode):
+    import random
+
+    from marginalia.functions import annotations as an
+
+    rng = random.Random(least)
+    words = ["back", "track", "ing", "check", "the", "sum", "Plan", "a", "é", "İx", "step-by", "case"]
+    draw = lambda: " ".join(rng.choice(words) for _ in range(rng.choice([1, 1, 2, 3, 5])))
+
+    def spoilt(x):
+        for _ in range(rng.choice([0, 1, 1, 2, 4])):
+            i = rng.randrange(len(x) + 1)
+            x = x[:i] + rng.choice(["", "q", "e", x[i : i + 1] * 2]) + x[i + rng.choice([0, 1]) :]
+        return x
+
+    candidates = [(i, draw()) for i in range(150)] + [(200, ""), (201, "a"), (202, "ab"), (203, "aaaaaaaaaa"), (1, "the sum")]
+    names = [spoilt(x) for _, x in candidates for _ in range(2)] + ["", "a", "b", "ba", "aaaaaaaaa", "AB", "nothing like it at all"] * 2
+    alike = an.token_set_similarity if mode == "token" else an.similarity
+    want = {}
+    for x in set(names):
+        score, order, found = min((-alike(x, c), i, c) for i, c in candidates)
+        if -score >= least:
+            want[x] = (found, -score)
+    frames = spark.createDataFrame([(x,) for x in names] + [(None,)], "name string"), spark.createDataFrame(candidates, "ord int, candidate string")
+    got = {r["name"]: (r.candidate, r.score) for r in name_index.fuzzy_match(*frames, least, mode).collect()}
+    assert got == want
+
+
+def test_alike_names_meet_and_few_others_do(spark):
+    names = spark.createDataFrame([(f"some reasoning step number {i:04d} of {'abcdefghij'[i % 10] * 4}",) for i in range(2000)], "name string")
+    met = name_index.met(names, names.withColumnRenamed("name", "candidate"), 90, "character")
+    rng = np.random.default_rng(0)
+    other = spark.createDataFrame([("".join(map(chr, rng.integers(97, 123, 14))),) for _ in range(3000)], "name string")
+    few = name_index.met(other, other.withColumnRenamed("name", "candidate"), 90, "character")
+    assert met.where("name = candidate").count() == 2000
+    assert few.count() * 20 < other.distinct().count() ** 2
+
+
+def test_common_letters_against_a_table():
+    import random
+
+    from marginalia.functions.annotations import common_letters
+
+    rng = random.Random(0)
+    for _ in range(300):
+        one, two = ("".join(rng.choice("abcé") for _ in range(rng.randrange(0, 80))) for _ in range(2))
+        row = [0] * (len(two) + 1)
+        for c in one:
+            last = 0
+            for j, d in enumerate(two, 1):
+                last, row[j] = row[j], last + 1 if c == d else max(row[j], row[j - 1])
+        assert common_letters(one, two) == row[-1]
 
 
 def test_update_versions(spark):
