@@ -13,8 +13,9 @@ assistant turns only.
 
 Turns get their places in the conversation by sampled ranges, so that no task
 holds or sorts a whole conversation, and are dealt by conversation and block of
-BLOCK places. A window doesn't reach over a block's edge (its history neither), and
-each block is one group of at most BLOCK turns, whatever the turn numbers are. A
+BLOCK places, whatever the turn numbers are. The last turns of a block, up to
+``history`` tokens, go to the next one too, so its first window repeats them as any
+other does; a window takes new turns of one block only. A
 conversation's checksum alone needs its windows in order: they stream through one
 task, none is held.
 
@@ -92,20 +93,25 @@ def chat_windows(df: DataFrame, budget: int = 512, history: int = 128, target: s
     turns = placed_turns(formatted_turns(df))
     first_system = F.min_by(F.struct("written", "tokens"), "place")
     systems = saved(turns.where("role = 'system'").groupBy(*_CONVERSATION).agg(first_system.alias("system")), "system-turns")
-    named = turns.join(systems.hint("shuffle_merge"), list(_CONVERSATION), "left").withColumn("block", F.expr(f"place div {BLOCK}"))
+    placed = saved(turns.withColumn("block", F.expr(f"place div {BLOCK}")).join(systems.hint("shuffle_merge"), list(_CONVERSATION), "left"), "placed-turns")
+    to_end = F.sum("tokens").over(Window.partitionBy(*_CONVERSATION, "block").orderBy(F.desc("place")))  # at most BLOCK rows
+    before = placed.withColumn("to_end", to_end).where(F.col("to_end") <= history).drop("to_end").withColumn("block", F.col("block") + 1)
+    later = placed.where(F.col("block") > 0).select(*_CONVERSATION, "block").distinct()
+    again = before.join(saved(later, "later-blocks").hint("shuffle_merge"), [*_CONVERSATION, "block"], "left_semi")
+    named = placed.withColumn("again", F.lit(False)).unionByName(again.withColumn("again", F.lit(True)))
     at_start = F.col("place") % BLOCK == 0  # a block needs its system turn once
-    columns = [*_CONVERSATION, "block", "place", F.char_length("head").alias("text_from"), "written", "tokens", (F.col("role") == target).alias("is_target"), F.when(at_start, F.col("system.written")).alias("sys_written"), F.when(at_start, F.col("system.tokens")).alias("sys_tokens")]
+    columns = [*_CONVERSATION, "block", "place", F.char_length("head").alias("text_from"), "written", "tokens", (F.col("role") == target).alias("is_target"), "again", F.when(at_start, F.col("system.written")).alias("sys_written"), F.when(at_start, F.col("system.tokens")).alias("sys_tokens")]
 
-    def windows(unknown, conv, block, place, text_from, written, tokens, is_target, sys_written, sys_tokens) -> list[tuple]:  # noqa: ANN001
-        system, written = sys_written[0], written.tolist()
-        sums = np.concatenate([[0], np.cumsum(tokens)])
-        out, at = [], 0
+    def windows(unknown, conv, block, place, text_from, written, tokens, is_target, again, sys_written, sys_tokens) -> list[tuple]:  # noqa: ANN001
+        at = int(again.sum())  # turns of the block before come first
+        system, system_size, written = sys_written[at], sys_tokens[at], written.tolist()
+        sums, out = np.concatenate([[0], np.cumsum(tokens)]), []
         while at < len(written):
             head, room = [], budget
             back = at
             if at or (isinstance(system, str) and written[0] != system):
                 if isinstance(system, str):
-                    head, room = [system], budget - int(sys_tokens[0])
+                    head, room = [system], budget - int(system_size)
                 back = int(np.searchsorted(sums, sums[at] - history))
                 while back < at and written[back] == system:
                     back += 1

@@ -463,3 +463,24 @@ def test_main_text_of_pages_without_articles(spark, data):
         blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", article))
         wrong += r.text != "\n".join(b for b in blocks if b)
     assert wrong <= 0.05 * len(source)  # an article of a few words is less than its page's notices
+
+
+@pytest.mark.parametrize("system", [True, False])
+def test_windows_repeat_history_at_the_edges_of_blocks(spark, system):
+    n = 3 * chat.BLOCK + 40
+    turns = [(1, -1, "system", "Be kind to all.")] * system + [(1, i, ("user", "assistant")[i % 2], f"turn {i} says a few words") for i in range(n)]
+    rows = chat.chat_windows(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).orderBy("block", "window").collect()
+    assert len({r.block for r in rows}) == 4
+    heads = 1 if system else 0
+    assert [r.n_repeated > heads for r in rows] == [i > 0 for i in range(len(rows))]
+    texts, at = [x for _, _, _, x in turns], 0
+    for r in rows:
+        read = [t for _, t, _, _ in chat.read_turns(r.formatted)]
+        new = read[r.n_repeated :]
+        assert new == texts[at : at + len(new)]
+        assert read[: r.n_repeated] == ["Be kind to all."] * (heads if at else 0) + texts[at - (r.n_repeated - (heads if at else 0)) : at]
+        at += len(new)
+    assert at == len(turns)
+    back = chat.read_back(chat.chat_windows(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).first()
+    assert back.n_turns == len(turns)
+    assert back.loss_sha256 == hashlib.sha256("".join(t for _, _, r, t in turns if r == "assistant").encode()).hexdigest()
