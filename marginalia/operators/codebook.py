@@ -23,10 +23,35 @@ def embed_codes(codes: DataFrame, width: int = 768, tokens: int = 512) -> DataFr
     return counts.select("code_idx", "dim", (F.col("n") / norm).alias("x"))
 
 
+def indexed_dims(embedded: DataFrame, least: float) -> DataFrame:
+    """Saved: the rows of ``embedded(code_idx, dim, x)`` by which codes meet.
+
+    Dimensions are in one order, those of most codes first. The first dimensions of a code
+    whose x have a norm below ``least`` are left out: with these alone no vector of length 1
+    has a product of ``least``. Two similar codes so share a dimension after what is left
+    out, and the last one that they share lies behind it in both.
+    """
+    often = saved(embedded.where("x <> 0").groupBy("dim").agg(F.count("*").alias("codes")), "dims")
+    placed = embedded.where("x <> 0").join(often.hint("shuffle_merge"), "dim")
+    sums = F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("code_idx").orderBy(F.desc("codes"), "dim"))  # a code's own dimensions
+    return saved(placed.withColumn("squares", sums).where(F.col("squares") >= (least - 1e-9) ** 2).select("code_idx", "dim", "x"), "indexed-dims")
+
+
+def met_codes(embedded: DataFrame, least: float) -> DataFrame:
+    """Saved (code_1, code_2), code_1 < code_2: the pairs that share an indexed dimension."""
+    indexed = indexed_dims(embedded, least)
+    one, two = (indexed.select(F.col("code_idx").alias(f"code_{i}"), "dim") for i in (1, 2))
+    return saved(one.join(two.hint("shuffle_merge"), "dim").where("code_1 < code_2").select("code_1", "code_2").distinct(), "met-codes")
+
+
 def similar_codes(embedded: DataFrame, least: float) -> DataFrame:
-    """(code_1, code_2, cosine) with cosine >= ``least``: an equi-join on shared dimensions, not all pairs."""
-    one, two = (embedded.select(F.col("code_idx").alias(f"code_{i}"), "dim", F.col("x").alias(f"x{i}")) for i in (1, 2))
-    return one.join(two.hint("shuffle_merge"), "dim").where("code_1 < code_2").groupBy("code_1", "code_2").agg(F.sum(F.col("x1") * F.col("x2")).alias("cosine")).where(F.col("cosine") >= least)
+    """(code_1, code_2, cosine) with cosine >= ``least`` > 0 of vectors of length 1: codes meet by ``indexed_dims`` and are compared in full."""
+    met = met_codes(embedded, least)
+    vectors = saved(embedded.groupBy("code_idx").agg(F.map_from_entries(F.collect_list(F.struct("dim", "x"))).alias("v")), "code-vectors")  # a code's own dimensions
+    side = lambda i: vectors.select(F.col("code_idx").alias(f"code_{i}"), F.col("v").alias(f"v{i}")).hint("shuffle_merge")
+    both = met.join(side(1), "code_1").join(side(2), "code_2")
+    dot = F.aggregate(F.map_keys("v1"), F.lit(0.0), lambda s, d: s + F.element_at("v1", d) * F.coalesce(F.try_element_at("v2", d), F.lit(0.0)))
+    return both.select("code_1", "code_2", dot.alias("cosine")).where(F.col("cosine") >= least)
 
 
 def component_labels(edges: DataFrame) -> DataFrame:

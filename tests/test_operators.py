@@ -133,6 +133,36 @@ def test_alike_names_meet_and_few_others_do(spark):
     assert few.count() * 20 < other.distinct().count() ** 2
 
 
+def _embedded(spark, codes):
+    """Sparse vectors of length 1: a few dimensions that most codes have, some of a group's, some of its own."""
+    rng, rows, vectors = np.random.default_rng(codes), [], {}
+    for code in range(codes):
+        v = np.zeros(1200)
+        v[rng.integers(0, 12, 10)] += 1
+        v[100 + rng.integers(0, 3) + 3 * (code % (codes // 4))] += 4
+        v[rng.integers(600, 1200, 4)] += rng.choice([0, 1, 3])
+        vectors[code] = v = v / np.linalg.norm(v)
+        rows += [(code, int(d), float(v[d])) for d in np.flatnonzero(v)]
+    return spark.createDataFrame(rows, "code_idx int, dim int, x double"), vectors
+
+
+def test_similar_codes_meet_by_few_dimensions(spark):
+    met = []
+    for codes in (150, 600):
+        embedded, vectors = _embedded(spark, codes)
+        m = np.stack(list(vectors.values()))
+        cosines = m @ m.T
+        want = {(i, j) for i in range(codes) for j in range(i + 1, codes) if cosines[i, j] >= 0.8}
+        got = {(r.code_1, r.code_2): r.cosine for r in codebook.similar_codes(embedded, 0.8).collect()}
+        assert got.keys() == want and want
+        assert all(abs(c - cosines[p]) < 1e-9 for p, c in got.items())
+        one, two = (embedded.select(F.col("code_idx").alias(f"c{i}"), "dim") for i in (1, 2))
+        every = one.join(two, "dim").where("c1 < c2").select("c1", "c2").distinct().count()
+        met.append(codebook.met_codes(embedded, 0.8).count())
+        assert met[-1] * 4 < every
+    assert met[1] < 8 * met[0]  # four times the codes, of groups as large
+
+
 def test_common_letters_against_a_table():
     import random
 
