@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,29 +67,77 @@ def impute_knn(facts: DataFrame, k: int = 10) -> DataFrame:
     return filled.withColumn("value", F.coalesce(F.col("cnt").cast("double"), "fill", "by_column")).drop("fill", "by_column", "v")
 
 
-def impute_iterative(facts: DataFrame, rounds: int = 10) -> DataFrame:
-    """Facts with ``value``: each incomplete code is regressed on the others (ridge) in turn, from column means.
+def impute_iterative(facts: DataFrame, rounds: int = 10, ridge: float = 1e-3) -> DataFrame:
+    """Facts with ``value``: in each round each incomplete code of a comparison's model is regressed on the others in turn (ridge on covariances), from column means.
 
-    A driver loop of MLlib fits, one per incomplete code and round; only coefficients reach
-    the driver. Each round is written, so that the lineage doesn't grow.
+    An imputed value is a linear function of its trace's observed ones, the same for all
+    traces that lack the same codes. So traces are read once: tasks add up the moments of
+    each pattern of missing codes, and all rounds are worked out on these small matrices, by
+    comparison and model in Spark. A pattern's map then fills its traces. Patterns come
+    from the taxonomy's versions, so there are about as many as versions.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
     start = impute_simple(facts, "mean")
-    codes = [r[0] for r in start.select("code_idx").distinct().orderBy("code_idx").collect()]
-    wide = start.groupBy(*KEYS).agg(*[F.max(F.when(F.col("code_idx") == c, F.col("value"))).alias(f"v{c}") for c in codes], *[F.bool_or((F.col("code_idx") == c) & F.col("cnt").isNull()).alias(f"m{c}") for c in codes])
+    cells = F.array_sort(F.collect_list(F.struct("code_idx", F.col("cnt").isNull().alias("missing"), "value")))
+    wide = start.groupBy(*KEYS).agg(cells.alias("cells")).select(*KEYS, F.col("cells.code_idx").alias("codes"), F.col("cells.missing").alias("missing"), F.col("cells.value").alias("v"))
     wide = saved(wide, "wide")
-    incomplete = [c for c in codes if not wide.where(f"m{c}").isEmpty()]
-    for _ in range(rounds):
-        for c in incomplete:
-            others = VectorAssembler(inputCols=[f"v{o}" for o in codes if o != c], outputCol="features")
-            rows = others.transform(wide)
-            model = LinearRegression(labelCol=f"v{c}", regParam=1e-3).fit(rows.where(f"NOT m{c}"))
-            wide = model.transform(rows).withColumn(f"v{c}", F.when(F.col(f"m{c}"), F.col("prediction")).otherwise(F.col(f"v{c}"))).drop("features", "prediction")
-        wide = saved(wide, "wide")
-    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("code_idx"), F.col(f"v{c}").alias("value")) for c in codes)))
-    return wide.select(*KEYS, pairs.alias("p")).select(*KEYS, "p.code_idx", "p.value")
+    kinds = {f.name: f.dataType.simpleString() for f in wide.schema}
+    key = f"comparison {kinds['comparison']}, model {kinds['model']}, codes {kinds['codes']}, missing {kinds['missing']}"
+    moments = wide.select("comparison", "model", "codes", "missing", "v").mapInPandas(_moments, f"{key}, moments array<double>")
+    maps = saved(moments.groupBy("comparison", "model").applyInPandas(lambda rows: _pattern_maps(rows, rounds, ridge), f"{key}, maps array<array<double>>"), "pattern-maps")  # a row a task and pattern
+    met = wide.join(maps.hint("shuffle_merge"), ["comparison", "model", "codes", "missing"], "left")
+    fill = lambda m: F.aggregate(F.zip_with(F.slice(m, 2, F.size("v")), F.col("v"), lambda w, x: w * x), m[0], lambda s, x: s + x)
+    values = F.when(F.col("maps").isNull(), F.col("v")).otherwise(F.transform("maps", fill))
+    pairs = met.select(*KEYS, F.explode(F.arrays_zip("codes", "missing", "v", values.alias("value"))).alias("p"))
+    return pairs.select(*KEYS, F.col("p.codes").alias("code_idx"), F.when(F.col("p.missing"), F.col("p.value")).otherwise(F.col("p.v")).alias("value"))
+
+
+def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sums of (1, v) (1, v)' of a task's traces, by comparison, model and pattern."""
+    held: dict[tuple, np.ndarray] = {}
+    for rows in batches:
+        patterns = [rows[c].map(tuple) for c in ("codes", "missing")]
+        for pattern, part in rows.groupby(["comparison", "model", *patterns], dropna=False):
+            x = np.column_stack([np.ones(len(part)), np.stack(part["v"].tolist())])
+            held[pattern] = held.get(pattern, 0) + x.T @ x
+    yield pd.DataFrame([(c, m, list(codes), list(missing), x.ravel()) for (c, m, codes, missing), x in held.items()], columns=["comparison", "model", "codes", "missing", "moments"])
+
+
+def _pattern_maps(rows: pd.DataFrame, rounds: int, ridge: float) -> pd.DataFrame:
+    """For each pattern of a comparison's model the map from (1, v) as it was at the start to the values after all rounds."""
+    moments: dict[tuple, np.ndarray] = {}
+    for codes, missing, x in zip(rows["codes"], rows["missing"], rows["moments"], strict=True):
+        size = len(codes) + 1
+        at = tuple(codes), tuple(map(bool, missing))
+        moments[at] = moments.get(at, 0) + np.asarray(x, float).reshape(size, size)
+    maps = {at: np.eye(len(at[0]) + 1) for at in moments}
+    for codes in {c for c, _ in moments}:
+        mine = [at for at in moments if at[0] == codes]
+        incomplete = [i for i in range(len(codes)) if any(at[1][i] for at in mine)]
+        for _ in range(rounds):
+            for i in incomplete:
+                known = sum((moments[at] for at in mine if not at[1][i]), np.zeros((len(codes) + 1,) * 2))
+                if known[0, 0] == 0:
+                    continue
+                step = _regression(known / known[0, 0], i + 1, ridge)
+                for at in mine:
+                    if at[1][i]:
+                        change = np.eye(len(codes) + 1)
+                        change[i + 1] = step
+                        moments[at] = change @ moments[at] @ change.T
+                        maps[at] = change @ maps[at]
+    first = rows.iloc[0]
+    return pd.DataFrame([(first["comparison"], first["model"], list(at[0]), list(at[1]), list(m[1:])) for at, m in maps.items()], columns=["comparison", "model", "codes", "missing", "maps"])
+
+
+def _regression(moments: np.ndarray, i: int, ridge: float) -> np.ndarray:
+    """The intercept and weights (0 at ``i``) that give the i-th from the others, from mean moments of (1, v)."""
+    others = [j for j in range(1, len(moments)) if j != i]
+    means = moments[0]
+    covariances = moments - np.outer(means, means)
+    w = np.linalg.solve(covariances[np.ix_(others, others)] + ridge * np.eye(len(others)), covariances[others, i])
+    out = np.zeros(len(moments))
+    out[others], out[0] = w, means[i] - w @ means[others]
+    return out
 
 
 IMPUTERS = {"mean": lambda f: impute_simple(f, "mean"), "median": lambda f: impute_simple(f, "median"), "most_frequent": lambda f: impute_simple(f, "most_frequent"), "constant": lambda f: impute_simple(f, "constant"), "knn": impute_knn, "iterative": impute_iterative}

@@ -279,14 +279,40 @@ def test_pivot_neighbours_against_brute_force(spark, pivots):
 
 
 def test_impute_iterative_fills_gaps(spark, data):
-    facts = t.facts_missing(spark, data).where("comparison = 0")
-    filled = vectors.impute_iterative(facts, 1)
+    facts = t.facts_missing(spark, data)
+    filled = vectors.impute_iterative(facts)
     assert filled.count() == facts.count()
     assert filled.where("value IS NULL").isEmpty()
     known = filled.join(facts.where("cnt IS NOT NULL").select("doc_id", "code_idx", "cnt"), ["doc_id", "code_idx"])
     assert known.where("abs(value - cnt) > 1e-9").isEmpty()
 
 
+def test_impute_iterative_against_rounds_over_rows(spark):
+    rng, rows, of = np.random.default_rng(4), [], {}
+    for comparison in (0, 1):
+        x = rng.poisson(3, (80, 5)).astype(float)
+        x[:, 3] = np.round(x[:, 0] * 1.5 + x[:, 1] + rng.normal(size=80))
+        gaps = np.zeros(x.shape, bool)
+        gaps[::3, 3:] = True
+        gaps[1::7, 2] = True
+        gaps[:, 4] |= comparison == 1  # never counted
+        of[comparison] = x, gaps
+        rows += [(comparison, i, 0, "m", 1000 * comparison + i, c, str(c), None if gaps[i, c] else int(x[i, c])) for i in range(80) for c in range(5)]
+    facts = spark.createDataFrame(rows, "comparison int, question_id long, side int, model string, doc_id long, code_idx int, code_name string, cnt long")
+    got = {(r.comparison, r.question_id, r.code_idx): r.value for r in vectors.impute_iterative(facts).collect()}
+    for comparison, (x, gaps) in of.items():
+        v = np.where(gaps, 0, x)
+        v = np.where(gaps, v.sum(axis=0) / np.maximum(1, (~gaps).sum(axis=0)), v)
+        for _ in range(10):
+            for c in np.flatnonzero(gaps.any(axis=0) & ~gaps.all(axis=0)):
+                others = [o for o in range(5) if o != c]
+                seen, y = v[~gaps[:, c]][:, others], v[~gaps[:, c], c]
+                centred = seen - seen.mean(axis=0)
+                w = np.linalg.solve(centred.T @ centred / len(y) + 1e-3 * np.eye(4), centred.T @ (y - y.mean()) / len(y))
+                v[gaps[:, c], c] = y.mean() + (v[gaps[:, c]][:, others] - seen.mean(axis=0)) @ w
+        assert max(abs(got[comparison, i, c] - v[i, c]) for i in range(80) for c in range(5)) < 1e-6
+
+
 def _swapped(facts):
     return facts.withColumn("side", 1 - F.col("side"))
 

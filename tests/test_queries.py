@@ -5,7 +5,7 @@ import pytest
 from marginalia.plans import registered
 from tests.oracle import assert_same, connect
 
-SLOW = {"v5_impute_iterative", "e6_train_taxonomy"}
+SLOW = {"e6_train_taxonomy"}
 
 
 @pytest.fixture(scope="module")
