@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,24 +133,34 @@ def nearest_neighbours(queries: DataFrame, base: DataFrame, k: int, keys: tuple[
     two = packed(base, F.col("label"), "bs")
     met = one.join(two.hint("shuffle_merge"), list(keys)) if keys else one.crossJoin(two)
 
-    @F.pandas_udf("array<struct<query:long,neighbour:long,label:int,distance:double>>")
-    def nearest(qs: pd.Series, bs: pd.Series) -> pd.Series:
-        out = []
-        for q, b in zip(qs, bs, strict=True):
-            ids, labels, m = np.array([x["id"] for x in b]), [x["label"] for x in b], np.array([x["v"] for x in b], float)
-            found = []
-            for x in q:
-                d = np.sqrt(((m - np.asarray(x["v"], float)) ** 2).sum(axis=1))
-                for i in np.lexsort((ids, d))[:k]:
-                    found.append({"query": int(x["id"]), "neighbour": int(ids[i]), "label": labels[i], "distance": float(d[i])})
-            out.append(found)
-        return pd.Series(out)
-
-    rows = met.select(*keys, F.inline(nearest("qs", "bs")))
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                (ids, _, asked), (mine, labels, rows) = (_block(batch.column(x)[r].values) for x in ("qs", "bs"))
+                found, distances = [], []
+                for x in asked:
+                    d = np.sqrt(((rows - x) ** 2).sum(axis=1))
+                    near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
+                    near = near[np.lexsort((mine[near], d[near]))[:k]]
+                    found.append(near)
+                    distances.append(d[near])
+                at = np.concatenate(found)
+                same = pa.array(np.full(len(at), r))
+                made = [pa.array(np.repeat(ids, [len(x) for x in found])), pa.array(mine[at]), labels.take(pa.array(at)), pa.array(np.concatenate(distances))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(same) for c in keys), *made], [*keys, "query", "neighbour", "label", "distance"])
+
+    kinds = "".join(f"`{c}` {met.schema[c].dataType.simpleString()}, " for c in keys)
+    rows = met.mapInArrow(nearest, f"{kinds}query long, neighbour long, label int, distance double")
     rank = F.row_number().over(Window.partitionBy(*keys, "query").orderBy("distance", "neighbour"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _block(rows: pa.StructArray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Ids, labels and vectors of a block; all vectors are of one length."""
+    flat = rows.field("v").flatten().to_numpy(zero_copy_only=False)
+    return rows.field("id").to_numpy(zero_copy_only=False), rows.field("label"), flat.reshape(len(rows), -1)
+
+
 def knn_vote(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
     """The share of each model among the k nearest training vectors.
 

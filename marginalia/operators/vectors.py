@@ -42,28 +42,45 @@ def impute_knn(facts: DataFrame, k: int = 10) -> DataFrame:
     """Facts with ``value``: a missing count is the mean of the k nearest traces of its model that have the code.
 
     Distance is Euclidean over shared codes, scaled by all / shared; ties go to the smaller
-    id. Equal vectors are one: only distinct vectors of a model and comparison meet, those
-    with gaps as targets, and a donor vector stands for its k smallest ids. The k nearest
-    traces are among those of the k nearest donor vectors, ordered by distance and first id.
+    id. Equal vectors are one: only distinct vectors look for neighbours, and a donor vector
+    stands for its k smallest ids. Targets and donors are parted by the codes that they have:
+    for two such patterns the shared codes are the same throughout, so the k nearest are
+    found by ``pivot_neighbours`` on these alone, and the patterns' results are ranked once more.
     """
+    from .neighbours import pivot_neighbours
+
     by = ["comparison", "model"]
     width = facts.agg(F.count_distinct("code_idx").alias("width"))
     traces = saved(facts.groupBy(*by, "doc_id").agg(F.array_sort(F.collect_list(F.struct("code_idx", "cnt"))).alias("v")), "vectors")
+    had = F.transform(F.filter("v", lambda x: x["cnt"].isNotNull()), lambda x: x["code_idx"])
     nth = F.row_number().over(Window.partitionBy(*by, "v").orderBy("doc_id"))
-    donors = traces.withColumn("nth", nth).where(F.col("nth") <= k).groupBy(*by, F.col("v").alias("donor")).agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
-    targets = saved(traces.where(F.exists("v", lambda x: x["cnt"].isNull())).select(*by, F.col("v").alias("target")).distinct(), "targets")
-    both = targets.join(saved(donors, "donors").hint("shuffle_merge"), by)
-    cells = F.filter(F.transform(F.arrays_zip("target", "donor"), lambda p: F.when(p["target"]["code_idx"] == p["donor"]["code_idx"], p["target"]["cnt"] - p["donor"]["cnt"])), lambda x: x.isNotNull())
-    sums = both.withColumn("cells", cells).where(F.size("cells") > 0).crossJoin(F.broadcast(width))
-    near = sums.withColumn("distance", F.sqrt(F.aggregate("cells", F.lit(0).cast("long"), lambda s, x: s + x * x) * F.col("width") / F.size("cells"))).drop("cells", "width")
-    given = F.filter(F.transform(F.arrays_zip("target", "donor"), lambda p: F.when(p["target"]["cnt"].isNull(), p["donor"])), lambda x: x["cnt"].isNotNull())
-    offers = near.select(*by, "target", "distance", "ids", F.inline(given)).withColumnRenamed("cnt", "y")
-    rank = lambda *order: F.row_number().over(Window.partitionBy(*by, "target", "code_idx").orderBy(*order))
-    nearest = offers.withColumn("rank", rank("distance", F.col("ids")[0])).where(F.col("rank") <= k)
+    few = traces.withColumn("nth", nth).where(F.col("nth") <= k)
+    donors = saved(few.groupBy(*by, "v").agg(F.array_sort(F.collect_list("doc_id")).alias("ids")).withColumns({"had": had, "id": F.col("ids")[0]}), "donors")
+    targets = donors.where(F.size("had") < F.size("v"))
+    patterns = lambda df, name: df.select(*by, F.col("had").alias(name)).distinct()
+    met = patterns(targets, "target").join(patterns(donors, "donor").hint("shuffle_merge"), by)  # a row two patterns
+    shared = saved(met.withColumn("shared", F.array_intersect("target", "donor")).where((F.size("shared") > 0) & (F.size(F.array_except("donor", "target")) > 0)), "patterns")
+    entry = F.map_from_entries("v")
+    keys = (*by, "target", "donor")
+
+    def shown(df: DataFrame, pattern: str) -> DataFrame:
+        other = "donor" if pattern == "target" else "target"
+        both = df.withColumnRenamed("had", pattern).join(shared.hint("shuffle_merge"), [*by, pattern])
+        return both.withColumn("entry", entry).select(*by, pattern, other, "id", F.transform("shared", lambda c: F.col("entry")[c].cast("double")).alias("v"), F.size("shared").alias("label"))
+
+    near = pivot_neighbours(shown(targets, "target").drop("label"), shown(donors, "donor"), k, keys)
+    found = near.select(*by, F.col("query").alias("target_id"), F.col("neighbour").alias("id"), F.round(F.col("distance") * F.col("distance")).alias("squares"), F.col("label").alias("n_shared"))
+    scaled = found.crossJoin(F.broadcast(width)).withColumn("distance", F.sqrt(F.col("squares") * F.col("width") / F.col("n_shared")))  # one row
+    gaps = saved(targets.select(*by, F.col("id").alias("target_id"), F.explode(F.filter("v", lambda x: x["cnt"].isNull())).alias("gap")).select(*by, "target_id", F.col("gap.code_idx").alias("code_idx")), "gaps")
+    offered = scaled.join(donors.select(*by, "id", "ids", entry.alias("entry")).hint("shuffle_merge"), [*by, "id"]).join(gaps.hint("shuffle_merge"), [*by, "target_id"])
+    offers = offered.withColumn("y", F.col("entry")[F.col("code_idx")]).where(F.col("y").isNotNull())
+    rank = lambda *order: F.row_number().over(Window.partitionBy(*by, "target_id", "code_idx").orderBy(*order))
+    nearest = offers.withColumn("rank", rank("distance", "id")).where(F.col("rank") <= k)
     single = nearest.withColumn("donor_id", F.explode("ids")).withColumn("rank", rank("distance", "donor_id")).where(F.col("rank") <= k)
-    means = saved(single.groupBy(*by, F.col("target").alias("v"), "code_idx").agg(F.avg("y").alias("fill")), "fills")
+    means = single.groupBy(*by, "target_id", "code_idx").agg(F.avg("y").alias("fill"))
+    fills = saved(means.join(targets.select(*by, F.col("id").alias("target_id"), "v").hint("shuffle_merge"), [*by, "target_id"]).drop("target_id"), "fills")
     columns = impute_simple(facts, "mean").withColumnRenamed("value", "by_column")
-    filled = columns.join(traces.select("doc_id", "v").hint("shuffle_merge"), "doc_id").join(means.hint("shuffle_merge"), [*by, "v", "code_idx"], "left")
+    filled = columns.join(traces.select("doc_id", "v").hint("shuffle_merge"), "doc_id").join(fills.hint("shuffle_merge"), [*by, "v", "code_idx"], "left")
     return filled.withColumn("value", F.coalesce(F.col("cnt").cast("double"), "fill", "by_column")).drop("fill", "by_column", "v")
 
 
