@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .mentions import places_column
 from .text import clean_code_name, stripped
 
 #: A heading line with one of these names no code (fixed values of the annotation format).
@@ -191,21 +192,9 @@ def occurrence_to_sequence(facts: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy("code_idx")).cast("long")).select(*keys, "pos", "code")
 
 
-def name_pattern(code: str) -> re.Pattern:
-    """Finds a code's name, overlaps too; a name of one word needs neighbours that are no letters or digits."""
-    name = re.escape(code.lower())
-    return re.compile(rf"(?={name})" if " " in code else rf"(?<![^\W_])(?={name}(?![^\W_]))")
-
-
 def extract_sequence(df: DataFrame, codes: list[str], keys: list[str], text: str = "text", longest: int = 50) -> DataFrame:
-    """(keys, pos, code_idx): where code names stand in a text, the first ``longest`` by place, then by index."""
-
-    @F.pandas_udf("array<int>")
-    def places(texts: pd.Series) -> pd.Series:
-        patterns = [name_pattern(c) for c in codes]
-        return texts.map(lambda x: [i for _, i in sorted((m.start(), i) for i, p in enumerate(patterns) for m in p.finditer((x or "").lower()))[:longest]])
-
-    return df.select(*keys, F.posexplode(places(text)).alias("pos", "code_idx")).select(*keys, (F.col("pos") + 1).cast("long").alias("pos"), "code_idx")
+    """(keys, pos, code_idx): where code names stand in a text, overlaps too, the first ``longest`` by place, then by index. A name of one word needs neighbours that are no letters or digits. A text is walked once, however many names there are."""
+    return df.select(*keys, F.posexplode(places_column(F.col(text), codes, longest)).alias("pos", "code_idx")).select(*keys, (F.col("pos") + 1).cast("long").alias("pos"), "code_idx")
 
 
 # ---- taxonomy updates -------------------------------------------------------

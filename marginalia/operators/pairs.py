@@ -108,16 +108,3 @@ def few_shot(rows: DataFrame, k: int, seed: int, keys: Sequence[str], key: str)
 
 def repeated(rows: DataFrame, n: int, out: str = "run") -> DataFrame:
     return rows.withColumn(out, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-
-
-def running_accuracy(steps: DataFrame, keys: Sequence[str], order: str, right: Column) -> DataFrame:
-    return steps.withColumn("running", F.round(F.avg(right.cast("double")).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)), 6))
-
-
-def no_update_streak(steps: DataFrame, keys: Sequence[str], order: str, updated: Column) -> DataFrame:
-    """Rows in a row without an update, up to and with this one."""
-    island = F.sum(updated.cast("int")).over(Window.partitionBy(*keys).orderBy(order))
-    marked = steps.withColumns({"__updated": updated, "__island": island})
-    place = F.row_number().over(Window.partitionBy(*keys, "__island").orderBy(order))
-    first = F.when(F.col("__island") == 0, place).otherwise(place - 1)
-    return marked.withColumn("streak", first.cast("long")).drop("__updated", "__island")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marginalia.operators import agreement, classify, pairs, sequences, stats, vectors
+from marginalia.operators import agreement, classify, scans, sequences, stats, vectors
 from marginalia.operators.stats import r6
 from marginalia.sources import tables as t
 
@@ -240,9 +240,9 @@ query("c10_transition_classifier", with_views(SEQ, _RATES, _MEANS, _DIST) + "SEL
     lambda s, d: sequences.transition_classifier(sequences.transition_distances(t.sequences(s, d), sequences.transition_means(t.sequences(s, d))))
 )
 query("w5_running_accuracy", with_views(SEQ) + "SELECT sample_id, model, pos, round(avg((code = 'purchase')::INT::DOUBLE) OVER (PARTITION BY sample_id ORDER BY pos ROWS UNBOUNDED PRECEDING), 6) AS running FROM seq")(
-    lambda s, d: pairs.running_accuracy(t.sequences(s, d), ["sample_id"], "pos", F.col("code") == "purchase").drop("code")
+    lambda s, d: scans.running_accuracy(t.sequences(s, d), ["sample_id"], "pos", F.col("code") == "purchase").drop("code")
 )
 query(
     "w6_no_update_streak",
     with_views(SEQ) + "SELECT sample_id, pos, CASE WHEN island = 0 THEN row_number() OVER (PARTITION BY sample_id, island ORDER BY pos) ELSE row_number() OVER (PARTITION BY sample_id, island ORDER BY pos) - 1 END AS streak FROM (SELECT *, sum((code = 'click')::INT) OVER (PARTITION BY sample_id ORDER BY pos) AS island FROM seq)",
-)(lambda s, d: pairs.no_update_streak(t.sequences(s, d), ["sample_id"], "pos", F.col("code") == "click").select("sample_id", "pos", "streak"))
+)(lambda s, d: scans.no_update_streak(t.sequences(s, d), ["sample_id"], "pos", F.col("code") == "click").select("sample_id", "pos", "streak"))

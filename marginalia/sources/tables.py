@@ -12,8 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marginalia.functions.mentions import counts_column
+
 #: A taxonomy of function words for the lexical annotator: index is order.
 SEED_CODES = ("the", "and", "of", "la", "de", "un", "der", "die")
+#: A taxonomy up to this size is counted by one expression a name.
+MOST_EXPRESSIONS = 64
 TOKEN_BORDER = r"[^\p{L}\p{N}_]+"
 
 
@@ -89,9 +93,14 @@ def count_mentions(df: DataFrame, codes: Sequence[str] = SEED_CODES, text: str =
 
     A word is what stands between TOKEN_BORDERs; a phrase counts as a substring; a single
     word that holds a border itself (a hyphen) must not touch a letter, digit or underscore.
-    A text is split once, and only its words that are codes are kept to be counted.
+    A text is split once, and only its words that are codes are kept to be counted. More than
+    ``MOST_EXPRESSIONS`` names, for which there would be as many expressions, are counted
+    in one walk over the text instead, by the same rules.
     """
     rest = [c for c in df.columns if c != text]
+    if len(codes) > MOST_EXPRESSIONS:
+        found = df.select(*rest, F.posexplode(counts_column(F.lower(F.coalesce(F.col(text), F.lit(""))), codes)).alias("code_idx", "cnt"))
+        return found.select(*rest, "code_idx", F.element_at(F.lit(list(codes)), F.col("code_idx") + 1).alias("code_name"), "cnt")
     words = sorted({c.lower() for c in codes if _is_token(c)})
     lower = F.lower(F.coalesce(F.col(text), F.lit("")))
     hits = F.filter(F.split(lower, TOKEN_BORDER), lambda x: x.isin(*words)) if words else F.array().cast("array<string>")
