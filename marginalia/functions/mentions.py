@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 import unicodedata
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import ahocorasick
@@ -87,7 +87,11 @@ def counts_column(lower: Column, names: Sequence[str]) -> Column:
     return counted(lower)
 
 
-def mentioned(names: Iterable[str], text: str) -> dict[str, int]:
-    """Names and their counts in one text."""
-    names = list(names)
-    return dict(zip(names, counts(automaton(names), len(names), text.lower()).tolist(), strict=True))
+@lru_cache(maxsize=8)
+def _known(names: tuple[str, ...]) -> ahocorasick.Automaton:
+    return automaton(names)
+
+
+def mentioned(names: tuple[str, ...], text: str) -> list[int]:
+    """The counts of ``names`` in one text."""
+    return counts(_known(names), len(names), text.lower()).tolist()

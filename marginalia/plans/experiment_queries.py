@@ -7,14 +7,17 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.functions.annotations import parse_counts
+from marginalia.functions.text import annotation_prompts
+from marginalia.operators import calls, pairs, stats, vectors, versions
 from marginalia.operators import codebook as cb
-from marginalia.operators import pairs, stats, vectors
 from marginalia.operators.vectors import chosen
 from marginalia.sources import tables as t
+from marginalia.sources.scratch import scratch_path
 
 from . import experiments
 from .answer_queries import _SECTIONS
-from .catalog import FACTS, SEQ, SQL, query, with_views
+from .catalog import FACTS, PAIRS, SEQ, SQL, query, with_views
 from .model_queries import _CM, _RESOLVED, _ROUNDED, _TT, SCORES, train_and_test
 from .text_queries import combined
 
@@ -64,6 +67,43 @@ def _stopped(seq: DataFrame) -> DataFrame:
 
 query("e6_train_taxonomy")(lambda s, d: experiments.train_taxonomy(s, t.traces(s, d), list(t.SEED_CODES[:3]), rounds=3, max_codes=6, epochs=2, warm_start=1)[0])
 
+query(
+    "m4_version_tree",
+    """WITH RECURSIVE said AS (SELECT conv_id, turn, text, length(text) AS n, conv_id * 1048576 + turn AS version FROM conversations),
+    ev AS (SELECT version, CASE WHEN (conv_id + turn) % 3 = 0 THEN coalesce(lag(version, 2) OVER w, lag(version) OVER w) ELSE lag(version) OVER w END AS parent, CASE WHEN n % 5 = 0 THEN 'remove' ELSE 'put' END AS action, 'code' || (n % 4) AS code_name, text AS definition FROM said WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    path AS (SELECT version, version AS holder, parent, 0 AS depth FROM ev UNION ALL SELECT p.version, ev.version, ev.parent, depth + 1 FROM path p JOIN ev ON ev.version = p.parent),
+    last AS (SELECT path.version, depth, action, code_name, definition FROM path JOIN ev ON ev.version = holder WHERE code_name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY path.version, code_name ORDER BY depth) = 1)
+    SELECT version, row_number() OVER (PARTITION BY version ORDER BY depth DESC, code_name)::INT - 1 AS code_idx, code_name, definition FROM last WHERE action = 'put'""",
+)(lambda s, d: _versions(t.table(s, d, "conversations")))
+
+
+def _versions(conversations: DataFrame) -> DataFrame:
+    """All versions of a taxonomy a conversation: a turn puts or removes a code; some restore the version before the last one."""
+    of, n = Window.partitionBy("conv_id").orderBy("turn"), F.length("text")
+    version = F.col("conv_id") * 1_048_576 + F.col("turn")
+    said = conversations.select("conv_id", "turn", "text", version.cast("long").alias("version"))
+    before = F.lag("version").over(of)
+    parent = F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, F.coalesce(F.lag("version", 2).over(of), before)).otherwise(before)
+    events = said.select("version", parent.alias("parent"), F.lit(0).alias("step"), F.when(n % 5 == 0, "remove").otherwise("put").alias("action"), F.concat(F.lit("code"), (n % 4).cast("string")).alias("code_name"), F.col("text").alias("definition"))
+    return versions.codebooks(events, events.select("version"))
+
+
+query("x1_call_log", with_views(FACTS, PAIRS) + "SELECT CAST(doc_a AS VARCHAR) AS sample_id, code_name, CASE side WHEN 0 THEN 'a' ELSE 'b' END AS side, cnt FROM facts JOIN pairs USING (comparison, question_id)")(lambda s, d: _asked(s, d))
+
+
+def _asked(s, d) -> DataFrame:
+    """All pairs' prompts, sent in batches to an annotator that breaks at some prompts' first attempts; the counts that its answers hold."""
+
+    def unsteady(batch):
+        if any(p.attempt == 1 and p.digest < "08" for p in batch):
+            raise ConnectionError("try again")
+        return experiments.lexical_call(batch)
+
+    each = pairs.pair_traces(t.traces(s, d)).select(F.col("doc_a").cast("string").alias("sample_id"), F.array("text_a", "text_b").alias("outputs"))
+    answers = calls.ask(annotation_prompts(each, experiments.defined(t.codebook(s)), "Annotate."), unsteady, scratch_path(s, "calls"), tasks=16)
+    return parse_counts(answers.withColumnRenamed("text", "annotation"))
+
+
 # ---- reruns, sequences, long lists of ids ----------------------------------
 
 _RERUNS = "runs3 AS (SELECT test.* REPLACE (cnt + (question_id + run * code_idx) % 3 AS cnt), run FROM test, (SELECT unnest(range(0, 3)) AS run))"

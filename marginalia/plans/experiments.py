@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import re
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 import numpy as np
@@ -10,11 +11,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.functions.annotations import extract_sequence, split_sections, verdict_model
-from marginalia.operators import classify, codebook, pairs, stats, vectors
+from marginalia.functions.annotations import extract_sequence, parse_counts, split_sections, verdict_model
+from marginalia.functions.mentions import mentioned
+from marginalia.functions.text import annotation_prompts
+from marginalia.operators import calls, classify, codebook, pairs, stats, vectors, versions
 from marginalia.operators.vectors import chosen
 from marginalia.sources import tables as t
-from marginalia.sources.scratch import saved
+from marginalia.sources.scratch import appended, parts, saved, scratch_path
 
 
 def concat_datasets(datasets: dict[str, DataFrame], key: str = "id") -> DataFrame:
@@ -214,10 +217,42 @@ Proposer = Callable[[DataFrame, list[str]], list[str]]
 
 
 def lexical_annotator(samples: DataFrame, codes: list[str]) -> DataFrame:
-    """The default annotator: whole-word counts. Any function of (samples, codes) to facts can stand in, such as one that sends prompts in batches through ``mapInPandas``."""
+    """The default annotator: whole-word counts. Any function of (samples, codes) to facts can stand in, such as ``prompted_annotator``."""
     return t.count_mentions(samples, codes)
 
 
+def lexical_call(prompts: Sequence[calls.Prompt]) -> list[str]:
+    """Answers annotation prompts as a model would, in the annotation's format, with whole-word counts of the taxonomy in the prompt."""
+    said = []
+    for p in prompts:
+        names = tuple(line.partition(": ")[0] for line in p.system.split("\n")[1:])
+        outputs = re.split(r"(?:\A|\n\n)OUTPUT ([AB]):\n", p.user)[1:]
+        found = [(letter, mentioned(names, text)) for letter, text in zip(outputs[::2], outputs[1::2], strict=True)]
+        said.append("\n".join("\n".join([f"### {name}", *(f"Count in OUTPUT {letter}: {counts[i]}" for letter, counts in found)]) for i, name in enumerate(names)))
+    return said
+
+
+def defined(codes: DataFrame) -> DataFrame:
+    return codes.withColumn("definition", F.concat(F.lit("uses the word "), "code_name"))
+
+
+def prompted_annotator(call: calls.Call, log: str, instructions: str = "Annotate.", **limits: int) -> Annotator:
+    """An annotator that renders a prompt a sample, has ``calls.ask`` send them in batches, with its log in the folder ``log``, and parses the counts from the answers. A code that an answer leaves out is 0; a sample whose prompt failed for good has no facts."""
+
+    def annotate(samples: DataFrame, codes: list[str]) -> DataFrame:
+        book = t.codebook(samples.sparkSession, codes)
+        id_ = F.col("doc_id").cast("string")
+        prompts = annotation_prompts(samples.select(id_.alias("sample_id"), F.array(F.coalesce("thinking", F.lit(""))).alias("outputs")), defined(book), instructions)
+        answers = saved(calls.ask(prompts, call, log, **limits).select("sample_id", F.col("text").alias("annotation")), "answers")
+        counts = parse_counts(answers).where("side = 'a'").select("sample_id", "code_name", "cnt")
+        answered = samples.drop("thinking").withColumn("sample_id", id_).join(answers.select("sample_id").hint("shuffle_merge"), "sample_id", "left_semi")
+        grid = answered.crossJoin(F.broadcast(book))  # the taxonomy's rows
+        facts = grid.join(counts.hint("shuffle_merge"), ["sample_id", "code_name"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0).cast("long")))
+        return facts.select(*(c for c in samples.columns if c != "thinking"), "code_idx", "code_name", "cnt")
+
+    return annotate
+
+
 def frequent_word_proposer(samples: DataFrame, codes: list[str]) -> list[str]:
     """The default update: the word of the samples, not yet a code, whose counts differ most between the sides (ties by the word). One row reaches the driver."""
     words = samples.select("side", F.explode(F.array_distinct(F.split(F.lower("thinking"), t.TOKEN_BORDER))).alias("w")).where(F.length("w") > 1).where(~F.col("w").isin(*codes))
@@ -226,29 +261,58 @@ def frequent_word_proposer(samples: DataFrame, codes: list[str]) -> list[str]:
     return [r["w"] for r in best]
 
 
-def grow_taxonomy(spark: SparkSession, samples: DataFrame, seed_codes: list[str], rounds: int, per_round: int | None, max_codes: int, annotate: Annotator = lexical_annotator, propose: Proposer | None = frequent_word_proposer, log: Callable[..., None] | None = None) -> tuple[DataFrame, list[str]]:
+ROUNDS = "round int, codes int, samples long, cnt long"
+
+
+def grow_taxonomy(spark: SparkSession, samples: DataFrame, seed_codes: list[str], rounds: int, per_round: int | None, max_codes: int, annotate: Annotator = lexical_annotator, propose: Proposer | None = frequent_word_proposer, log: Callable[..., None] | None = None, run: str | None = None) -> tuple[DataFrame, list[str]]:
     """(round table, codes): accumulate a round's samples, annotate them, then update the taxonomy; stop by rule.
 
     A round takes ``per_round`` samples of each comparison; with None the questions are dealt
     to the rounds in equal shares, both sides together, so that the rounds cover every sample.
-    One Spark job a step; facts are written each round, so a lost executor or a
-    restart costs at most a round. ``propose`` None keeps the taxonomy fixed.
+    One Spark job a step. A round appends its facts, the taxonomy's next version and, last, its
+    row of the round table to the folder ``run`` (a scratch folder if None). Called again with
+    the same arguments, the loop goes on after the last whole round of ``run``.
+    ``propose`` None keeps the taxonomy fixed.
     """
-    codes, history, facts = list(seed_codes), [], None
+    run = run or scratch_path(spark, "run")
+    history = _rounds_done(spark, run)
+    if history:
+        events = parts(spark, f"{run}/versions", versions.EVENTS, len(history))
+        found = versions.codebooks(events, spark.createDataFrame([(len(history),)], "version long")).orderBy("code_idx")
+        codes = [*seed_codes, *(r["code_name"] for r in found.collect())]  # names of one taxonomy
+    else:
+        codes = list(seed_codes)
     dealt = _in_shares(samples, rounds) if per_round is None else _in_rounds(samples, per_round)
     rounded = saved(dealt, "rounds")
-    for number in range(rounds):
-        new = annotate(rounded.where(F.col("round") == number), codes)
-        facts = saved(new if facts is None else facts.unionByName(new), "facts")
+    stopped = bool(history) and codebook.should_stop(spark.createDataFrame(history, ROUNDS), max_codes=max_codes)
+    for number in range(len(history), rounds):
+        if stopped:
+            break
+        batch = rounded.where(F.col("round") == number)
+        facts = appended(annotate(batch, codes), f"{run}/facts", number)
         total = facts.agg(F.count_distinct("doc_id").alias("n"), F.sum("cnt").alias("cnt")).first()
-        history.append((number, len(codes), total["n"], total["cnt"] or 0))
+        row = (number, len(codes), total["n"], total["cnt"] or 0)
+        history.append(row)
         if log:
             log(round=number, codes=len(codes), samples=total["n"])
-        if codebook.should_stop(spark.createDataFrame(history, "round int, codes int, samples long, cnt long"), max_codes=max_codes):
-            break
-        if propose:
-            codes += [c for c in propose(rounded.where(F.col("round") == number), codes) if c not in codes]
-    return spark.createDataFrame(history, "round int, codes int, samples long, cnt long"), codes
+        stopped = codebook.should_stop(spark.createDataFrame(history, ROUNDS), max_codes=max_codes)
+        new = [c for c in propose(batch, codes) if c not in codes] if propose and not stopped else []
+        codes += new
+        events = [(number + 1, number or None, i, "put", c, None) for i, c in enumerate(new)] or [(number + 1, number or None, 0, None, None, None)]
+        appended(spark.createDataFrame(events, versions.EVENTS), f"{run}/versions", number)
+        appended(spark.createDataFrame([row], ROUNDS), f"{run}/rounds", number)
+    return spark.createDataFrame(history, ROUNDS), codes
+
+
+def _rounds_done(spark: SparkSession, run: str) -> list[tuple]:
+    """The round table of a run's whole rounds so far, a row a round."""
+    found: list[tuple] = []
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    while True:
+        done = files.Path(f"{run}/rounds/part={len(found)}/_SUCCESS")
+        if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+            return found
+        found.append(tuple(spark.read.schema(ROUNDS).parquet(f"{run}/rounds/part={len(found)}").first()))
 
 
 def _dense(facts: DataFrame, codebook_: DataFrame) -> DataFrame:
@@ -288,19 +352,19 @@ def train_taxonomy(
     (the first round by its own). If the accuracy has not risen for more than ``patience``
     rounds, the codes of the best round come back; else the update adds a code. A taxonomy
     over ``max_codes`` is pruned to the most telling ones. An epoch deals the samples anew
-    and starts with no facts. A step is one job, facts are written each round, and a row or
+    and starts with no facts. A step is one job, a round appends its facts, and a row or
     the taxonomy's names reach the driver.
     """
     codes, history = list(seed_codes), []
     best, best_codes, stale = -1.0, list(codes), 0
     for epoch in range(epochs):
-        dealt, facts = saved(_in_shares(samples, rounds, epoch + 1), "rounds"), None
+        dealt, kept = saved(_in_shares(samples, rounds, epoch + 1), "rounds"), scratch_path(spark, "facts")
         for _ in range(warm_start if epoch == 0 else 0):
             codes += propose(dealt.where("round = 0"), codes)
         for number in range(rounds):
             batch = dealt.where(F.col("round") == number)
             new = annotate(batch, codes)
-            facts = saved(new if facts is None else facts.unionByName(new), "facts")
+            facts = appended(new, kept, number)
             dense = saved(_dense(facts, t.codebook(spark, codes)), "dense")
             filled = saved(chosen(vectors.IMPUTERS, impute)(dense).drop("cnt").withColumnRenamed("value", "cnt").drop("round").join(dense.select("doc_id", "round").distinct().hint("shuffle_merge"), "doc_id"), "filled")
             earlier = filled.where(F.col("round") < number) if number else filled

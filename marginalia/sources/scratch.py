@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,3 +33,15 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def appended(df: DataFrame, path: str, number: int) -> DataFrame:
+    """``df`` written as part ``number`` of the table in ``path``, in place of such a part if there is one; what comes back is all parts."""
+    df.write.mode("overwrite").parquet(f"{path}/part={number}")
+    return parts(df.sparkSession, path, df.schema, number + 1)
+
+
+def parts(spark: SparkSession, path: str, schema: StructType | str, count: int) -> DataFrame:
+    """The first ``count`` parts of a table that ``appended`` wrote; no part is an empty table."""
+    paths = [f"{path}/part={i}" for i in range(count)]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
