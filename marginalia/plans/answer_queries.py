@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import annotations as an
 from marginalia.functions import text as fx
-from marginalia.sources import scan
+from marginalia.sources import scan, trace_source
 from marginalia.sources import tables as t
 from marginalia.sources.scratch import scratch_path
 
@@ -207,11 +207,27 @@ query(
 
 
 def _trace_files(s, rows: DataFrame) -> DataFrame:
-    """All turns as trace files in a folder a model; those of every fifth turn are raw outputs, which the scan leaves out."""
+    """All turns by the scan of their files."""
+    found = scan.scan_traces(s, _trace_folder(rows), "model=*/file=*/*.txt")
+    return found.select("model", "question_id", "question", F.length("thinking").cast("long").alias("n_thinking"), "answer")
+
+
+def _trace_folder(rows: DataFrame) -> str:
+    """All turns as trace files in a folder a model; those of every fifth turn are raw outputs, which readers leave out."""
     value = F.concat(F.lit("### QUESTION:\n"), "question", F.lit("\n### THINKING:\n<think>"), F.reverse("question"), F.lit("</think>\n### ANSWER:\n"), "answer")
     name = F.concat(F.when(F.col("turn") % 5 == 4, "raw_output_").otherwise("set_"), F.lit("question_id_"), (F.col("conv_id") * 100 + F.col("turn")).cast("string"))
-    path = _files(rows.where("length(question) >= 10").select(value.alias("value"), F.concat(F.lit("m"), (F.col("conv_id") % 3).cast("string")).alias("model"), name.alias("file")), "traces", "model", "file")
-    found = scan.scan_traces(s, path, "model=*/file=*/*.txt")
+    return _files(rows.where("length(question) >= 10").select(value.alias("value"), F.concat(F.lit("m"), (F.col("conv_id") % 3).cast("string")).alias("model"), name.alias("file")), "traces", "model", "file")
+
+
+query(
+    "s1_traces_of_models",
+    U_ + r"SELECT 'm' || conv_id % 3 AS model, (conv_id * 100 + turn)::VARCHAR AS question_id, regexp_replace(regexp_replace(question, '^\s+', ''), '\s+$', '') AS question, length(question) AS n_thinking, regexp_replace(regexp_replace(answer, '^\s+', ''), '\s+$', '') AS answer FROM turns WHERE turn % 5 <> 4 AND length(question) >= 10 AND conv_id % 3 <> 1",
+)(lambda s, d: _traces_of_models(s, turns(s, d)))
+
+
+def _traces_of_models(s, rows: DataFrame) -> DataFrame:
+    """The same files by the format of traces, those of two of the three models: the third one's folder is not listed."""
+    found = trace_source.load_traces(s, _trace_folder(rows), ["m0", "m2"])
     return found.select("model", "question_id", "question", F.length("thinking").cast("long").alias("n_thinking"), "answer")
 
 
