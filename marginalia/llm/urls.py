@@ -87,6 +87,14 @@ def vocabulary_terms(vocabulary: DataFrame | Terms, most: int = MOST_TERMS) -> t
     return {t: float(w) for t, _, w in sorted(named)}, frozenset(t for t, kind, _ in named if kind == "strict")
 
 
+def inner_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def with_terms(df: DataFrame, url: str, vocabulary: DataFrame | Terms) -> DataFrame:
     """``df`` with strict_terms and soft_terms, the distinct terms found in the URL, and soft_weight, the sum of the soft terms' weights."""
     weights, strict = vocabulary_terms(vocabulary)
@@ -98,14 +106,16 @@ def with_terms(df: DataFrame, url: str, vocabulary: DataFrame | Terms) -> DataFr
         soft = [[t for t in x if t not in strict] for x in found]
         return pd.DataFrame({"strict_terms": [[t for t in x if t in strict] for x in found], "soft_terms": soft, "soft_weight": [float(sum(weights[t] for t in x)) for x in soft]})
 
-    found = df.withColumn("__terms", terms(F.translate(F.coalesce(F.col(url), F.lit("")), UPPER, LOWER)))
-    return found.withColumns({x: F.col(f"__terms.{x}") for x in ("strict_terms", "soft_terms", "soft_weight")}).drop("__terms")
+    inner = inner_name(df, "__terms")
+    found = df.withColumn(inner, terms(F.translate(F.coalesce(F.col(url), F.lit("")), UPPER, LOWER)))
+    return found.withColumns({x: F.col(f"{inner}.{x}") for x in ("strict_terms", "soft_terms", "soft_weight")}).drop(inner)
 
 
 def url_verdicts(df: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, vocabulary: DataFrame | Terms = VOCABULARY, least_weight: float = 2.0, url: str = "url") -> DataFrame:
     """``df`` with host, path, rule, verdict, strict_terms, soft_terms and soft_weight."""
     named = with_terms(df.drop("host", "path", "rule", "verdict"), url, vocabulary).withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))})
     bad = (F.size("strict_terms") > 0) | (F.col("soft_weight") >= least_weight)
-    ruled = named.withColumn("__rule", longest_rule(F.col("host"), F.col("path"), rules).cast("struct<rule:string,verdict:string>"))
-    verdict = F.coalesce(F.col("__rule.verdict"), F.when(bad, F.lit("block")).otherwise(F.lit("allow")))
-    return ruled.withColumns({"rule": F.col("__rule.rule"), "verdict": verdict}).drop("__rule")
+    inner = inner_name(named, "__rule")
+    ruled = named.withColumn(inner, longest_rule(F.col("host"), F.col("path"), rules).cast("struct<rule:string,verdict:string>"))
+    verdict = F.coalesce(F.col(f"{inner}.verdict"), F.when(bad, F.lit("block")).otherwise(F.lit("allow")))
+    return ruled.withColumns({"rule": F.col(f"{inner}.rule"), "verdict": verdict}).drop(inner)

@@ -56,7 +56,7 @@ def test_pipeline_on_empty_and_holed_tables(spark, empty, holes):
 
 
 #: Names that the operators use themselves.
-CLASHES = "node same bucket row label host ids digest hash prefix salt norm head best nth rows first text_sha256 kept keep_id group_size piece start length offset sequence_id n_tokens component component_id signature n_shingles paths path own_0 own_1 line_hashes removed depleted clean_text n_words base_failed conv unknown place range size block window written tokens system rule verdict strict_terms soft_terms id best_text phrase count bit lang_pred held_out score values places shard chunk own pairs times pair a b texts n_a n_links count_sum".split()
+CLASHES = "node same bucket row label host ids digest hash prefix salt norm head best nth rows first text_sha256 kept keep_id group_size piece start length offset sequence_id n_tokens component component_id signature n_shingles paths path own_0 own_1 line_hashes removed depleted clean_text n_words base_failed conv unknown place range size block window written tokens system rule verdict strict_terms soft_terms id best_text phrase count bit lang_pred held_out score values places shard chunk own pairs times pair a b texts n_a n_links count_sum __terms __rule".split()
 
 
 @pytest.fixture(scope="module")
@@ -87,3 +87,14 @@ def test_pipeline_stages_with_extra_columns(spark, data, clashing):
         assert all(tuple(df.columns) == cp.COLUMNS for df in rows)
         assert sorted(map(repr, rows[0].collect())) == sorted(map(repr, rows[1].collect()))
     assert {r.doc_id for r in cp.pack(spark, docs[0], data).collect()} == {r.doc_id for r in docs[1].collect()}
+
+
+def test_url_verdicts_keep_columns_of_any_name(spark):
+    """Columns that have the names of the results are replaced, all others stay, those that the operator would use inside too."""
+    from marginalia.llm import urls
+
+    rows = spark.createDataFrame([(1, "http://a.com/x", "t", "r", "s", "h")], "page_id long, url string, __terms string, __rule string, ___TERMS string, host string")
+    found = urls.url_verdicts(rows)
+    assert {"page_id", "url", "__terms", "__rule", "___TERMS"} <= set(found.columns)
+    r = found.first()
+    assert (r["__terms"], r["__rule"], r["___TERMS"], r.host, r.verdict) == ("t", "r", "s", "a.com", "allow")
