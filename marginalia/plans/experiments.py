@@ -50,10 +50,10 @@ def transfer(facts: DataFrame, directions: DataFrame, method: str = "naive_bayes
 
     Zero-shot: the classifier of ``train_on`` judges the held-out pairs of ``test_on``;
     refit: one fitted on ``test_on`` does. Every direction is a comparison of its own
-    in one job.
+    in one job; comparisons are numbers from 0 below 2^31, so that both fit one key.
     """
     held_out = classify.is_eval(F.col("question_id"))
-    ways = directions.withColumn("refit", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("way", F.hash("train_on", "test_on", "refit"))
+    ways = directions.withColumn("refit", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("way", F.expr("shiftleft(bigint(train_on), 33) + shiftleft(bigint(test_on), 1) + int(refit)"))
     fit_on = F.broadcast(ways.select("way", F.when(F.col("refit"), F.col("test_on")).otherwise(F.col("train_on")).alias("comparison")))
     judge = F.broadcast(ways.select("way", F.col("test_on").alias("comparison")))
     train = facts.where(~held_out).join(fit_on, "comparison").drop("comparison").withColumnRenamed("way", "comparison")

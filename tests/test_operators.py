@@ -401,6 +401,15 @@ def test_transfer_directions_are_all_both_ways(spark):
     assert sorted(tuple(r) for r in experiments.directions(rows).collect()) == [(a, b) for a in (0, 3, 12) for b in (0, 3, 12) if a != b]
 
 
+def test_transfer_keeps_directions_of_large_numbers_apart(spark, data):
+    """The same facts under far numbers give the same accuracies: no two directions fall together."""
+    facts, last = t.facts(spark, data).where("comparison < 2"), 2**31 - 1
+    far = facts.withColumn("comparison", F.when(F.col("comparison") == 0, F.lit(last)).otherwise(F.lit(last - 1)))
+    near_ways, far_ways = (spark.createDataFrame(x, "train_on int, test_on int") for x in ([(0, 1), (1, 0)], [(last, last - 1), (last - 1, last)]))
+    rows = lambda f, w, name: sorted((name(r.train_on), r.refit, r.n, r.n_correct) for r in experiments.transfer(f, w).collect())
+    assert rows(facts, near_ways, lambda x: x) == rows(far, far_ways, lambda x: last - x)
+
+
 def test_concatenated_training_judges_every_dataset(spark, data):
     traces = t.traces(spark, data)
     got, codes = experiments.train_concat(spark, traces, ["the", "of"], rounds=2, max_codes=9)
