@@ -1,20 +1,29 @@
-"""Incremental code counts: new annotations arrive as files, re-annotations replace old facts."""
+"""Incremental code counts: annotations arrive on a stream, a re-annotation replaces a sample's old facts.
+
+Two streams follow each other. The first keeps each sample's newest version and codes as
+state and writes what a newer one changes; the second keeps the counts themselves as
+state. Reading the counts reads that state: a row a count, however many batches went by.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from marginalia.functions.annotations import parse_counts
 from marginalia.sources.scratch import scratch_path
 
 FACT_KEYS = ("split", "model", "sample_id")
-_DELTAS = "split string, model string, code_name string, delta long"
-_STATE = "version int, codes string"
-_BETWEEN = "\x01"
+_CHANGES = "split string, model string, gained array<string>, lost array<string>, named array<string>"
+#: State with timers is kept in RocksDB. A batch without rows never follows: with timers there would be no last one.
+_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
 
 
 def annotation_facts(annotations: DataFrame) -> DataFrame:
@@ -34,35 +43,100 @@ def code_counts(facts: DataFrame) -> DataFrame:
     return latest_facts(facts).groupBy("split", "code_name", "model").agg(F.count_if(F.col("cnt") > 0).alias("n"))
 
 
-def changed_codes(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-    """What a sample's newest annotation changes in the counts: +1 for a code it now holds, -1 for one it no longer holds, 0 for the others that it names. An annotation no newer than the known one changes nothing."""
-    rows = pd.concat(list(batches))
-    version = int(rows["version"].max())
-    known, codes = state.get if state.exists else (-1, "")
-    if version <= known:
-        return
-    before = set(codes.split(_BETWEEN)) if codes else set()
-    newest = rows[rows["version"] == version]
-    now, named = set(newest.loc[newest["cnt"] > 0, "code_name"]), set(newest["code_name"])
-    state.update((version, _BETWEEN.join(sorted(now))))
-    yield pd.DataFrame([(key[0], key[1], c, int(c in now) - int(c in before)) for c in sorted(named | before)], columns=["split", "model", "code_name", "delta"])
-
+class NewestCodes(StatefulProcessor):
+    """A sample's newest version and the codes that it holds.
 
-def run_incremental(spark: SparkSession, source: str, schema: str, files_per_batch: int = 1) -> DataFrame:
-    """(split, code_name, model, n) after all files in ``source`` have gone through a stream, one micro-batch at a time.
-
-    The stream's state has each sample's version and codes. A batch writes the changes
-    of the counts under its number, summed, so a batch that runs again after a failure
-    replaces its own file. Its cost is that of its own samples, and reading sums a row a
-    batch, code and model.
+    A newer annotation gives a row of the codes that the sample gained, lost and names; one
+    that is no newer gives none. With ``keep_ms`` a sample that nothing newer reached for so
+    long loses its codes and its state, in the first batch after: that is how a retired
+    taxonomy leaves the counts.
     """
-    store, marks = scratch_path(spark, "deltas"), scratch_path(spark, "marks")
-
-    def append(batch: DataFrame, number: int) -> None:
-        batch.groupBy("split", "code_name", "model").agg(F.sum("delta").alias("delta")).write.mode("overwrite").parquet(f"{store}/batch={number}")
 
+    def __init__(self, keep_ms: int = 0) -> None:
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", "version long, until long, codes array<string>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: ANN001, N802, N803
+        version, counts = -1, {}
+        for r in rows:
+            if r["version"] > version:
+                version, counts = r["version"], {}
+            if r["version"] == version:
+                counts[r["code_name"]] = max(r["cnt"], counts.get(r["code_name"], 0))
+        known, until, before = self.newest.get() or (-1, 0, [])
+        if version <= known:
+            return
+        now = {c for c, n in counts.items() if n > 0}
+        if self.keep_ms:
+            if until:
+                self.handle.deleteTimer(until)
+            until = timerValues.getCurrentProcessingTimeInMs() + self.keep_ms
+            self.handle.registerTimer(until)
+        self.newest.update((version, until, sorted(now)))
+        yield Row(split=key[0], model=key[1], gained=sorted(now - set(before)), lost=sorted(set(before) - now), named=sorted(counts))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: ANN001, N802, N803
+        found = self.newest.get()
+        if found and found[1] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.newest.clear()
+            yield Row(split=key[0], model=key[1], gained=[], lost=list(found[2]), named=[])
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def _settings(spark: SparkSession) -> Iterator[None]:
+    """The settings of the streams that start inside."""
+    before = {k: spark.conf.get(k) for k in _SETTINGS}
+    for k, v in _SETTINGS.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def drain_changes(facts: DataFrame, folder: str, keep_ms: int = 0) -> None:
+    """Takes all that ``facts(split, model, sample_id, version, code_name, cnt)``, a stream, has now; appends what changes to ``folder``. The sink lists whole batches only, so one that runs again adds nothing twice. Rows without a version or code are left out."""
+    usable = facts.where("version IS NOT NULL AND code_name IS NOT NULL").withColumns({"version": F.col("version").cast("long"), "cnt": F.coalesce(F.col("cnt"), F.lit(0)).cast("long")})
+    changes = usable.groupBy(*FACT_KEYS).transformWithState(NewestCodes(keep_ms), _CHANGES, "Append", "ProcessingTime" if keep_ms else "None")
+    with _settings(facts.sparkSession):
+        run = changes.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/changes").option("checkpointLocation", f"{folder}/samples").trigger(availableNow=True).start()
+        run.awaitTermination()
+
+
+def drain_counts(spark: SparkSession, folder: str) -> None:
+    """Adds the changes that are new in ``folder`` to the counts, which are the state of this stream."""
+    changes = spark.readStream.schema(_CHANGES).parquet(f"{folder}/changes")
+    by = {"gained": 1, "lost": -1, "named": 0}
+    signed = F.concat(*(F.expr(f"transform({column}, c -> struct(c AS code_name, {n}L AS delta))") for column, n in by.items()))
+    deltas = changes.select("split", "model", F.inline(signed))
+    with _settings(spark):
+        counts = deltas.groupBy("split", "code_name", "model").agg(F.sum("delta").alias("n"))
+        run = counts.writeStream.outputMode("update").format("noop").option("checkpointLocation", f"{folder}/counts").trigger(availableNow=True).start()
+        run.awaitTermination()
+
+
+def stored_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """(split, code_name, model, n) from the state of the counts as of the last whole batch."""
+    state = spark.read.format("statestore").load(f"{folder}/counts")
+    return state.select("key.split", "key.code_name", "key.model", F.col("value.sum").alias("n"))
+
+
+def incremental_counts(facts: DataFrame, folder: str, keep_ms: int = 0) -> DataFrame:
+    """(split, code_name, model, n) after all that the stream ``facts`` has now; ``folder`` holds the state, and a later call with it goes on from there."""
+    spark = facts.sparkSession
+    drain_changes(facts, folder, keep_ms)
+    drain_counts(spark, folder)
+    return stored_counts(spark, folder)
+
+
+def run_incremental(spark: SparkSession, source: str, schema: str, files_per_batch: int = 1, folder: str | None = None, keep_ms: int = 0) -> DataFrame:
+    """``incremental_counts`` of the annotation files in ``source``, ``files_per_batch`` a micro-batch."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    deltas = annotation_facts(stream).groupBy(*FACT_KEYS).applyInPandasWithState(changed_codes, _DELTAS, _STATE, "update", "NoTimeout")
-    run = deltas.writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", marks).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.parquet(store).groupBy("split", "code_name", "model").agg(F.sum("delta").alias("n"))
+    return incremental_counts(annotation_facts(stream), folder or scratch_path(spark, "incremental"), keep_ms)

@@ -88,6 +88,67 @@ def test_incremental_counts_follow_the_newest_annotations(spark, tmp_path):
     assert got == {("train", "x", "m"): 1, ("train", "y", "m"): 1, ("train", "z", "m"): 1, ("eval", "x", "m"): 1}
 
 
+NOTES = "split string, model string, sample_id string, version int, annotation string"
+
+
+def put_notes(spark, folder, rows):
+    """(sample, version, {code: count}) as one file of annotations."""
+    text = lambda counts: "\n".join(f"### {c}\nCount in OUTPUT A: {n}" for c, n in counts.items())
+    spark.createDataFrame([("train", "m", s, v, text(c)) for s, v, c in rows], NOTES).coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_incremental_counts_go_on_and_a_batch_that_runs_again_adds_nothing(spark, tmp_path):
+    """The last batch of both streams loses its commit, as after a crash, and runs again; samples are split over many small Arrow batches."""
+    import random
+    from pathlib import Path
+
+    from marginalia.streaming import incremental
+
+    rng = random.Random(5)
+    source, state = str(tmp_path / "in"), str(tmp_path / "state")
+    draw = lambda: [(str(rng.randrange(12)), rng.randrange(6), {c: rng.randrange(2) for c in "abcdefg"}) for _ in range(15)]
+    seen = []
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for step in range(3):
+            rows = list({(s, v): (s, v, c) for s, v, c in draw()}.values())
+            put_notes(spark, source, [r for r in rows if (r[0], r[1]) not in {(s, v) for s, v, _ in seen}])
+            seen += [r for r in rows if (r[0], r[1]) not in {(s, v) for s, v, _ in seen}]
+            newest = {}
+            for s, v, c in seen:
+                if s not in newest or v > newest[s][0]:
+                    newest[s] = (v, c)
+            want = {c: sum(codes[c] for _, codes in newest.values()) for c in "abcdefg"}
+            for again in range(2 if step == 1 else 1):
+                if again:
+                    for stream in ("samples", "counts"):
+                        last = max((p for p in (Path(state) / stream / "commits").iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+                        for file in (last, last.with_name(f".{last.name}.crc")):
+                            file.unlink(missing_ok=True)
+                got = {r.code_name: r.n for r in incremental.run_incremental(spark, source, NOTES, folder=state).collect()}
+                assert got == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert spark.read.format("statestore").load(f"{state}/counts").count() == 7  # what a reader of the counts reads
+
+
+def test_samples_that_nothing_newer_reaches_leave_the_counts(spark, tmp_path):
+    import time
+
+    from marginalia.streaming import incremental
+
+    source, state = str(tmp_path / "in"), str(tmp_path / "state")
+    run = lambda keep: {r.code_name: r.n for r in incremental.run_incremental(spark, source, NOTES, 10, state, keep).collect()}
+    put_notes(spark, source, [("1", 1, {"x": 1, "y": 2}), ("2", 1, {"x": 3})])
+    assert run(8_000) == {"x": 2, "y": 1}
+    time.sleep(8.5)
+    put_notes(spark, source, [("3", 1, {"y": 1})])
+    assert run(8_000) == {"x": 0, "y": 1}
+    put_notes(spark, source, [("1", 1, {"x": 1})])
+    assert run(8_000) == {"x": 1, "y": 1}
+
+
 def test_fuzzy_match_ties_go_to_the_first(spark):
     names = spark.createDataFrame([("backtracking",), ("zzz",)], "name string")
     options = spark.createDataFrame([(0, "Backtrackings"), (1, "backtracking"), (2, "Backtracking")], "ord int, candidate string")

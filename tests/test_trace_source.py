@@ -1,8 +1,12 @@
 """The format of trace files: the same rows as the scan, and filters that reach the folders."""
 
+import os
+import time
+
 import pytest
 
-from marginalia.sources import scan, trace_source
+from marginalia.sources import scan, tables, trace_source
+from marginalia.streaming import incremental
 
 BODY = "### QUESTION:\nwhat {i}\n### THINKING:\n<think>a long enough thought {i}</think>\n### ANSWER:\n{i}"
 
@@ -41,7 +45,7 @@ def test_a_filter_on_a_model_lists_its_folder_alone(spark, base):
 
 
 def test_filters_that_the_source_takes():
-    reader = trace_source.TraceReader("/nowhere", 2)
+    reader = trace_source.TraceReader("/nowhere", 2, [])
     other = trace_source.EqualTo(("question_id",), "3")
     kept = list(reader.pushFilters([trace_source.EqualTo(("model",), "a"), trace_source.In(("model",), ("a", "b")), other]))
     assert kept == [other] and reader.models == {"a"}
@@ -50,3 +54,31 @@ def test_filters_that_the_source_takes():
 @pytest.mark.parametrize(("name", "want"), [("x_question_id_12_y.txt", "12"), ("question_id_sample_3.txt", "3"), ("file=question_id_4/part-0.txt", "4"), ("question_id_4.json", None), ("question_id_x.txt", None), ("a/_question_id_1.txt", None)])
 def test_question_of(name, want):
     assert trace_source.question_of(name) == want
+
+
+def test_a_stream_of_traces_feeds_the_counts(spark, tmp_path):
+    """Three runs over the same folder: new files come once, a file that is written anew replaces its trace, and what isn't settled waits."""
+    base, state = tmp_path / "in", str(tmp_path / "state")
+
+    def put(model, question, thinking, ago):
+        (base / model).mkdir(parents=True, exist_ok=True)
+        path = base / model / f"set_question_id_{question}.txt"
+        path.write_text(f"### QUESTION:\nq\n### THINKING:\n<think>{thinking} and a long enough thought</think>\n### ANSWER:\n1")
+        os.utime(path, (time.time() - ago,) * 2)
+
+    def counts():
+        traces = trace_source.stream_traces(spark, str(base), shares=2, settle=60)
+        facts = tables.count_mentions(traces.select("model", "question_id", "version", "thinking"), ["wait", "so"])
+        return {(r.code_name, r.model): r.n for r in incremental.incremental_counts(trace_source.sample_facts(facts, "train"), state).collect()}
+
+    for i in range(5):
+        put("m1", i, "wait" if i < 3 else "so", 1000)
+    put("m2", 0, "so so", 1000)
+    put("m2", 1, "wait", 0)
+    first = {("wait", "m1"): 3, ("so", "m1"): 2, ("wait", "m2"): 0, ("so", "m2"): 1}
+    assert counts() == first
+    assert counts() == first
+    put("m1", 0, "so", 61)
+    put("m3", 9, "wait so", 61)
+    time.sleep(0.01)
+    assert counts() == {**first, ("wait", "m1"): 2, ("so", "m1"): 3, ("wait", "m3"): 1, ("so", "m3"): 1}
