@@ -28,9 +28,10 @@ def turns(s, d):
 
 # ---- sections and spans -----------------------------------------------------
 
+_BLANKS = r"[ \t\n\x0B\f\r]+"  # white space of any kind, of which SQL's trim takes spaces only
 query(
     "p1_thinking_fallback",
-    U_ + "SELECT conv_id, turn, CASE WHEN length(trim(q)) < 10 THEN answer ELSE q END AS thinking, CASE WHEN length(trim(q)) = 0 THEN '' ELSE answer END AS answer FROM (SELECT conv_id, turn, substring(question, 1, (conv_id % 15)::INT) AS q, answer FROM turns)",
+    U_ + f"SELECT conv_id, turn, CASE WHEN size < 10 THEN answer ELSE q END AS thinking, CASE WHEN size = 0 THEN '' ELSE answer END AS answer FROM (SELECT *, length(regexp_replace(regexp_replace(q, '^{_BLANKS}', ''), '{_BLANKS}$', '')) AS size FROM (SELECT conv_id, turn, coalesce(substring(question, 1, (conv_id % 15)::INT), '') AS q, coalesce(answer, '') AS answer FROM turns))",
 )(lambda s, d: _fallback(turns(s, d)))
 
 
