@@ -34,3 +34,17 @@ def test_a_thinking_is_blank_or_short_without_white_space_of_any_kind(spark, dat
     rows += talk(90, "long enough here", None)
     got = {r.conv_id: (r.thinking, r.answer) for r in same_on(spark, data, tmp_path, "p1_thinking_fallback", conversations=rows)}
     assert got == {14: ("said", "said"), 29: ("\tabcdefghij\n\n\n", "said"), 44: ("said", ""), 59: ("said", ""), 90: ("", "")}
+
+
+def outputs(*sources_and_texts):
+    return [{"doc_id": i, "text": x, "lang": "en", "source": s, "n_chars": len(x or "")} for i, (s, x) in enumerate(sources_and_texts)]
+
+
+#: Question 0 has both outputs, question 1 the first one only, question 0 of the other comparison the second one only.
+UNPAIRED = outputs(("src0", "the one and the other"), ("src1", "of it "), ("src0", " der, die und the "), ("src3", "la de un\n"))
+
+
+def test_a_code_is_absent_in_an_output_that_an_annotation_lacks(spark, data, tmp_path):
+    got = {(r.sample_id, r.code_name, r.side): r.present for r in same_on(spark, data, tmp_path, "t1_parse_presence", documents=UNPAIRED)}
+    assert len(got) == 3 * 8 * 2
+    assert got["0_1", "der", "a"] and not got["0_1", "der", "b"] and got["1_0", "la", "b"] and not got["1_0", "la", "a"]
