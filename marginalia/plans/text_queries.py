@@ -147,7 +147,7 @@ def written_annotations(s, d):
 # A heading opens its code for both outputs: what an annotation doesn't say of an output is absent, also where a question has one output only.
 _OPENED = "SELECT comparison || '_' || question_id AS sample_id, code_name, CASE side WHEN 0 THEN 'a' ELSE 'b' END AS side, {value} FROM (SELECT DISTINCT comparison, question_id, code_idx, code_name FROM facts) CROSS JOIN (VALUES (0), (1)) s(side) LEFT JOIN facts USING (comparison, question_id, code_idx, code_name, side)"
 query("t1_parse_presence", F_ + _OPENED.format(value="coalesce(cnt > 0, false) AS present"))(lambda s, d: an.parse_presence(written_annotations(s, d)))
-query("t2_m5_parse_counts", F_ + "SELECT comparison || '_' || question_id AS sample_id, code_name, CASE side WHEN 0 THEN 'a' ELSE 'b' END AS side, cnt FROM facts")(lambda s, d: an.parse_counts(written_annotations(s, d)))
+query("t2_m5_parse_counts", F_ + _OPENED.format(value="coalesce(cnt, 0) AS cnt"))(lambda s, d: an.parse_counts(written_annotations(s, d)))
 query("t3_m8_parse_decision", with_views(TRACES) + "SELECT DISTINCT comparison || '_' || question_id AS sample_id, 'a' AS side, c AS code_name, 'model-' || model AS model FROM traces, (VALUES ('the'), ('of')) v(c) WHERE side = 0")(
     lambda s, d: an.parse_decision(t.traces(s, d).where("side = 0").select(F.concat_ws("_", F.col("comparison").cast("string"), F.col("question_id").cast("string")).alias("sample_id"), F.concat(F.lit("### x\n### Final: Output A is written by model-"), "model", F.lit(" because of **the, of**.")).alias("annotation")))
 )

@@ -48,3 +48,9 @@ def test_a_code_is_absent_in_an_output_that_an_annotation_lacks(spark, data, tmp
     got = {(r.sample_id, r.code_name, r.side): r.present for r in same_on(spark, data, tmp_path, "t1_parse_presence", documents=UNPAIRED)}
     assert len(got) == 3 * 8 * 2
     assert got["0_1", "der", "a"] and not got["0_1", "der", "b"] and got["1_0", "la", "b"] and not got["1_0", "la", "a"]
+
+
+def test_a_code_counts_nothing_in_an_output_that_an_annotation_lacks(spark, data, tmp_path):
+    got = {(r.sample_id, r.code_name, r.side): r.cnt for r in same_on(spark, data, tmp_path, "t2_m5_parse_counts", documents=UNPAIRED)}
+    assert len(got) == 3 * 8 * 2
+    assert got["0_0", "the", "a"] == 2 and got["0_1", "der", "b"] == 0 and got["1_0", "la", "b"] == 1 and got["1_0", "la", "a"] == 0
