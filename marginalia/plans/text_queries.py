@@ -168,7 +168,9 @@ def combined(s, d):
     return an.combine_sides(t.traces(s, d).select(key, side, F.col("thinking").alias("annotation")), t.facts(s, d).select(key, side, "code_idx", "code_name", "cnt"))
 
 
-query("t10_e19_split_sections", F_ + r"SELECT comparison || '_' || question_id AS sample_id, CASE side WHEN 0 THEN 'a' ELSE 'b' END AS side, length(regexp_replace(thinking, '^\s+', '')) AS least FROM traces WHERE side = 0")(
+# The annotation is cut at its headings, so its last output's section has the summary too.
+_CUT = rf"SELECT sample_id, lower(part[1]) AS side, length(regexp_replace(regexp_replace(regexp_replace(part, '^.[^\n]*===\n?', ''), '^{_BLANKS}', ''), '{_BLANKS}$', '')) AS least FROM (SELECT sample_id, unnest(string_split(body || chr(10) || chr(10) || summary, '=== Annotation for OUTPUT ')[2:]) AS part FROM ({_BODY}) JOIN ({_CODE_LINES}) USING (sample_id)) WHERE lower(part[1]) = 'a'"
+query("t10_e19_split_sections", F_ + _CUT)(
     lambda s, d: an.split_sections(combined(s, d)).where("side = 'a'").select("sample_id", "side", F.length("section").cast("long").alias("least"))
 )
 query("t8_e4_new_codes")(lambda s, d: an.parse_new_codes(t.table(s, d, "conversations").where("role = 'assistant'").select(F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("update_id"), F.concat(F.lit("Final output:\nAdded:\n- "), F.substring("text", 1, 20), F.lit(": "), "text").alias("text")), list(t.SEED_CODES)))

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from marginalia.plans import registered
+from marginalia.sources.tables import SEED_CODES
 from tests.oracle import assert_same, connect
 
 
@@ -54,3 +55,9 @@ def test_a_code_counts_nothing_in_an_output_that_an_annotation_lacks(spark, data
     got = {(r.sample_id, r.code_name, r.side): r.cnt for r in same_on(spark, data, tmp_path, "t2_m5_parse_counts", documents=UNPAIRED)}
     assert len(got) == 3 * 8 * 2
     assert got["0_0", "the", "a"] == 2 and got["0_1", "der", "b"] == 0 and got["1_0", "la", "b"] == 1 and got["1_0", "la", "a"] == 0
+
+
+def test_the_section_of_an_only_output_has_the_summary(spark, data, tmp_path):
+    got = {r.sample_id: r.least for r in same_on(spark, data, tmp_path, "t10_e19_split_sections", documents=UNPAIRED)}
+    summary = "\n".join(f"### {code}\nCount in OUTPUT A: {int(code in ('the', 'und', 'der', 'die'))}" for code in SEED_CODES)
+    assert got == {"0_0": len("the one and the other"), "0_1": len("der, die und the \n\n" + summary)}
