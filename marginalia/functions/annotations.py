@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -161,6 +165,10 @@ def split_sections(annotations: DataFrame, key: str = "sample_id", text: str = "
     return rows.select(key, F.lower(F.substring("part", 1, 1)).alias("side"), stripped(F.regexp_replace("part", r"^.[^\n]*===\n?", "")).alias("section"))
 
 
+#: Bytes of texts that a task cuts at once.
+_SLICE_BYTES = 1 << 20
+
+
 def cut_words(text: str, words: int, search: int) -> list[str]:
     """A text in parts of at most ``words`` words, cut after the last sentence end among a part's last ``search`` words; a short text is one part, unchanged."""
     tokens = text.split()
@@ -175,15 +183,25 @@ def cut_words(text: str, words: int, search: int) -> list[str]:
     return [*parts, " ".join(tokens[at:])]
 
 
-def split_output(df: DataFrame, words: int = 250, search: int = 50, text: str = "text") -> DataFrame:
-    """``df`` with part_idx and its text in parts (``cut_words``)."""
+def cut_batches(batches: Iterator[pa.RecordBatch], words: int, search: int) -> Iterator[pa.RecordBatch]:
+    """Batches whose last column is a text, with a number and a part of it in its place. Texts of ``_SLICE_BYTES`` are taken up at once, or a longer one alone, whatever a batch holds."""
+    for batch in batches:
+        *rest, text = batch.schema.names
+        sizes = pc.fill_null(pc.binary_length(batch.column(len(rest))), 0).to_numpy(zero_copy_only=False)
+        slices = np.cumsum(sizes, dtype=np.int64) // _SLICE_BYTES
+        for start, end in itertools.pairwise([0, *(np.flatnonzero(np.diff(slices)) + 1).tolist(), batch.num_rows]):
+            rows = batch.slice(start, end - start)
+            parts = [cut_words(x.as_py() or "", words, search) for x in rows.column(len(rest))]
+            of = pa.array(np.repeat(np.arange(len(parts)), [len(x) for x in parts]))
+            number = pa.array([i for x in parts for i in range(len(x))], pa.int32())
+            yield pa.RecordBatch.from_arrays([*(rows.column(i).take(of) for i in range(len(rest))), number, pa.array([y for x in parts for y in x], pa.string())], [*rest, "part_idx", text])
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: cut_words(x or "", words, search))
 
-    rest = [c for c in df.columns if c != text]
-    return df.withColumn("__parts", cut(text)).select(*rest, F.posexplode("__parts").alias("part_idx", text))
+def split_output(df: DataFrame, words: int = 250, search: int = 50, text: str = "text") -> DataFrame:
+    """``df`` with part_idx and its text in parts (``cut_words``)."""
+    ordered = df.select(*(c for c in df.columns if c != text), text)
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in ordered.schema.fields[:-1])
+    return ordered.mapInArrow(lambda batches: cut_batches(batches, words, search), f"{kinds}part_idx int, `{text}` string")
 
 
 def occurrence_to_sequence(facts: DataFrame, keys: list[str]) -> DataFrame:
