@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,24 +72,36 @@ def _met_blocks(rows: DataFrame, block: int) -> DataFrame:
     return one.join(two.hint("shuffle_merge"), "b2").select("qs", "bs", (F.col("b1") == F.col("b2")).alias("same"))
 
 
-def _close_pairs(q: list, b: list, same: bool, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _close_pairs(q: pa.StructArray, b: pa.StructArray, same: bool, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids and cosines of the pairs of two blocks at ``least`` or more; a block with itself gives each pair once."""
-    (i, x), (j, y) = ((np.array([r["id"] for r in z], np.int64), np.array([r["v"] for r in z], float)) for z in (q, b))
+    (i, x), (j, y) = ((z.field("id").to_numpy(zero_copy_only=False).astype(np.int64), z.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(z), -1)) for z in (q, b))
     x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
     c = x @ y.T
     u, w = np.nonzero((c >= least) & (i[:, None] < j[None, :] if same else i[:, None] != j[None, :]))
     return i[u], j[w], c[u, w]
 
 
+def _of_block_pairs(met: DataFrame, work: Callable[..., list[np.ndarray]], schema: str) -> DataFrame:
+    """The columns that ``work`` makes of each row of ``met(qs, bs, same)``, one pair of blocks after the other: a task holds the numbers of one pair beside its batch, and never rows as Python objects."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                made = work(batch.column(0)[r].values, batch.column(1)[r].values, batch.column(2)[r].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names)
+
+    return met.mapInArrow(run, schema)
+
+
 def similar_vectors(rows: DataFrame, least: float, block: int = 1024) -> DataFrame:
     """(id_1, id_2, cosine) with id_1 < id_2 and cosine >= ``least``: all pairs of ``rows(id, v)``, exactly."""
 
-    @F.pandas_udf("array<struct<id_1:long,id_2:long,cosine:double>>")
-    def close(qs: pd.Series, bs: pd.Series, same: pd.Series) -> pd.Series:
-        found = (_close_pairs(q, b, s, least) for q, b, s in zip(qs, bs, same, strict=True))
-        return pd.Series([[{"id_1": int(min(i, j)), "id_2": int(max(i, j)), "cosine": round(float(c), 6)} for i, j, c in zip(*x, strict=True)] for x in found])
+    def close(q: pa.StructArray, b: pa.StructArray, same: bool) -> list[np.ndarray]:
+        i, j, c = _close_pairs(q, b, same, least)
+        return [np.minimum(i, j), np.maximum(i, j), np.round(c, 6)]
 
-    return _met_blocks(rows, block).select(F.inline(close("qs", "bs", "same")))
+    return _of_block_pairs(_met_blocks(rows, block), close, "id_1 long, id_2 long, cosine double")
 
 
 def similar_classes(rows: DataFrame, least: float, block: int = 1024) -> DataFrame:
@@ -98,27 +110,23 @@ def similar_classes(rows: DataFrame, least: float, block: int = 1024) -> DataFra
     Two blocks give a row for each of their vectors with links, so a large class costs no row a pair.
     """
 
-    @F.pandas_udf("array<struct<id:long,root:long,links:long>>")
-    def linked(qs: pd.Series, bs: pd.Series, same: pd.Series) -> pd.Series:
-        out = []
-        for q, b, s in zip(qs, bs, same, strict=True):
-            i, j, _ = _close_pairs(q, b, s, least)
-            ids, ends = np.unique(np.concatenate([i, j]), return_inverse=True)
-            one, two = ends[: len(i)], ends[len(i) :]
-            roots = np.arange(len(ids))
-            while True:
-                low = np.minimum(roots[one], roots[two])
-                after = roots.copy()
-                np.minimum.at(after, one, low)
-                np.minimum.at(after, two, low)
-                after = after[after]
-                if (after == roots).all():
-                    break
-                roots = after
-            out.append([{"id": int(x), "root": int(r), "links": int(n)} for x, r, n in zip(ids, ids[roots], np.bincount(ends, minlength=len(ids)), strict=True)])
-        return pd.Series(out)
-
-    found = saved(_met_blocks(rows, block).select(F.inline(linked("qs", "bs", "same"))), "links")
+    def linked(q: pa.StructArray, b: pa.StructArray, same: bool) -> list[np.ndarray]:
+        i, j, _ = _close_pairs(q, b, same, least)
+        ids, ends = np.unique(np.concatenate([i, j]), return_inverse=True)
+        one, two = ends[: len(i)], ends[len(i) :]
+        roots = np.arange(len(ids))
+        while True:
+            low = np.minimum(roots[one], roots[two])
+            after = roots.copy()
+            np.minimum.at(after, one, low)
+            np.minimum.at(after, two, low)
+            after = after[after]
+            if (after == roots).all():
+                break
+            roots = after
+        return [ids, ids[roots], np.bincount(ends, minlength=len(ids)).astype(np.int64)]
+
+    found = saved(_of_block_pairs(_met_blocks(rows, block), linked, "id long, root long, links long"), "links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     labels = codebook.component_labels(found.select(F.col("id").alias("code_1"), F.col("root").alias("code_2")).distinct()).select(F.col("code_idx").alias("id"), "component")
     joined = rows.select("id").join(links.hint("shuffle_merge"), "id", "left").join(labels.hint("shuffle_merge"), "id", "left")

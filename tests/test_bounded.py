@@ -1,8 +1,10 @@
 """Steps that work off their input in pieces of bounded size."""
 
+import numpy as np
 import pyarrow as pa
 
 from marginalia.functions import annotations as an
+from marginalia.plans import experiments
 
 
 def test_texts_of_a_batch_are_cut_in_slices():
@@ -16,3 +18,13 @@ def test_texts_of_a_batch_are_cut_in_slices():
             got.setdefault(r["id"], []).append(r["text"])
             assert r["part_idx"] == len(got[r["id"]]) - 1
     assert got == {i: an.cut_words(x or "", 250, 50) for i, x in enumerate(texts)}
+
+
+def test_a_task_takes_one_pair_of_blocks_at_a_time(spark):
+    """What a pair of blocks gives is out before the next pair is taken up, and no vector becomes a Python list."""
+    rows = spark.createDataFrame([(i, [float(i % 5), 1.0, float(i % 3)]) for i in range(40)], "id long, v array<double>")
+    met = experiments._met_blocks(rows, 10)
+    sizes = experiments._of_block_pairs(met, lambda q, b, same: [np.array([len(q)]), np.array([len(b)]), np.array([int(same)])], "q long, b long, same long").collect()
+    assert len(sizes) == 10 and sum(r.q for r in sizes if r.same) == 40
+    i, j, c = experiments._close_pairs(pa.array([{"id": 1, "v": [3.0, 4.0]}, {"id": 2, "v": [0.0, 0.0]}]), pa.array([{"id": 9, "v": [6.0, 8.0]}, {"id": 1, "v": [3.0, 4.0]}]), False, 0.9)
+    assert (i.tolist(), j.tolist(), np.round(c, 9).tolist()) == ([1], [9], [1.0])
