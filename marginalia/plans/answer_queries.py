@@ -208,7 +208,7 @@ query(
 
 def _trace_files(s, rows: DataFrame) -> DataFrame:
     """All turns by the scan of their files."""
-    found = scan.scan_traces(s, _trace_folder(rows), "model=*/file=*/*.txt")
+    found = scan.scan_traces(s, _trace_folder(rows))
     return found.select("model", "question_id", "question", F.length("thinking").cast("long").alias("n_thinking"), "answer")
 
 
@@ -216,7 +216,9 @@ def _trace_folder(rows: DataFrame) -> str:
     """All turns as trace files in a folder a model; those of every fifth turn are raw outputs, which readers leave out."""
     value = F.concat(F.lit("### QUESTION:\n"), "question", F.lit("\n### THINKING:\n<think>"), F.reverse("question"), F.lit("</think>\n### ANSWER:\n"), "answer")
     name = F.concat(F.when(F.col("turn") % 5 == 4, "raw_output_").otherwise("set_"), F.lit("question_id_"), (F.col("conv_id") * 100 + F.col("turn")).cast("string"))
-    return _files(rows.where("length(question) >= 10").select(value.alias("value"), F.concat(F.lit("m"), (F.col("conv_id") % 3).cast("string")).alias("model"), name.alias("file")), "traces", "model", "file")
+    path = scratch_path(rows.sparkSession, "traces")
+    trace_source.write_files(rows.where("length(question) >= 10").select(F.concat(F.lit("m"), (F.col("conv_id") % 3).cast("string")).alias("folder"), F.concat(name, F.lit(".txt")).alias("name"), value.alias("value")), path)
+    return path
 
 
 query(

@@ -24,17 +24,15 @@ PROMPT_SCHEMA = T.StructType(
 def scan_traces(spark: SparkSession, base: str, files: str = "*/*.txt") -> DataFrame:
     """(model, question_id, question, thinking, answer) of a folder with one folder a model and one text file a question.
 
-    Files of other kinds and raw outputs are left out, and those without a question id.
+    Files of other kinds, raw outputs and empty ones are left out, and those without a question id.
     ``files`` says how they lie under ``base``: the first folder is the model's, the name
     may be a folder's too, and ``key=`` before a name (a partitioned table) is no part of it.
+    Tasks list the files (``trace_source``): the driver lists the folders of models only.
     """
-    found = spark.read.text(f"{base}/{files}", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    deep = files.count("/")
-    name = F.regexp_extract("path", rf"((?:/[^/]+){{{deep}}})$", 1)
-    id_ = F.coalesce(F.nullif(F.regexp_extract(name, r"question_id_(\d+)", 1), F.lit("")), F.nullif(F.regexp_extract(name, r"question_id_sample_(\d+)", 1), F.lit("")))
-    model = F.regexp_extract("path", rf"/(?:[^/=]+=)?([^/]+)(?:/[^/]+){{{deep}}}$", 1)
-    rows = found.where(~name.contains("raw_output")).select(model.alias("model"), id_.alias("question_id"), "value").where("question_id IS NOT NULL")
-    return parse_traces(rows)
+    from .trace_source import register
+
+    register(spark)
+    return parse_traces(spark.read.format("traces").option("files", files).load(base).where("value <> ''"))
 
 
 def parse_traces(rows: DataFrame, value: str = "value") -> DataFrame:

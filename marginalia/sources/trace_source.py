@@ -12,12 +12,14 @@ from __future__ import annotations
 
 import re
 import time
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from fnmatch import fnmatchcase
 
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
 from pyspark.sql.types import StructType
@@ -62,13 +64,23 @@ def question_of(name: str) -> str | None:
 class Folders:
     """What both readers share: the models' folders, and whole files below them as rows of ``columns``."""
 
-    def __init__(self, base: str, shares: int, columns: list[str]) -> None:
+    def __init__(self, base: str, shares: int, columns: list[str], files: str | None = None) -> None:
         self.base, self.shares, self.columns, self.models = base, shares, columns, None
+        self.folder, self.below = (None, None) if files is None else files.split("/", 1)
+
+    def is_named(self, folder: str) -> bool:
+        """Whether a model's folder fits the pattern, which takes hidden ones in; without one they are left out."""
+        return not is_hidden(folder) if self.folder is None else fnmatchcase(folder, self.folder)
+
+    def is_below(self, name: str) -> bool:
+        """Whether a path below a model's folder fits the pattern, step by step."""
+        steps, wanted = name.split("/"), (self.below or "").split("/")
+        return self.below is None or len(steps) == len(wanted) and all(map(fnmatchcase, steps, wanted))
 
     def folders(self) -> list[tuple[str, str]]:
         """(model, folder) of the models that are asked for; ``key=`` before a name is no part of it."""
         found, root = file_system(self.base)
-        named = [(re.sub(r"^[^/=]+=", "", x.base_name), x.base_name) for x in found.get_file_info(fs.FileSelector(root)) if x.type == fs.FileType.Directory and not is_hidden(x.base_name)]
+        named = [(re.sub(r"^[^/=]+=", "", x.base_name), x.base_name) for x in found.get_file_info(fs.FileSelector(root)) if x.type == fs.FileType.Directory and self.is_named(x.base_name)]
         return sorted((m, f) for m, f in named if self.models is None or m in self.models)
 
     def shares_between(self, after: int | None = None, until: int | None = None) -> list[Share]:
@@ -80,7 +92,7 @@ class Folders:
         found, root = file_system(f"{self.base.rstrip('/')}/{partition.folder}")
         for x in found.get_file_info(fs.FileSelector(root, recursive=True)):
             name, written = x.path[len(root) :].lstrip("/"), (x.mtime_ns or 0) // 1_000_000
-            question = question_of(name) if x.type == fs.FileType.File else None
+            question = question_of(name) if x.type == fs.FileType.File and self.is_below(name) else None
             if question is not None and partition.holds(name, written):
                 with found.open_input_stream(x.path) as data:
                     row = {"model": partition.model, "question_id": question, "value": data.read().decode("utf-8", "replace"), "written": written}
@@ -121,7 +133,7 @@ class TraceStreamReader(Folders, DataSourceStreamReader):
 
 
 class TraceSource(DataSource):
-    """Options: ``path``, the folder that holds a folder a model; ``shares``, the tasks that share a folder (4); ``settle``, how many seconds a stream waits for a file (10). A schema may also name ``written``, the time of a file in ms (long)."""
+    """Options: ``path``, the folder that holds a folder a model; ``files``, a pattern of the files' paths below it (all depths without one); ``shares``, the tasks that share a folder (4); ``settle``, how many seconds a stream waits for a file (10). A schema may also name ``written``, the time of a file in ms (long)."""
 
     @classmethod
     def name(cls) -> str:
@@ -131,7 +143,7 @@ class TraceSource(DataSource):
         return "model string, question_id string, value string"
 
     def reader(self, schema: StructType) -> TraceReader:
-        return TraceReader(self.options["path"], int(self.options.get("shares", 4)), schema.names)
+        return TraceReader(self.options["path"], int(self.options.get("shares", 4)), schema.names, self.options.get("files"))
 
     def streamReader(self, schema: StructType) -> TraceStreamReader:
         return TraceStreamReader(self.options["path"], int(self.options.get("shares", 4)), schema.names, float(self.options.get("settle", 10)))
@@ -150,6 +162,26 @@ def load_traces(spark: SparkSession, base: str, models: Iterable[str] = (), shar
     return parse_traces(rows.where(rows["model"].isin(wanted)) if wanted else rows)
 
 
+def write_files(rows: DataFrame, base: str) -> None:
+    """A text file ``base/folder/name`` for each of ``rows(folder, name, value)``. Tasks write the files themselves, each under a hidden name first, so a task that runs again leaves the same files; nothing is left for the driver to move."""
+
+    def write(part: Iterator[Row]) -> None:
+        found, root = file_system(base)
+        made = set()
+        for r in part:
+            folder = f"{root}/{r['folder']}"
+            if folder not in made:
+                found.create_dir(folder)
+                made.add(folder)
+            hidden = f"{folder}/.{uuid.uuid4().hex}"
+            with found.open_output_stream(hidden) as out:
+                out.write((r["value"] or "").encode())
+            found.move(hidden, f"{folder}/{r['name']}")
+
+    file_system(base)[0].create_dir(file_system(base)[1])  # there without rows, too
+    rows.select("folder", "name", "value").foreachPartition(write)
+
+
 def stream_traces(spark: SparkSession, base: str, shares: int = 4, settle: float = 10) -> DataFrame:
     """A stream of (model, question_id, version, question, thinking, answer): traces as they are written; a later file of a question is a higher version."""
     register(spark)

@@ -82,3 +82,18 @@ def test_a_stream_of_traces_feeds_the_counts(spark, tmp_path):
     put("m3", 9, "wait so", 61)
     time.sleep(0.01)
     assert counts() == {**first, ("wait", "m1"): 2, ("so", "m1"): 3, ("wait", "m3"): 1, ("so", "m3"): 1}
+
+
+def test_files_are_written_by_tasks_and_again_without_traces_of_a_lost_one(spark, tmp_path):
+    """A file a row, right in its folder: no folder a file, nothing hidden left, and the scan lists them in tasks (4 a model)."""
+    rows = spark.range(30).selectExpr("concat('m', id % 2) AS folder", "concat('set_question_id_', id, '.txt') AS name", "CASE WHEN id <> 7 THEN concat('### ANSWER:\nthe answer ', id) END AS value").repartition(5)
+    for _ in range(2):
+        trace_source.write_files(rows, f"file://{tmp_path}/made")
+    files = [x.relative_to(tmp_path / "made").as_posix() for x in (tmp_path / "made").rglob("*") if x.is_file()]
+    assert sorted(files) == sorted(f"m{i % 2}/set_question_id_{i}.txt" for i in range(30))
+    found = scan.scan_traces(spark, f"file://{tmp_path}/made")
+    assert found.rdd.getNumPartitions() == 8
+    assert sorted((r.model, int(r.question_id), r.thinking) for r in found.collect()) == sorted((f"m{i % 2}", i, f"the answer {i}") for i in range(30) if i != 7)
+    assert scan.scan_traces(spark, str(tmp_path / "made"), "m1/*_2?.txt").count() == 5
+    trace_source.write_files(rows.limit(0), str(tmp_path / "none"))
+    assert scan.scan_traces(spark, str(tmp_path / "none")).collect() == []
