@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.sources.scratch import saved
+
 # ---- trace sections ---------------------------------------------------------
 
 
@@ -315,6 +317,13 @@ def math_normal(text: Column) -> Column:
     return out
 
 
+def with_math_normal(df: DataFrame, text: str, out: str) -> DataFrame:
+    """``df`` with ``out``, the canonical form of ``text``. Answers repeat: each distinct one is rewritten once, in a table that is written and read back, so that Spark joins by its true size."""
+    distinct = df.select(F.coalesce(text, F.lit("")).alias("__text")).distinct()
+    normal = saved(distinct.withColumn(out, math_normal(F.col("__text"))), "math-forms")
+    return df.withColumn("__text", F.coalesce(text, F.lit(""))).join(normal, "__text").drop("__text")
+
+
 def list_answers(question: Column, text: Column) -> Column:
     """All answers of free-form text; a question that asks for answers separated by commas has those without brackets split at commas, and others are split at ``\\text{and}``."""
 

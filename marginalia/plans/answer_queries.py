@@ -119,7 +119,7 @@ def _math_forms(orders: DataFrame) -> DataFrame:
     """Every form of answer with a digit from each order."""
     x = (F.col("o_orderkey") % 9 + 1).cast("string")
     forms = orders.select("o_orderkey", F.posexplode(F.array(*(_of(text, x) for text, _ in _FORMS))).alias("form", "text"))
-    return forms.select("o_orderkey", "form", fx.math_normal(F.col("text")).alias("answer"))
+    return fx.with_math_normal(forms, "text", "answer").select("o_orderkey", "form", "answer")
 
 
 query(

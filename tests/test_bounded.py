@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from marginalia.functions import annotations as an
+from marginalia.functions import text as fx
 from marginalia.plans import experiments
 
 
@@ -28,3 +29,11 @@ def test_a_task_takes_one_pair_of_blocks_at_a_time(spark):
     assert len(sizes) == 10 and sum(r.q for r in sizes if r.same) == 40
     i, j, c = experiments._close_pairs(pa.array([{"id": 1, "v": [3.0, 4.0]}, {"id": 2, "v": [0.0, 0.0]}]), pa.array([{"id": 9, "v": [6.0, 8.0]}, {"id": 1, "v": [3.0, 4.0]}]), False, 0.9)
     assert (i.tolist(), j.tolist(), np.round(c, 9).tolist()) == ([1], [9], [1.0])
+
+
+def test_each_distinct_answer_is_rewritten_once(spark):
+    """The table of forms has a row a distinct answer, null as empty; every row of the input stays."""
+    rows = spark.createDataFrame([(i, (r"\dfrac17", "3 t", None, "")[i % 4]) for i in range(200)], "id long, text string")
+    found = fx.with_math_normal(rows, "text", "answer")
+    assert {(r.id, r.answer) for r in found.collect()} == {(i, (r"\frac{1}{7}", "3", "", "")[i % 4]) for i in range(200)}
+    assert found.columns == ["id", "text", "answer"] and "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()
