@@ -369,12 +369,11 @@ _INC = "SELECT 'train' AS split, code_name, model, count(*) FILTER (cnt > 0) AS
 
 def _arrivals(s, d):
     """Annotations as they arrive: a first version of every trace without counts, then one with them."""
-    facts = t.facts(s, d)
-    line = lambda c: F.concat(F.lit("### "), "code_name", F.lit("\nCount in OUTPUT A: "), c.cast("string"))
-    text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("code_idx", line(c).alias("x")))), lambda r: r["x"]), "\n")
-    one = facts.groupBy("model", "doc_id").agg(text(F.lit(0)).alias("annotation")).withColumn("version", F.lit(0))
-    two = facts.groupBy("model", "doc_id").agg(text(F.col("cnt")).alias("annotation")).withColumn("version", F.lit(1))
-    return one.unionByName(two).select(F.lit("train").alias("split"), "model", F.col("doc_id").cast("string").alias("sample_id"), "version", "annotation")
+    line = lambda x, n: F.concat(F.lit("### "), x["code_name"], F.lit("\nCount in OUTPUT A: "), n.cast("string"))
+    text = lambda n: F.array_join(F.transform("held", lambda x: line(x, n(x))), "\n")
+    held = t.facts(s, d).groupBy("model", "doc_id").agg(F.array_sort(F.collect_list(F.struct("code_idx", "code_name", "cnt"))).alias("held"))
+    both = F.array(*(F.struct(F.lit(i).alias("version"), text(n).alias("annotation")) for i, n in enumerate((lambda _: F.lit(0), lambda x: x["cnt"]))))
+    return held.select("model", "doc_id", both.alias("both")).select(F.lit("train").alias("split"), "model", F.col("doc_id").cast("string").alias("sample_id"), F.inline("both"))
 
 
 _SCHEMA = "split string, model string, sample_id string, version int, annotation string"

@@ -133,6 +133,20 @@ def test_incremental_counts_go_on_and_a_batch_that_runs_again_adds_nothing(spark
     assert spark.read.format("statestore").load(f"{state}/counts").count() == 7  # what a reader of the counts reads
 
 
+def test_incremental_state_is_a_value_a_range_of_samples(spark, tmp_path):
+    """400 samples of one model, and a null one, in two versions: the state has no value a sample, and the counts are those of the newest."""
+    from marginalia.streaming import incremental
+
+    source, state = str(tmp_path / "in"), str(tmp_path / "state")
+    ids = [*map(str, range(400)), None]
+    put_notes(spark, source, [(s, 1, {"x": 1, "y": i % 2}) for i, s in enumerate(ids)])
+    put_notes(spark, source, [(s, 2, {"x": i % 4 // 3, "z": 1}) for i, s in enumerate(ids) if i % 2])
+    got = {r.code_name: r.n for r in incremental.run_incremental(spark, source, NOTES, folder=state).collect()}
+    assert got == {"x": 301, "y": 0, "z": 200}
+    stored = spark.read.format("statestore").option("stateVarName", "newest").load(f"{state}/samples")
+    assert stored.count() <= incremental.RANGES
+
+
 def test_samples_that_nothing_newer_reaches_leave_the_counts(spark, tmp_path):
     import time
 
