@@ -191,7 +191,8 @@ def train_concat(spark: SparkSession, traces: DataFrame, seed_codes: list[str],
     split = pairs.split_traces(both, 5, 1, 0.8, ["comparison"], "question_id")
     rows = saved(traces.join(split.hint("shuffle_merge"), ["comparison", "question_id"]), "concat")
     _, codes = grow_taxonomy(spark, rows.where("split <> 'eval'"), seed_codes, rounds, None, max_codes)
-    facts = t.count_mentions(rows.withColumn("question_id", F.col("comparison") * F.lit(2**32) + F.col("question_id")).withColumn("comparison", F.lit(0)), codes)
+    counted = t.count_mentions(rows.withColumn("question_id", F.col("comparison") * F.lit(2**32) + F.col("question_id")).withColumn("comparison", F.lit(0)), codes)
+    facts = saved(counted, "concat-facts")  # a classifier reads them several times
     outcomes = resolved(method, facts.where("split <> 'eval'"), facts.where("split = 'eval'"))
     return stats.accuracy(outcomes.withColumn("comparison", F.expr("int(question_id div 4294967296)")), ["comparison"]), codes
 

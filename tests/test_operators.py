@@ -540,3 +540,14 @@ def test_similar_vectors_finds_every_pair(spark):
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(150)], "code_1 int, code_2 int")
     assert {(r.code_idx, r.component) for r in codebook.component_labels(edges).collect()} == {(i, 0) for i in range(151)}
+
+
+def test_concatenated_training_counts_texts_once_for_its_classifier(spark, monkeypatch):
+    """The classifier reads facts that are written, not the texts, of which it would count every one once a pass."""
+    samples = spark.createDataFrame([(i, f"m{i % 2}", 0, i % 2, i // 2, f"the {'so' if i % 2 else 'of'}") for i in range(40)], "doc_id long, model string, comparison int, side int, question_id long, thinking string")
+    read, real = [], experiments.resolved
+    monkeypatch.setattr(experiments, "resolved", lambda method, *parts: read.extend(p._jdf.queryExecution().toString() for p in parts) or real(method, *parts))
+    got, _ = experiments.train_concat(spark, samples, ["the", "of", "so"], rounds=1, max_codes=3)
+    assert [tuple(r)[0] for r in got.collect()] == [0]
+    assert len(read) == 2
+    assert not any("thinking" in plan for plan in read)
