@@ -262,12 +262,21 @@ def prompted_annotator(call: calls.Call, log: str, instructions: str = "Annotate
     return annotate
 
 
+def word_sums(samples: DataFrame, *keys: str) -> DataFrame:
+    """(keys, w, d): how many more texts of side 0 than of the other side hold a word of two letters or more."""
+    words = samples.select(*keys, "side", F.explode(F.array_distinct(F.split(F.lower("thinking"), t.TOKEN_BORDER))).alias("w")).where(F.length("w") > 1)
+    return words.groupBy(*keys, "w").agg(F.sum(F.when(F.col("side") == 0, 1).otherwise(-1)).alias("d"))
+
+
+def most_uneven_word(sums: DataFrame, codes: list[str]) -> list[str]:
+    """The word of ``sums(w, d)``, not yet a code, that differs most between the sides, ties by the word. One row reaches the driver."""
+    whole = sums.where(~F.col("w").isin(*codes)).groupBy("w").agg(F.sum("d").alias("d"))
+    return [r["w"] for r in whole.orderBy(F.desc(F.abs("d")), "w").limit(1).collect()]
+
+
 def frequent_word_proposer(samples: DataFrame, codes: list[str]) -> list[str]:
-    """The default update: the word of the samples, not yet a code, whose counts differ most between the sides (ties by the word). One row reaches the driver."""
-    words = samples.select("side", F.explode(F.array_distinct(F.split(F.lower("thinking"), t.TOKEN_BORDER))).alias("w")).where(F.length("w") > 1).where(~F.col("w").isin(*codes))
-    sums = words.groupBy("w").agg(F.sum(F.when(F.col("side") == 0, 1).otherwise(-1)).alias("d"))
-    best = sums.orderBy(F.desc(F.abs("d")), "w").limit(1).collect()
-    return [r["w"] for r in best]
+    """The default update: ``most_uneven_word`` of the samples."""
+    return most_uneven_word(word_sums(samples), codes)
 
 
 ROUNDS = "round int, codes int, samples long, cnt long"
@@ -361,21 +370,27 @@ def train_taxonomy(
     (the first round by its own). If the accuracy has not risen for more than ``patience``
     rounds, the codes of the best round come back; else the update adds a code. A taxonomy
     over ``max_codes`` is pruned to the most telling ones. An epoch deals the samples anew
-    and starts with no facts. A step is one job, a round appends its facts, and a row or
+    and starts with no facts; texts move once, with their shares of all epochs, and the
+    default update counts their words once for all rounds. A step is one job, a round appends its facts, and a row or
     the taxonomy's names reach the driver.
     """
     codes, history = list(seed_codes), []
     best, best_codes, stale = -1.0, list(codes), 0
+    texts = saved(_in_all_shares(samples, rounds, epochs), "rounds")
+    sums = saved(word_sums(texts, "shares"), "word-sums") if propose is frequent_word_proposer else None
+    share = lambda df, epoch, number: df.withColumn("round", F.get("shares", F.lit(epoch))).where(F.col("round") == number).drop("shares")
+    update = lambda epoch, number: propose(share(texts, epoch, number), codes) if sums is None else most_uneven_word(share(sums, epoch, number), codes)
     for epoch in range(epochs):
-        dealt, kept = saved(_in_shares(samples, rounds, epoch + 1), "rounds"), scratch_path(spark, "facts")
+        kept = scratch_path(spark, "facts")
         for _ in range(warm_start if epoch == 0 else 0):
-            codes += propose(dealt.where("round = 0"), codes)
+            codes += update(0, 0)
         for number in range(rounds):
-            batch = dealt.where(F.col("round") == number)
-            new = annotate(batch, codes)
-            facts = appended(new, kept, number)
+            facts = appended(annotate(share(texts, epoch, number), codes), kept, number)
             dense = saved(_dense(facts, t.codebook(spark, codes)), "dense")
-            filled = saved(chosen(vectors.IMPUTERS, impute)(dense).drop("cnt").withColumnRenamed("value", "cnt").drop("round").join(dense.select("doc_id", "round").distinct().hint("shuffle_merge"), "doc_id"), "filled")
+            imputed = chosen(vectors.IMPUTERS, impute)(dense).drop("cnt").withColumnRenamed("value", "cnt")
+            if "round" not in imputed.columns:
+                imputed = imputed.join(dense.select("doc_id", "round").distinct().hint("shuffle_merge"), "doc_id")
+            filled = saved(imputed, "filled")
             earlier = filled.where(F.col("round") < number) if number else filled
             found = stats.accuracy(resolved(method, earlier, filled.where(F.col("round") == number))).first()
             total = dense.agg(F.count_distinct("doc_id")).first()[0]
@@ -390,18 +405,30 @@ def train_taxonomy(
             if stale > patience:
                 codes, stale, restored = list(best_codes), 0, True
             if not restored:
-                codes += [c for c in propose(batch, codes) if c not in codes]
+                codes += [c for c in update(epoch, number) if c not in codes]
             if len(codes) > max_codes:
                 codes = _most_telling(_dense(facts, t.codebook(spark, codes)), max_codes)
     return spark.createDataFrame(history, "epoch int, round int, codes int, samples long, judged long, accuracy double, restored boolean"), codes
 
 
-def _in_shares(samples: DataFrame, rounds: int, seed: int = 1) -> DataFrame:
-    """``samples`` with round: each comparison's shuffled questions in ``rounds`` equal shares, numbered in ranges of the digest."""
+def _shares(samples: DataFrame, rounds: int, seed: int) -> DataFrame:
+    """(comparison, question_id, round): each comparison's shuffled questions in ``rounds`` equal shares, numbered in ranges of the digest."""
     digest = F.conv(F.substring(t.shuffled_rank(F.col("question_id"), seed), 1, 15), 16, 10).cast("long")
     questions = samples.select("comparison", "question_id").distinct().withColumn("digest", digest)
     sizes = questions.groupBy("comparison").agg(F.count("*").alias("n"))
-    shares = t.numbered(questions, ["comparison"], "digest", "place", 1 << 54).join(F.broadcast(sizes), "comparison").select("comparison", "question_id", F.floor(F.col("place") * rounds / F.col("n")).alias("round"))
+    return t.numbered(questions, ["comparison"], "digest", "place", 1 << 54).join(F.broadcast(sizes), "comparison").select("comparison", "question_id", F.floor(F.col("place") * rounds / F.col("n")).alias("round"))
+
+
+def _in_shares(samples: DataFrame, rounds: int, seed: int = 1) -> DataFrame:
+    """``samples`` with round, their question's share."""
+    return samples.join(_shares(samples, rounds, seed).hint("shuffle_merge"), ["comparison", "question_id"])
+
+
+def _in_all_shares(samples: DataFrame, rounds: int, epochs: int) -> DataFrame:
+    """``samples`` with shares, their rounds in each epoch; only keys are numbered, texts are joined once."""
+    keys = saved(samples.select("comparison", "question_id").distinct(), "questions")
+    each = reduce(DataFrame.unionByName, (_shares(keys, rounds, e + 1).withColumn("epoch", F.lit(e)) for e in range(epochs)))
+    shares = each.groupBy("comparison", "question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("epoch", "round"))), lambda x: x["round"]).alias("shares"))
     return samples.join(shares.hint("shuffle_merge"), ["comparison", "question_id"])
 
 

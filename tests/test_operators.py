@@ -551,3 +551,17 @@ def test_concatenated_training_counts_texts_once_for_its_classifier(spark, monke
     assert [tuple(r)[0] for r in got.collect()] == [0]
     assert len(read) == 2
     assert not any("thinking" in plan for plan in read)
+
+
+def test_training_counts_words_and_moves_texts_once(spark, monkeypatch):
+    """The default update takes its words from one count for all rounds and epochs, and a proposer that counts each batch itself gives the same run."""
+    texts = [f"{'wait' if i % 3 else 'so'} {'ok' if i % 2 else 'no'} w{i % 5} the" for i in range(40)]
+    samples = spark.createDataFrame([(i, f"m{i % 2}", 0, i % 2, i // 2, x) for i, x in enumerate(texts)], "doc_id long, model string, comparison int, side int, question_id long, thinking string")
+    counted = []
+    real = experiments.word_sums
+    monkeypatch.setattr(experiments, "word_sums", lambda *a: counted.append(a[1:]) or real(*a))
+    run = lambda **more: experiments.train_taxonomy(spark, samples, ["the"], rounds=2, max_codes=4, epochs=2, warm_start=1, **more)
+    table, codes = run()
+    assert counted == [("shares",)]
+    again, same = run(propose=lambda batch, known: experiments.most_uneven_word(real(batch), known))
+    assert (codes, table.collect()) == (same, again.collect())
