@@ -7,7 +7,7 @@ into two different models.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -113,6 +113,17 @@ def nearest_centroid(train: DataFrame, test: DataFrame, metric: str = "euclidean
     return rows.groupBy(*OUTPUT).agg(*scores)
 
 
+def packed(df: DataFrame, keys: Sequence[str], fields: Sequence[str | Column], name: str, block: int) -> DataFrame:
+    """(keys, __block, ``name``): the rows of a key as lists of about ``block`` structs of ``fields``, dealt by digests of ``id``."""
+    rows = df.select(*keys, F.pmod(F.xxhash64("id"), F.lit(1 << 20)).alias("h"), F.struct(*fields).alias("row"))
+    if keys:
+        sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias("__blocks"))
+        rows = rows.join(sizes.hint("shuffle_merge"), list(keys))
+    else:
+        rows = rows.withColumn("__blocks", F.lit(max(1, -(-df.count() // block))))
+    return rows.groupBy(*keys, (F.col("h") % F.col("__blocks")).alias("__block")).agg(F.collect_list("row").alias(name))
+
+
 def nearest_neighbours(queries: DataFrame, base: DataFrame, k: int, keys: tuple[str, ...] = (), block: int = 1024) -> DataFrame:
     """(keys, query, neighbour, label, distance, rank): the k nearest of ``base(keys, id, label, v)`` to each of ``queries(keys, id, v)``, by Euclidean distance, ties by id.
 
@@ -120,33 +131,27 @@ def nearest_neighbours(queries: DataFrame, base: DataFrame, k: int, keys: tuple[
     of bounded size, gives k rows a query, and these are ranked once more.
     """
 
-    def packed(df: DataFrame, label: Column, name: str) -> DataFrame:
-        rows = df.select(*keys, F.pmod(F.xxhash64("id"), F.lit(1 << 20)).alias("h"), F.struct("id", label.alias("label"), F.col("v").cast("array<double>").alias("v")).alias("row"))
-        if keys:
-            sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias("__blocks"))
-            rows = rows.join(sizes.hint("shuffle_merge"), list(keys))
-        else:
-            rows = rows.withColumn("__blocks", F.lit(max(1, -(-df.count() // block))))
-        return rows.groupBy(*keys, (F.col("h") % F.col("__blocks")).alias("__block")).agg(F.collect_list("row").alias(name)).drop("__block")
-
-    one = packed(queries, F.lit(None).cast("int"), "qs")
-    two = packed(base, F.col("label"), "bs")
+    row = lambda label: ("id", label.alias("label"), F.col("v").cast("array<double>").alias("v"))
+    one = packed(queries, keys, row(F.lit(None).cast("int")), "qs", block).drop("__block")
+    two = packed(base, keys, row(F.col("label")), "bs", block).drop("__block")
     met = one.join(two.hint("shuffle_merge"), list(keys)) if keys else one.crossJoin(two)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                (ids, _, asked), (mine, labels, rows) = (_block(batch.column(x)[r].values) for x in ("qs", "bs"))
-                found, distances = [], []
-                for x in asked:
-                    d = np.sqrt(((rows - x) ** 2).sum(axis=1))
-                    near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
-                    near = near[np.lexsort((mine[near], d[near]))[:k]]
-                    found.append(near)
-                    distances.append(d[near])
-                at = np.concatenate(found)
+                (ids, _, asked), (mine, labels, rows) = (as_arrays(batch.column(x)[r].values) for x in ("qs", "bs"))
+                found, step = [], max(1, (1 << 21) // max(1, rows.size))
+                for i in range(0, len(ids), step):
+                    d = np.sqrt(((rows - asked[i : i + step, None]) ** 2).sum(axis=2))
+                    most = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if len(rows) > k else np.inf
+                    q, at = np.nonzero(d <= most)
+                    order = np.lexsort((mine[at], d[q, at], q))
+                    q, at = q[order], at[order]
+                    best = np.arange(len(q)) - np.searchsorted(q, q) < k  # how many of a query stand before
+                    found.append((q[best] + i, at[best], d[q[best], at[best]]))
+                q, at, d = (np.concatenate(x) for x in zip(*found, strict=True))
                 same = pa.array(np.full(len(at), r))
-                made = [pa.array(np.repeat(ids, [len(x) for x in found])), pa.array(mine[at]), labels.take(pa.array(at)), pa.array(np.concatenate(distances))]
+                made = [pa.array(ids[q]), pa.array(mine[at]), labels.take(pa.array(at)), pa.array(d)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(same) for c in keys), *made], [*keys, "query", "neighbour", "label", "distance"])
 
     kinds = "".join(f"`{c}` {met.schema[c].dataType.simpleString()}, " for c in keys)
@@ -155,7 +160,7 @@ def nearest_neighbours(queries: DataFrame, base: DataFrame, k: int, keys: tuple[
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _block(rows: pa.StructArray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+def as_arrays(rows: pa.StructArray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Ids, labels and vectors of a block; all vectors are of one length."""
     flat = rows.field("v").flatten().to_numpy(zero_copy_only=False)
     return rows.field("id").to_numpy(zero_copy_only=False), rows.field("label"), flat.reshape(len(rows), -1)

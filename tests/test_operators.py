@@ -353,6 +353,37 @@ def test_pivot_neighbours_against_brute_force(spark, pivots):
     assert compared <= every and (pivots < 32 or compared * 3 < every)
 
 
+def test_a_query_meets_no_more_rows_as_the_base_grows(spark):
+    from marginalia.operators import neighbours
+
+    rng, met = np.random.default_rng(5), []
+    for size in (3_000, 24_000):
+        points = rng.integers(0, 10_000, (size, 2))
+        base = spark.createDataFrame([(0, i, 0, [float(x), float(y)]) for i, (x, y) in enumerate(points.tolist())], "key int, id long, label int, v array<double>")
+        placed, asked = neighbours.cells(base.where("id % 20 = 0").drop("label"), base, 5, ["key"])
+        rows = placed.groupBy("cell").agg(F.count("*").alias("rows"))
+        met.append(asked.join(rows, "cell").agg(F.sum("rows") / F.count_distinct("id")).first()[0])
+    assert met[1] < 2 * met[0]
+
+
+def _counted(spark, df):
+    """``df``, and how many of its rows were read."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for rows in batches:
+            seen.add(len(rows))
+            yield rows
+
+    return df.mapInPandas(count, df.schema), seen
+
+
+def test_impute_knn_counts_texts_once(spark, data):
+    facts = t.facts_missing(spark, data)
+    counted, seen = _counted(spark, facts)
+    assert vectors.impute_knn(counted, 3).count() == facts.count() == seen.value
+
+
 def test_impute_iterative_fills_gaps(spark, data):
     facts = t.facts_missing(spark, data)
     filled = vectors.impute_iterative(facts)
