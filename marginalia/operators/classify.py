@@ -177,7 +177,7 @@ def knn_vote(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
     from .neighbours import pivot_neighbours
     from .stats import vectors
 
-    queries = vectors(test).select("comparison", (F.col("question_id") * 2 + F.col("side")).alias("id"), "v")
+    queries = saved(vectors(test).select("comparison", (F.col("question_id") * 2 + F.col("side")).alias("id"), "v"), "queries")
     asked = saved(queries.groupBy("comparison", "v").agg(F.min("id").alias("query")), "asked")
     first = F.row_number().over(Window.partitionBy("comparison", "v").orderBy("id"))
     base = vectors(train).select("comparison", (F.col("question_id") * 2 + F.col("side")).alias("id"), F.col("side").alias("label"), "v").withColumn("nth", first).where(F.col("nth") <= k)

@@ -326,6 +326,14 @@ def test_logistic_regression_is_a_method_of_experiments(spark, data):
     assert {r.method for r in rows} == {"vote_soft", "logistic_regression"}
 
 
+def test_knn_vote_counts_each_text_once(spark, data):
+    facts = t.facts(spark, data)
+    held_out = classify.is_eval(F.col("question_id"))
+    (train, of_train), (test, of_test) = _counted(spark, facts.where(~held_out)), _counted(spark, facts.where(held_out))
+    assert classify.knn_vote(train, test).count() * 8 == of_test.value
+    assert of_train.value + of_test.value == facts.count()
+
+
 @pytest.mark.parametrize("pivots", [1, 8, 32])
 def test_pivot_neighbours_against_brute_force(spark, pivots):
     from marginalia.operators import neighbours
