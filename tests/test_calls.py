@@ -1,6 +1,7 @@
 """Batched calls with a log, the version tree of a taxonomy, and loops that go on where they stopped."""
 
 import json
+import os
 import time
 import uuid
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from marginalia.operators import calls, versions
 from marginalia.plans import experiments
 from marginalia.sources import tables as t
+from marginalia.sources.scratch import shared_dir
 
 
 def told(folder):
@@ -71,6 +73,18 @@ def test_a_failing_service_gives_the_same_answers(spark, tmp_path):
     assert calls.quarantined(prompts, str(tmp_path / "log1")).isEmpty()
 
 
+def test_texts_are_written_once_and_those_of_failures_once_more(spark, tmp_path):
+    heard, folder = tmp_path / "heard", shared_dir(spark)
+    heard.mkdir()
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    call = service(heard, lambda p: p.attempt == 1 and p.digest[0] in "01")
+    assert calls.ask(prompts_of(spark, 200), call, str(tmp_path / "log"), budget=20, tasks=4).count() == 200
+    failed = spark.read.schema(calls.LOG).parquet(str(tmp_path / "log")).where("NOT ok").count()
+    tables = [x for x in set(os.listdir(folder)) - before if x.startswith(("prompts-", "pending-"))]
+    assert sum(spark.read.schema("user string").parquet(f"{folder}/{x}").where("user IS NOT NULL").count() for x in tables) == 200 + failed
+    assert failed > 10
+
+
 def test_prompts_that_always_fail_are_set_apart(spark, tmp_path):
     heard = tmp_path / "heard"
     heard.mkdir()
