@@ -50,7 +50,7 @@ def impute_knn(facts: DataFrame, k: int = 10) -> DataFrame:
     from .neighbours import pivot_neighbours
 
     by = ["comparison", "model"]
-    facts = saved(facts, "facts")  # read four times; texts are counted once
+    facts = saved(facts, "facts")  # read several times; texts are counted once
     width = facts.agg(F.count_distinct("code_idx").alias("width"))
     traces = saved(facts.groupBy(*by, "doc_id").agg(F.array_sort(F.collect_list(F.struct("code_idx", "cnt"))).alias("v")), "vectors")
     had = F.transform(F.filter("v", lambda x: x["cnt"].isNotNull()), lambda x: x["code_idx"])
