@@ -61,26 +61,100 @@ def transfer(facts: DataFrame, directions: DataFrame, method: str = "naive_bayes
     return evaluate(method, train, test).join(F.broadcast(ways.withColumnRenamed("way", "comparison")), "comparison").drop("comparison")
 
 
-def _met_blocks(rows: DataFrame, block: int) -> DataFrame:
-    """(qs, bs, same): every block of ``rows(id, v)`` with itself and every later block, so each pair meets once, in a unit of work of bounded size. The work grows with the square of the rows."""
+#: A block of vectors has so many numbers at most (8 MB as floats). A table has SOME_BLOCKS before these grow, but none of under FEW_NUMBERS.
+MOST_NUMBERS, FEW_NUMBERS, SOME_BLOCKS = 1 << 21, 1 << 16, 16
+#: Two blocks are compared in slices of so many rows.
+SLICE = 512
+
+
+def _met_blocks(rows: DataFrame, block: int | None = None) -> DataFrame:
+    """(qs, bs, same): every block of ``rows(id, v)`` with itself and every later block, so each pair meets once, in a unit of work of bounded size.
+
+    Blocks are dealt out once, and a task fetches the two that it compares. So what is written grows with the rows; only the work grows with their square.
+    """
     rows = rows.where("id IS NOT NULL AND v IS NOT NULL")
-    blocks = max(1, -(-rows.count() // block))
-    unit = rows.select("id", F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
+    rows = rows.select("id", F.col("v") if rows.schema["v"].dataType.simpleString() == "array<float>" else F.col("v").cast("array<double>").alias("v"))
+    n, wide = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    blocks = max(1, -(-n // block) if block else max(-(-n * wide // MOST_NUMBERS), min(SOME_BLOCKS, -(-n * wide // FEW_NUMBERS))))
+    unit = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     packed = saved(unit.groupBy("b").agg(F.collect_list(F.struct("id", "v")).alias("rows")), "vector-blocks")
-    one = packed.select(F.col("b").alias("b1"), F.col("rows").alias("qs"), F.explode(F.sequence("b", F.lit(blocks - 1))).alias("b2"))
-    two = packed.select(F.col("b").alias("b2"), F.col("rows").alias("bs"))
-    return one.join(two.hint("shuffle_merge"), "b2").select("qs", "bs", (F.col("b1") == F.col("b2")).alias("same"))
+    dealt = packed.repartitionById(min(blocks, max(32, blocks // 8)), F.col("b"))
+    one, two = (dealt.select(F.col("b").alias(f"b{i}"), F.col("rows").alias(name)) for i, name in ((1, "qs"), (2, "bs")))
+    return one.join(two.hint("shuffle_replicate_nl"), F.col("b1") <= F.col("b2")).select("qs", "bs", (F.col("b1") == F.col("b2")).alias("same"))
+
+
+def _numbers(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a block; all vectors are of one length."""
+    return rows.field("id").to_numpy(zero_copy_only=False).astype(np.int64), rows.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(float)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
 def _close_pairs(q: pa.StructArray, b: pa.StructArray, same: bool, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids and cosines of the pairs of two blocks at ``least`` or more; a block with itself gives each pair once."""
-    (i, x), (j, y) = ((z.field("id").to_numpy(zero_copy_only=False).astype(np.int64), z.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(z), -1)) for z in (q, b))
-    x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
-    c = x @ y.T
+    (i, x), (j, y) = _numbers(q), _numbers(b)
+    c = _unit(x) @ _unit(y).T
     u, w = np.nonzero((c >= least) & (i[:, None] < j[None, :] if same else i[:, None] != j[None, :]))
     return i[u], j[w], c[u, w]
 
 
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of each row of ``x`` with that of ``y``, by sums in order of the dimensions, as SQL has them."""
+    dot, xx, yy = np.zeros((3, len(x)))
+    for k in range(x.shape[1]):
+        a, b = x[:, k].astype(float), y[:, k].astype(float)
+        dot, xx, yy = dot + a * b, xx + a * a, yy + b * b
+    return dot / np.maximum(np.sqrt(xx) * np.sqrt(yy), 1e-300)
+
+
+def _joined(roots: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """``roots`` with links between ``one`` and ``two``: each place has the smallest of its component."""
+    while len(one):
+        np.minimum.at(roots, np.maximum(roots[one], roots[two]), np.minimum(roots[one], roots[two]))
+        while (roots != (after := roots[roots])).any():
+            roots = after
+        apart = roots[one] != roots[two]
+        one, two = one[apart], two[apart]
+    return roots
+
+
+def _linked(q: pa.StructArray, b: pa.StructArray, same: bool, least: float) -> list[np.ndarray]:
+    """Ids of two blocks that have links at ``least`` or more, the smallest id that a chain of these leads to, and how many they are.
+
+    Slices meet in single precision. A pair closer to ``least`` than its rounding is worked out again in double. A slice's pairs are
+    counted and only those that join two chains are kept, so a large class takes no memory a pair.
+    """
+    (i, x), (j, y) = _numbers(q), _numbers(b)
+    ids, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+    at_q, at_b = place[: len(i)], place[len(i) :]
+    xs, ys = (_unit(z).astype(np.float32) for z in (x, y))
+    slack = (x.shape[1] + 8) * 2.0**-23  # twice what a sum of so many products can be off
+    roots, of_q, of_b = np.arange(len(ids)), np.zeros(len(i), np.int64), np.zeros(len(j), np.int64)
+    for s in range(0, len(x), SLICE):
+        for t in range(s if same else 0, len(y), SLICE):
+            c = xs[s : s + SLICE] @ ys[t : t + SLICE].T
+            at = np.flatnonzero(c >= least - slack)
+            if not len(at):
+                continue
+            u, w = np.divmod(at, c.shape[1])
+            one, two = at_q[s + u], at_b[t + w]
+            found = (one != two) & ((u < w) | (not same or s != t))
+            unsure = np.flatnonzero(found & (c.ravel()[at] < least + slack))
+            found[unsure] = _cosines(x[s + u[unsure]], y[t + w[unsure]]) >= least
+            of_q[s : s + SLICE] += np.bincount(u[found], minlength=c.shape[0])
+            of_b[t : t + SLICE] += np.bincount(w[found], minlength=c.shape[1])
+            apart = found & (roots[one] != roots[two])
+            roots = _joined(roots, one[apart], two[apart])
+    links = np.zeros(len(ids), np.int64)
+    np.add.at(links, at_q, of_q)
+    np.add.at(links, at_b, of_b)
+    has = links > 0
+    return [ids[has], ids[roots[has]], links[has]]
+
+
 def _of_block_pairs(met: DataFrame, work: Callable[..., list[np.ndarray]], schema: str) -> DataFrame:
     """The columns that ``work`` makes of each row of ``met(qs, bs, same)``, one pair of blocks after the other: a task holds the numbers of one pair beside its batch, and never rows as Python objects."""
     names = [x.split()[0] for x in schema.split(", ")]
@@ -104,32 +178,18 @@ def similar_vectors(rows: DataFrame, least: float, block: int = 1024) -> DataFra
     return _of_block_pairs(_met_blocks(rows, block), close, "id_1 long, id_2 long, cosine double")
 
 
-def similar_classes(rows: DataFrame, least: float, block: int = 1024) -> DataFrame:
+def similar_classes(rows: DataFrame, least: float, block: int | None = None) -> DataFrame:
     """(id, class_id, links): a row for each of ``rows(id, v)`` with the smallest id that a chain of similar pairs leads to, and how many similar vectors it has itself.
 
-    Two blocks give a row for each of their vectors with links, so a large class costs no row a pair.
+    Two blocks give a row for each of their vectors with links, so a large class costs no row a pair. All roots of a vector are
+    of one class, so only roots are joined further.
     """
-
-    def linked(q: pa.StructArray, b: pa.StructArray, same: bool) -> list[np.ndarray]:
-        i, j, _ = _close_pairs(q, b, same, least)
-        ids, ends = np.unique(np.concatenate([i, j]), return_inverse=True)
-        one, two = ends[: len(i)], ends[len(i) :]
-        roots = np.arange(len(ids))
-        while True:
-            low = np.minimum(roots[one], roots[two])
-            after = roots.copy()
-            np.minimum.at(after, one, low)
-            np.minimum.at(after, two, low)
-            after = after[after]
-            if (after == roots).all():
-                break
-            roots = after
-        return [ids, ids[roots], np.bincount(ends, minlength=len(ids)).astype(np.int64)]
-
-    found = saved(_of_block_pairs(_met_blocks(rows, block), linked, "id long, root long, links long"), "links")
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    labels = codebook.component_labels(found.select(F.col("id").alias("code_1"), F.col("root").alias("code_2")).distinct()).select(F.col("code_idx").alias("id"), "component")
-    joined = rows.select("id").join(links.hint("shuffle_merge"), "id", "left").join(labels.hint("shuffle_merge"), "id", "left")
+    found = _of_block_pairs(_met_blocks(rows, block), lambda q, b, same: _linked(q, b, same, least), "id long, root long, links long")
+    # dealt out before it is summed: a task has no id twice, and sums with sets are wider than rows
+    linked = saved(found.repartition("id").groupBy("id").agg(F.sum("links").alias("links"), F.collect_set("root").alias("roots")).withColumn("root", F.array_min("roots")), "links")
+    labels = codebook.component_labels(linked.select(F.explode("roots").alias("code_1"), F.col("root").alias("code_2")).distinct()).select(F.col("code_idx").alias("root"), "component")
+    classes = linked.select("id", "root", "links").join(labels.hint("shuffle_merge"), "root")
+    joined = rows.select("id").join(classes.hint("shuffle_merge"), "id", "left")
     return joined.select("id", F.coalesce("component", "id").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
 
 

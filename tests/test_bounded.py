@@ -1,11 +1,16 @@
 """Steps that work off their input in pieces of bounded size."""
 
+import os
+
+import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 
 from marginalia.functions import annotations as an
 from marginalia.functions import text as fx
-from marginalia.plans import experiments
+from marginalia.plans import experiments, registered
 
 
 def test_texts_of_a_batch_are_cut_in_slices():
@@ -37,3 +42,53 @@ def test_each_distinct_answer_is_rewritten_once(spark):
     found = fx.with_math_normal(rows, "text", "answer")
     assert {(r.id, r.answer) for r in found.collect()} == {(i, (r"\frac{1}{7}", "3", "", "")[i % 4]) for i in range(200)}
     assert found.columns == ["id", "text", "answer"] and "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def shuffle_files(spark):
+    tops = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f"{d}/{x}": os.path.getsize(f"{d}/{x}") for top in tops for d, _, names in os.walk(top) for x in names if x.startswith("shuffle_") and x.endswith(".data")}
+
+
+def test_what_blocks_write_does_not_grow_with_their_pairs(spark):
+    """Ten times the blocks have a hundred times the pairs, and still each vector is dealt out once."""
+    x = np.random.default_rng(5).normal(size=(800, 16))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").localCheckpoint()
+    size, pairs = [], []
+    for block in (200, 20):
+        before = shuffle_files(spark)
+        met = experiments._of_block_pairs(experiments._met_blocks(rows, block), lambda q, b, same: [np.array([len(q) * (len(q) - 1) // 2 if same else len(q) * len(b)])], "n long")
+        pairs.append((met.count(), met.groupBy().sum("n").first()[0]))
+        size.append(sum(n for f, n in shuffle_files(spark).items() if f not in before))
+    assert pairs == [(4 * 5 // 2, 800 * 799 // 2), (40 * 41 // 2, 800 * 799 // 2)]
+    assert size[0] > x.nbytes / 2 and size[1] < 2 * size[0]
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_links_of_two_blocks_in_slices(monkeypatch, same):
+    """Whole classes, ties at the least cosine, ids that repeat, a zero and a NaN vector, against all pairs in double."""
+    monkeypatch.setattr(experiments, "SLICE", 7)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(6, 3))
+    made = [[float(a), float(b), 0.0] for a in range(-4, 5) for b in range(-3, 4)] + (centres[rng.integers(0, 6, 40)] + 0.05 * rng.normal(size=(40, 3))).tolist() + [[float("nan"), 1.0, 0.0]]
+    rows = [{"id": int(i), "v": v} for i, v in zip(rng.integers(0, 300, len(made)), made, strict=True)]
+    q, b = (rows, rows) if same else (rows[::2], rows[1::2])
+    want, parent = {}, {r["id"]: r["id"] for r in rows}
+    for k, r in enumerate(q):
+        for o in b[k + 1 :] if same else b:
+            if r["id"] != o["id"] and experiments._cosines(np.array([r["v"]]), np.array([o["v"]]))[0] >= 0.6:
+                for x in (r["id"], o["id"]):
+                    want[x] = want.get(x, 0) + 1
+                low, high = sorted((parent[r["id"]], parent[o["id"]]))
+                parent = {x: low if p == high else p for x, p in parent.items()}
+    ids, roots, links = experiments._linked(pa.array(q), pa.array(b), same, 0.6)
+    assert {i: (r, n) for i, r, n in zip(ids.tolist(), roots.tolist(), links.tolist(), strict=True)} == {i: (parent[i], n) for i, n in want.items()}
+
+
+def test_similar_codes_at_the_least_cosine_are_those_of_sql(spark, tmp_path):
+    """(-4, -2) and (-4, 2) have 0.6 on paper, but a little less by the query's sums."""
+    rows = [{"vec_id": 3 * i, "embedding": v, "label": 0} for i, v in enumerate([[float(a), float(b), 0.0] for a in range(-4, 5) for b in range(-2, 3) if a or b])]
+    pq.write_table(pa.Table.from_pylist(rows, schema=pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32())), ("label", pa.int32())])), tmp_path / "embeddings.parquet")
+    found = duckdb.connect()
+    found.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet')")
+    want = sorted(found.execute(registered.SQL["j12_similar_code_pairs"]).fetchall())
+    assert sorted(map(tuple, registered.QUERIES["j12_similar_code_pairs"](spark, str(tmp_path)).select("id", "class_id", "links").collect())) == want
