@@ -143,7 +143,8 @@ def _linked(q: pa.StructArray, b: pa.StructArray, same: bool, least: float) -> l
             one, two = at_q[s + u], at_b[t + w]
             found = (one != two) & ((u < w) | (not same or s != t))
             unsure = np.flatnonzero(found & (c.ravel()[at] < least + slack))
-            found[unsure] = _cosines(x[s + u[unsure]], y[t + w[unsure]]) >= least
+            if len(unsure):
+                found[unsure] = _cosines(x[s + u[unsure]], y[t + w[unsure]]) >= least
             of_q[s : s + SLICE] += np.bincount(u[found], minlength=c.shape[0])
             of_b[t : t + SLICE] += np.bincount(w[found], minlength=c.shape[1])
             apart = found & (roots[one] != roots[two])
